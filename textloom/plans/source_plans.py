@@ -136,7 +136,7 @@ def load_snapshots(t):
            doc_id * 10 + 2 AS rev_id, TIMESTAMP '2020-01-02 00:00:00' AS moment,
            CASE WHEN doc_id % 2 = 0 THEN lang ELSE '10.0.0.1' END AS contributor, md5(text) AS digest,
            CAST(length(text) AS INTEGER) AS text_length
-    FROM (SELECT *, regexp_replace(text, '[^\\p{L}\\p{N} .,]', '_', 'g') AS text FROM documents)
+    FROM (SELECT doc_id, lang, source, regexp_replace(text, '[^\\p{L}\\p{N} .,]', '_', 'g') AS text FROM documents)
     """,
 )
 def load_wiki_dump(t):

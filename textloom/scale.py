@@ -57,13 +57,6 @@ def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -94,7 +87,7 @@ def running(
     )
     earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     heads = heads.select(
-        *cut,
+        *[F.col(c).alias(f"_h{i}") for i, c in enumerate(cut)],
         "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         *[
@@ -107,11 +100,14 @@ def running(
     inside = W.partitionBy(*cut).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
     for name, src in sums.items():
         laid = laid.withColumn(f"_in_{name}", F.sum(src).over(inside))
-    joined = laid.join(heads, _same(laid, heads, cut))
-    out = [laid[c] for c in df.columns]
-    out.append((laid["_row"] - heads["_first"] + heads["_before"] + 1).cast("long").alias(position))
-    out += [(laid[f"_in_{name}"] + heads[f"_before_{name}"]).alias(name) for name in sums]
-    return joined.select(*out)
+    same = F.lit(True)
+    for i, c in enumerate(cut):
+        same = same & F.col(c).eqNullSafe(F.col(f"_h{i}"))
+    return laid.join(heads, same).select(
+        *df.columns,
+        (F.col("_row") - F.col("_first") + F.col("_before") + 1).cast("long").alias(position),
+        *[(F.col(f"_in_{name}") + F.col(f"_before_{name}")).alias(name) for name in sums],
+    )
 
 
 def neighbourhood(
