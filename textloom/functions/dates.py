@@ -18,10 +18,10 @@ def period_ordinal(moment: Column, granularity: str) -> Column:
     raise ValueError(f"granularity must be day, week or month, not {granularity!r}")
 
 
-def seconds_of(moment: Column) -> Column:
-    """Seconds since the epoch with fraction, free of the session time zone."""
-    micros = F.expr("timestamp_ntz '1970-01-01 00:00:00'")
-    return F.timestamp_diff("MICROSECOND", micros, moment.cast("timestamp_ntz")) / F.lit(1e6)
+def millis_of(moment: Column) -> Column:
+    """Whole milliseconds since the epoch, free of the session time zone."""
+    start = F.expr("timestamp_ntz '1970-01-01 00:00:00'")
+    return F.timestamp_diff("MILLISECOND", start, moment.cast("timestamp_ntz"))
 
 
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:

@@ -100,20 +100,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 0)
 
 
-def sentence_windows(text: Column, reach: int = 3) -> Column:
-    """Every sentence with up to ``reach`` neighbours on both sides, inside one row."""
-    found = sentences(text)
+def sentence_windows(found: Column, reach: int = 3) -> Column:
+    """Every sentence of a sentence list with up to ``reach`` neighbours on both sides.
+
+    ``found`` should be a plain column: it is read again for every window.
+    """
     return F.transform(
         found,
         lambda s, i: F.struct(
             i.alias("no"),
             s.alias("sentence"),
             F.array_join(
-                F.slice(
-                    found,
-                    F.greatest(i - reach, F.lit(0)) + 1,
-                    F.least(i, F.lit(reach)) + reach + 1,
-                ),
+                F.slice(found, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1),
                 " ",
             ).alias("window"),
         ),
@@ -121,14 +119,18 @@ def sentence_windows(text: Column, reach: int = 3) -> Column:
 
 
 def topk_entropy(scores: Column, k: int = 3) -> Column:
-    """Entropy in nats of the ``k`` largest scores after renormalising."""
+    """Entropy in nats of the ``k`` largest scores after renormalising: ln S - sum(x ln x) / S."""
     top = F.slice(F.sort_array(scores, asc=False), 1, k)
-    total = F.aggregate(top, F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(
+    both = F.aggregate(
         top,
-        F.lit(0.0),
-        lambda a, x: a - F.when(x > 0, (x / total) * F.log(x / total)).otherwise(F.lit(0.0)),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("xlnx")),
+        lambda a, x: F.struct(
+            (a["s"] + x).alias("s"),
+            (a["xlnx"] + F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))).alias("xlnx"),
+        ),
+        lambda a: F.log(a["s"]) - a["xlnx"] / a["s"],
     )
+    return both
 
 
 def harmonic_mean(a: Column, b: Column) -> Column:

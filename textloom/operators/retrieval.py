@@ -1,6 +1,254 @@
+"""Text and vector retrieval as joins over postings and block products."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from textloom.scale import running
-def merge_hops(hops, query, passage):
-    first = hops.groupBy(query, passage).agg(F.min(F.struct("hop", "rank")).alias("at"))
-    first = first.select(query, passage, "at.hop", "at.rank")
-    return running(first, [query], ["hop", "rank"], position="place")
+
+from textloom.functions import text as tx, vectors
+from textloom.operators.similarity import top_k
+from textloom.scale import (
+    best_per_group, fit_broadcast, row_count_at_most, running, salted_join, settle, top_per_group,
+)
+
+# The usual BM25 parameters of inverted-index stores.
+K1, B = 1.2, 0.75
+
+VOCABULARY = 20_000
+ROUND = 6
+
+
+def query_terms(queries: DataFrame, query: str, text: str, stop_words=tx.STOP_WORDS) -> DataFrame:
+    """(query, term, qtf) rows."""
+    found = queries.select(F.col(query).alias("query"), F.explode(tx.terms(F.col(text), stop_words)).alias("term"))
+    return found.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _wanted(found: Column, asked: DataFrame) -> Column:
+    """Tokens that some query asks for; all tokens when the queries ask for very many."""
+    words = asked.select("term").distinct()
+    if not row_count_at_most(words, VOCABULARY):
+        return found
+    asked_words = [r["term"] for r in words.collect()]
+    return F.filter(found, lambda t: t.isin(asked_words)) if asked_words else F.array().cast("array<string>")
+
+
+def postings(corpus: DataFrame, doc: str, text: str, asked: DataFrame, stop_words=tx.STOP_WORDS):
+    """Postings of the asked terms, and the number and mean length of all documents.
+
+    One pass over the texts leaves one small row per document: its length and the tokens
+    that some query asks for. Everything after it reads that table.
+    """
+    tokens = corpus.select(F.col(doc).alias("doc"), tx.terms(F.col(text), stop_words).alias("tokens"))
+    hits = settle(tokens.select("doc", F.size("tokens").alias("length"), _wanted(F.col("tokens"), asked).alias("hits")))
+    total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    rows = hits.select("doc", "length", F.explode("hits").alias("term"))
+    counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted, total["n"], total["mean"] or 1.0
+
+
+def bm25_scores(
+    corpus: DataFrame,
+    queries: DataFrame,
+    doc: str,
+    text: str,
+    query: str,
+    query_text: str,
+    stop_words=tx.STOP_WORDS,
+    k1: float = K1,
+    b: float = B,
+) -> DataFrame:
+    """BM25 score of every document that shares a term with a query: (query, doc, score)."""
+    asked = settle(query_terms(queries, query, query_text, stop_words))
+    counted, n, mean = postings(corpus, doc, text, asked, stop_words)
+    counted = settle(counted)
+    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(frequency, "term").select("query", "term", (F.col("qtf") * idf).alias("weight"))
+    saturation = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+    impact = counted.select("doc", "term", saturation.alias("impact"))
+    if row_count_at_most(weighted, 100_000):
+        matched = impact.join(F.broadcast(weighted), "term")
+    else:
+        matched = salted_join(impact, weighted, ["term"])
+    return matched.groupBy("query", "doc").agg(
+        F.round(F.sum(F.col("weight") * F.col("impact")), ROUND).alias("score")
+    )
+
+
+def cut(scores: DataFrame, k: int) -> DataFrame:
+    """Top ``k`` of each query by score, ties to the smaller document."""
+    return top_per_group(scores, ["query"], [F.desc("score"), F.asc("doc")], k)
+
+
+def bm25(corpus, queries, doc, text, query, query_text, k: int = 10, **options) -> DataFrame:
+    return cut(bm25_scores(corpus, queries, doc, text, query, query_text, **options), k)
+
+
+def dense(corpus, queries, doc, vector, query, query_vector, k: int = 10) -> DataFrame:
+    """Exact cosine top ``k``: (query, doc, score, rank)."""
+    found = top_k(queries, corpus, query, query_vector, doc, vector, k)
+    return found.select("query", F.col("row").alias("doc"), F.round("score", ROUND).alias("score"), "rank")
+
+
+def dense_approximate(corpus, queries, doc, vector, query, query_vector, k: int = 10, bucket: float = 1.0,
+                      tables: int = 8, seed: int = 42) -> DataFrame:
+    """Cosine top ``k`` among the rows that share a random-projection bucket with the query."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    scale = Normalizer(inputCol="raw", outputCol="unit")
+    docs = scale.transform(corpus.select(F.col(doc).alias("doc"), array_to_vector(F.col(vector)).alias("raw")))
+    asks = scale.transform(queries.select(F.col(query).alias("query"), array_to_vector(F.col(query_vector)).alias("raw")))
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
+    ).fit(docs)
+    pairs = lsh.approxSimilarityJoin(asks, docs, 2.0, distCol="gap")
+    scores = pairs.select(
+        F.col("datasetA.query").alias("query"), F.col("datasetB.doc").alias("doc"),
+        F.round(1 - F.col("gap") * F.col("gap") / 2, ROUND).alias("score"),
+    )
+    return cut(scores, k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact results of each query that were found."""
+    hit = found.select("query", "doc", F.lit(1).alias("hit"))
+    return (
+        exact.select("query", "doc")
+        .join(hit, ["query", "doc"], "left")
+        .groupBy("query")
+        .agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    )
+
+
+def relative_scores(run: DataFrame) -> DataFrame:
+    """Scores of each query mapped to [0, 1]; equal scores become 1."""
+    ends = run.groupBy("query").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    spread = F.col("_hi") - F.col("_lo")
+    share = F.when(spread > 0, (F.col("score") - F.col("_lo")) / spread).otherwise(F.lit(1.0))
+    return run.join(ends, "query").select("query", "doc", share.alias("share"))
+
+
+def fuse(sparse: DataFrame, dense_run: DataFrame, alpha: float = 0.5, k: int = 10) -> DataFrame:
+    """Relative-score fusion: alpha * dense + (1 - alpha) * sparse over both result lists."""
+    both = relative_scores(sparse).select(
+        "query", "doc", (F.col("share") * (1 - alpha)).alias("part")
+    ).unionByName(relative_scores(dense_run).select("query", "doc", (F.col("share") * alpha).alias("part")))
+    return cut(both.groupBy("query", "doc").agg(F.round(F.sum("part"), ROUND).alias("score")), k)
+
+
+def hybrid_sum(name_scores: DataFrame, chunk_scores: DataFrame, chunk_cosines: DataFrame, k: int = 10) -> DataFrame:
+    """Text score of the name plus that of the chunks plus the best chunk cosine, if positive.
+
+    ``chunk_cosines`` has one row per query, document and chunk.
+    """
+    best = chunk_cosines.groupBy("query", "doc").agg(F.max("score").alias("score"))
+    parts = name_scores.select("query", "doc", "score").unionByName(
+        chunk_scores.select("query", "doc", "score")
+    ).unionByName(best)
+    total = parts.groupBy("query", "doc").agg(F.round(F.sum("score"), ROUND).alias("score"))
+    return cut(total.where("score > 0"), k)
+
+
+def late_interaction(candidates: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 10) -> DataFrame:
+    """Re-rank candidates by the sum over query tokens of the best dot product.
+
+    ``query_tokens`` (query, tokens) and ``doc_tokens`` (doc, tokens) hold arrays of token
+    vectors; the work per candidate stays in its row.
+    """
+    rows = salted_join(
+        salted_join(candidates.select("query", "doc"), fit_broadcast(query_tokens.withColumnRenamed("tokens", "_q")), ["query"]),
+        doc_tokens.withColumnRenamed("tokens", "_d"),
+        ["doc"],
+    )
+    best = lambda q: F.array_max(F.transform("_d", lambda d: vectors.dot(q, d)))
+    total = F.aggregate(F.transform("_q", best), F.lit(0.0), lambda a, x: a + x)
+    return cut(rows.select("query", "doc", F.round(total, ROUND).alias("score")), k)
+
+
+def grouped(run: DataFrame, groups: DataFrame, doc: str, group: str, raw_top: int = 1000, k: int = 10) -> DataFrame:
+    """Best document of each group among the ``raw_top`` results, then the ``k`` best groups.
+
+    Results without an entry in ``groups`` are dropped.
+    """
+    named = salted_join(cut(run, raw_top).drop("rank"), groups.select(F.col(doc).alias("doc"), F.col(group).alias("group")), ["doc"])
+    best = best_per_group(named, ["query", "group"], [-F.col("score"), F.col("doc")])
+    return cut(best, k)
+
+
+def accumulate(run: DataFrame, variants: DataFrame, k: int = 10) -> DataFrame:
+    """Sum the scores a document got from the variants of a question: (question, doc, score)."""
+    summed = run.join(fit_broadcast(variants), "query").groupBy("question", "doc").agg(
+        F.round(F.sum("score"), ROUND).alias("score")
+    )
+    return top_per_group(summed, ["question"], [F.desc("score"), F.asc("doc")], k)
+
+
+def _near_forms(term: Column) -> Column:
+    """The term and all its one-character deletions."""
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(term), F.lit(1))),
+        lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1)),
+    )
+    return F.array_distinct(F.concat(F.array(term), cuts))
+
+
+def fuzzy_terms(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs (asked, term) at edit distance at most one.
+
+    Two words within one edit share a word or a one-character deletion, so candidates meet
+    by an equi join on those forms and are then checked.
+    """
+    forms = vocabulary.select("term", F.explode(_near_forms(F.col("term"))).alias("_form"))
+    asks = asked.select(F.col("term").alias("asked"), F.explode(_near_forms(F.col("term"))).alias("_form"))
+    near = salted_join(forms, fit_broadcast(asks), ["_form"])
+    return near.where(F.levenshtein("asked", "term", 1).between(0, 1)).select("asked", "term").distinct()
+
+
+def matching_docs(corpus: DataFrame, doc: str, text: str, terms: DataFrame, stop_words=()) -> DataFrame:
+    """(query, doc, n) for documents holding any of the query's terms; n counts distinct terms."""
+    words = corpus.select(F.col(doc).alias("doc"), F.array_distinct(tx.terms(F.col(text), stop_words)).alias("w"))
+    rows = words.select("doc", F.explode("w").alias("term"))
+    hits = salted_join(rows, fit_broadcast(terms.select("query", "term").distinct()), ["term"])
+    return hits.groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_hops(hops: DataFrame, query: str, passage: str) -> DataFrame:
+    """Union of the passages of several hops, each at its first place: (query, passage, place)."""
+    first = hops.groupBy(query, passage).agg(F.min(F.struct("hop", "rank")).alias("_at"))
+    return running(first.select(query, passage, "_at.hop", "_at.rank"), [query], ["hop", "rank"], position="place")
+
+
+def window_rerank(
+    sentences: DataFrame,
+    queries: DataFrame,
+    query: str,
+    query_text: str,
+    first: int = 10,
+    keep: int = 5,
+    score: Column | None = None,
+) -> DataFrame:
+    """Sentence hits, replaced by their windows and scored again: the ``keep`` best per query.
+
+    ``sentences`` has doc (unique), sentence and window. ``score`` sees the columns window,
+    asked (query terms) and score; by default it is the share of query terms in the window.
+    """
+    hits = bm25(sentences, queries, "doc", "sentence", query, query_text, first)
+    asked = queries.select(F.col(query).alias("query"), F.array_distinct(tx.terms(F.col(query_text))).alias("asked"))
+    rows = salted_join(hits.drop("rank"), sentences.select("doc", "window"), ["doc"]).join(fit_broadcast(asked), "query")
+    if score is None:
+        score = F.size(F.array_intersect("asked", tx.terms(F.col("window")))) / F.size("asked")
+    again = rows.withColumn("again", F.round(score, ROUND))
+    return top_per_group(again, ["query"], [F.desc("again"), F.desc("score"), F.asc("doc")], keep).select(
+        "query", "doc", "again", "score", "window", "rank"
+    )
+
+
+def project_hits(results: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Chosen fields and the relevance of nested hits."""
+    return results.select("query", F.explode("hits").alias("hit")).select(
+        "query", *[F.col(f"hit.fields.{f}").alias(f) for f in fields], F.col("hit.relevance").alias("relevance")
+    )

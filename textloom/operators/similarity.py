@@ -12,27 +12,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.vectors import norm
 from textloom.scale import running, top_per_group
 
 BLOCK_ROWS = 4096
 
 
-def unit(vector: Column) -> Column:
-    """Vector over its length, as doubles; zero vectors stay zero."""
-    size = norm(vector)
-    return F.transform(vector, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
-
-
 def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(df.count() / rows))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _matrix(column) -> np.ndarray:
+    """Vectors over their length as rows; zero vectors stay zero."""
+    rows = np.stack(list(column)).astype(np.float64)
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size > 0, size, 1.0)
 
 
 def block_pairs(
@@ -60,7 +56,7 @@ def block_pairs(
 
 
 def _units(df: DataFrame, row_id: str, vector: str) -> DataFrame:
-    return df.select(F.col(row_id).cast("long").alias("id"), unit(F.col(vector)).alias("vec"))
+    return df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("vec"))
 
 
 def cosine_rows(df: DataFrame, row_id: str, vector: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -91,7 +87,7 @@ def cosine_matrix(df: DataFrame, row_id: str, vector: str, block_rows: int = BLO
 
     Meant for sets whose square is a result one wants to keep.
     """
-    units = df.select(F.col(row_id).alias("id"), unit(F.col(vector)).alias("vec"))
+    units = df.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
     kind = dict(units.dtypes)["id"]
     blocks = block_count(units, block_rows)
 
@@ -108,7 +104,7 @@ def cosine_matrix(df: DataFrame, row_id: str, vector: str, block_rows: int = BLO
     return block_pairs(units, units, product, f"left {kind}, right {kind}, cosine double", blocks, blocks)
 
 
-def _between(units: DataFrame, low: float, high: float, bins: int, blocks: int) -> DataFrame:
+def _histogram(units: DataFrame, low: float, high: float, bins: int, blocks: int) -> DataFrame:
     """Counts of off-diagonal cosines per equal bin of [low, high); -1 and ``bins`` hold the rest."""
 
     def count(x, y):
@@ -150,7 +146,7 @@ def coherence(df: DataFrame, row_id: str, vector: str, probs=(0.25, 0.5, 0.75, 0
         rank = p * (n - 1)
         low, high, below = -1.0 - 1e-9, 1.0 + 1e-9, 0
         for _ in range(zooms):
-            counts = {r["bin"]: r["n"] for r in _between(units, low, high, bins, blocks).collect()}
+            counts = {r["bin"]: r["n"] for r in _histogram(units, low, high, bins, blocks).collect()}
             below = counts.get(-1, 0)
             for b in range(bins):
                 if below + counts.get(b, 0) > rank:
@@ -180,8 +176,8 @@ def top_k(
     Either way a task keeps only its k best per query. Scores are rounded to nine places
     before ranking and ties go to the smaller id.
     """
-    asks = queries.select(F.col(query_id).alias("id"), unit(F.col(query_vector)).alias("vec"))
-    docs = corpus.select(F.col(row_id).cast("long").alias("id"), unit(F.col(vector)).alias("vec"))
+    asks = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("vec"))
+    docs = corpus.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("vec"))
     kind = dict(asks.dtypes)["id"]
     schema = f"query {kind}, row long, score double"
 
@@ -204,7 +200,7 @@ def top_k(
     if few is not None:
         ask_ids = np.array([r["id"] for r in few])
         shared = corpus.sparkSession.sparkContext.broadcast(
-            (ask_ids, np.array([r["vec"] for r in few], dtype=np.float64).reshape(len(few), -1))
+            (ask_ids, _matrix([r["vec"] for r in few]))
         )
 
         def scan(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions import text as tx, vectors
+from textloom.functions import dates, text as tx, vectors
 from textloom.operators import books, corpus, frames, runs
 from textloom.operators.similarity import cosine_rows
 from textloom.plans.registry import plan
@@ -513,30 +513,28 @@ def nearest_to_centroid(t):
     """,
 )
 def sentence_window(t):
-    rows = t.documents.select("doc_id", F.inline(tx.sentence_windows(F.col("text"), 3)))
+    found = t.documents.select("doc_id", tx.sentences(F.col("text")).alias("found"))
+    rows = found.select("doc_id", F.inline(tx.sentence_windows(F.col("found"), 3)))
     return rows.select("doc_id", "no", F.md5("sentence").alias("sentence"), F.md5("window").alias("around"))
 
 
 @plan(
     "W06_cue_numbers",
     """
-    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cue,
+    WITH c AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cue,
            strftime(ts, '%H:%M:%S,%g') || ' --> ' || strftime(ts + INTERVAL 1 SECOND, '%H:%M:%S,%g') AS span
-    FROM events
+    FROM events)
+    SELECT user_id, cue, span, CAST(cue AS VARCHAR) || chr(10) || span || chr(10) || event_type || chr(10) AS block FROM c
     """,
 )
 def cue_numbers(t):
-    from textloom.functions.dates import seconds_of
-
-    start = seconds_of(F.col("ts")) % 86400
-    milli = F.floor(start * 1000) / 1000 + F.lit(0.0001)
+    start = F.pmod(dates.millis_of(F.col("ts")), F.lit(86_400_000)) / 1000 + F.lit(0.0001)
     rows = t.events.select(
-        "user_id", "event_id", "ts", milli.alias("start"), (milli + 1).alias("end"), F.col("event_type").alias("text")
+        "user_id", "event_id", "ts", start.alias("start"), (start + 1).alias("end"), F.col("event_type").alias("text")
+    )
+    return books.cues(rows, "user_id", "start", "end", "text", ["ts", "event_id"]).select(
+        "user_id", "cue", "span", "block"
     )
-    numbered = running(rows, ["user_id"], ["ts", "event_id"], position="cue")
-    from textloom.functions.dates import srt_range
-
-    return numbered.select("user_id", "event_id", "cue", srt_range(F.col("start"), F.col("end")).alias("span"))
 
 
 @plan(
