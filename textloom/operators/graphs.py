@@ -1,7 +1,600 @@
+"""Link graphs as edge tables (src, dst) of any id type.
+
+Iterative operators are loops of lazy plans; every round ends in a table in the shared
+folder, so lineage stays short and a lost executor costs one round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from textloom.scale import salted_join
-def resolve_titles(wanted, titles):
+
+from textloom.functions import links, text as tx, vectors
+from textloom.operators.similarity import block_count
+from textloom.scale import exact_quantiles, fit_broadcast, running, salted_join, settle
+
+DAMPING = 0.85
+
+
+# -- building ----------------------------------------------------------------------------
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Simple undirected edges, each once with src < dst."""
+    return (
+        edges.where(F.col("src") != F.col("dst"))
+        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        .distinct()
+    )
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def vertices(edges: DataFrame) -> DataFrame:
+    return both_ways(edges).select(F.col("src").alias("id")).distinct()
+
+
+def resolve_titles(wanted: DataFrame, titles: DataFrame) -> DataFrame:
     """Links whose lower-case form is a known title and that differ from their own title."""
     known = titles.select(F.lower("title").alias("_key")).distinct()
     found = salted_join(wanted.withColumn("_key", F.lower("link")), known, ["_key"])
     return found.where(F.col("link") != F.col("title")).drop("_key")
+
+
+def wiki_graph(articles: DataFrame, title: str = "title", text: str = "contents") -> DataFrame:
+    """Undirected edges between articles whose titles are linked; lone articles have none."""
+    wanted = articles.select(F.col(title).alias("title"), F.explode(links.wiki_links(F.col(text))).alias("link"))
+    found = resolve_titles(wanted, articles.select(F.col(title).alias("title")))
+    names = articles.groupBy(F.lower(title).alias("_key")).agg(F.min(title).alias("dst"))
+    named = salted_join(found.withColumn("_key", F.lower("link")), names, ["_key"])
+    return undirected(named.select(F.col("title").alias("src"), "dst"))
+
+
+def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """Edges with both ends in ``keep`` (id)."""
+    ends = keep.select("id").distinct()
+    inside = salted_join(edges, ends.withColumnRenamed("id", "src"), ["src"], "left_semi")
+    return salted_join(inside, ends.withColumnRenamed("id", "dst"), ["dst"], "left_semi")
+
+
+def neighbours(edges: DataFrame, name) -> DataFrame:
+    """Neighbours of one vertex of an undirected graph."""
+    return (
+        edges.where(F.col("src") == name)
+        .select(F.col("dst").alias("neighbour"))
+        .unionByName(edges.where(F.col("dst") == name).select(F.col("src").alias("neighbour")))
+        .distinct()
+    )
+
+
+# -- centrality --------------------------------------------------------------------------
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, degree, degree_centrality) of an undirected graph."""
+    counted = both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    counted = settle(counted)
+    return counted.withColumn("degree_centrality", F.col("degree") / F.lit(max(counted.count() - 1, 1)))
+
+
+def pagerank(
+    edges: DataFrame,
+    ids: DataFrame | None = None,
+    damping: float = DAMPING,
+    tolerance: float = 1e-6,
+    max_rounds: int = 100,
+) -> DataFrame:
+    """(id, pagerank) of a directed graph; pass ``both_ways`` of an undirected one.
+
+    Rank of vertices without links out is spread over all. Stops when the ranks move by
+    less than ``tolerance`` per vertex. A hub's edges are salted in every join.
+    """
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+    adjacency = settle(salted_join(edges.select("src", "dst"), out, ["src"]))
+    ids = settle((vertices(edges) if ids is None else ids.select("id")).distinct())
+    n = ids.count()
+    ranks = ids.withColumn("pagerank", F.lit(1.0 / n))
+    linked = adjacency.select(F.col("src").alias("id")).distinct()
+    dead = settle(ids.join(linked, "id", "left_anti"))
+    has_dead = not dead.isEmpty()
+    for _ in range(max_rounds):
+        lost = (ranks.join(dead, "id").agg(F.sum("pagerank")).first()[0] or 0.0) if has_dead else 0.0
+        sent = salted_join(adjacency, ranks.withColumnRenamed("id", "src"), ["src"])
+        got = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") / F.col("_out")).alias("_got"))
+        fresh = (1 - damping) / n + damping * (F.coalesce("_got", F.lit(0.0)) + F.lit(lost / n))
+        step = settle(
+            ranks.withColumnRenamed("pagerank", "_old").join(got, "id", "left").select("id", fresh.alias("pagerank"), "_old")
+        )
+        ranks = step.select("id", "pagerank")
+        if tolerance and step.agg(F.sum(F.abs(F.col("pagerank") - F.col("_old")))).first()[0] < n * tolerance:
+            break
+    return ranks
+
+
+def centrality(edges: DataFrame, **options) -> DataFrame:
+    """Degree, degree centrality, PageRank and the harmonic mean of the last two."""
+    ranks = pagerank(both_ways(edges), **options)
+    return degrees(edges).join(ranks, "id").withColumn(
+        "agg_centrality", tx.harmonic_mean(F.col("degree_centrality"), F.col("pagerank"))
+    )
+
+
+# -- components --------------------------------------------------------------------------
+
+
+def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Weak components: (id, component), the component being its smallest id.
+
+    Alternates the large-star and small-star steps of published MapReduce work until the
+    edge set is a forest of stars. Each step is a partial minimum per vertex joined back.
+    """
+    ids = vertices(edges) if ids is None else ids.select("id").distinct()
+    current = settle(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    mark = None
+    while True:
+        wide = both_ways(current)
+        low = wide.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("_m"))
+        large = salted_join(wide, low, ["src"]).where(F.col("dst") > F.col("src")).select(
+            F.col("dst").alias("src"), F.col("_m").alias("dst")
+        ).distinct()
+        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
+        down = settle(down)
+        low = down.groupBy("src").agg(F.min("dst").alias("_m"))
+        moved = salted_join(down, low, ["src"]).where(F.col("dst") != F.col("_m")).select(
+            F.col("dst").alias("src"), F.col("_m").alias("dst")
+        )
+        small = moved.unionByName(low.select("src", F.col("_m").alias("dst"))).where("src <> dst").distinct()
+        current = settle(small)
+        state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first()
+        if tuple(state) == mark:
+            break
+        mark = tuple(state)
+    roots = current.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
+    return ids.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """Strong components: (id, component), the component being its largest id.
+
+    Each round removes vertices without links in or out, colours the rest with the largest
+    id that reaches them, and takes what reaches back to the colour's own vertex.
+    """
+    left = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    alive = settle(vertices(edges))
+    done = None
+
+    def finish(part):
+        nonlocal done
+        done = part if done is None else done.unionByName(part)
+
+    while not alive.isEmpty():
+        while True:
+            inner = salted_join(
+                salted_join(alive, left.select(F.col("src").alias("id")).distinct(), ["id"], "left_semi"),
+                left.select(F.col("dst").alias("id")).distinct(), ["id"], "left_semi",
+            )
+            inner = settle(inner)
+            single = settle(alive.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+            if single.isEmpty():
+                break
+            finish(single)
+            alive = inner
+            left = settle(induced(left, alive))
+        if alive.isEmpty():
+            break
+        colour = alive.withColumn("colour", F.col("id"))
+        while True:
+            sent = salted_join(left, colour.withColumnRenamed("id", "src"), ["src"]).groupBy(
+                F.col("dst").alias("id")
+            ).agg(F.max("colour").alias("_c"))
+            step = settle(
+                colour.join(sent, "id", "left").select("id", F.greatest("colour", "_c").alias("colour"), F.col("colour").alias("_old"))
+            )
+            colour = step.select("id", "colour")
+            if step.where("colour <> _old").isEmpty():
+                break
+        same = salted_join(left, colour.select(F.col("id").alias("src"), F.col("colour").alias("_a")), ["src"])
+        same = salted_join(same, colour.select(F.col("id").alias("dst"), F.col("colour").alias("_b")), ["dst"])
+        back = settle(same.where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = colour.where("id = colour").select("id", F.col("id").alias("component"))
+        reached = settle(reached)
+        front = reached
+        while True:
+            found = salted_join(back, front.withColumnRenamed("id", "src"), ["src"]).select(
+                F.col("dst").alias("id"), "component"
+            ).distinct()
+            front = settle(found.join(reached, "id", "left_anti"))
+            if front.isEmpty():
+                break
+            reached = settle(reached.unionByName(front))
+        finish(reached)
+        alive = settle(alive.join(reached, "id", "left_anti"))
+        left = settle(induced(left, alive))
+    return done
+
+
+def component_sizes(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
+def largest_component(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges of the component with most vertices; ties go to the smaller name."""
+    best = component_sizes(parts).orderBy(F.desc("size"), "component").limit(1)
+    return induced(edges, parts.join(F.broadcast(best.select("component")), "component", "left_semi"))
+
+
+def without_small(edges: DataFrame, parts: DataFrame, more_than: int) -> DataFrame:
+    """Edges of the components with more than ``more_than`` vertices."""
+    kept = component_sizes(parts).where(F.col("size") > more_than)
+    return induced(edges, salted_join(parts, kept.select("component"), ["component"], "left_semi"))
+
+
+# -- distances ---------------------------------------------------------------------------
+
+
+def distances(edges: DataFrame, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
+    """Hop distances (src, dst, d) from the sources, all vertices by default.
+
+    In an undirected graph the neighbours of one level lie in that level or next to it, so
+    each round is checked against two levels only.
+    """
+    adjacency = settle(both_ways(edges).distinct())
+    sources = vertices(edges) if sources is None else sources.select("id")
+    last = settle(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("d")))
+    whole, before, hop = last, None, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        near = adjacency.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
+        found = salted_join(last.select("src", "dst"), near, ["dst"]).select("src", F.col("_next").alias("dst")).distinct()
+        seen = last.select("src", "dst") if before is None else last.select("src", "dst").unionByName(before.select("src", "dst"))
+        level = settle(found.join(seen, ["src", "dst"], "left_anti").withColumn("d", F.lit(hop)))
+        if level.isEmpty():
+            break
+        whole, before, last = whole.unionByName(level), last, level
+    return whole
+
+
+def eccentricities(dist: DataFrame) -> DataFrame:
+    return dist.groupBy(F.col("src").alias("id")).agg(F.max("d").alias("eccentricity"))
+
+
+def diameter(dist: DataFrame) -> DataFrame:
+    return dist.agg(F.max("d").alias("diameter"))
+
+
+def crawl(
+    page_links: DataFrame,
+    starts: DataFrame,
+    depth: int,
+    include_external: bool = False,
+    pattern: str | None = None,
+    include_images: bool = False,
+) -> DataFrame:
+    """Breadth-first frontier over an existing link table: (start, url, depth).
+
+    Only addresses on the start's host are followed unless external ones are allowed; an
+    include pattern and the image rule narrow the links.
+    """
+    allowed = page_links
+    if pattern is not None:
+        allowed = allowed.where(F.col("dst").rlike(pattern))
+    if not include_images:
+        allowed = allowed.where(~F.col("dst").rlike(links.IMAGE_PATTERN))
+    allowed = settle(allowed.select(F.col("src").alias("url"), F.col("dst").alias("_to")).distinct())
+    seen = settle(starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")))
+    front = seen
+    for hop in range(1, depth + 1):
+        found = salted_join(front.select("start", "url"), allowed, ["url"]).select("start", F.col("_to").alias("url"))
+        if not include_external:
+            found = found.where(links.url_host(F.col("url")) == links.url_host(F.col("start")))
+        front = settle(
+            found.distinct().join(seen, ["start", "url"], "left_anti").withColumn("depth", F.lit(hop))
+        )
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+# -- biconnected components --------------------------------------------------------------
+
+
+def _forest(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Breadth-first forest (id, parent, depth) rooted at the smallest id of each component."""
+    adjacency = settle(both_ways(edges))
+    level = settle(
+        parts.select(F.col("component").alias("id")).distinct().select("id", F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit(0).alias("depth"))
+    )
+    whole, before, depth = level, None, 0
+    while True:
+        depth += 1
+        found = salted_join(adjacency, level.select(F.col("id").alias("src")), ["src"]).groupBy(
+            F.col("dst").alias("id")
+        ).agg(F.min("src").alias("parent"))
+        seen = level.select("id") if before is None else level.select("id").unionByName(before.select("id"))
+        fresh = settle(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if fresh.isEmpty():
+            return whole
+        whole, before, level = whole.unionByName(fresh), level, fresh
+
+
+def biconnected(edges: DataFrame) -> DataFrame:
+    """Biconnected components of a simple undirected graph: (src, dst, block) per edge.
+
+    The published parallel method over a breadth-first forest: preorder numbers and subtree
+    sizes, the range of numbers reached from every subtree, then components of a graph
+    whose vertices are the tree edges. In a breadth-first forest no other edge joins a
+    vertex with its ancestor, which leaves two joining rules. Rounds follow the depth of the
+    forest; no vertex set is gathered in one task.
+    """
+    edges = settle(undirected(edges))
+    forest = settle(_forest(edges, components(edges)))
+    depth = forest.agg(F.max("depth")).first()[0]
+
+    sized = forest.where(F.col("depth") == depth).select("id", "parent", F.lit(1).cast("long").alias("size"))
+    sizes = sized
+    for level in range(depth - 1, -1, -1):
+        below = sized.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("_b"))
+        sized = settle(
+            forest.where(F.col("depth") == level).join(below, "id", "left").select(
+                "id", "parent", (F.coalesce("_b", F.lit(0)) + 1).alias("size")
+            )
+        )
+        sizes = sizes.unionByName(sized)
+    # preorder number: the parent's, plus one, plus the subtrees of earlier siblings
+    order = running(settle(sizes), ["parent"], ["id"], sums={"upto": "size"})
+    order = order.select("id", "parent", "size", (F.col("upto") - F.col("size")).alias("gap"))
+    order = settle(order.join(forest.select("id", "depth"), "id"))
+    placed = settle(order.where("depth = 0").select("id", F.col("gap").alias("pre"), "size", "parent", "depth"))
+    numbers = placed
+    for level in range(1, depth + 1):
+        up = placed.select(F.col("id").alias("parent"), F.col("pre").alias("_up"))
+        placed = settle(
+            salted_join(order.where(F.col("depth") == level), up, ["parent"]).select(
+                "id", (F.col("_up") + 1 + F.col("gap")).alias("pre"), "size", "parent", "depth"
+            )
+        )
+        numbers = numbers.unionByName(placed)
+    numbers = settle(numbers)
+
+    pre = numbers.select(F.col("id").alias("dst"), F.col("pre").alias("_p"))
+    around = salted_join(both_ways(edges), pre, ["dst"]).groupBy(F.col("src").alias("id")).agg(
+        F.min("_p").alias("low"), F.max("_p").alias("high")
+    )
+    own = settle(numbers.join(around, "id", "left").select(
+        "id", "parent", "pre", "size", "depth",
+        F.least("pre", "low").alias("low"), F.greatest("pre", "high").alias("high"),
+    ))
+    reach = own.where(F.col("depth") == depth)
+    ranges = reach
+    for level in range(depth - 1, -1, -1):
+        below = reach.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("_l"), F.max("high").alias("_h"))
+        reach = settle(
+            own.where(F.col("depth") == level).join(below, "id", "left").select(
+                "id", "parent", "pre", "size", "depth",
+                F.least("low", "_l").alias("low"), F.greatest("high", "_h").alias("high"),
+            )
+        )
+        ranges = ranges.unionByName(reach)
+    ranges = settle(ranges)
+
+    tree = numbers.where(F.col("parent").isNotNull()).select(
+        F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"), F.col("id").alias("child")
+    )
+    cross = edges.join(tree, ["src", "dst"], "left_anti")
+    up = numbers.where(F.col("parent").isNotNull()).select(
+        F.col("id").alias("parent"), F.col("pre").alias("_pre"), F.col("size").alias("_size")
+    )
+    climbing = salted_join(ranges.where(F.col("parent").isNotNull()), up, ["parent"]).where(
+        (F.col("low") < F.col("_pre")) | (F.col("high") >= F.col("_pre") + F.col("_size"))
+    ).select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    blocks = settle(components(settle(cross.unionByName(climbing)), tree.select(F.col("child").alias("id"))))
+    named = blocks.select(F.col("id").alias("child"), F.col("component").alias("block"))
+    on_tree = salted_join(tree, named, ["child"]).select("src", "dst", "block")
+    off_tree = salted_join(cross.withColumn("child", F.col("src")), named, ["child"]).select("src", "dst", "block")
+    return on_tree.unionByName(off_tree)
+
+
+def block_sizes(blocks: DataFrame) -> DataFrame:
+    """Number of vertices and edges per biconnected component."""
+    ends = blocks.select("block", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ends.groupBy("block").agg(F.count(F.lit(1)).alias("size")).join(
+        blocks.groupBy("block").agg(F.count(F.lit(1)).alias("edges")), "block"
+    )
+
+
+def largest_block(blocks: DataFrame) -> DataFrame:
+    best = block_sizes(blocks).orderBy(F.desc("size"), "block").limit(1).select("block")
+    return blocks.join(F.broadcast(best), "block", "left_semi").select("src", "dst")
+
+
+# -- hyperbolicity -----------------------------------------------------------------------
+
+
+def hyperbolicity(dist: DataFrame, block_rows: int = 512) -> DataFrame:
+    """Four-point delta of a complete distance table: half the largest gap between the two
+    largest pair sums over all quadruples.
+
+    Pairs are taken from the far ones down. Two pairs (a, b) and (c, d) give
+    d(a,b) + d(c,d) - max(d(a,c) + d(b,d), d(a,d) + d(b,c)), which is at most the smaller of
+    their distances, so the search ends once a level cannot beat the best. Pairs meet in
+    blocks as matrices; a task returns one number.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from textloom.operators.similarity import block_pairs
+
+    names = running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n")
+    names = settle(names.select("id", (F.col("n") - 1).cast("int").alias("n")))
+    numbered = salted_join(
+        salted_join(dist, names.select(F.col("id").alias("src"), F.col("n").alias("a")), ["src"]),
+        names.select(F.col("id").alias("dst"), F.col("n").alias("b")), ["dst"],
+    ).select("a", "b", F.col("d").cast("double").alias("d"))
+    numbered = settle(numbered)
+    rows = numbered.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda p: p["d"]).alias("row"))
+    rows = settle(rows)
+    pairs = numbered.where("a < b")
+    full = salted_join(
+        salted_join(pairs, rows.select("a", F.col("row").alias("ra")), ["a"]),
+        rows.select(F.col("a").alias("b"), F.col("row").alias("rb")), ["b"],
+    ).select(F.xxhash64("a", "b").alias("id"), "a", "b", "d", "ra", "rb")
+    full = settle(full)
+    slim = full.select("id", "a", "b", "d")
+
+    def best(x, y):
+        ra, rb = np.stack(x["ra"].to_numpy()), np.stack(x["rb"].to_numpy())
+        c, d = y["a"].to_numpy(), y["b"].to_numpy()
+        side = np.maximum(ra[:, c] + rb[:, d], ra[:, d] + rb[:, c])
+        gap = x["d"].to_numpy()[:, None] + y["d"].to_numpy()[None, :] - side
+        a, b = x["a"].to_numpy()[:, None], x["b"].to_numpy()[:, None]
+        shared = (a == c) | (a == d) | (b == c) | (b == d)
+        gap[shared] = 0.0
+        return pd.DataFrame({"gap": [float(gap.max())]})
+
+    found, spent = 0.0, 0
+    levels = [r["d"] for r in slim.select("d").distinct().orderBy(F.desc("d")).collect()]
+    for level in levels:
+        if level <= found:
+            break
+        near, far = full.where(F.col("d") == level), slim.where(F.col("d") >= level)
+        tops = block_pairs(near, far, best, "gap double", block_count(near, block_rows), block_count(far, 16 * block_rows))
+        found = max(found, tops.agg(F.max("gap")).first()[0] or 0.0)
+        spent += 1
+    return dist.agg(
+        F.lit(found / 2).alias("delta"), F.lit(float(spent)).alias("levels"), F.max("d").alias("diameter"),
+        F.countDistinct("src").alias("n"),
+    )
+
+
+def sampled_hyperbolicity(dist: DataFrame, samples: int, seed: int = 42) -> DataFrame:
+    """Largest gap over ``samples`` random quadruples, as a lower bound with its sample size."""
+    names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
+    n = names.count()
+    spark = dist.sparkSession
+    pick = lambda i: F.pmod(F.xxhash64(F.col("q"), F.lit(seed), F.lit(i)), F.lit(n)) + 1
+    rows = spark.range(samples).withColumnRenamed("id", "q").select("q", *[pick(i).alias(f"n{i}") for i in range(4)])
+    rows = rows.where("n0 <> n1 and n0 <> n2 and n0 <> n3 and n1 <> n2 and n1 <> n3 and n2 <> n3")
+    for i in range(4):
+        rows = rows.join(fit_broadcast(names.select(F.col("id").alias(f"v{i}"), F.col("n").alias(f"n{i}"))), f"n{i}")
+    ends = {(i, j): f"d{i}{j}" for i in range(4) for j in range(i + 1, 4)}
+    for (i, j), name in ends.items():
+        leg = dist.select(F.col("src").alias(f"v{i}"), F.col("dst").alias(f"v{j}"), F.col("d").alias(name))
+        rows = rows.join(leg, [f"v{i}", f"v{j}"])
+    sums = F.array_sort(F.array(F.col("d01") + F.col("d23"), F.col("d02") + F.col("d13"), F.col("d03") + F.col("d12")))
+    return rows.agg(
+        (F.max(sums[2] - sums[1]) / 2).alias("delta"), F.count(F.lit(1)).alias("quadruples")
+    )
+
+
+def normalised_delta(delta: DataFrame) -> DataFrame:
+    """2 delta / diameter and delta / log2 n."""
+    return delta.select(
+        "delta",
+        (2 * F.col("delta") / F.col("diameter")).alias("by_diameter"),
+        (F.col("delta") / F.log2(F.col("n").cast("double"))).alias("by_size"),
+    )
+
+
+# -- sampling and embeddings -------------------------------------------------------------
+
+
+def sample_neighbours(edges: DataFrame, n_positive: int, n_negative: int, seed: int = 42) -> DataFrame:
+    """Per vertex: neighbours drawn with replacement, and random vertices that are neither
+    neighbours nor the vertex itself. Draws are hashes, so a re-run task draws the same."""
+    wide = settle(both_ways(edges).distinct())
+    placed = settle(running(wide, ["src"], ["dst"], position="k"))
+    degree = placed.groupBy("src").agg(F.max("k").alias("_deg"))
+    ids = settle(running(degree.select("src"), [], ["src"], position="k"))
+    total = ids.count()
+
+    def draw(base, many, size, kind):
+        return base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(many)))).withColumn(
+            "k", F.pmod(F.xxhash64(F.col("src"), F.col("draw"), F.lit(seed), F.lit(kind)), size) + 1
+        )
+
+    positive = draw(degree, n_positive, F.col("_deg"), "positive").join(placed, ["src", "k"]).select(
+        F.col("src").alias("anchor"), F.col("dst").alias("other"), "draw", F.lit(1).alias("positive")
+    )
+    drawn = draw(ids.select("src"), n_negative, F.lit(total), "negative")
+    negative = drawn.join(ids.withColumnRenamed("src", "dst"), "k").where("src <> dst").join(
+        wide, ["src", "dst"], "left_anti"
+    ).select(F.col("src").alias("anchor"), F.col("dst").alias("other"), "draw", F.lit(0).alias("positive"))
+    return positive.unionByName(negative)
+
+
+def non_neighbours(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, other) for the chosen vertices: all vertices that are neither neighbours nor itself."""
+    wide = both_ways(edges).select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct()
+    every = vertices(edges).withColumnRenamed("id", "other").withColumn("_one", F.lit(1))
+    pairs = every.join(fit_broadcast(chosen.select("id").withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return pairs.where("id <> other").join(wide, ["id", "other"], "left_anti")
+
+
+def _log_sum_exp(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    rows = df.select(key, value.alias("_v"))
+    top = rows.groupBy(key).agg(F.max("_v").alias("_m"))
+    return salted_join(rows, top, [key]).groupBy(key).agg((F.max("_m") + F.log(F.sum(F.exp(F.col("_v") - F.col("_m"))))).alias(name))
+
+
+def embedding_loss(samples: DataFrame, points: DataFrame) -> DataFrame:
+    """Per anchor: log-sum-exp of minus the distances to all samples, less that of the
+    positives. ``points`` has id and Lorentz coordinates."""
+    at = points.select(F.col("id").alias("anchor"), F.col("point").alias("_a"))
+    to = points.select(F.col("id").alias("other"), F.col("point").alias("_b"))
+    rows = salted_join(salted_join(samples, at, ["anchor"]), to, ["other"])
+    scored = settle(rows.select("anchor", "positive", (1e-6 - vectors.lorentz_distance(F.col("_a"), F.col("_b"))).alias("v")))
+    near = _log_sum_exp(scored.where("positive = 1"), "anchor", F.col("v"), "near")
+    whole = _log_sum_exp(scored, "anchor", F.col("v"), "whole")
+    return whole.join(near, "anchor").select("anchor", (F.col("whole") - F.col("near")).alias("loss"))
+
+
+def heat_kernel(dist: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """Affinity exp(-gamma d / std) with the population deviation of the full table."""
+    spread = dist.agg(F.stddev_pop("d")).first()[0]
+    return dist.select("src", "dst", F.exp(-gamma * F.col("d") / F.lit(spread)).alias("affinity"))
+
+
+def spectral_clusters(dist: DataFrame, k: int = 10, gamma: float = 1.0, rounds: int = 20) -> DataFrame:
+    """(id, cluster) by power iteration on the heat-kernel affinities."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
+    pairs = heat_kernel(dist, gamma).where("src < dst")
+    pairs = salted_join(pairs, names.select(F.col("id").alias("src"), F.col("n").alias("a")), ["src"])
+    pairs = salted_join(pairs, names.select(F.col("id").alias("dst"), F.col("n").alias("b")), ["dst"])
+    model = PowerIterationClustering(k=k, maxIter=rounds, srcCol="a", dstCol="b", weightCol="affinity", initMode="degree")
+    found = model.assignClusters(settle(pairs.select("a", "b", "affinity")))
+    return names.join(found.select(F.col("id").alias("n"), "cluster"), "n").select("id", "cluster")
+
+
+def distance_pca(dist: DataFrame, k: int = 3) -> DataFrame:
+    """Principal components of minus cosh(D / max D): (id, coordinates).
+
+    One vector per vertex with an entry per vertex, as the distance matrix itself; the
+    library's limit of 65,535 features applies.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    top = dist.agg(F.max("d")).first()[0]
+    names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
+    value = F.struct("dst", (-F.cosh(F.col("d") / F.lit(float(top)))).alias("h"))
+    rows = dist.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(value)), lambda p: p["h"]).alias("row"))
+    matrix = settle(rows.select("src", "row")).select("src", array_to_vector("row").alias("row"))
+    model = PCA(k=k, inputCol="row", outputCol="out").fit(matrix)
+    parts = model.pc.toArray()  # vertices by k, in name order
+    table = names.sparkSession.createDataFrame(
+        [(i + 1, [float(x) for x in r]) for i, r in enumerate(parts)], "n long, point array<double>"
+    )
+    return names.join(table, "n").select("id", "point")
+
+
+def near_set(dist: DataFrame, quantile: float | None = 0.05, below: float | None = None) -> DataFrame:
+    """Targets nearer than a quantile of the vertex's distances, or than a fixed bound."""
+    if below is not None:
+        return dist.where(F.col("d") < below)
+    edge = exact_quantiles(dist, ["src"], "d", "dst", [quantile]).select("src", "quantile")
+    return salted_join(dist, edge, ["src"]).where(F.col("d") < F.col("quantile")).select("src", "dst", "d")

@@ -172,7 +172,16 @@ def accumulated(t):
     WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM documents),
     q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), {WORDS})) || 'e' AS asked FROM part
           UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORDS})) FROM benchmark)
-    SELECT asked, term FROM q JOIN w ON abs(length(asked) - length(term)) <= 1 AND levenshtein(asked, term) <= 1
+    SELECT asked, term FROM q JOIN w ON asked = term
+    UNION
+    SELECT asked, term FROM q JOIN w ON length(asked) = length(term)
+      AND len(list_filter(range(1, length(asked) + 1), lambda i: substring(asked, i, 1) <> substring(term, i, 1))) = 1
+    UNION
+    SELECT asked, term FROM q JOIN w ON length(asked) = length(term) + 1
+      AND len(list_filter(range(1, length(asked) + 1), lambda i: substring(asked, 1, i - 1) || substring(asked, i + 1) = term)) > 0
+    UNION
+    SELECT asked, term FROM q JOIN w ON length(asked) + 1 = length(term)
+      AND len(list_filter(range(1, length(term) + 1), lambda i: substring(term, 1, i - 1) || substring(term, i + 1) = asked)) > 0
     """,
 )
 def fuzzy_terms(t):

@@ -45,7 +45,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def row_count_at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows, by a full distributed count."""
+    return df.count() <= rows
 
 
 def fit_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -194,10 +195,9 @@ def salted_join(
         .where(F.col("count") > rows_per_task)
         .select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
     )
-    heavy = settle(heavy)
     if heavy.isEmpty():
         return big.join(small, on, how)
-    heavy = fit_broadcast(heavy)
+    heavy = fit_broadcast(settle(heavy))
     rest = [f.name for f in big.schema.fields if f.dataType.typeName() != "map"]
     left = big.join(heavy, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_salts", F.lit(1))).cast("int")
