@@ -25,9 +25,9 @@ def millis_of(moment: Column) -> Column:
 
 
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based bin of equal width over [low, high]; the upper edge is in the last bin."""
-    raw = F.floor((value - low) / (high - low) * bins)
-    return F.when(high <= low, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
+    """0-based bin of equal width over [low, high]; bins are closed on the right."""
+    raw = F.ceil((value - low) / (high - low) * bins) - 1
+    return F.when(high <= low, F.lit(0)).otherwise(F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0))).cast("int")
 
 
 def file_name_time(name: Column) -> Column:

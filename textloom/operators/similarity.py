@@ -104,57 +104,77 @@ def cosine_matrix(df: DataFrame, row_id: str, vector: str, block_rows: int = BLO
     return block_pairs(units, units, product, f"left {kind}, right {kind}, cosine double", blocks, blocks)
 
 
-def _histogram(units: DataFrame, low: float, high: float, bins: int, blocks: int) -> DataFrame:
-    """Counts of off-diagonal cosines per equal bin of [low, high); -1 and ``bins`` hold the rest."""
+def _zoom(units: DataFrame, ranges: list[tuple[float, float]], bins: int, blocks: int) -> dict:
+    """Counts of matrix entries per range and equal bin of it; bin -1 holds what lies below."""
 
     def count(x, y):
-        product = _matrix(x["vec"]) @ _matrix(y["vec"]).T
-        keep = x["id"].to_numpy()[:, None] != y["id"].to_numpy()[None, :]
-        at = np.floor((np.round(product[keep], 9) - low) / (high - low) * bins)
-        at = np.clip(at, -1, bins).astype(np.int64)
-        found, n = np.unique(at, return_counts=True)
-        return pd.DataFrame({"bin": found, "n": n})
+        product = _entries(x, y)
+        parts = []
+        for i, (low, high) in enumerate(ranges):
+            at = np.floor((product - low) / (high - low) * bins)
+            found, n = np.unique(np.clip(at, -1, bins).astype(np.int64), return_counts=True)
+            parts.append(pd.DataFrame({"range": i, "bin": found, "n": n}))
+        return pd.concat(parts)
+
+    counted = block_pairs(units, units, count, "range long, bin long, n long", blocks, blocks)
+    rows = counted.groupBy("range", "bin").agg(F.sum("n").alias("n")).collect()  # ranges x bins rows
+    return {(r["range"], r["bin"]): r["n"] for r in rows}
+
 
-    return block_pairs(units, units, count, "bin long, n long", blocks, blocks).groupBy("bin").agg(F.sum("n").alias("n"))
+def _entries(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """Cosines of a block pair with a zero for each vector and itself."""
+    product = _matrix(x["vec"]) @ _matrix(y["vec"]).T
+    product[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = 0.0
+    return np.round(product, 12).reshape(-1)
 
 
-def coherence(df: DataFrame, row_id: str, vector: str, probs=(0.25, 0.5, 0.75, 0.95), block_rows: int = BLOCK_ROWS,
-              zooms: int = 3, bins: int = 1000) -> DataFrame:
-    """Count, mean, deviation, extremes and quantiles of the off-diagonal cosines.
+def coherence(
+    df: DataFrame,
+    row_id: str,
+    vector: str,
+    probs=(0.25, 0.5, 0.75, 0.95),
+    block_rows: int = BLOCK_ROWS,
+    zooms: int = 4,
+    bins: int = 1000,
+) -> DataFrame:
+    """Summary of the cosine matrix with a zero diagonal: (statistic, value) rows.
 
-    Each task returns a histogram of its block pair. A quantile is found by zooming into
-    the bin that holds it, so it is exact up to ``2 / bins ** zooms``.
+    A task returns moments or a histogram of its block pair, never the entries. The entries
+    next to each quantile are found by zooming into the bin that holds them, to within
+    ``2 / bins ** zooms``, and interpolated.
     """
     units = _units(df, row_id, vector)
     blocks = block_count(units, block_rows)
 
     def moments(x, y):
-        product = _matrix(x["vec"]) @ _matrix(y["vec"]).T
-        keep = x["id"].to_numpy()[:, None] != y["id"].to_numpy()[None, :]
-        values = product[keep]
-        if not len(values):
-            return pd.DataFrame()
-        return pd.DataFrame(
-            {"n": [len(values)], "s": [values.sum()], "q": [(values * values).sum()], "lo": [values.min()], "hi": [values.max()]}
-        )
+        v = _entries(x, y)
+        return pd.DataFrame({"n": [len(v)], "s": [v.sum()], "q": [(v * v).sum()], "lo": [v.min()], "hi": [v.max()]})
 
     sums = block_pairs(units, units, moments, "n long, s double, q double, lo double, hi double", blocks, blocks)
-    top = sums.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.min("lo"), F.max("hi")).first()
-    n, s, q, lo, hi = top
-    rows = [("count", float(n)), ("mean", s / n), ("std", math.sqrt(max(0.0, (q - s * s / n) / (n - 1)))), ("min", lo), ("max", hi)]
-    for p in probs:
-        rank = p * (n - 1)
-        low, high, below = -1.0 - 1e-9, 1.0 + 1e-9, 0
-        for _ in range(zooms):
-            counts = {r["bin"]: r["n"] for r in _histogram(units, low, high, bins, blocks).collect()}
-            below = counts.get(-1, 0)
+    n, s, q, lo, hi = sums.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.min("lo"), F.max("hi")).first()
+    rows = [
+        ("count", float(n)), ("mean", s / n), ("std", math.sqrt(max(0.0, (q - s * s / n) / max(n - 1, 1)))),
+        ("min", lo), ("max", hi),
+    ]
+    ranks = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
+    spans = {r: (-1.001, 1.001) for r in ranks}
+    for _ in range(zooms):
+        ranges = sorted(set(spans.values()))
+        counts = _zoom(units, ranges, bins, blocks)
+        for rank, (low, high) in spans.items():
+            i = ranges.index((low, high))
+            width, below = (high - low) / bins, counts.get((i, -1), 0)
             for b in range(bins):
-                if below + counts.get(b, 0) > rank:
-                    width = (high - low) / bins
-                    low, high = low + b * width, low + (b + 1) * width
+                inside = counts.get((i, b), 0)
+                if below + inside > rank:
+                    spans[rank] = (low + b * width, low + (b + 1) * width)
                     break
-                below += counts.get(b, 0)
-        rows.append((f"q{p:.2f}", (low + high) / 2))
+                below += inside
+    value = {r: (low + high) / 2 for r, (low, high) in spans.items()}
+    for p in probs:
+        at = p * (n - 1)
+        a, b = value[math.floor(at)], value[math.ceil(at)]
+        rows.append((f"q{p:.2f}", a + (b - a) * (at - math.floor(at))))
     return df.sparkSession.createDataFrame(rows, "statistic string, value double")
 
 
