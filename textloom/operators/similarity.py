@@ -46,13 +46,16 @@ def block_pairs(
             other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<bigint>"))
         )
 
+    def meet(x, y):
+        if not len(x) or not len(y):
+            return pd.DataFrame()
+        return fn(x, y.rename(columns=lambda c: c.removesuffix("__r")))
+
+    # the right side gets names of its own: both may come from one table
+    renamed = right.select(*[F.col(c).alias(c if c == "id" else f"{c}__r") for c in right.columns])
     a = dealt(left, left_blocks, right_blocks, "_i", "_j")
-    b = dealt(right, right_blocks, left_blocks, "_j", "_i")
-    return (
-        a.groupBy("_i", "_j")
-        .cogroup(b.groupBy("_i", "_j"))
-        .applyInPandas(lambda x, y: fn(x, y) if len(x) and len(y) else pd.DataFrame(), schema)
-    )
+    b = dealt(renamed, right_blocks, left_blocks, "_j", "_i").withColumnRenamed("id", "id__r")
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(meet, schema)
 
 
 def _units(df: DataFrame, row_id: str, vector: str) -> DataFrame:

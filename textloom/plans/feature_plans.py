@@ -182,14 +182,14 @@ def vowel_profile(texts):
 
 def vowels_sql(column, name):
     return ", ".join(
-        f"round((length({column}) - length(replace({column}, '{v}', ''))) / greatest(length({column}), 1), 6) AS {name}{v}" for v in "aeiou"
+        f"(length({column}) - length(replace({column}, '{v}', ''))) / greatest(length({column}), 1) AS {name}{v}" for v in "aeiou"
     )
 
 
 @plan("M13_text_encoder", f"SELECT doc_id, {vowels_sql('text', 'v_')} FROM documents")
 def text_encoder(t):
     rows = features.encode(t.documents.select("doc_id", "text"), "text", vowel_profile)
-    return rows.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(f"v_{v}") for i, v in enumerate("aeiou")])
+    return rows.select("doc_id", *[F.col("embedding")[i].alias(f"v_{v}") for i, v in enumerate("aeiou")])
 
 
 @plan("M14_projection")
@@ -302,8 +302,7 @@ def activations(t):
 @plan("M23_batched_scores", f"SELECT conv_id, turn, {vowels_sql('text', 'score_')} FROM conversations")
 def batched_scores(t):
     labels = [f"score_{v}" for v in "aeiou"]
-    rows = features.score(t.conversations, "text", labels, vowel_profile)
-    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in labels])
+    return features.score(t.conversations, "text", labels, vowel_profile).select("conv_id", "turn", *labels)
 
 
 # -- user functions ----------------------------------------------------------------------

@@ -54,14 +54,14 @@ def min_tokens(t):
 @plan(
     "P04_ascii_ratio",
     r"""
-    SELECT doc_id, round(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text), 6) AS ratio
+    SELECT doc_id, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text) AS ratio
     FROM documents
     WHERE length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text) > 0.9
     """,
 )
 def ascii_ratio(t):
     kept = corpus.ascii_filter(t.documents)
-    return kept.select("doc_id", F.round(tx.ascii_ratio(F.col("text")), 6).alias("ratio"))
+    return kept.select("doc_id", tx.ascii_ratio(F.col("text")).alias("ratio"))
 
 
 @plan(
