@@ -13,6 +13,7 @@ from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from textloom.functions import dates, text as tx
 from textloom.operators.frames import nearest_to_centroid
@@ -33,19 +34,23 @@ def term_counts(
     if min_df <= 1:
         return counted
     counted = settle(counted)
-    common = counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df)
-    return salted_join(counted, common.select("term"), ["term"], "left_semi")
+    found = settle(counted.groupBy("term").agg(F.count(F.lit(1)).alias("_n")))
+    common = found.where(F.col("_n") >= min_df).select("term")
+    return salted_join(counted, common, ["term"], "left_semi", counts=found)
 
 
 def tf_idf(counts: DataFrame, n_docs: int) -> DataFrame:
-    """Smoothed inverse document frequency and unit length per document: (doc, term, weight)."""
-    counts = settle(counts)
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    """Smoothed inverse document frequency and unit length per document: (doc, term, weight).
+
+    The window that gives a document its length holds the terms of one document.
+    """
+    frequency = settle(counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")))
     idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("_df"))) + 1
-    weighed = salted_join(counts, frequency, ["term"]).select("doc", "term", (F.col("tf") * idf).alias("w"))
-    weighed = settle(weighed)
-    size = weighed.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_size"))
-    return salted_join(weighed, size, ["doc"]).select("doc", "term", (F.col("w") / F.col("_size")).alias("weight"))
+    weighed = salted_join(counts, frequency, ["term"], counts=frequency.withColumnRenamed("_df", "_n")).select(
+        "doc", "term", (F.col("tf") * idf).alias("w")
+    )
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))
+    return weighed.select("doc", "term", (F.col("w") / size).alias("weight"))
 
 
 def token_table(df: DataFrame, text: str, stop_words=tx.STOP_WORDS) -> DataFrame:
@@ -61,8 +66,10 @@ def hashed_features(width: int = 1 << 18, tokens: str = "tokens", out: str = "fe
 
 
 def lda(df: DataFrame, tokens: str = "tokens", topics: int = 25, rounds: int = 10, min_df: int = 5,
-        binary: bool = True, vocabulary: int = 1 << 18, seed: int = 42):
-    """A fitted pipeline of term counts and LDA; the vocabulary keeps the most frequent terms."""
+        binary: bool = True, seed: int = 42):
+    """A fitted pipeline of term counts and LDA. The vocabulary holds every term of at least
+    ``min_df`` documents; like the topic matrix it is part of the model on the driver."""
+    vocabulary = max(1, df.select(F.explode(tokens)).distinct().count())
     counts = CountVectorizer(inputCol=tokens, outputCol="_counts", minDF=min_df, binary=binary, vocabSize=vocabulary)
     model = LDA(featuresCol="_counts", k=topics, maxIter=rounds, seed=seed, optimizer="online")
     return Pipeline(stages=[counts, model]).fit(df)
@@ -95,21 +102,30 @@ def topic_representatives(scored: DataFrame, topic: int, row_id: str, k: int = 5
     return scored.withColumn("topic_score", share).orderBy(F.desc("topic_score"), row_id).limit(k)
 
 
-def nmf(weights: DataFrame, topics: int, rounds: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def nmf(
+    weights: DataFrame,
+    topics: int,
+    rounds: int = 20,
+    seed: int = 42,
+    start: Callable[[Column, int], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Nonnegative factors of a sparse document-term table: (doc, factor), (term, factor).
 
     Multiplicative updates of the squared error. Products with the table are joins and
     sums over its non-zero entries; the Gram matrices are ``topics`` squared numbers.
+    ``start`` gives the first value of a factor from the document or term and its number.
     """
     names = [f"f{i}" for i in range(topics)]
     table = settle(weights.select("doc", "term", "weight"))
 
-    def start(key):
-        draw = [
-            (0.1 + F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), F.lit(1000)) / 1000.0).alias(n)
-            for i, n in enumerate(names)
-        ]
-        return settle(table.select(key).distinct().select(key, *draw))
+    def drawn(key, i):
+        return 0.1 + F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(1000)) / 1000.0
+
+    def begin(key):
+        value = start or drawn
+        return settle(
+            table.select(key).distinct().select(key, *[value(F.col(key), i).alias(n) for i, n in enumerate(names)])
+        )
 
     def update(mine, key, other, other_key):
         pair = [(i, j) for i in range(topics) for j in range(i, topics)]
@@ -123,7 +139,7 @@ def nmf(weights: DataFrame, topics: int, rounds: int = 20, seed: int = 42) -> tu
         fresh = [(F.col(n) * F.col(f"u_{n}") / down(j)).alias(n) for j, n in enumerate(names)]
         return settle(mine.join(up, key).select(key, *fresh))
 
-    docs, terms = start("doc"), start("term")
+    docs, terms = begin("doc"), begin("term")
     for _ in range(rounds):
         terms = update(terms, "term", docs, "doc")
         docs = update(docs, "doc", terms, "term")

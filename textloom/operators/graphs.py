@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import links, text as tx, vectors
 from textloom.operators.similarity import block_count
-from textloom.scale import exact_quantiles, fit_broadcast, running, salted_join, settle
+from textloom.scale import Salted, exact_quantiles, fit_broadcast, running, salted_join, settle
 
 DAMPING = 0.85
 
@@ -91,17 +91,18 @@ def pagerank(
     Rank of vertices without links out is spread over all. Stops when the ranks move by
     less than ``tolerance`` per vertex. A hub's edges are salted in every join.
     """
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
-    adjacency = settle(salted_join(edges.select("src", "dst"), out, ["src"]))
+    out = settle(edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out")))
+    counts = out.withColumnRenamed("_out", "_n")
+    adjacency = settle(salted_join(edges.select("src", "dst"), out, ["src"], counts=counts))
+    along = Salted(adjacency, ["src"], counts=counts)
     ids = settle((vertices(edges) if ids is None else ids.select("id")).distinct())
     n = ids.count()
     ranks = ids.withColumn("pagerank", F.lit(1.0 / n))
-    linked = adjacency.select(F.col("src").alias("id")).distinct()
-    dead = settle(ids.join(linked, "id", "left_anti"))
+    dead = settle(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     has_dead = not dead.isEmpty()
     for _ in range(max_rounds):
         lost = (ranks.join(dead, "id").agg(F.sum("pagerank")).first()[0] or 0.0) if has_dead else 0.0
-        sent = salted_join(adjacency, ranks.withColumnRenamed("id", "src"), ["src"])
+        sent = along.join(ranks.withColumnRenamed("id", "src"))
         got = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") / F.col("_out")).alias("_got"))
         fresh = (1 - damping) / n + damping * (F.coalesce("_got", F.lit(0.0)) + F.lit(lost / n))
         step = settle(
@@ -135,14 +136,14 @@ def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     mark = None
     while True:
         wide = both_ways(current)
-        low = wide.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("_m"))
-        large = salted_join(wide, low, ["src"]).where(F.col("dst") > F.col("src")).select(
+        low = settle(wide.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("_m"), F.count(F.lit(1)).alias("_n")))
+        large = salted_join(wide, low.drop("_n"), ["src"], counts=low).where(F.col("dst") > F.col("src")).select(
             F.col("dst").alias("src"), F.col("_m").alias("dst")
         ).distinct()
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
         down = settle(down)
-        low = down.groupBy("src").agg(F.min("dst").alias("_m"))
-        moved = salted_join(down, low, ["src"]).where(F.col("dst") != F.col("_m")).select(
+        low = settle(down.groupBy("src").agg(F.min("dst").alias("_m"), F.count(F.lit(1)).alias("_n")))
+        moved = salted_join(down, low.drop("_n"), ["src"], counts=low).where(F.col("dst") != F.col("_m")).select(
             F.col("dst").alias("src"), F.col("_m").alias("dst")
         )
         small = moved.unionByName(low.select("src", F.col("_m").alias("dst"))).where("src <> dst").distinct()
@@ -185,8 +186,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if alive.isEmpty():
             break
         colour = alive.withColumn("colour", F.col("id"))
+        along = Salted(left, ["src"])
         while True:
-            sent = salted_join(left, colour.withColumnRenamed("id", "src"), ["src"]).groupBy(
+            sent = along.join(colour.withColumnRenamed("id", "src")).groupBy(
                 F.col("dst").alias("id")
             ).agg(F.max("colour").alias("_c"))
             step = settle(
@@ -195,14 +197,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
             colour = step.select("id", "colour")
             if step.where("colour <> _old").isEmpty():
                 break
-        same = salted_join(left, colour.select(F.col("id").alias("src"), F.col("colour").alias("_a")), ["src"])
+        same = along.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("_a")))
         same = salted_join(same, colour.select(F.col("id").alias("dst"), F.col("colour").alias("_b")), ["dst"])
         back = settle(same.where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         reached = colour.where("id = colour").select("id", F.col("id").alias("component"))
         reached = settle(reached)
         front = reached
+        against = Salted(back, ["src"])
         while True:
-            found = salted_join(back, front.withColumnRenamed("id", "src"), ["src"]).select(
+            found = against.join(front.withColumnRenamed("id", "src")).select(
                 F.col("dst").alias("id"), "component"
             ).distinct()
             front = settle(found.join(reached, "id", "left_anti"))
@@ -240,14 +243,15 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, max_hops: int
     In an undirected graph the neighbours of one level lie in that level or next to it, so
     each round is checked against two levels only.
     """
-    adjacency = settle(both_ways(edges).distinct())
+    along = Salted(settle(both_ways(edges).distinct()), ["src"])
     sources = vertices(edges) if sources is None else sources.select("id")
     last = settle(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("d")))
     whole, before, hop = last, None, 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        near = adjacency.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
-        found = salted_join(last.select("src", "dst"), near, ["dst"]).select("src", F.col("_next").alias("dst")).distinct()
+        found = along.join(last.select(F.col("src").alias("_from"), F.col("dst").alias("src"))).select(
+            F.col("_from").alias("src"), "dst"
+        ).distinct()
         seen = last.select("src", "dst") if before is None else last.select("src", "dst").unionByName(before.select("src", "dst"))
         level = settle(found.join(seen, ["src", "dst"], "left_anti").withColumn("d", F.lit(hop)))
         if level.isEmpty():
@@ -282,11 +286,11 @@ def crawl(
         allowed = allowed.where(F.col("dst").rlike(pattern))
     if not include_images:
         allowed = allowed.where(~F.col("dst").rlike(links.IMAGE_PATTERN))
-    allowed = settle(allowed.select(F.col("src").alias("url"), F.col("dst").alias("_to")).distinct())
+    along = Salted(settle(allowed.select(F.col("src").alias("url"), F.col("dst").alias("_to")).distinct()), ["url"])
     seen = settle(starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")))
     front = seen
     for hop in range(1, depth + 1):
-        found = salted_join(front.select("start", "url"), allowed, ["url"]).select("start", F.col("_to").alias("url"))
+        found = along.join(front.select("start", "url")).select("start", F.col("_to").alias("url"))
         if not include_external:
             found = found.where(links.url_host(F.col("url")) == links.url_host(F.col("start")))
         front = settle(
@@ -303,14 +307,14 @@ def crawl(
 
 def _forest(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Breadth-first forest (id, parent, depth) rooted at the smallest id of each component."""
-    adjacency = settle(both_ways(edges))
+    along = Salted(settle(both_ways(edges)), ["src"])
     level = settle(
         parts.select(F.col("component").alias("id")).distinct().select("id", F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit(0).alias("depth"))
     )
     whole, before, depth = level, None, 0
     while True:
         depth += 1
-        found = salted_join(adjacency, level.select(F.col("id").alias("src")), ["src"]).groupBy(
+        found = along.join(level.select(F.col("id").alias("src"))).groupBy(
             F.col("dst").alias("id")
         ).agg(F.min("src").alias("parent"))
         seen = level.select("id") if before is None else level.select("id").unionByName(before.select("id"))
@@ -525,12 +529,18 @@ def sample_neighbours(edges: DataFrame, n_positive: int, n_negative: int, seed:
     return positive.unionByName(negative)
 
 
-def non_neighbours(edges: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, other) for the chosen vertices: all vertices that are neither neighbours nor itself."""
+def non_neighbours(edges: DataFrame, chosen: DataFrame, block_rows: int = 100_000) -> DataFrame:
+    """(id, other) for the chosen vertices: all vertices that are neither neighbours nor itself.
+
+    The vertices are dealt into blocks and the chosen ones are sent to every block.
+    """
     wide = both_ways(edges).select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct()
-    every = vertices(edges).withColumnRenamed("id", "other").withColumn("_one", F.lit(1))
-    pairs = every.join(fit_broadcast(chosen.select("id").withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return pairs.where("id <> other").join(wide, ["id", "other"], "left_anti")
+    every = settle(vertices(edges).withColumnRenamed("id", "other"))
+    blocks = block_count(every, block_rows)
+    dealt = every.withColumn("_block", F.pmod(F.xxhash64("other"), F.lit(blocks)))
+    sent = chosen.select("id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    pairs = dealt.join(sent, "_block").drop("_block")
+    return pairs.where("id <> other").join(wide, ["id", "other"], "left_anti").select("id", "other")
 
 
 def _log_sum_exp(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:

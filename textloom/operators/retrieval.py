@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx, vectors
 from textloom.operators.similarity import top_k
 from textloom.scale import (
-    best_per_group, fit_broadcast, row_count_at_most, running, salted_join, settle, top_per_group,
+    best_per_group, fit_broadcast, fits, running, salted_join, settle, top_per_group,
 )
 
 # The usual BM25 parameters of inverted-index stores.
@@ -29,7 +29,7 @@ def query_terms(queries: DataFrame, query: str, text: str, stop_words=tx.STOP_WO
 def _wanted(found: Column, asked: DataFrame) -> Column:
     """Tokens that some query asks for; all tokens when the queries ask for very many."""
     words = asked.select("term").distinct()
-    if not row_count_at_most(words, VOCABULARY):
+    if not fits(words, VOCABULARY):
         return found
     asked_words = [r["term"] for r in words.collect()]
     return F.filter(found, lambda t: t.isin(asked_words)) if asked_words else F.array().cast("array<string>")
@@ -69,10 +69,7 @@ def bm25_scores(
     weighted = asked.join(frequency, "term").select("query", "term", (F.col("qtf") * idf).alias("weight"))
     saturation = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
     impact = counted.select("doc", "term", saturation.alias("impact"))
-    if row_count_at_most(weighted, 100_000):
-        matched = impact.join(F.broadcast(weighted), "term")
-    else:
-        matched = salted_join(impact, weighted, ["term"])
+    matched = salted_join(impact, settle(weighted), ["term"])
     return matched.groupBy("query", "doc").agg(
         F.round(F.sum(F.col("weight") * F.col("impact")), ROUND).alias("score")
     )
@@ -160,7 +157,7 @@ def late_interaction(candidates: DataFrame, query_tokens: DataFrame, doc_tokens:
     vectors; the work per candidate stays in its row.
     """
     rows = salted_join(
-        salted_join(candidates.select("query", "doc"), fit_broadcast(query_tokens.withColumnRenamed("tokens", "_q")), ["query"]),
+        salted_join(candidates.select("query", "doc"), query_tokens.withColumnRenamed("tokens", "_q"), ["query"]),
         doc_tokens.withColumnRenamed("tokens", "_d"),
         ["doc"],
     )
@@ -204,7 +201,7 @@ def fuzzy_terms(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     """
     forms = vocabulary.select("term", F.explode(_near_forms(F.col("term"))).alias("_form"))
     asks = asked.select(F.col("term").alias("asked"), F.explode(_near_forms(F.col("term"))).alias("_form"))
-    near = salted_join(forms, fit_broadcast(asks), ["_form"])
+    near = salted_join(forms, asks, ["_form"])
     return near.where(F.levenshtein("asked", "term", 1).between(0, 1)).select("asked", "term").distinct()
 
 
@@ -212,7 +209,7 @@ def matching_docs(corpus: DataFrame, doc: str, text: str, terms: DataFrame, stop
     """(query, doc, n) for documents holding any of the query's terms; n counts distinct terms."""
     words = corpus.select(F.col(doc).alias("doc"), F.array_distinct(tx.terms(F.col(text), stop_words)).alias("w"))
     rows = words.select("doc", F.explode("w").alias("term"))
-    hits = salted_join(rows, fit_broadcast(terms.select("query", "term").distinct()), ["term"])
+    hits = salted_join(rows, terms.select("query", "term").distinct(), ["term"])
     return hits.groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"))
 
 

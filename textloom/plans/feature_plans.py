@@ -53,10 +53,48 @@ def lda(t):
     )
 
 
-@plan("M03_nmf")
+def nmf_sql(topics, rounds):
+    """The updates written out: one table expression per half round."""
+
+    def half(name, mine, other, key, other_key):
+        gram = ", ".join(f"sum(f{i} * f{j}) AS g{i}_{j}" for i in range(topics) for j in range(topics))
+        up = ", ".join(f"sum(weight * f{i}) AS u{i}" for i in range(topics))
+        fresh = ", ".join(
+            f"m.f{j} * u{j} / (1e-12 + " + " + ".join(f"m.f{i} * g{i}_{j}" for i in range(topics)) + f") AS f{j}" for j in range(topics)
+        )
+        return (
+            f"{name} AS (SELECT m.{key}, {fresh} FROM {mine} m JOIN (SELECT {key}, {up} FROM v JOIN {other} USING ({other_key}) GROUP BY 1) u "
+            f"ON u.{key} = m.{key}, (SELECT {gram} FROM {other}) g)"
+        )
+
+
+    def first(text):
+        return ", ".join(
+            f"0.1::DOUBLE + ((length({text}) + ascii({text})) * {7 + 3 * i} + {i}) % 11 / 10.0::DOUBLE AS f{i}" for i in range(topics)
+        )
+
+    parts = [
+        "v AS (SELECT doc, term, w / size AS weight FROM w JOIN s USING (doc))",
+        f"d0 AS (SELECT DISTINCT doc, {first('CAST(doc AS VARCHAR)')} FROM v)",
+        f"t0 AS (SELECT DISTINCT term, {first('term')} FROM v)",
+    ]
+    for r in range(rounds):
+        parts.append(half(f"t{r + 1}", f"t{r}", f"d{r}", "term", "doc"))
+        parts.append(half(f"d{r + 1}", f"d{r}", f"t{r + 1}", "doc", "term"))
+    rounded = ", ".join(f"round(f{i}, 6) AS f{i}" for i in range(topics))
+    return f"WITH {TF_SQL}, {', '.join(parts)} SELECT doc, {rounded} FROM d{rounds}"
+
+
+def fixed_start(key, i):
+    """First factor values from the length and first character of a key."""
+    text = key.cast("string")
+    return 0.1 + ((F.length(text) + F.ascii(text)) * (7 + 3 * i) + i) % 11 / F.lit(10.0)
+
+
+@plan("M03_nmf", nmf_sql(3, 2))
 def nmf(t):
-    docs, _ = features.nmf(weights(t), 6, rounds=4)
-    return features.with_topic(docs, "factor").groupBy("topic").agg(F.count("*").alias("documents"))
+    docs, _ = features.nmf(weights(t), 3, rounds=2, start=fixed_start)
+    return docs.select("doc", *[F.round(F.col("factor")[i], 6).alias(f"f{i}") for i in range(3)])
 
 
 @plan(

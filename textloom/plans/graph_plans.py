@@ -279,9 +279,25 @@ def eccentricity(t):
     return graphs.eccentricities(dist).withColumn("diameter", F.lit(widest))
 
 
-@plan("G13_biconnected")
+@plan(
+    "G13_biconnected",
+    f"""
+    WITH RECURSIVE {PROFILE_SQL}, bw AS (SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe),
+    v AS (SELECT DISTINCT src AS id FROM bw),
+    -- what stays reachable from a without passing x
+    reach(x, a, b) AS (SELECT x.id, a.id, a.id FROM v x JOIN v a ON x.id <> a.id
+      UNION SELECT x, a, dst FROM reach JOIN bw ON src = b WHERE dst <> x),
+    -- two vertices share a block when they are linked or no third vertex parts them
+    apart AS (SELECT a.id AS a, b.id AS b, count(r.x) AS n FROM v a JOIN v b ON a.id <> b.id
+      LEFT JOIN reach r ON r.a = a.id AND r.b = b.id AND r.x <> b.id GROUP BY 1, 2),
+    same AS (SELECT a, b FROM apart WHERE n = (SELECT count(*) - 2 FROM v) UNION SELECT src, dst FROM bw)
+    SELECT pe.src, pe.dst, 2 + count(y.b) AS size FROM pe
+    LEFT JOIN (SELECT p.a AS u, q.a AS w, p.b FROM same p JOIN same q ON p.b = q.b) y ON y.u = pe.src AND y.w = pe.dst GROUP BY 1, 2
+    """,
+)
 def biconnected(t):
-    return graphs.block_sizes(settle(graphs.biconnected(places(t))))
+    blocks = settle(graphs.biconnected(profile(t)))
+    return blocks.join(graphs.block_sizes(blocks).select("block", "size"), "block").drop("block")
 
 
 DELTA_SQL = """
@@ -319,9 +335,23 @@ def normalised_delta(t):
     return out.select("delta", F.round("by_diameter", 6).alias("by_diameter"), F.round("by_size", 6).alias("by_size"))
 
 
-@plan("G16_neighbour_samples")
+@plan(
+    "G16_neighbour_samples",
+    f"""
+    WITH {TRADE_SQL} SELECT DISTINCT src AS anchor, 5 AS positives, 5 AS linked, TRUE AS some_apart, 0 AS wrong FROM bw
+    """,
+)
 def neighbour_samples(t):
-    return graphs.sample_neighbours(graphs.undirected(trade(t)), 5, 10)
+    edges = settle(graphs.undirected(trade(t)))
+    drawn = graphs.sample_neighbours(edges, 5, 40)
+    known = graphs.both_ways(edges).select(F.col("src").alias("anchor"), F.col("dst").alias("other"), F.lit(1).alias("hit"))
+    checked = drawn.join(known, ["anchor", "other"], "left")
+    positive, hit = F.col("positive") == 1, F.col("hit") == 1
+    wrong = ~positive & (F.coalesce(hit, F.lit(False)) | (F.col("anchor") == F.col("other")))
+    return checked.groupBy("anchor").agg(
+        F.count_if(positive).cast("int").alias("positives"), F.count_if(positive & hit).cast("int").alias("linked"),
+        (F.count_if(~positive) > 0).alias("some_apart"), F.count_if(wrong).cast("int").alias("wrong"),
+    )
 
 
 def points(t, edges):

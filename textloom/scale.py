@@ -4,8 +4,8 @@
 ``running``      exact row numbers and running sums inside groups of any size.
 ``neighbourhood`` row frames (lead, lag, moving average) over block halos.
 ``top_per_group`` / ``best_per_group``  partial cuts below the shuffle.
-``salted_join``  an equi join whose heavy keys are spread over several tasks.
-``fit_broadcast`` a broadcast hint that is only given after counting rows.
+``Salted``       an equi join whose heavy keys are spread over several tasks.
+``fit_broadcast`` a broadcast hint that is only given after measuring the side.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 1_000_000
 
 
@@ -44,14 +46,32 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_count_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, by a full distributed count."""
-    return df.count() <= rows
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row, by type for numbers and by content for the rest."""
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            width = F.octet_length(F.col(field.name))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            width = F.size(F.col(field.name)) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            width = F.octet_length(F.to_json(F.struct(F.col(field.name))))
+        else:
+            width = F.lit(8)
+        total = total + F.coalesce(width, F.lit(0)) + 8
+    return total
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` stays under both bounds, by one distributed aggregate."""
+    found = df.select(_row_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return found[0] <= rows and (found[1] or 0) <= size
 
 
 def fit_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``rows`` rows, else ``df``."""
-    return F.broadcast(df) if row_count_at_most(df, rows) else df
+    """``df`` with a broadcast hint when its rows and bytes are within bounds, else ``df``."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -174,40 +194,60 @@ def best_per_group(df: DataFrame, keys: Sequence[str], smallest: Sequence[Column
     )
 
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Join ``big`` with ``small`` on equal column names, spreading heavy keys of ``big``.
+class Salted:
+    """A large side prepared for one or many equi joins on the same columns.
 
-    Heavy keys are those with more than ``rows_per_task`` rows, so there are at most
-    ``rows / rows_per_task`` of them. Their rows take one of several salts and the
-    matching rows of ``small`` are repeated once per salt. ``how`` may be any join that
-    keeps or drops rows of ``big`` (inner, left, left_semi, left_anti).
+    A side that fits is broadcast and nothing of the large side moves. Otherwise heavy keys,
+    those with more than ``rows_per_task`` rows, take one of several salts and the matching
+    rows of the other side are repeated once per salt. There are at most
+    ``rows / rows_per_task`` heavy keys. They are looked up once, when first needed, or
+    taken from ``counts`` (the key columns and ``_n``).
     """
-    on = list(on)
-    heavy = (
-        big.groupBy(*on)
-        .count()
-        .where(F.col("count") > rows_per_task)
-        .select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
-    )
-    if heavy.isEmpty():
-        return big.join(small, on, how)
-    heavy = fit_broadcast(settle(heavy))
-    rest = [f.name for f in big.schema.fields if f.dataType.typeName() != "map"]
-    left = big.join(heavy, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_salts", F.lit(1))).cast("int")
-    ).drop("_salts")
-    right = (
-        small.join(heavy, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+    def __init__(self, big: DataFrame, on: Sequence[str], counts: DataFrame | None = None,
+                 rows_per_task: int = ROWS_PER_TASK, broadcast_rows: int = BROADCAST_ROWS):
+        self.big, self.on, self.counts = big, list(on), counts
+        self.rows_per_task, self.broadcast_rows = rows_per_task, broadcast_rows
+        self.heavy: DataFrame | None = None
+        self.salted: DataFrame | None = None
+
+    def _prepare(self) -> None:
+        counts = self.counts
+        if counts is None:
+            counts = self.big.groupBy(*self.on).agg(F.count(F.lit(1)).alias("_n"))
+        self.heavy = settle(
+            counts.where(F.col("_n") > self.rows_per_task).select(
+                *self.on, F.ceil(F.col("_n") / self.rows_per_task).cast("int").alias("_salts")
+            )
+        )
+        if self.heavy.isEmpty():
+            return
+        rest = [f.name for f in self.big.schema.fields if not isinstance(f.dataType, T.MapType)]
+        self.salted = (
+            self.big.join(fit_broadcast(self.heavy), self.on, "left")
+            .withColumn("_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_salts", F.lit(1))).cast("int"))
+            .drop("_salts")
+        )
+
+    def join(self, small: DataFrame, how: str = "inner") -> DataFrame:
+        """Any join that keeps or drops rows of the large side (inner, left, semi, anti)."""
+        if fits(small, self.broadcast_rows):
+            return self.big.join(F.broadcast(small), self.on, how)
+        if self.heavy is None:
+            self._prepare()
+        if self.salted is None:
+            return self.big.join(small, self.on, how)
+        copies = (
+            small.join(fit_broadcast(self.heavy), self.on, "left")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+            .drop("_salts")
+        )
+        return self.salted.join(copies, [*self.on, "_salt"], how).drop("_salt")
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", **options) -> DataFrame:
+    """One join of a large side, spread over its heavy keys where needed."""
+    return Salted(big, on, **options).join(small, how)
 
 
 def concat_parts(
