@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import strip
+
 # Link prefixes that do not lead to an article.
 SKIPPED_PREFIXES = ("File:", "Category:", "Image:")
 
@@ -46,7 +48,7 @@ def wikitext_headings(text: Column) -> Column:
     return F.zip_with(
         marks,
         titles,
-        lambda m, t: F.struct(F.length(m).cast("int").alias("level"), F.trim(t).alias("title")),
+        lambda m, t: F.struct(F.length(m).cast("int").alias("level"), strip(t).alias("title")),
     )
 
 
@@ -65,7 +67,7 @@ def note_id(text: Column) -> Column:
     """Value of the first line that starts with ``:ID:``; null when there is none."""
     return F.when(
         F.regexp_like(text, F.lit(r"(?md)^:ID:")),
-        F.trim(F.regexp_extract(text, r"(?md)^:ID:[ \t]*(.*)$", 1)),
+        strip(F.regexp_extract(text, r"(?md)^:ID:(.*)$", 1)),
     )
 
 
@@ -113,7 +115,7 @@ def citation_year(ref_name: Column) -> Column:
 
 
 def citation_source_type(source: Column) -> Column:
-    return F.split(F.trim(source), ", ", 2)[0]
+    return F.split(strip(source), ", ", 2)[0]
 
 
 def html_title(html: Column) -> Column:

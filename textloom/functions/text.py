@@ -37,13 +37,14 @@ def clip_and_squash(text: Column, length: int) -> Column:
     return F.regexp_replace(F.substring(text, 1, length), WHITESPACE, " ")
 
 
-def python_strip(text: Column) -> Column:
+def strip(text: Column) -> Column:
+    """Text without whitespace of any kind at both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
 def line_count(text: Column) -> Column:
     """Newline-separated lines after trimming."""
-    return F.size(F.split(python_strip(text), "\n"))
+    return F.size(F.split(strip(text), "\n"))
 
 
 def merge_columns(names: list[str], joiner: str = "\n\n", missing: str = "nan") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import dates
-from textloom.functions.text import WHITESPACE, python_strip
+from textloom.functions.text import WHITESPACE, strip
 from textloom.scale import concat_parts, neighbourhood, running, settle
 
 # Patterns of a contents line, a contents entry in running text, a section
@@ -24,7 +24,7 @@ PAGE_BLOCK = 64
 def _entries(roman, title, ref) -> Column:
     return F.struct(
         roman.alias("roman"),
-        F.trim(title).alias("title"),
+        strip(title).alias("title"),
         F.nullif(ref, F.lit("")).try_cast("int").alias("ref"),
     )
 
@@ -42,7 +42,7 @@ def _listed(text: Column) -> Column:
         + 1,
         F.lit(0),
     )
-    after = F.transform(F.slice(lines, at + 1, F.size(lines)), F.trim)
+    after = F.transform(F.slice(lines, at + 1, F.size(lines)), strip)
     hits = F.filter(after, lambda line: F.regexp_like(line, F.lit(CONTENTS_LINE)))
     group = lambda line, i: F.regexp_extract(line, CONTENTS_LINE, i)
     return F.transform(hits, lambda line: _entries(group(line, 1), group(line, 2), group(line, 3)))
@@ -146,13 +146,13 @@ def pages_in_chapters(pages: DataFrame, spans: DataFrame) -> DataFrame:
 
 def chapter_texts(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """Chapters with the joined text of their non-blank pages; empty chapters are skipped."""
-    rows = pages_in_chapters(pages, spans).withColumn("text", python_strip(F.col("text"))).where("text <> ''")
+    rows = pages_in_chapters(pages, spans).withColumn("text", strip(F.col("text"))).where("text <> ''")
     rows = running(rows, ["book", "entry"], ["page_num"])
     return concat_parts(rows, ["book", "entry", "chapter"], "pos", "text", " ")
 
 
 def _is_header(line: Column, title_words: list[str]) -> Column:
-    bare = python_strip(line)
+    bare = strip(line)
     short = F.length(bare) < 80
     has = lambda p: F.regexp_like(bare, F.lit(p))
     rule = F.regexp_like(line, F.lit(PAGE_NUMBER)) | (has(YEAR_RANGE) & short)
@@ -169,11 +169,11 @@ def paragraphs(text: Column, title_words: list[str] | None = None) -> Column:
     """
     lines = F.filter(
         F.split(text, "\n"),
-        lambda line: ~_is_header(line, title_words or []) & (python_strip(line) != "---"),
+        lambda line: ~_is_header(line, title_words or []) & (strip(line) != "---"),
     )
-    whole = F.array_join(F.transform(lines, python_strip), "\n")
+    whole = F.array_join(F.transform(lines, strip), "\n")
     parts = F.transform(
-        F.split(whole, r"\n\n+"), lambda p: python_strip(F.regexp_replace(p, WHITESPACE, " "))
+        F.split(whole, r"\n\n+"), lambda p: strip(F.regexp_replace(p, WHITESPACE, " "))
     )
     return F.filter(parts, lambda p: p != "")
 
@@ -190,7 +190,7 @@ def sections(text: Column, title_words: list[str] | None = None) -> Column:
         lambda part, i: F.struct(
             i.alias("no"),
             F.when(i == 0, F.lit("Front Matter"))
-            .otherwise(python_strip(F.split(part, "\n", 2)[0]))
+            .otherwise(strip(F.split(part, "\n", 2)[0]))
             .alias("title"),
             paragraphs(
                 F.when(i == 0, part).otherwise(F.coalesce(F.get(F.split(part, "\n", 2), F.lit(1)), F.lit(""))),
@@ -209,5 +209,5 @@ def cues(segments: DataFrame, media: str, start: str, end: str, text: str, order
         media,
         "cue",
         span.alias("span"),
-        F.concat_ws("\n", F.col("cue").cast("string"), span, python_strip(F.col(text)), F.lit("")).alias("block"),
+        F.concat_ws("\n", F.col("cue").cast("string"), span, strip(F.col(text)), F.lit("")).alias("block"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, links
+from textloom.functions.text import strip
 from textloom.scale import salted_join
 
 # States that may stand before a heading.
@@ -16,7 +17,7 @@ def _bare_heading(line: Column) -> Column:
     line = F.regexp_replace(line, r"^\*+\s+", "")
     line = F.regexp_replace(line, rf"^(?:{'|'.join(STATES)})\s+", "")
     line = F.regexp_replace(line, r"^\[#[A-Z]\]\s+", "")
-    return F.trim(F.regexp_replace(line, r"\s+:[\w@#%:]+:\s*$", ""))
+    return strip(F.regexp_replace(line, r"\s+:[\w@#%:]+:\s*$", ""))
 
 
 def _body(node: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import links
+from textloom.functions.text import strip
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -137,9 +138,9 @@ def bibliography(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return items.select(
         *keys,
         "item",
-        F.trim(F.col("parts")[0]).alias("ref_name"),
-        F.trim(F.col("parts")[1]).alias("authors"),
-        F.trim(F.col("parts")[2]).alias("title"),
+        strip(F.col("parts")[0]).alias("ref_name"),
+        strip(F.col("parts")[1]).alias("authors"),
+        strip(F.col("parts")[2]).alias("title"),
         source.alias("source"),
         links.citation_source_type(source).alias("source_type"),
         links.citation_year(F.col("parts")[0]).alias("year"),

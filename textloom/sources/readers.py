@@ -78,8 +78,13 @@ def guess_columns(columns: list[str]) -> dict[str, str | None]:
     return {"text": pick(TEXT_NAMES), "title": pick(TITLE_NAMES), "date": pick(DATE_NAMES)}
 
 
+def file_path() -> Column:
+    """Path of a row's file as it was given, not URL encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def file_part(pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), pattern, group)
+    return F.regexp_extract(file_path(), pattern, group)
 
 
 def csv_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> dict[str, list[str]]:
@@ -90,7 +95,7 @@ def csv_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> dict[s
         .option("pathGlobFilter", glob)
         .text(folder)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            file_path().alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
             F.monotonically_increasing_id().alias("at"),
             "value",
@@ -196,7 +201,7 @@ def load_whole_files(spark: SparkSession, folder: str, glob: str | None = None)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.text(folder, wholetext=True).select(
-        F.url_decode(F.col("_metadata.file_path")).alias("path"),
+        file_path().alias("path"),
         F.col("_metadata.file_modification_time").alias("changed"),
         F.col("value").alias("text"),
     )
