@@ -48,6 +48,7 @@ HEADLINE = [
 
 def main() -> None:
     from textloom.plans import registered
+    from textloom.scale import release_all
     from textloom.session import local_session
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -59,6 +60,7 @@ def main() -> None:
         start = time.time()
         registered.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        release_all(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": Path(folder).name.removeprefix("sf"),

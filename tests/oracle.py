@@ -88,6 +88,7 @@ def main():
     parser.add_argument("--explain", action="store_true")
     args = parser.parse_args()
     import __spark_entry__ as entry
+    from textloom.scale import release_all
     from textloom.session import local_session
 
     folder = f"/root/testdata/{args.sf}"
@@ -116,6 +117,7 @@ def main():
         if isinstance(out, str):
             out = (out, 0)
         took = time.time() - start
+        release_all(spark)
         tag = "ok  " if out[0] is None else "FAIL"
         bad += out[0] is not None
         print(f"{tag} {name} {took:.1f}s rows={out[1]}{'' if name in oracles else ' (rows only)'} {out[0] or ''}", flush=True)

@@ -156,9 +156,9 @@ def class_tf_idf(df: DataFrame, topic: str, text: str, stop_words=tx.STOP_WORDS,
     tokens = rows.select(*keys, F.explode(tx.terms(F.col(text), stop_words)).alias("term"))
     counted = settle(tokens.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     mean = counted.groupBy(topic).agg(F.sum("tf").alias("w")).agg(F.avg("w")).first()[0] or 0.0
-    total = counted.groupBy("term").agg(F.sum("tf").alias("_f"))
+    total = settle(counted.groupBy("term").agg(F.sum("tf").alias("_f"), F.count(F.lit(1)).alias("_n")))
     weight = F.col("tf") * F.log(1 + F.lit(float(mean)) / F.col("_f"))
-    return salted_join(counted, total, ["term"]).select(*keys, "term", "tf", weight.alias("weight"))
+    return salted_join(counted, total.drop("_n"), ["term"], counts=total).select(*keys, "term", "tf", weight.alias("weight"))
 
 
 def top_words(weights: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:

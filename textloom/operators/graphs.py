@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import links, text as tx, vectors
 from textloom.operators.similarity import block_count
-from textloom.scale import Salted, exact_quantiles, fit_broadcast, running, salted_join, settle
+from textloom.scale import Salted, exact_quantiles, fit_broadcast, release, running, salted_join, settle
 
 DAMPING = 0.85
 
@@ -100,6 +100,7 @@ def pagerank(
     ranks = ids.withColumn("pagerank", F.lit(1.0 / n))
     dead = settle(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     has_dead = not dead.isEmpty()
+    before = None
     for _ in range(max_rounds):
         lost = (ranks.join(dead, "id").agg(F.sum("pagerank")).first()[0] or 0.0) if has_dead else 0.0
         sent = along.join(ranks.withColumnRenamed("id", "src"))
@@ -108,7 +109,8 @@ def pagerank(
         step = settle(
             ranks.withColumnRenamed("pagerank", "_old").join(got, "id", "left").select("id", fresh.alias("pagerank"), "_old")
         )
-        ranks = step.select("id", "pagerank")
+        release(before)
+        ranks, before = step.select("id", "pagerank"), step
         if tolerance and step.agg(F.sum(F.abs(F.col("pagerank") - F.col("_old")))).first()[0] < n * tolerance:
             break
     return ranks
@@ -147,7 +149,8 @@ def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
             F.col("dst").alias("src"), F.col("_m").alias("dst")
         )
         small = moved.unionByName(low.select("src", F.col("_m").alias("dst"))).where("src <> dst").distinct()
-        current = settle(small)
+        before, current = current, settle(small)
+        release(before, down, low)
         state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if tuple(state) == mark:
             break
@@ -187,6 +190,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         colour = alive.withColumn("colour", F.col("id"))
         along = Salted(left, ["src"])
+        before = None
         while True:
             sent = along.join(colour.withColumnRenamed("id", "src")).groupBy(
                 F.col("dst").alias("id")
@@ -194,7 +198,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
             step = settle(
                 colour.join(sent, "id", "left").select("id", F.greatest("colour", "_c").alias("colour"), F.col("colour").alias("_old"))
             )
-            colour = step.select("id", "colour")
+            release(before)
+            colour, before = step.select("id", "colour"), step
             if step.where("colour <> _old").isEmpty():
                 break
         same = along.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("_a")))

@@ -26,13 +26,13 @@ def query_terms(queries: DataFrame, query: str, text: str, stop_words=tx.STOP_WO
     return found.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _wanted(found: Column, asked: DataFrame) -> Column:
+def _wanted(tokens: str, asked: DataFrame) -> Column:
     """Tokens that some query asks for; all tokens when the queries ask for very many."""
     words = asked.select("term").distinct()
     if not fits(words, VOCABULARY):
-        return found
-    asked_words = [r["term"] for r in words.collect()]
-    return F.filter(found, lambda t: t.isin(asked_words)) if asked_words else F.array().cast("array<string>")
+        return F.col(tokens)
+    listed = ", ".join(f"'{r['term']}'" for r in words.collect())  # letters and digits only
+    return F.expr(f"filter({tokens}, t -> t IN ({listed}))") if listed else F.array().cast("array<string>")
 
 
 def postings(corpus: DataFrame, doc: str, text: str, asked: DataFrame, stop_words=tx.STOP_WORDS):
@@ -42,7 +42,7 @@ def postings(corpus: DataFrame, doc: str, text: str, asked: DataFrame, stop_word
     that some query asks for. Everything after it reads that table.
     """
     tokens = corpus.select(F.col(doc).alias("doc"), tx.terms(F.col(text), stop_words).alias("tokens"))
-    hits = settle(tokens.select("doc", F.size("tokens").alias("length"), _wanted(F.col("tokens"), asked).alias("hits")))
+    hits = settle(tokens.select("doc", F.size("tokens").alias("length"), _wanted("tokens", asked).alias("hits")))
     total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     rows = hits.select("doc", "length", F.explode("hits").alias("term"))
     counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -219,7 +219,7 @@ def top_k(
     first = asks.first()
     width = len(first["vec"]) if first else 1
     limit = max(1, broadcast_values // width)
-    few = asks.limit(limit + 1).collect() if asks.limit(limit + 1).count() <= limit else None
+    few = asks.collect() if asks.count() <= limit else None
     if few is not None:
         ask_ids = np.array([r["id"] for r in few])
         shared = corpus.sparkSession.sparkContext.broadcast(

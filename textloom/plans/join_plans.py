@@ -121,13 +121,13 @@ def anti_join_resume(t):
     "J09_run_matrix",
     """
     WITH p AS (SELECT DISTINCT c_mktsegment AS env_id, c_nationkey AS g FROM customer),
-    a AS (SELECT DISTINCT o_orderpriority AS algo_name FROM orders),
+    a AS (SELECT DISTINCT c_nationkey AS g, o_orderpriority AS algo_name FROM orders JOIN customer ON o_custkey = c_custkey),
     s AS (SELECT unnest(range(3)) AS seed)
     SELECT 'g' || CAST(g AS VARCHAR) AS experiment_name, env_id, algo_name, CAST(seed AS INTEGER) AS seed,
       CAST(CASE WHEN env_id = 'BUILDING' THEN 500 ELSE 10000 END AS BIGINT) AS total_timesteps,
       'logs/g' || CAST(g AS VARCHAR) || '/' || algo_name || '_' || env_id || '_seed' || CAST(seed AS VARCHAR) AS log_dir,
       CASE WHEN algo_name = '5-LOW' THEN '0.1' ELSE '0.2' END AS lr
-    FROM p, a, s WHERE NOT (env_id = 'MACHINERY' AND algo_name = '1-URGENT')
+    FROM p JOIN a USING (g), s WHERE NOT (env_id = 'MACHINERY' AND algo_name = '1-URGENT')
     """,
 )
 def run_matrix(t):
@@ -147,9 +147,11 @@ def run_matrix(t):
             F.when(F.col("c_mktsegment") == "BUILDING", F.lit(500)).alias("total_timesteps"),
         ).alias("p"),
     ).distinct()
-    groups = problems.groupBy("name").agg(F.collect_list("p").alias("problems"))
-    listed = names.agg(F.collect_list("name").alias("algorithms"))
-    groups = groups.withColumn("algorithms", F.lit(listed.first()["algorithms"]))
+    groups = problems.groupBy("name").agg(F.collect_set("p").alias("problems"))
+    used = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        F.concat(F.lit("g"), F.col("c_nationkey").cast("string")).alias("name")
+    ).agg(F.collect_set("o_orderpriority").alias("algorithms"))  # names of algorithms: a handful
+    groups = groups.join(used, "name")
     bad = t.spark.createDataFrame([("MACHINERY", "1-URGENT")], "env_id string, algo_name string")
     rows = runs.expand_matrix(groups, resolved, bad, 3, 10000, "logs")
     return rows.select(

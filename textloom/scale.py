@@ -23,6 +23,8 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 1_000_000
 
+_WRITTEN: set[str] = set()
+
 
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path in the folder the cluster shares through spark.checkpoint.dir."""
@@ -39,11 +41,44 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The plan after it starts at files that survive the loss of an executor, and the
-    optimizer sees real sizes.
+    optimizer sees real sizes. The tables stay until ``release`` or ``release_all``.
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.discard(path)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete settled tables that no later plan reads, such as those of an earlier round."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path in _WRITTEN:
+            _delete(table.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table this process has settled, once the results are written elsewhere."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt over all cores when it has fewer splits than there are cores.
+
+    A table of many files or row groups is left as it is, so nothing is shuffled at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def _row_bytes(df: DataFrame) -> Column:
