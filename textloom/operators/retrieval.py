@@ -137,10 +137,21 @@ def fuse(sparse: DataFrame, dense_run: DataFrame, alpha: float = 0.5, k: int = 1
     return cut(both.groupBy("query", "doc").agg(F.round(F.sum("part"), ROUND).alias("score")), k)
 
 
+def candidate_cosines(candidates: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """(query, doc, score) per candidate pair and vector of the document.
+
+    ``doc_vectors`` has one row (doc, vector) per chunk, ``query_vectors`` (query, vector).
+    """
+    asks = query_vectors.select("query", F.col("vector").alias("_q"))
+    pairs = salted_join(candidates.select("query", "doc").distinct(), asks, ["query"])
+    rows = salted_join(pairs, doc_vectors.select("doc", F.col("vector").alias("_d")), ["doc"])
+    return rows.select("query", "doc", F.round(vectors.cosine(F.col("_q"), F.col("_d")), ROUND).alias("score"))
+
+
 def hybrid_sum(name_scores: DataFrame, chunk_scores: DataFrame, chunk_cosines: DataFrame, k: int = 10) -> DataFrame:
     """Text score of the name plus that of the chunks plus the best chunk cosine, if positive.
 
-    ``chunk_cosines`` has one row per query, document and chunk.
+    ``chunk_cosines`` has one row per matched query, document and chunk.
     """
     best = chunk_cosines.groupBy("query", "doc").agg(F.max("score").alias("score"))
     parts = name_scores.select("query", "doc", "score").unionByName(
@@ -173,7 +184,7 @@ def grouped(run: DataFrame, groups: DataFrame, doc: str, group: str, raw_top: in
     """
     named = salted_join(cut(run, raw_top).drop("rank"), groups.select(F.col(doc).alias("doc"), F.col(group).alias("group")), ["doc"])
     best = best_per_group(named, ["query", "group"], [-F.col("score"), F.col("doc")])
-    return cut(best, k)
+    return cut(best.select("query", "group", "doc", "score"), k)
 
 
 def accumulate(run: DataFrame, variants: DataFrame, k: int = 10) -> DataFrame:

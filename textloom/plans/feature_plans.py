@@ -266,7 +266,29 @@ def sample_diversity(t):
     return features.sample_diversity(t.embeddings, "vec_id", "embedding", trials=50)
 
 
-@plan("M19_diverse_selection")
+def diverse_sql(places):
+    """The greedy rule written out: one table expression per place."""
+    steps = ["p1 AS (SELECT label, vec_id, 1 AS place FROM cand WHERE rank = 1)"]
+    for i in range(2, places + 1):
+        steps.append(
+            f"g{i} AS (SELECT c.label, c.vec_id, c.rank, 0.7 * (1 - c.distance) - 0.3 * max(list_cosine_similarity(c.v, o.v)) AS gain "
+            f"FROM cand c JOIN p{i - 1} p ON p.label = c.label JOIN cand o ON o.vec_id = p.vec_id "
+            f"WHERE c.vec_id NOT IN (SELECT vec_id FROM p{i - 1}) GROUP BY c.label, c.vec_id, c.rank, c.distance)"
+        )
+        steps.append(
+            f"p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT label, vec_id, {i} FROM "
+            f"(SELECT *, row_number() OVER (PARTITION BY label ORDER BY gain DESC, rank) AS rn FROM g{i}) WHERE rn = 1)"
+        )
+    return f"""
+    WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS i FROM embeddings),
+    m AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2),
+    d AS (SELECT label, vec_id, round(sqrt(sum((v - m) * (v - m))), 9) AS distance FROM x JOIN m USING (label, i) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d),
+    cand AS (SELECT r.*, CAST(embedding AS DOUBLE[]) AS v FROM r JOIN embeddings USING (vec_id) WHERE rank <= 30),
+    {", ".join(steps)} SELECT label, vec_id, place FROM p{places}"""
+
+
+@plan("M19_diverse_selection", diverse_sql(10))
 def diverse_selection(t):
     near = frames.nearest_to_centroid(t.embeddings, "label", "embedding", "vec_id", 64, 30)
     rows = near.withColumn("relevance", 1 - F.col("distance")).drop("rank")

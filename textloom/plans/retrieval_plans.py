@@ -101,8 +101,9 @@ def hybrid_fusion(t):
     "R05_hybrid_sum",
     f"""
     WITH names AS (SELECT doc_id, substring(text, 1, 60) AS name FROM documents),
-    {bm25_sql()}, {bm25_sql('n', corpus='names', text='name')}, {COSINE_SQL},
-    c AS (SELECT query, doc // 5 AS doc, max(score) AS score FROM dscores GROUP BY 1, 2),
+    {bm25_sql()}, {bm25_sql('n', corpus='names', text='name')}, {COSINE_SQL}, near AS ({top_sql('dscores', 100)}),
+    cand AS (SELECT query, doc FROM scores UNION SELECT query, doc FROM nscores UNION SELECT query, doc // 5 FROM near),
+    c AS (SELECT query, cand.doc, max(round(s.score, 6)) AS score FROM cand JOIN dscores s USING (query) WHERE s.doc // 5 = cand.doc GROUP BY 1, 2),
     u AS (SELECT query, doc, score FROM scores UNION ALL SELECT query, doc, score FROM nscores UNION ALL SELECT query, doc, score FROM c),
     f AS (SELECT query, doc, round(sum(score), 6) AS score FROM u GROUP BY 1, 2)
     {top_sql('(SELECT * FROM f WHERE score > 0)', 10)}
@@ -110,11 +111,15 @@ def hybrid_fusion(t):
 )
 def hybrid_sum(t):
     names = t.documents.select("doc_id", F.substring("text", 1, 60).alias("name"))
-    name_scores = retrieval.bm25_scores(names, t.benchmark, "doc_id", "name", "item_id", "text")
-    # five vectors per document: all chunk cosines of every query
-    rows = t.embeddings.count()
-    cosines = dense_run(t, rows).select("query", F.floor(F.col("doc") / 5).cast("long").alias("doc"), "score")
-    return retrieval.hybrid_sum(name_scores, text_scores(t), cosines, 10)
+    name_scores = settle(retrieval.bm25_scores(names, t.benchmark, "doc_id", "name", "item_id", "text"))
+    chunk_scores = settle(text_scores(t))
+    # five vectors per document; matched are the text hits and the nearest hundred vectors
+    owner = F.floor(F.col("vec_id") / 5).cast("long")
+    doc_vectors = t.embeddings.select(owner.alias("doc"), F.col("embedding").alias("vector"))
+    asks = vector_queries(t).select(F.col("item_id").alias("query"), F.col("embedding").alias("vector"))
+    near = dense_run(t, 100).select("query", F.floor(F.col("doc") / 5).cast("long").alias("doc"))
+    matched = name_scores.select("query", "doc").unionByName(chunk_scores.select("query", "doc")).unionByName(near)
+    return retrieval.hybrid_sum(name_scores, chunk_scores, retrieval.candidate_cosines(matched, doc_vectors, asks), 10)
 
 
 @plan(
