@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates
 from textloom.functions.text import WHITESPACE, strip
-from textloom.scale import concat_parts, neighbourhood, running, settle
+from textloom.scale import concat_parts, neighbourhood, running, salted_join, settle
 
 # Patterns of a contents line, a contents entry in running text, a section
 # heading, a bare page number, a date range and any number.
@@ -67,7 +67,7 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
     """
     numbered = settle(running(pages.select("book", "page_num", "text"), ["book"], ["page_num"]))
     marked = numbered.where(F.col("text").contains("CONTENTS")).groupBy("book").agg(F.min("pos").alias("c"))
-    around = numbered.join(marked, "book", "left")
+    around = salted_join(numbered, settle(marked), ["book"], "left")
     listed = around.where((F.col("pos") == F.col("c")) | (F.col("pos") == F.col("c") + 1)).select(
         "book", "pos", F.posexplode(_listed(F.col("text"))).alias("k", "e")
     )
@@ -75,7 +75,8 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
     scattered = around.where(near).select(
         "book", "pos", F.posexplode(_scattered(F.col("text"))).alias("k", "e"),
         (F.col("c").isNotNull() | (F.col("pos") <= 10)).alias("early"),
-    ).join(listed.select("book").distinct(), "book", "left_anti")
+    )
+    scattered = salted_join(scattered, listed.select("book").distinct(), ["book"], "left_anti")
     found = listed.withColumn("early", F.lit(True)).unionByName(scattered)
     found = running(found.select("book", "pos", "k", "early", "e.roman", "e.title", "e.ref"),
                     ["book"], ["pos", "k"], position="nth")
@@ -85,7 +86,7 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
         shift = found.where("early").groupBy("book").agg(F.min(raw).alias("low")).select(
             "book", F.when(F.col("low") < UNPAGED, given - F.col("low")).otherwise(F.lit(0)).alias("shift")
         )
-        found = found.join(shift, "book", "left")
+        found = salted_join(found, settle(shift), ["book"], "left")
     else:
         found = found.withColumn("shift", F.lit(0))
     found = found.withColumn(
@@ -99,7 +100,7 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
         F.max("page_num").alias("stop"),
     )
     even = F.col("start") + (F.col("entry") - 1) * F.floor(F.col("stop") / (F.col("n") + 1))
-    return placed.join(size.join(span, "book"), "book").select(
+    return salted_join(placed, settle(size.join(span, "book")), ["book"]).select(
         "book",
         "entry",
         F.when(F.col("low") >= UNPAGED, even).otherwise(F.col("page_ref")).cast("int").alias("page_ref"),
@@ -110,9 +111,8 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
 
 def chapter_spans(toc: DataFrame, last_pages: DataFrame) -> DataFrame:
     """Contents rows with their last page: one before the next entry, or the book's last."""
-    ends = neighbourhood(
-        toc, ["book"], "entry", 0, 1, {"_next": F.nth_value("page_ref", 2)}
-    ).join(last_pages, "book")
+    ends = neighbourhood(toc, ["book"], "entry", 0, 1, {"_next": F.nth_value("page_ref", 2)})
+    ends = salted_join(ends, settle(last_pages), ["book"])
     return ends.select(
         *toc.columns, F.coalesce(F.col("_next") - 1, F.col("last_page")).cast("int").alias("end_page")
     )
@@ -137,7 +137,8 @@ def pages_in_chapters(pages: DataFrame, spans: DataFrame) -> DataFrame:
             F.concat("roman", F.lit(". "), "title").alias("chapter"),
         )
     )
-    rest = pages.where("page_num >= 1").join(spans.select("book").distinct(), "book", "left_anti").select(
+    listed = spans.select("book").distinct()
+    rest = salted_join(pages.where("page_num >= 1"), listed, ["book"], "left_anti").select(
         "book", "page_num", "text", F.lit(0).cast("long").alias("entry"),
         F.lit("Remaining Content").alias("chapter"),
     )

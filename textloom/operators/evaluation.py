@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.scale import fit_broadcast, running, salted_join, settle
+from textloom.scale import running, salted_join, settle
 
 TREE_BITS = 4
 
@@ -27,7 +27,7 @@ def hits_at_k(results: DataFrame, queries: DataFrame, k: int = 10, rule: str = "
     ``results`` has query, rank and true_labels; ``queries`` has query and query_label.
     Queries without results count zero.
     """
-    near = results.where(F.col("rank") <= k).join(fit_broadcast(queries.select("query", "query_label")), "query")
+    near = salted_join(results.where(F.col("rank") <= k), queries.select("query", "query_label"), ["query"])
     hit = matches(F.col("query_label"), F.col("true_labels"), rule).cast("long")
     found = near.groupBy("query").agg(F.sum(hit).alias("_hits"))
     hits = F.coalesce("_hits", F.lit(0).cast("long"))
@@ -74,7 +74,7 @@ def as_run(results: DataFrame, is_hybrid: bool = False) -> DataFrame:
 
 def _dense_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     values = df.select(*keys, value).distinct()
-    return df.join(running(values, keys, [value], position=name), [*keys, value])
+    return salted_join(df, settle(running(values, keys, [value], position=name)), [*keys, value])
 
 
 def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.scale import exact_quantiles, neighbourhood, running, top_per_group
+from textloom.scale import exact_quantiles, neighbourhood, running, salted_join, settle, top_per_group
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], top: int | None = None) -> DataFrame:
@@ -88,8 +88,8 @@ def moving_average(
 def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
     """Competition rank (equal values share the lowest place) in groups of any size."""
     placed = running(df, keys, [value, tie])
-    lowest = placed.groupBy(*keys, value).agg(F.min("pos").alias(name))
-    return placed.drop("pos").join(lowest, [*keys, value])
+    lowest = settle(placed.groupBy(*keys, value).agg(F.min("pos").alias(name), F.count(F.lit(1)).alias("_n")))
+    return salted_join(placed.drop("pos"), lowest.drop("_n"), [*keys, value], counts=lowest)
 
 
 def latest(df: DataFrame, keys: Sequence[str], moment: str, tie: str) -> DataFrame:
@@ -107,5 +107,5 @@ def nearest_to_centroid(
     )
     gap = F.zip_with(vector, "_centroid", lambda x, c: (x.cast("double") - c) * (x.cast("double") - c))
     away = F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)), 9)
-    rows = df.join(means, cluster).withColumn("distance", away).drop("_centroid")
+    rows = salted_join(df, settle(means), [cluster]).withColumn("distance", away).drop("_centroid")
     return top_per_group(rows, [cluster], [F.asc("distance"), F.asc(row_id)], n)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx, vectors
 from textloom.operators.similarity import top_k
 from textloom.scale import (
-    best_per_group, fit_broadcast, fits, running, salted_join, settle, top_per_group,
+    best_per_group, fits, running, salted_join, settle, top_per_group,
 )
 
 # The usual BM25 parameters of inverted-index stores.
@@ -126,7 +126,7 @@ def relative_scores(run: DataFrame) -> DataFrame:
     ends = run.groupBy("query").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     spread = F.col("_hi") - F.col("_lo")
     share = F.when(spread > 0, (F.col("score") - F.col("_lo")) / spread).otherwise(F.lit(1.0))
-    return run.join(ends, "query").select("query", "doc", share.alias("share"))
+    return salted_join(run, settle(ends), ["query"]).select("query", "doc", share.alias("share"))
 
 
 def fuse(sparse: DataFrame, dense_run: DataFrame, alpha: float = 0.5, k: int = 10) -> DataFrame:
@@ -189,7 +189,7 @@ def grouped(run: DataFrame, groups: DataFrame, doc: str, group: str, raw_top: in
 
 def accumulate(run: DataFrame, variants: DataFrame, k: int = 10) -> DataFrame:
     """Sum the scores a document got from the variants of a question: (question, doc, score)."""
-    summed = run.join(fit_broadcast(variants), "query").groupBy("question", "doc").agg(
+    summed = salted_join(run, variants, ["query"]).groupBy("question", "doc").agg(
         F.round(F.sum("score"), ROUND).alias("score")
     )
     return top_per_group(summed, ["question"], [F.desc("score"), F.asc("doc")], k)
@@ -246,7 +246,7 @@ def window_rerank(
     """
     hits = bm25(sentences, queries, "doc", "sentence", query, query_text, first)
     asked = queries.select(F.col(query).alias("query"), F.array_distinct(tx.terms(F.col(query_text))).alias("asked"))
-    rows = salted_join(hits.drop("rank"), sentences.select("doc", "window"), ["doc"]).join(fit_broadcast(asked), "query")
+    rows = salted_join(salted_join(hits.drop("rank"), sentences.select("doc", "window"), ["doc"]), asked, ["query"])
     if score is None:
         score = F.size(F.array_intersect("asked", tx.terms(F.col("window")))) / F.size("asked")
     again = rows.withColumn("again", F.round(score, ROUND))

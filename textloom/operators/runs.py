@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.scale import fit_broadcast, salted_join
+from textloom.scale import salted_join
 
 
 def resolve_algorithms(algorithms: DataFrame, classes: DataFrame) -> DataFrame:
@@ -48,12 +48,12 @@ def expand_matrix(
     ``groups`` has name, problems (array of struct env_id, total_timesteps) and algorithms
     (array of names). The expansion explodes the arrays of each group, so nothing is crossed.
     """
-    rows = (
+    asked = (
         groups.select(F.col("name").alias("experiment_name"), F.explode("problems").alias("p"), "algorithms")
         .select("experiment_name", "p.env_id", "p.total_timesteps", F.explode("algorithms").alias("algo_name"))
-        .join(fit_broadcast(incompatible), ["env_id", "algo_name"], "left_anti")
-        .join(algorithms, "algo_name")
     )
+    allowed = salted_join(asked, incompatible, ["env_id", "algo_name"], "left_anti")
+    rows = salted_join(allowed, algorithms, ["algo_name"])
     seeds = F.sequence(F.lit(0), F.lit(n_seeds - 1))
     return rows.withColumn("seed", F.explode(seeds)).select(
         "experiment_name",

@@ -201,14 +201,13 @@ def top_per_group(
     """First ``k`` rows of each group. ``order`` must be total.
 
     Up to the optimizer's group-limit threshold the cut runs before the shuffle; past it
-    the groups are first cut inside hash slices.
+    the groups are first cut inside each partition's rows.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
         slices = W.partitionBy(*keys, "_slice").orderBy(*order)
-        scalars = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
         df = (
-            df.withColumn("_slice", F.pmod(F.xxhash64(*scalars), F.lit(64)))
+            df.withColumn("_slice", F.spark_partition_id())
             .withColumn("_local", F.row_number().over(slices))
             .where(F.col("_local") <= k)
             .drop("_slice", "_local")
@@ -257,10 +256,12 @@ class Salted:
         )
         if self.heavy.isEmpty():
             return
-        rest = [f.name for f in self.big.schema.fields if not isinstance(f.dataType, T.MapType)]
-        self.salted = (
+        # written once: the salt follows the row's place, so equal copies of a row part too,
+        # and a re-run task cannot deal them anew
+        place = F.xxhash64(F.monotonically_increasing_id())
+        self.salted = settle(
             self.big.join(fit_broadcast(self.heavy), self.on, "left")
-            .withColumn("_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_salts", F.lit(1))).cast("int"))
+            .withColumn("_salt", F.pmod(place, F.coalesce("_salts", F.lit(1))).cast("int"))
             .drop("_salts")
         )
 
