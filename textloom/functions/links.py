@@ -13,19 +13,22 @@ SKIPPED_PREFIXES = ("File:", "Category:", "Image:")
 # Addresses of images, left out of a crawl.
 IMAGE_PATTERN = r".*\.(jpg|jpeg|png|gif|webp|svg|ico|bmp)$"
 
-LINK_TYPE = "array<struct<page:string,section:string>>"
+# Patterns of links, headings, note ids and paper ids.
+WIKITEXT_LINK = r"\[\[([^\]]+)\]"
+HEADING = r"(?md)^(=+)\s*([^=]+?)\s*\1\s*$"
+WIKI_LINK = r"\[\[(.*?)\]\]"
+NOTE_LINK = r"(?<=\[\[id:)([a-zA-Z0-9\-]+)(?=\]\[)"
+FILE_DATE = r"(?s)^([^0-9]*)([0-9]+)(.*)$"
+ARXIV_ID = r"arXiv:(\d+\.\d+)"
 
 
 def wikitext_links(text: Column) -> Column:
     """``[[page#section|label]]`` targets as structs; section-only links have a null page."""
     targets = F.transform(
-        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[\[([^\]]+)\]"), F.lit(1)),
+        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WIKITEXT_LINK), F.lit(1)),
         lambda m: F.split(m, r"\|", 2)[0],
     )
-    kept = F.filter(
-        targets,
-        lambda t: ~(t.startswith("File:") | t.startswith("Category:") | t.startswith("Image:")),
-    )
+    kept = F.filter(targets, lambda t: ~t.rlike(f"^({'|'.join(SKIPPED_PREFIXES)})"))
     return F.transform(
         kept,
         lambda t: F.struct(
@@ -37,9 +40,6 @@ def wikitext_links(text: Column) -> Column:
     )
 
 
-HEADING = r"(?md)^(=+)\s*([^=]+?)\s*\1\s*$"
-
-
 def wikitext_headings(text: Column) -> Column:
     """``== title ==`` lines as structs of level and title."""
     text = F.coalesce(text, F.lit(""))
@@ -54,13 +54,13 @@ def wikitext_headings(text: Column) -> Column:
 
 def wiki_links(text: Column) -> Column:
     """Second dialect: shortest ``[[...]]``, no ``[[!`` directives, each once."""
-    found = F.regexp_extract_all(text, F.lit(r"\[\[(.*?)\]\]"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(WIKI_LINK), F.lit(1))
     return F.array_distinct(F.filter(found, lambda t: ~t.startswith("!")))
 
 
 def note_links(text: Column) -> Column:
     """Ids between ``[[id:`` and ``][``."""
-    return F.regexp_extract_all(text, F.lit(r"(?<=\[\[id:)([a-zA-Z0-9\-]+)(?=\]\[)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(NOTE_LINK), F.lit(1))
 
 
 def note_id(text: Column) -> Column:
@@ -76,9 +76,8 @@ def note_path(path: Column) -> Column:
     trimmed = lambda part: F.regexp_replace(
         F.regexp_replace(part, r"^/+|/+$", ""), r"^-+|-+$", ""
     )
-    pattern = r"(?s)^([^0-9]*)([0-9]+)(.*)$"
     has = F.regexp_like(path, F.lit(r"[0-9]"))
-    part = lambda i: F.when(has, trimmed(F.regexp_extract(path, pattern, i)))
+    part = lambda i: F.when(has, trimmed(F.regexp_extract(path, FILE_DATE, i)))
     return F.struct(
         part(1).alias("root_path"), part(2).alias("date"), part(3).alias("name"), path.alias("path")
     )
@@ -107,7 +106,7 @@ def url_host(url: Column) -> Column:
 
 
 def arxiv_id(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"arXiv:(\d+\.\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, ARXIV_ID, 1), F.lit(""))
 
 
 def citation_year(ref_name: Column) -> Column:

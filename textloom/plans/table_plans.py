@@ -42,13 +42,11 @@ def require_columns(t):
 @plan(
     "P03_min_tokens",
     r"""
-    SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS INTEGER) AS tokens
-    FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 64
+    SELECT doc_id, lang, n_chars FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 64
     """,
 )
 def min_tokens(t):
-    count = F.size(tx.words(F.col("text")))
-    return corpus.min_tokens(t.documents, 64).select("doc_id", count.alias("tokens"))
+    return corpus.min_tokens(t.documents, 64).select("doc_id", "lang", "n_chars")
 
 
 @plan(
