@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from textloom.scale import running, top_per_group
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+MATRIX_ENTRIES = 4_000_000
 
 
 def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
@@ -205,16 +206,18 @@ def top_k(
     schema = f"query {kind}, row long, score double"
 
     def best(ask_ids, ask_matrix, ids, matrix):
-        scores = np.round(ask_matrix @ matrix.T, 9)
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        take = np.take_along_axis(scores, order, axis=1)
-        return pd.DataFrame(
-            {
-                "query": np.repeat(ask_ids, order.shape[1]),
-                "row": ids[order].reshape(-1),
-                "score": take.reshape(-1),
-            }
-        )
+        """At least the k best per query: all that reach the k-th score of this batch."""
+        step = max(1, MATRIX_ENTRIES // max(len(ids), 1))
+        parts = []
+        for lo in range(0, len(ask_ids), step):
+            scores = np.round(ask_matrix[lo : lo + step] @ matrix.T, 9)
+            if scores.shape[1] > k:
+                floor = np.partition(scores, -k, axis=1)[:, -k]
+                asked, at = np.nonzero(scores >= floor[:, None])
+            else:
+                asked, at = (i.reshape(-1) for i in np.indices(scores.shape))
+            parts.append(pd.DataFrame({"query": ask_ids[lo + asked], "row": ids[at], "score": scores[asked, at]}))
+        return _cut(pd.concat(parts), k)
 
     first = asks.first()
     width = len(first["vec"]) if first else 1
@@ -233,11 +236,9 @@ def top_k(
                 if not len(batch):
                     continue
                 found = best(names, matrix, batch["id"].to_numpy(), _matrix(batch["vec"]))
-                held = found if held is None else pd.concat([held, found])
-                if len(held) > 4 * k * len(names):
-                    held = _cut(held, k)
+                held = found if held is None else _cut(pd.concat([held, found]), k)
             if held is not None:
-                yield _cut(held, k)
+                yield held
 
         local = docs.mapInPandas(scan, schema)
     else:

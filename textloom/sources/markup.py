@@ -6,6 +6,7 @@ row in and one nested row out, so the work follows Spark's partitions.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,69 +25,75 @@ PARSED = (
 
 
 class _Page(HTMLParser):
+    """Collects the texts of the wanted elements while they are open.
+
+    An open element remembers its depth; it is closed when the stack falls below that.
+    """
+
     def __init__(self, block_tag: str, block_class: str, list_class: str):
         super().__init__(convert_charrefs=True)
         self.block_tag, self.list_class = block_tag, list_class
         self.block_class = set(block_class.split())
-        self.open: list[tuple[str, set]] = []
+        self.stack: list[str] = []
+        self.count: Counter = Counter()
         self.titles: list[str] = []
-        self.title_done = self.block_done = False
+        self.title_done = False
         self.block: list[str] | None = None
         self.body: list[str] = []
-        self.anchors: list[list] = []
-        self.items: list[list[list]] = []
+        self.anchors: list[tuple[str, list[str]]] = []
+        self.items: list[list[list[str]]] = []
+        self.list_depth = 0
+        self.collecting: list[tuple[int, list[str]]] = []
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        classes = set((attrs.get("class") or "").split())
         if tag in VOID:
             return
-        in_list = any(t == "ul" and self.list_class in c for t, c in self.open)
-        self.open.append((tag, classes))
+        self.stack.append(tag)
+        self.count[tag] += 1
+        depth = len(self.stack)
+        attrs = dict(attrs)
+        classes = (attrs.get("class") or "").split()
         if tag == "a" and attrs.get("href") is not None:
-            self.anchors.append([attrs["href"], [], len(self.open)])
-        if tag == self.block_tag and self.block_class <= classes and self.block is None:
-            self.block, self.block_depth = [], len(self.open)
-        if in_list and tag == "li":
+            self.anchors.append((attrs["href"], self._open(depth)))
+        if tag == self.block_tag and self.block is None and self.block_class.issubset(classes):
+            self.block = self._open(depth)
+        if tag == "ul" and self.list_class in classes and not self.list_depth:
+            self.list_depth = depth
+        elif self.list_depth and tag == "li":
             self.items.append([])
-        elif in_list and tag == "span" and self.items:
-            self.items[-1].append([[], len(self.open)])
+        elif self.list_depth and tag == "span" and self.items:
+            self.items[-1].append(self._open(depth))
+
+    def _open(self, depth):
+        text: list[str] = []
+        self.collecting.append((depth, text))
+        return text
 
     def handle_endtag(self, tag):
-        depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if depth is None:
+        if not self.count[tag]:
             return
+        while True:
+            last = self.stack.pop()
+            self.count[last] -= 1
+            if last == tag:
+                break
         if tag == "title":
             self.title_done = True
-        if self.block is not None and depth < self.block_depth:
-            self.block_done = True
-        for anchor in self.anchors:
-            if anchor[2] is not None and depth < anchor[2]:
-                anchor[2] = None
-        if self.items:
-            for span in self.items[-1]:
-                if span[1] is not None and depth < span[1]:
-                    span[1] = None
-        del self.open[depth:]
+        depth = len(self.stack)
+        if depth < self.list_depth:
+            self.list_depth = 0
+        self.collecting = [c for c in self.collecting if c[0] <= depth]
 
     def handle_data(self, data):
-        tags = [t for t, _ in self.open]
-        if "script" in tags or "style" in tags:
+        if self.count["script"] or self.count["style"]:
             return
-        if "title" in tags:
+        if self.count["title"]:
             if not self.title_done:
                 self.titles.append(data)
             return
         self.body.append(data)
-        if self.block is not None and not self.block_done:
-            self.block.append(data)
-        for anchor in self.anchors:
-            if anchor[2] is not None:
-                anchor[1].append(data)
-        if self.items and "li" in tags:
-            for span in self.items[-1]:
-                if span[1] is not None:
-                    span[0].append(data)
+        for _, text in self.collecting:
+            text.append(data)
 
 
 def parse_pages(
@@ -116,8 +123,8 @@ def parse_pages(
                         "".join(page.titles) if page.titles else None,
                         block,
                         " ".join("".join(page.body).split()),
-                        [{"href": h, "label": "".join(label)} for h, label, _ in page.anchors],
-                        [["".join(span[0]) for span in item] for item in page.items],
+                        [{"href": h, "label": "".join(label)} for h, label in page.anchors],
+                        [["".join(span) for span in item] for item in page.items],
                     )
                 )
             out = batch[keep].copy()

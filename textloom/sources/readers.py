@@ -32,14 +32,15 @@ def read_csv(spark: SparkSession, path, schema=None, sep: str = ",", multi_line:
     return reader.csv(path)
 
 
-def load_documents(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A document table from a .csv or .jsonl path."""
+def load_documents(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """A document table from a .csv or .jsonl path. Large CSV files without line breaks inside
+    quotes should be read with ``multi_line=False``, which lets Spark split them."""
     name = _stem(path)
     if name.endswith(".jsonl"):
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.json(path)
     if name.endswith(".csv"):
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line=multi_line)
     raise ValueError(f"unsupported file format: {path}; use .csv or .jsonl")
 
 
