@@ -479,11 +479,16 @@ def hyperbolicity(dist: DataFrame, block_rows: int = 512) -> DataFrame:
 
 
 def sampled_hyperbolicity(dist: DataFrame, samples: int, seed: int = 42) -> DataFrame:
-    """Largest gap over ``samples`` random quadruples, as a lower bound with its sample size."""
+    """Half the largest gap over ``samples`` random quadruples of the sources, as a lower bound
+    with its sample size. Draws are digests, so a re-run task draws the same."""
     names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
     n = names.count()
     spark = dist.sparkSession
-    pick = lambda i: F.pmod(F.xxhash64(F.col("q"), F.lit(seed), F.lit(i)), F.lit(n)) + 1
+
+    def pick(i):
+        digest = F.md5(F.concat_ws(":", F.col("q").cast("string"), F.lit(str(seed)), F.lit(str(i))))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n + 1
+
     rows = spark.range(samples).withColumnRenamed("id", "q").select("q", *[pick(i).alias(f"n{i}") for i in range(4)])
     rows = rows.where("n0 <> n1 and n0 <> n2 and n0 <> n3 and n1 <> n2 and n1 <> n3 and n2 <> n3")
     for i in range(4):

@@ -317,7 +317,23 @@ def hyperbolicity(t):
     return graphs.hyperbolicity(settle(graphs.distances(profile(t)))).select("delta", "diameter", "n")
 
 
-@plan("G14_sampled_hyperbolicity")
+@plan(
+    "G14_sampled_hyperbolicity",
+    f"""
+    WITH RECURSIVE {PLACES_SQL}, {distance_sql('se')},
+    ids AS (SELECT src AS id, row_number() OVER (ORDER BY src) AS n FROM (SELECT DISTINCT src FROM dist)),
+    draws AS (SELECT q, i, CAST('0x' || substr(md5(CAST(q AS VARCHAR) || ':42:' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT count(*) FROM ids) + 1 AS n
+              FROM range(20000) r(q), range(4) s(i)),
+    p AS (SELECT q, max(CASE WHEN i = 0 THEN id END) AS a, max(CASE WHEN i = 1 THEN id END) AS b,
+                 max(CASE WHEN i = 2 THEN id END) AS c, max(CASE WHEN i = 3 THEN id END) AS d
+          FROM draws JOIN ids USING (n) GROUP BY 1 HAVING count(DISTINCT id) = 4),
+    s AS (SELECT ab.d + cd.d AS s1, ac.d + bd.d AS s2, ad.d + bc.d AS s3 FROM p
+      JOIN dist ab ON ab.src = a AND ab.dst = b JOIN dist cd ON cd.src = c AND cd.dst = p.d
+      JOIN dist ac ON ac.src = a AND ac.dst = c JOIN dist bd ON bd.src = b AND bd.dst = p.d
+      JOIN dist ad ON ad.src = a AND ad.dst = p.d JOIN dist bc ON bc.src = b AND bc.dst = c)
+    SELECT max(greatest(s1, s2, s3) - (s1 + s2 + s3 - greatest(s1, s2, s3) - least(s1, s2, s3))) / 2.0::DOUBLE AS delta, count(*) AS quadruples FROM s
+    """,
+)
 def sampled_hyperbolicity(t):
     return graphs.sampled_hyperbolicity(settle(graphs.distances(places(t))), 20_000)
 
