@@ -17,7 +17,7 @@ from textloom.sources import writers
     "D01_doc_collection",
     rf"""
     WITH kept AS (
-      SELECT doc_id, substring(text, 1, 10) AS title, regexp_replace(substring(text, 1, 1024), '{WS}', ' ', 'g') AS content,
+      SELECT doc_id, string_split(text, chr(10))[1] AS title, regexp_replace(substring(text, 1, 1024), '{WS}', ' ', 'g') AS content,
              '[' || lang || ', ' || source || ']' AS tasks
       FROM documents WHERE length(text) > 0
         AND length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text) > 0.9),
@@ -27,7 +27,7 @@ from textloom.sources import writers
     """,
 )
 def doc_collection(t):
-    docs = t.documents.select("doc_id", "text", F.substring("text", 1, 10).alias("title"), F.array("lang", "source").alias("tasks"))
+    docs = t.documents.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"), F.array("lang", "source").alias("tasks"))
     built = corpus.build_collection(docs, "text", ["doc_id"], "title", extra=["tasks"])
     path = scratch_path(t.spark)
     writers.write_tsv(built, path)
@@ -164,8 +164,7 @@ def page_links(t):
     WITH a AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages),
     l AS (SELECT DISTINCT 'http://' || host || '/' AS src, 'http://' || host || href AS dst FROM a
           UNION SELECT 'http://' || host || '/', 'http://' || lower(substring(href, 2, 40)) || '.example.com/' FROM a),
-    s AS (SELECT DISTINCT 'http://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' AS url FROM pages
-          WHERE url LIKE '%.example.com/%'),
+    s AS (SELECT DISTINCT 'http://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' AS url FROM pages),
     d1 AS (SELECT DISTINCT s.url AS start, dst AS url FROM s JOIN l ON src = s.url
            WHERE regexp_extract(dst, '^http://([^/]*)', 1) = regexp_extract(s.url, '^http://([^/]*)', 1) AND dst <> s.url
              AND NOT regexp_matches(dst, '\\.(jpg|jpeg|png|gif|webp|svg|ico|bmp)$')),
@@ -179,9 +178,7 @@ def page_links(t):
 def crawl_frontier(t):
     from textloom.operators.graphs import crawl
 
-    starts = t.pages.where(F.col("url").contains(".example.com/")).select(
-        F.concat(F.lit("http://"), links.url_host(F.col("url")), F.lit("/")).alias("url")
-    ).distinct()
+    starts = t.pages.select(F.concat(F.lit("http://"), links.url_host(F.col("url")), F.lit("/")).alias("url")).distinct()
     return crawl(settle(page_links(t)), settle(starts), depth=2)
 
 

@@ -403,11 +403,11 @@ def mean_by_category(t):
     "A12_daily_means",
     """
     SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS value, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS k
-    FROM events WHERE user_id < 100 GROUP BY 1
+    FROM events WHERE value > 5 GROUP BY 1
     """,
 )
 def daily_means(t):
-    rows = t.events.where("user_id < 100").select(
+    rows = t.events.where("value > 5").select(
         F.to_date("ts").alias("day"), "value", F.get_json_object("props", "$.k").cast("double").alias("k")
     )
     out = frames.group_means(rows, ["day"], ["value", "k"])

@@ -100,7 +100,7 @@ def hybrid_fusion(t):
 @plan(
     "R05_hybrid_sum",
     f"""
-    WITH names AS (SELECT doc_id, substring(text, 1, 60) AS name FROM documents),
+    WITH names AS (SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents),
     {bm25_sql()}, {bm25_sql('n', corpus='names', text='name')}, {COSINE_SQL}, near AS ({top_sql('dscores', 100)}),
     cand AS (SELECT query, doc FROM scores UNION SELECT query, doc FROM nscores UNION SELECT query, doc // 5 FROM near),
     c AS (SELECT query, cand.doc, max(round(s.score, 6)) AS score FROM cand JOIN dscores s USING (query) WHERE s.doc // 5 = cand.doc GROUP BY 1, 2),
@@ -110,7 +110,7 @@ def hybrid_fusion(t):
     """,
 )
 def hybrid_sum(t):
-    names = t.documents.select("doc_id", F.substring("text", 1, 60).alias("name"))
+    names = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("name"))
     name_scores = settle(retrieval.bm25_scores(names, t.benchmark, "doc_id", "name", "item_id", "text"))
     chunk_scores = settle(text_scores(t))
     # five vectors per document; matched are the text hits and the nearest hundred vectors

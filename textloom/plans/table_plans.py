@@ -303,13 +303,13 @@ def page_cap(t):
     "U01_dedup_by_title",
     """
     SELECT title, doc_id, n_chars FROM (
-      SELECT substring(text, 1, 12) AS title, doc_id, n_chars,
-             row_number() OVER (PARTITION BY substring(text, 1, 12) ORDER BY doc_id) AS rn FROM documents)
+      SELECT string_split(text, chr(10))[1] AS title, doc_id, n_chars,
+             row_number() OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS rn FROM documents)
     WHERE rn = 1
     """,
 )
 def dedup_by_title(t):
-    rows = t.documents.select(F.substring("text", 1, 12).alias("title"), "doc_id", "n_chars")
+    rows = t.documents.select(F.substring_index("text", "\n", 1).alias("title"), "doc_id", "n_chars")
     return corpus.dedup_first(rows, ["title"], ["doc_id"])
 
 
