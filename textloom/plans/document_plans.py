@@ -206,6 +206,28 @@ def paragraphs(t):
     return book_text(t).select("s_suppkey", F.posexplode(found).alias("no", "paragraph"))
 
 
+def stripped(x):
+    return f"regexp_replace(regexp_replace({x}, '^{WS}', ''), '{WS}$', '')"
+
+
+@plan(
+    "W05_document_paragraphs",
+    rf"""
+    WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: [x, {stripped('x')}]) AS pairs FROM documents),
+    k AS (SELECT doc_id, list_filter(pairs, lambda p: p[2] <> '---' AND (p[2] = '' OR regexp_matches(p[1], '^(PART|CHAPTER)[	 ]+[IVXLCDM]+')
+            OR NOT (regexp_matches(p[1], '^\s*(\d+|[IVXLCDM]+)\s*$') OR (regexp_matches(p[2], '\d{{4}}[-–—]\d{{4}}') AND length(p[2]) < 80)))) AS kept FROM l),
+    j AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(array_to_string(list_transform(kept, lambda p: p[2]), chr(10)), '
+
++'),
+            lambda x: {stripped(f"regexp_replace(x, '{WS}', ' ', 'g')")}), lambda x: x <> '') AS parts FROM k)
+    SELECT doc_id, CAST(i AS INTEGER) AS no, md5(parts[i + 1]) AS digest FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM j)
+    """,
+)
+def document_paragraphs(t):
+    found = t.documents.select("doc_id", F.posexplode(books.paragraphs(F.col("text"))).alias("no", "paragraph"))
+    return found.select("doc_id", "no", F.md5("paragraph").alias("digest"))
+
+
 @plan(
     "D09_book_sections",
     """
