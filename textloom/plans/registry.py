@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.scale import spread
+from textloom.session import ship
 
 # Tables with heavy work per row: a small single file must not keep all but one core idle.
 TEXT_TABLES = ("documents", "pages")
@@ -36,7 +37,11 @@ def plan(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = textwrap.dedent(sql).strip()
         return fn

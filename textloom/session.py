@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Runtime settings: AQE splits oversized join partitions, and the codec keeps
@@ -16,9 +20,24 @@ RUNTIME_SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it by name. Once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="textloom-code-")) / "textloom.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._textloom_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
