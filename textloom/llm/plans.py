@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import quality, sharding
+from textloom.llm import bpe, packing, quality, sharding
 from textloom.llm.registry import query
 
 SHARDS = 24
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@query("op1_tiered_packing", "documents")
+def tiered_packing(docs: DataFrame) -> DataFrame:
+    tokens = packing.load_tokens(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return packing.pack(docs, "doc_id", "text", tokens)
+
+
+@query("op5_merge_automaton", "documents")
+def merge_automaton(docs: DataFrame) -> DataFrame:
+    return bpe.round_trip(docs, "doc_id", "text", public_tokenizers.path(VOCABULARY))
 
 
 @query("op8_rendezvous_shards", "documents")
