@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, packing, quality, sharding
+from textloom.llm import bpe, packing, quality, sharding, simhash
 from textloom.llm.registry import query
 
 SHARDS = 24
@@ -93,3 +93,10 @@ def threshold_rules(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),
     )
+
+
+@query("op10_popcount_grid", "documents")
+def popcount_grid(docs: DataFrame) -> DataFrame:
+    return simhash.near_duplicates(docs, "doc_id", "text").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
