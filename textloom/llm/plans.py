@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, packing, quality, sharding, simhash
+from textloom.llm import bpe, html_density, packing, quality, sharding, simhash
 from textloom.llm.registry import query
 
 SHARDS = 24
@@ -100,3 +100,8 @@ def popcount_grid(docs: DataFrame) -> DataFrame:
     return simhash.near_duplicates(docs, "doc_id", "text").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op9_text_density", "pages")
+def text_density(pages: DataFrame) -> DataFrame:
+    return html_density.extract(pages.select("page_id", "url", "html"), "html")
