@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, html_density, packing, quality, sharding, simhash
+from textloom.llm import bpe, html_density, packing, pii, pq, quality, sharding, simhash
 from textloom.llm.registry import query
 
 SHARDS = 24
@@ -105,3 +105,13 @@ def popcount_grid(docs: DataFrame) -> DataFrame:
 @query("op9_text_density", "pages")
 def text_density(pages: DataFrame) -> DataFrame:
     return html_density.extract(pages.select("page_id", "url", "html"), "html")
+
+
+@query("op7_shape_field", "documents")
+def shape_field(docs: DataFrame) -> DataFrame:
+    return pii.find(docs, "doc_id", "text")
+
+
+@query("op4_product_quantisation", "embeddings")
+def product_quantisation(vectors: DataFrame) -> DataFrame:
+    return pq.near_duplicates(vectors, "vec_id", "embedding")
