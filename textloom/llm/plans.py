@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, html_density, packing, pii, pq, quality, sharding, simhash
+from textloom.llm import bpe, html_density, line_templates, packing, pii, pq, quality, sharding, simhash
 from textloom.llm.registry import query
 
 SHARDS = 24
@@ -115,3 +115,53 @@ def shape_field(docs: DataFrame) -> DataFrame:
 @query("op4_product_quantisation", "embeddings")
 def product_quantisation(vectors: DataFrame) -> DataFrame:
     return pq.near_duplicates(vectors, "vec_id", "embedding")
+
+
+@query(
+    "op2_line_templates",
+    "documents",
+    """
+    WITH lines AS (
+        SELECT doc_id, md5(coalesce(text, '')) AS body, unnest(range(len(l))) AS pos, unnest(l) AS line
+        FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+    ), parsed AS (
+        SELECT doc_id, body, pos, list_filter(string_split_regex(regexp_replace(line,
+                   '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+        FROM lines
+    ), leaves AS (
+        SELECT doc_id, body, pos, words, array_to_string(words, ' ') AS sign,
+               {'n': len(words), 'a': words[1], 'b': words[2], 'c': words[3]} AS leaf
+        FROM parsed WHERE len(words) >= 3
+    ), signs AS (
+        SELECT leaf, sign, any_value(words) AS words FROM leaves GROUP BY leaf, sign
+    ), shared AS (
+        SELECT * FROM signs WHERE leaf IN (SELECT leaf FROM signs GROUP BY leaf HAVING count(*) > 1)
+    ), places AS (
+        SELECT leaf, unnest(range(len(words))) AS place, unnest(words) AS word FROM shared
+    ), usual AS (
+        SELECT leaf, place, max({'n': n, 'word': word}).word AS word
+        FROM (SELECT leaf, place, word, count(*) AS n FROM places GROUP BY ALL) GROUP BY leaf, place
+    ), templates AS (
+        SELECT leaf, list(word ORDER BY place) AS template FROM usual GROUP BY leaf
+    ), merged AS (
+        SELECT leaf, sign FROM shared JOIN templates USING (leaf)
+        WHERE len(list_filter(range(1, len(words) + 1), lambda i: words[i] = template[i])) >= 0.8 * len(words)
+    ), named AS (
+        SELECT l.*, CASE WHEN m.sign IS NULL THEN l.sign END AS own
+        FROM leaves l LEFT JOIN merged m ON l.leaf = m.leaf AND l.sign = m.sign
+    ), groups AS (
+        SELECT leaf, own, min({'d': doc_id, 'b': body, 'p': pos}) AS first FROM named
+        GROUP BY leaf, own HAVING count(DISTINCT body) > 1
+    ), dropped AS (
+        SELECT doc_id, count(*) AS n, list(pos) AS pos
+        FROM named n JOIN groups g ON n.leaf = g.leaf AND n.own IS NOT DISTINCT FROM g.own
+        WHERE n.body <> g.first.b OR n.pos <> g.first.p GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(x.n, 0) AS n_dropped,
+           CASE WHEN x.n IS NULL THEN text ELSE coalesce((SELECT string_agg(t.line, chr(10) ORDER BY t.pos) FROM lines t
+               WHERE t.doc_id = d.doc_id AND NOT list_contains(x.pos, t.pos)), '') END AS text
+    FROM documents d LEFT JOIN dropped x USING (doc_id)
+    """,
+)
+def drop_line_templates(docs: DataFrame) -> DataFrame:
+    return line_templates.drop_recurring(docs.select("doc_id", "text"), "doc_id", "text", ("n_lines", "n_dropped"))
