@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, html_density, line_templates, packing, pii, pq, quality, sharding, simhash
+from textloom.llm import bpe, html_density, line_templates, packing, pii, pq, quality, secret_scan, sharding, simhash
 from textloom.llm.registry import query
 
 SHARDS = 24
@@ -165,3 +165,9 @@ def product_quantisation(vectors: DataFrame) -> DataFrame:
 )
 def drop_line_templates(docs: DataFrame) -> DataFrame:
     return line_templates.drop_recurring(docs.select("doc_id", "text"), "doc_id", "text", ("n_lines", "n_dropped"))
+
+
+@query("op3_secret_forest", "documents")
+def secret_forest(docs: DataFrame) -> DataFrame:
+    found = secret_scan.scan(docs.select("doc_id", "source", "text"), "text", path="source")
+    return found.select("doc_id", "start", "end", "kind", F.round("score", 6).alias("score"), "secret")
