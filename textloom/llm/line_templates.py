@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.names import fresh, others
 from textloom.scale import Salted, fit_broadcast, settle
 
 WHITE = "[\\x20\\x09-\\x0D]"
@@ -93,19 +94,18 @@ def drop_recurring(df: DataFrame, key: str, text: str, counts: tuple[str, str] |
     rows. ``counts`` names two columns to add, for lines and dropped lines; columns of ``df`` with
     these names are replaced.
     """
-    drops = settle(recurring_lines(df.select(key, text), key, text)).select(
-        F.col("key").alias("_drop_key"), F.col("body").alias("_drop_body"), F.col("drop").alias("_drop_at")
-    )
-    same = F.col(key).eqNullSafe(F.col("_drop_key")) & (F.xxhash64(text) == F.col("_drop_body"))
+    of, body, at = fresh(df, "_of", "_body", "_at")
+    drops = settle(recurring_lines(df.select(key, text), key, text)).toDF(of, body, at)
+    same = F.col(key).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(body))
     lines = F.split(F.col(text), "\n")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop_at")))
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at)))
     left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))[0]
     joined = df.join(fit_broadcast(drops), same, "left")
-    names = [c for c in df.columns if c not in (counts or ())]
-    made = [F.when(F.col("_drop_at").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in names]
+    names = others(df, counts or ())
+    made = [F.when(F.col(at).isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in names]
     if counts:
         made += [
             F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
-            F.coalesce(F.size("_drop_at"), F.lit(0)).cast("long").alias(counts[1]),
+            F.coalesce(F.size(at), F.lit(0)).cast("long").alias(counts[1]),
         ]
     return joined.select(*made)

@@ -179,7 +179,7 @@ def _rows(windows: list[list[tuple]], sequence: int, group: int, step_tokens: in
         at, size = 0, sum(p[2] for p in window)
         for (key, ids), start, length in window:
             part = ids[start : start + length]
-            row = (key, start, length, zlib.crc32(part), len(ids), sequence + i, at, size, groups[i], part if keep_ids else None)
+            row = (key, start, length, zlib.crc32(part), len(ids), sequence + i, at, size, groups[i], part.astype(np.int32) if keep_ids else None)
             for column, value in zip(columns, row):
                 column.append(value)
             at += length
@@ -202,7 +202,7 @@ def pack(
         raise ValueError("tiers must be powers of two")
     shared = df.sparkSession.sparkContext.broadcast(tokens)
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, {PIECE}" + (", ids array<long>" if keep_ids else "")
+    schema = f"`{key}` {kind}, {PIECE}" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest, base = tiers[-1], TaskContext.get().partitionId() << 33
@@ -214,7 +214,7 @@ def pack(
             ready.extend(pack_pool(pool, tiers, last))
             columns, sequence, group = _rows(ready, sequence, group, step_tokens, keep_ids)
             ready, held = [], 0
-            kinds = [key_type, *[pa.int64()] * 6, pa.int32(), pa.int64()] + [pa.list_(pa.int64())] * keep_ids
+            kinds = [key_type, *[pa.int64()] * 6, pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
             names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group"]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=names + ["ids"] * keep_ids

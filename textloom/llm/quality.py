@@ -12,10 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.names import fresh, others
+
+BLANKS = " \t\n\x0b\x0c\r"
 WHITE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+VERDICTS = ("base_failed", "failed_rules", "kept")
 
 # Frequent function words of the corpus languages (English, German, French, Spanish).
 STOP_WORDS = (
@@ -98,38 +102,57 @@ def _repeated(words: Column) -> Column:
     return F.when(last < 1, 0).when(~some, 0).otherwise(exact(words)).cast("long")
 
 
-def text_counts(df: DataFrame, text: str, words: str = "_words", lines: str = "_lines") -> DataFrame:
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_exclamations", "n_upper", "n_lines", "n_dup_lines", "n_stop_words",
+    "n_repeat_words",
+)
+
+
+def _words(source: Column) -> Column:
+    return F.filter(F.split(source, WHITE + "+"), lambda w: w != "")
+
+
+def _lines(source: Column) -> Column:
+    return F.filter(F.split(source, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+
+
+def _counts(source: Column, words: Column, lines: Column) -> list[Column]:
+    """The columns of ``COUNTS``, in that order, from a text, its words and its lines with a word."""
+    plain = F.length(source)
+    found = (
+        F.size(words),
+        _count_outside(source, BLANKS),
+        plain - _count_outside(source, SYMBOLS),
+        plain - _count_outside(source, "!"),
+        plain - F.length(F.regexp_replace(source, "\\p{Lu}", "")),
+        F.size(lines),
+        F.size(lines) - F.size(F.array_distinct(lines)),
+        F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
+        _repeated(words),
+    )
+    return [c.cast("long").alias(n) for n, c in zip(COUNTS, found)]
+
+
+def text_counts(df: DataFrame, text: str) -> DataFrame:
     """``df`` with one long column per count of the whole text; a null text counts as empty.
 
-    n_words, word_chars (code points in words), n_symbols, n_exclamations, n_upper (A-Z and capital
-    letters outside it), n_lines and n_dup_lines (lines with a word; those equal to an earlier one),
-    n_stop_words, n_repeat_words.
+    n_words, word_chars (code points in words), n_symbols, n_exclamations, n_upper (capital letters),
+    n_lines and n_dup_lines (lines with a word; those equal to an earlier one), n_stop_words,
+    n_repeat_words. Columns of ``df`` with these names are replaced.
     """
+    words, lines = fresh(df, "_words", "_lines")
     source = F.coalesce(F.col(text), F.lit(""))
-    plain = F.length(source)
-    split = df.withColumn(words, F.filter(F.split(source, WHITE + "+"), lambda w: w != "")).withColumn(
-        lines, F.filter(F.split(source, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
-    )
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return split.select(
-        *df.columns,
-        F.size(words).cast("long").alias("n_words"),
-        _count_outside(source, " \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
-        (plain - _count_outside(source, SYMBOLS)).cast("long").alias("n_symbols"),
-        (plain - _count_outside(source, "!")).cast("long").alias("n_exclamations"),
-        (plain - F.length(F.regexp_replace(source, "\\p{Lu}", ""))).cast("long").alias("n_upper"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        _repeated(F.col(words)).alias("n_repeat_words"),
-    )
+    split = df.withColumn(words, _words(source)).withColumn(lines, _lines(source))
+    return split.select(*others(df, COUNTS), *_counts(source, F.col(words), F.col(lines)))
 
 
-def compile_rules(rules: Sequence[Rule] = RULES) -> dict[str, Column]:
-    """Each rule's condition by name, over the columns of ``text_counts``; true where it fails."""
+def compile_rules(
+    rules: Sequence[Rule] = RULES, count: Callable[[str], Column] = F.col
+) -> dict[str, Column]:
+    """Each rule's condition by name, over the counts that ``count`` names; true where it fails."""
     found = {}
     for rule in rules:
-        above, below = F.col(rule.numerator).cast("double"), F.col(rule.denominator)
+        above, below = count(rule.numerator).cast("double"), count(rule.denominator)
         fails = F.lit(False)
         if rule.least is not None:
             fails = fails | (above < rule.least * below)
@@ -139,6 +162,11 @@ def compile_rules(rules: Sequence[Rule] = RULES) -> dict[str, Column]:
     return found
 
 
+def _base_fails(count: Callable[[str], Column]) -> Column:
+    """Too few words, or more than half of them in repeated windows."""
+    return (count("n_words") < MIN_WORDS) | (100 * count("n_repeat_words") > MAX_REPEAT_PERCENT * count("n_words"))
+
+
 def judge(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``df`` with its counts, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``.
 
@@ -146,9 +174,26 @@ def judge(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> D
     A null or empty text has no words and so fails. Every row is judged by itself: repeated rows get
     equal verdicts, an empty table gives an empty result, and other columns stay as they are.
     """
-    counted = text_counts(df, text)
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    counted = text_counts(df.select(*others(df, VERDICTS)), text)
     named = F.array(*[F.when(fails, F.lit(name)) for name, fails in compile_rules(rules).items()])
     return counted.select(
-        "*", base.alias("base_failed"), F.array_compact(named).alias("failed_rules")
+        "*", _base_fails(F.col).alias("base_failed"), F.array_compact(named).alias("failed_rules")
     ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def is_kept(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The verdict of ``judge`` as one condition, in which every count is computed once."""
+    parts = F.struct(text.alias("source"), _words(text).alias("words"), _lines(text).alias("lines"))
+
+    def verdict(c: Column) -> Column:
+        bad = _base_fails(lambda n: c[n])
+        for fails in compile_rules(rules, lambda n: c[n]).values():
+            bad = bad | fails
+        return ~bad
+
+    return bind(parts, lambda p: bind(F.struct(*_counts(p["source"], p["words"], p["lines"])), verdict))
+
+
+def keep_good(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, unchanged."""
+    return df.where(is_kept(F.coalesce(F.col(text), F.lit("")), rules))

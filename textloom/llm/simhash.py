@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from textloom.llm.names import fresh
 from textloom.operators.graphs import components
 from textloom.scale import Salted, fit_broadcast, settle
 
@@ -131,22 +132,20 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     Null keys come last; rows with equal keys are told apart by a hash of all their columns, and
     of rows equal in every column one stays.
     """
-    mark = "_row_hash"
-    while mark in df.columns:
-        mark += "_"
+    mark, of, twin_of = fresh(df, "_mark", "_of", "_twin_of")
     hashed = df.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(c)) if _nested(df, c) else F.col(c) for c in df.columns]))
     prints = settle(fingerprints(hashed.select(key, mark, text), text))
     grouped = groups(prints, key)
-    order = F.struct(F.col(key).isNull(), F.col(key), F.col(mark))
+    order = F.struct(F.col(key).isNull(), F.col(key).alias("k"), F.col(mark).alias("m"))
     chosen = settle(
         grouped.groupBy("root").agg(F.min(order).alias("_best")).select(
-            F.col(f"_best.{key}").alias("_key"), F.col(f"_best.{mark}").alias("_hash")
+            F.col("_best.k").alias(of), F.col("_best.m").alias(twin_of)
         )
     )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(mark) == F.col("_hash"))
+    same = F.col(key).eqNullSafe(F.col(of)) & (F.col(mark) == F.col(twin_of))
     twins = settle(
         prints.groupBy(key, mark).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        .join(fit_broadcast(chosen), same, "left_semi").select(F.col(key).alias("_key"), F.col(mark).alias("_hash"))
+        .join(fit_broadcast(chosen), same, "left_semi").select(F.col(key).alias(of), F.col(mark).alias(twin_of))
     )
     kept = hashed.join(fit_broadcast(chosen), same, "left_semi")
     if not twins.isEmpty():
