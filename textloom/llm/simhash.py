@@ -1,6 +1,6 @@
 """Near duplicates by SimHash fingerprints met in a grid of segment popcounts.
 
-A fingerprint's sixteen 4-bit segments give a vector of popcounts. One flipped bit moves the vector
+A fingerprint's 21 segments of three bits (the last of four) give a vector of popcounts. One flipped bit moves the vector
 by one step, so the Manhattan distance of two vectors is at most the Hamming distance of their
 fingerprints. Vectors within distance 2 share a grid point at distance 1 or 0 of both: each
 fingerprint visits its own point and its neighbours, and only those that met another one go on.
@@ -25,6 +25,8 @@ SEED = 42
 WORDS = 3
 MOST_BITS = 2
 CHUNK = 1 << 16
+SEGMENTS = 21
+FIELD_ONES = sum(1 << 3 * i for i in range(SEGMENTS))
 
 
 def fingerprint(text: str | None, words_per_shingle: int = WORDS) -> int:
@@ -63,18 +65,21 @@ def fingerprints(df: DataFrame, text: str, name: str = "fingerprint") -> DataFra
 
 
 def popcount_vector(fp: Column) -> Column:
-    """The sixteen segment popcounts as 4-bit fields of a long, each one higher by 1."""
-    ones = F.lit(0x1111111111111111)
-    counts = ones
-    for k in range(4):
+    """The segment popcounts as 3-bit fields of a long, each one higher by 1.
+
+    Twenty segments have 3 bits and the last has 4, so a neighbour's fields stay within 0 to 6.
+    """
+    ones = F.lit(FIELD_ONES)
+    counts = ones + F.shiftleft(F.shiftrightunsigned(fp, 63), 3 * (SEGMENTS - 1))
+    for k in range(3):
         counts = counts + F.shiftrightunsigned(fp, k).bitwiseAND(ones)
     return counts
 
 
 def vector_points(vector: Column) -> Column:
     """The vector and its neighbours at Manhattan distance 1."""
-    steps = [F.lit(0)] + [F.lit(sign * (1 << 4 * i)) for i in range(16) for sign in (1, -1)]
-    return F.array(*[vector + s.cast("long") for s in steps])
+    steps = [0] + [sign * (1 << 3 * i) for i in range(SEGMENTS) for sign in (1, -1)]
+    return F.array(*[vector + F.lit(s).cast("long") for s in steps])
 
 
 def bit_points(fp: Column) -> Column:
