@@ -143,7 +143,7 @@ def test_hyperbolicity_equals_the_naive_value(spark, pairs):
     dist = spark.createDataFrame([(a, b, d[a][b]) for a in ids for b in ids], "src long, dst long, d int")
     row = graphs.hyperbolicity(dist, block_rows=16).first()
     assert row["delta"] == naive_delta(d, ids)
-    sampled = graphs.sampled_hyperbolicity(dist, 300).first()
+    sampled = graphs.sampled_hyperbolicity(edge_table(spark, pairs), 300, 10).first()
     assert sampled["delta"] <= row["delta"] and sampled["quadruples"] > 0
 
 
@@ -193,6 +193,17 @@ def test_samples_respect_the_graph(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_every_negative_is_drawn(spark):
+    """A star of 50: the leaves get all they ask for, the hub, linked to everything, gets none."""
+    star = [(0, i) for i in range(1, 51)] + [(1, 2)]
+    rows = graphs.sample_neighbours(edge_table(spark, star), 2, 7).where("positive = 0").collect()
+    drawn = {}
+    for r in rows:
+        drawn.setdefault(r["anchor"], []).append(r["other"])
+    assert set(drawn) == set(range(1, 51)) and all(len(v) == 7 for v in drawn.values())
+    assert all(o not in (0, a) and {a, o} != {1, 2} for a, v in drawn.items() for o in v)
+
+
 def test_spectral_clusters_cover_all_vertices(spark):
     pairs = grid(2, 3) + [(a + 10, b + 10) for a, b in grid(2, 3)] + [(5, 10)]
     dist = graphs.distances(edge_table(spark, pairs))

@@ -70,19 +70,41 @@ def test_cosine_rows_and_coherence_in_blocks(spark):
     np.fill_diagonal(full, 0)
     near = full.copy()
     np.fill_diagonal(near, -2)
-    for r in similarity.cosine_rows(docs, "id", "vec", block_rows=20).collect():
+    for r in similarity.cosine_rows(docs, "id", "vec").collect():
         assert r["others"] == 69 and abs(r["nearest"] - near[r["id"]].max()) < 1e-9
         assert abs(r["mean"] - full[r["id"]].sum() / 69) < 1e-9
-    got = {r["statistic"]: r["value"] for r in similarity.coherence(docs, "id", "vec", (0.25, 0.8), block_rows=20).collect()}
+    got = {r["statistic"]: r["value"] for r in similarity.coherence(docs, "id", "vec", (0.25, 0.8)).collect()}
     flat = full.reshape(-1)
     want = {"count": len(flat), "mean": flat.mean(), "std": flat.std(ddof=1), "min": flat.min(), "max": flat.max(),
             "q0.25": np.quantile(flat, 0.25), "q0.80": np.quantile(flat, 0.8)}
     assert all(abs(got[k] - v) < 1e-6 for k, v in want.items())
 
 
+def test_text_ids_in_vector_work(spark):
+    docs, _ = vectors(spark, 60)
+    named = docs.withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")))
+    strip = lambda rows: sorted((int(r["query"][1:]), int(r["doc"][1:]), r["rank"]) for r in rows)
+    plain = sorted((r["query"], r["doc"], r["rank"]) for r in retrieval.dense(docs, docs, "id", "vec", "id", "vec", 3).collect())
+    assert strip(retrieval.dense(named, named, "id", "vec", "id", "vec", 3).collect()) == plain
+    a = {r["id"]: r["nearest"] for r in similarity.cosine_rows(docs, "id", "vec").collect()}
+    b = {int(r["id"][1:]): r["nearest"] for r in similarity.cosine_rows(named, "id", "vec").collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert similarity.coherence(named, "id", "vec").count() == 9
+
+
+def test_postings_past_the_vocabulary(spark, monkeypatch):
+    """Joined terms give the scores that listed terms give."""
+    docs = texts(spark, ["red apple pie", "apple apple tree", "blue sky", "a red sky at night"], "doc")
+    asks = texts(spark, ["red apple", "sky", "nothing here"], "q")
+    run = lambda: sorted(map(tuple, retrieval.bm25_scores(docs, asks, "doc", "text", "q", "text").collect()))
+    listed = run()
+    monkeypatch.setattr(retrieval, "VOCABULARY", 1)
+    assert run() == listed and listed
+
+
 def test_approximate_results_are_mostly_exact(spark):
     docs, _ = vectors(spark, 200)
-    found = retrieval.dense_approximate(docs, docs, "id", "vec", "id", "vec", 3, bucket=2.0)
+    found = retrieval.dense_approximate(docs, docs, "id", "vec", "id", "vec", 3, bits=3, tables=40)
     exact = retrieval.dense(docs, docs, "id", "vec", "id", "vec", 3)
     assert retrieval.recall(found, exact).agg(F.avg("recall")).first()[0] > 0.9
 
@@ -242,22 +264,20 @@ def test_class_words_leave_out_the_outlier_topic(spark):
     assert {(r["topic"], r["words"]) for r in table} == {(0, "apple"), (1, "wheel")}
 
 
-def test_diff_features_masks_and_metrics(spark):
-    a = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y")], "doc int, f string")
-    b = spark.createDataFrame([(1, "y"), (1, "z"), (2, "z")], "doc int, f string")
-    got = {r["f"]: tuple(r)[1:] for r in features.diff_features(a, b, "doc", "f", 2, 2).collect()}
+def test_share_gaps_masks_and_metrics(spark):
+    counts = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "y", 1), ("b", "z", 2)], "side string, f string, n long")
+    sizes = {"a": 2, "b": 2}
+    got = {r["f"]: tuple(r)[1:] for r in features.share_gaps(counts, "side", "f", sizes).collect()}
     assert got == {"x": (1.0, 0.0, 1.0), "y": (0.5, 0.5, 0.0), "z": (0.0, 1.0, -1.0)}
-    rel = {r["f"]: tuple(r)[1:] for r in features.diff_features(a, b, "doc", "f", 2, 2, "relative", 0.1).collect()}
+    rel = {r["f"]: tuple(r)[1:] for r in features.share_gaps(counts, "side", "f", sizes, True, least=0.1).collect()}
     assert rel == {"x": (-1.0, -1.0, 0.0), "y": (0.5, 0.5, 0.0), "z": (-1.0, -1.0, 0.0)}
-    with pytest.raises(ValueError):
-        features.diff_features(a, b, "doc", "f", 2, 2, "ratio")
 
 
 def test_diverse_selection_equals_the_greedy_rule(spark):
     _, v = vectors(spark, 25, 4, 3)
     rel = np.random.default_rng(1).random(25)
     df = spark.createDataFrame([("g", i, [float(x) for x in v[i]], float(rel[i])) for i in range(25)], "g string, id long, vec array<double>, r double")
-    got = [r["id"] for r in features.diverse_selection(df, "g", "id", "vec", "r", 6, 0.3, candidates=25).orderBy("place").collect()]
+    got = [r["id"] for r in features.diverse_selection(df, "g", "id", "vec", "r", 6, 0.3).orderBy("place").collect()]
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     left, chosen = set(range(25)), []
     while len(chosen) < 6:
@@ -284,7 +304,7 @@ def test_clusters_and_refit(spark):
     assert {r[0] for r in again.select("cluster_id").distinct().collect()} == {0, 1}
     flat = features.project(rows, "features", 2)
     assert all(len(r["projection"]) == 2 for r in flat.collect())
-    assert len(features.cluster_examples(rows.drop("features"), "vec", "id", 6, 2).collect()) <= 8
+    assert len(features.cluster_examples(rows.drop("features"), "vec", "id", 2).collect()) <= 8
 
 
 def test_group_function_over_parts(spark):

@@ -112,18 +112,33 @@ def test_fits_counts_rows_and_bytes(spark):
     assert scale.fits(df) and not scale.fits(df, rows=9) and not scale.fits(df, size=5000)
 
 
-def test_concat_parts_keeps_everything(spark):
-    df, data = skewed(spark, 300)
-    placed = scale.running(df.withColumn("t", F.col("i").cast("string")), ["k"], ["i"])
-    parts = scale.concat_parts(placed, ["k"], "pos", "t", ",", rows_per_part=20).collect()
-    assert max(r["t"].count(",") for r in parts) == 19
+@pytest.mark.parametrize("n", [10, 10_000])
+def test_concat_parts_keeps_everything(spark, n):
+    """The same shape and contract for short and long groups: parts by bytes, in order."""
+    rows = [("hot", i, str(i)) for i in range(n)] + [("one", 0, "x" * 500), (None, 1, "a"), (None, 2, "b")]
+    df = spark.createDataFrame(rows, "k string, i long, t string").repartition(5)
+    parts = scale.concat_parts(df, ["k"], ["i"], "t", ",", part_bytes=200).collect()
     whole = {}
-    for r in sorted(parts, key=lambda r: (r["k"], r["part"])):
+    for r in sorted(parts, key=lambda r: (str(r["k"]), r["part"])):
         whole.setdefault(r["k"], []).append(r["t"])
+    assert {k: ",".join(v) for k, v in whole.items()} == {"hot": ",".join(str(i) for i in range(n)), "one": "x" * 500, None: "a,b"}
+    assert all(len(t) <= 210 for t in whole["hot"]) and len(whole["one"]) == 1
+    assert len(scale.concat_parts(df, ["k"], ["i"], "t", ",").collect()) == 3
+
+
+def test_top_per_group_in_stages(spark, monkeypatch):
+    """Two cuts give what one gives, and no bucket passes on more than k rows of a key."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(scale, "MERGE_ROWS", 10)
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"), "id").repartition(12)
+    got = scale.top_per_group(df, ["k"], [F.asc("v"), F.asc("id")], 7)
     want = {}
-    for k, i, _ in data:
-        want.setdefault(k, []).append(str(i))
-    assert {k: ",".join(v) for k, v in whole.items()} == {k: ",".join(v) for k, v in want.items()}
+    for r in df.collect():
+        want.setdefault(r["k"], []).append((r["v"], r["id"]))
+    for k, v in want.items():
+        assert [(r["v"], r["id"]) for r in got.where(F.col("k") == k).orderBy("rank").collect()] == sorted(v)[:7]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_exact_quantiles(spark):

@@ -49,8 +49,11 @@ def test_note_path(spark, path, want):
 
 
 def test_urls_and_repo(spark):
-    text = "go to https://a.example.com/x?y=1, (www.b.org/z) or c.dev/q. Not a.b or x@y.zz"
+    text = "go to https://a.example.com/x?y=1, (www.b.org/z) or c.dev/q. Not a.b or x@y.com or me.too@b.org"
     assert one(spark, links.urls(F.col("t")), t=text) == ["https://a.example.com/x?y=1", "www.b.org/z", "c.dev/q"]
+    text = "example.com and http://a.org/w_(b), <http://x.y/(a(b)c)>; foo.barr/x, http://q.de/" + "a" * 30_000
+    assert one(spark, links.urls(F.col("t")), t=text) == ["example.com", "http://a.org/w_(b)", "http://x.y/(a(b)c)", "http://q.de/" + "a" * 30_000]
+    assert one(spark, links.urls(F.col("t"), ["barr"]), t="foo.barr/x example.com") == ["foo.barr/x"]
     got = [one(spark, links.repo_url(F.col("t")), t=t) for t in ("github.com/a/b/", "https://github.com/a", "http://x.y/z")]
     assert got == ["https://github.com/a/b", "https://github.com/a", None]
 
@@ -206,7 +209,15 @@ def page_rows(spark, rows):
 
 def test_contents_page(spark):
     got = books.contents(page_rows(spark, TOC), first_page=5).orderBy("entry").collect()
-    assert [(r["page_ref"], r["roman"], r["title"]) for r in got] == [(5, "I", "First things"), (9, "II", "SECOND"), (1002, "III", "Third")]
+    assert [(r["page_ref"], r["roman"], r["title"]) for r in got] == [(5, "I", "First things"), (9, "II", "SECOND"), (12, "III", "Third")]
+
+
+def test_contents_of_a_long_book(spark):
+    """Real references past 1,000 are no different from others."""
+    toc = "CONTENTS\nI. One 3\nII. Two 998\nIII. Three 1001\nIV. Four 1150\nV. Five\n"
+    rows = [("b", 1, toc)] + [("b", i, f"p{i}") for i in range(2, 1201)]
+    got = books.contents(page_rows(spark, rows)).orderBy("entry").collect()
+    assert [r["page_ref"] for r in got] == [3, 998, 1001, 1150, 1205]
 
 
 def test_contents_in_running_text_and_even_spacing(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,13 +85,28 @@ def note_path(path: Column) -> Column:
     )
 
 
-def urls(text: Column) -> Column:
-    """Web addresses with a scheme, a www host or a host followed by a path."""
-    return F.regexp_extract_all(
-        text,
-        F.lit(r"(?i)\b((?:https?://|www\d{0,3}[.]|[a-z0-9.\-]+[.][a-z]{2,4}/)[^\s()<>{}\[\]]*[^\s`!()\[\]{};:'\".,<>?])"),
-        F.lit(1),
+# Endings of bare host names that count as addresses.
+HOST_ENDINGS = (
+    "com net org edu gov mil int info biz io ai co dev app me tv eu uk de fr es it nl be ch at pl se no dk fi "
+    "ru ua cz gr pt ie us ca mx br ar cl au nz jp cn kr in id sg hk tw za il tr"
+).split()
+
+
+def urls(text: Column, endings: Sequence[str] = HOST_ENDINGS) -> Column:
+    """Web addresses in order: those with http or https, www hosts, and bare hosts with a known ending.
+
+    Round brackets belong to an address while they are balanced; signs that close a sentence do not.
+    A host beside an @ is a mail address and no web address.
+    """
+    plain = r"[^\s()<>{}\[\]\"'`«»“”‘’]"
+    brackets = rf"\((?:{plain}++|\({plain}*+\))*+\)"
+    rest = rf"(?:{plain}++|{brackets})*+"
+    host = rf"(?:[a-z0-9-]+\.)+(?:{'|'.join(endings)})(?![\w@-]|\.\w)"
+    www = r"www\d{0,3}(?:\.[a-z0-9-]+)+"
+    found = F.regexp_extract_all(
+        text, F.lit(rf"(?i)(?<![@\w.-])(https?://(?={plain}){rest}|(?:{www}|{host})(?!@)(?::\d+)?(?:[/?#]{rest})?)"), F.lit(1)
     )
+    return F.transform(found, lambda u: F.regexp_replace(u, r"[!;:.,?]+$", ""))
 
 
 def repo_url(url: Column, host: str = "github.com") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates
 from textloom.functions.text import WHITESPACE, strip
-from textloom.scale import concat_parts, neighbourhood, running, salted_join, settle
+from textloom.scale import PART_BYTES, concat_parts, neighbourhood, running, salted_join, settle
 
 # Patterns of a contents line, a contents entry in running text, a section
 # heading, a bare page number, a date range and any number.
@@ -17,7 +17,6 @@ HEADING_LINE = r"^(PART|CHAPTER)[^\S\n]+[IVXLCDM]+\.?[^\S\n]*:?[^\S\n]*.*"
 PAGE_NUMBER = r"^\s*(\d+|[IVXLCDM]+)\s*$"
 YEAR_RANGE = r"\d{4}[-–—]\d{4}"
 ANY_NUMBER = r"\d+|[IVXLCDM]+\.?"
-UNPAGED = 1000  # entries without a page number sort after all real pages
 PAGE_BLOCK = 64
 
 
@@ -62,10 +61,15 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
 
     ``pages`` has book, page_num, text. Entries come from the page marked CONTENTS and the
     one after it, else from running text around it (or anywhere without such a page).
-    ``first_page`` is the known page of the first chapter and shifts all references. Books
-    without page numbers get evenly spaced chapters.
+    ``first_page`` is the known page of the first chapter and shifts all references. Entries without a
+    page number come after all others, on places past the last page. Books without page numbers
+    get evenly spaced chapters. ``page_num`` is unique in a book.
     """
-    numbered = settle(running(pages.select("book", "page_num", "text"), ["book"], ["page_num"]))
+    placed = running(pages.select("book", "page_num"), ["book"], ["page_num"])
+    text = pages.select(F.col("book").alias("_book"), F.col("page_num").alias("_page"), "text")
+    numbered = settle(
+        placed.join(text, F.col("book").eqNullSafe(F.col("_book")) & (F.col("page_num") == F.col("_page"))).drop("_book", "_page")
+    )
     marked = numbered.where(F.col("text").contains("CONTENTS")).groupBy("book").agg(F.min("pos").alias("c"))
     around = salted_join(numbered, settle(marked), ["book"], "left")
     listed = around.where((F.col("pos") == F.col("c")) | (F.col("pos") == F.col("c") + 1)).select(
@@ -80,30 +84,25 @@ def contents(pages: DataFrame, first_page: Column | int | None = None) -> DataFr
     found = listed.withColumn("early", F.lit(True)).unionByName(scattered)
     found = running(found.select("book", "pos", "k", "early", "e.roman", "e.title", "e.ref"),
                     ["book"], ["pos", "k"], position="nth")
-    raw = F.coalesce("ref", F.lit(UNPAGED) + F.col("nth") - 1)
     if first_page is not None:
         given = F.lit(first_page) if isinstance(first_page, int) else first_page
-        shift = found.where("early").groupBy("book").agg(F.min(raw).alias("low")).select(
-            "book", F.when(F.col("low") < UNPAGED, given - F.col("low")).otherwise(F.lit(0)).alias("shift")
-        )
+        shift = found.where("early").groupBy("book").agg(F.coalesce(given - F.min("ref"), F.lit(0)).alias("shift"))
         found = salted_join(found, settle(shift), ["book"], "left")
     else:
         found = found.withColumn("shift", F.lit(0))
-    found = found.withColumn(
-        "page_ref",
-        F.coalesce(F.col("ref") + F.coalesce("shift", F.lit(0)), F.lit(UNPAGED) + F.col("nth") - 1).cast("int"),
-    )
-    placed = running(found, ["book"], ["page_ref", "nth"], position="entry")
-    size = placed.groupBy("book").agg(F.max("entry").alias("n"), F.min("page_ref").alias("low"))
+    found = found.withColumn("paged", F.col("ref") + F.coalesce("shift", F.lit(0))).withColumn("late", F.col("paged").isNull())
+    placed = settle(running(found, ["book"], ["late", "paged", "nth"], position="entry"))
+    size = placed.groupBy("book").agg(F.max("entry").alias("n"), F.max("paged").alias("high"))
     span = numbered.groupBy("book").agg(
         F.min(F.when(F.length("text") > 0, F.col("page_num"))).alias("start"),
         F.max("page_num").alias("stop"),
     )
     even = F.col("start") + (F.col("entry") - 1) * F.floor(F.col("stop") / (F.col("n") + 1))
+    past = F.greatest("stop", "high") + F.col("nth")
     return salted_join(placed, settle(size.join(span, "book")), ["book"]).select(
         "book",
         "entry",
-        F.when(F.col("low") >= UNPAGED, even).otherwise(F.col("page_ref")).cast("int").alias("page_ref"),
+        F.when(F.col("high").isNull(), even).otherwise(F.coalesce("paged", past)).cast("int").alias("page_ref"),
         "roman",
         "title",
     )
@@ -145,11 +144,13 @@ def pages_in_chapters(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.unionByName(rest)
 
 
-def chapter_texts(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """Chapters with the joined text of their non-blank pages; empty chapters are skipped."""
-    rows = pages_in_chapters(pages, spans).withColumn("text", strip(F.col("text"))).where("text <> ''")
-    rows = running(rows, ["book", "entry"], ["page_num"])
-    return concat_parts(rows, ["book", "entry", "chapter"], "pos", "text", " ")
+def chapter_texts(pages: DataFrame, spans: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Chapters with the joined text of their non-blank pages; empty chapters are skipped.
+
+    Texts longer than ``part_bytes`` come as ordered parts.
+    """
+    rows = settle(pages_in_chapters(pages, spans).withColumn("text", strip(F.col("text"))).where("text <> ''"))
+    return concat_parts(rows, ["book", "entry", "chapter"], ["page_num"], "text", " ", part_bytes)
 
 
 def _is_header(line: Column, title_words: list[str]) -> Column:

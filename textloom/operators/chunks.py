@@ -85,6 +85,11 @@ def split_text(text: Column, size: int = 1024, overlap: int = 0) -> Column:
     return split(text)
 
 
+def chunk_lists(df: DataFrame, text: str, size: int = 1024, overlap: int = 0, out: str = "chunks") -> DataFrame:
+    """Each text beside its own chunks with their numbers and offsets."""
+    return df.withColumn(out, split_text(F.col(text), size, overlap))
+
+
 def chunk_rows(df: DataFrame, name: str, text: str, size: int = 1024, overlap: int = 0) -> DataFrame:
     """One row per chunk: id, name, number, offsets, chunk and the other columns."""
     rest = [c for c in df.columns if c not in (name, text)]

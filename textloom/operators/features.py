@@ -11,13 +11,14 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.functions import dates, text as tx
+from textloom.functions import dates, text as tx, vectors
 from textloom.operators.frames import nearest_to_centroid
-from textloom.scale import running, salted_join, settle, top_per_group
+from textloom.scale import best_per_group, fit_broadcast, release, running, salted_join, settle, top_per_group
 
 # -- term features -----------------------------------------------------------------------
 
@@ -26,29 +27,24 @@ def term_counts(
     df: DataFrame, doc: str, text: str, min_df: int = 1, binary: bool = False, stop_words=tx.STOP_WORDS,
     preprocess: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """(doc, term, tf) for terms in at least ``min_df`` documents."""
+    """(doc, term, tf, df) for terms in at least ``min_df`` documents."""
     source = F.col(text) if preprocess is None else preprocess(F.col(text))
     tokens = df.select(F.col(doc).alias("doc"), F.explode(tx.terms(source, stop_words)).alias("term"))
     times = F.count(F.lit(1))
-    counted = tokens.groupBy("doc", "term").agg((F.least(times, F.lit(1)) if binary else times).alias("tf"))
-    if min_df <= 1:
-        return counted
-    counted = settle(counted)
+    counted = settle(tokens.groupBy("doc", "term").agg((F.least(times, F.lit(1)) if binary else times).alias("tf")))
     found = settle(counted.groupBy("term").agg(F.count(F.lit(1)).alias("_n")))
-    common = found.where(F.col("_n") >= min_df).select("term")
-    return salted_join(counted, common, ["term"], "left_semi", counts=found)
+    common = found.where(F.col("_n") >= min_df).select("term", F.col("_n").alias("df"))
+    return salted_join(counted, common, ["term"], counts=found).select("doc", "term", "tf", "df")
 
 
 def tf_idf(counts: DataFrame, n_docs: int) -> DataFrame:
     """Smoothed inverse document frequency and unit length per document: (doc, term, weight).
 
-    The window that gives a document its length holds the terms of one document.
+    ``counts`` is that of ``term_counts``. The window that gives a document its length holds the
+    terms of one document.
     """
-    frequency = settle(counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")))
-    idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("_df"))) + 1
-    weighed = salted_join(counts, frequency, ["term"], counts=frequency.withColumnRenamed("_df", "_n")).select(
-        "doc", "term", (F.col("tf") * idf).alias("w")
-    )
+    idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
+    weighed = counts.select("doc", "term", (F.col("tf") * idf).alias("w"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))
     return weighed.select("doc", "term", (F.col("w") / size).alias("weight"))
 
@@ -67,14 +63,25 @@ def hashed_features(width: int = 1 << 18, tokens: str = "tokens", out: str = "fe
 
 def lda(df: DataFrame, tokens: str = "tokens", topics: int = 25, rounds: int = 10, min_df: int = 5,
         binary: bool = True, seed: int = 42):
-    """A fitted pipeline of term counts and LDA. The vocabulary holds every term of at least
-    ``min_df`` documents; like the topic matrix it is part of the model on the driver."""
-    vocabulary = max(1, df.select(F.explode(tokens)).distinct().count())
-    counts = CountVectorizer(inputCol=tokens, outputCol="_counts", minDF=min_df, binary=binary, vocabSize=vocabulary)
-    model = LDA(featuresCol="_counts", k=topics, maxIter=rounds, seed=seed, optimizer="online")
+    """A fitted pipeline of term counts and LDA; every round reads every document.
+
+    The vocabulary holds every term of at least ``min_df`` documents; like the topic matrix it is
+    part of the model on the driver.
+    """
+    counts = CountVectorizer(inputCol=tokens, outputCol="_counts", minDF=min_df, binary=binary, vocabSize=(1 << 31) - 1)
+    model = LDA(featuresCol="_counts", k=topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=1.0)
     return Pipeline(stages=[counts, model]).fit(df)
 
 
+def vocabulary(model, df: DataFrame) -> DataFrame:
+    """(number, term, documents) of the fitted vocabulary, counted over the documents of ``df``."""
+    counts = model.stages[0]
+    terms = df.sparkSession.createDataFrame(list(enumerate(counts.vocabulary)), "number int, term string")
+    found = counts.transform(df).agg(Summarizer.numNonZeros(F.col("_counts")).alias("n"))
+    numbered = found.select(F.posexplode(vector_to_array("n")).alias("number", "documents"))
+    return terms.join(numbered, "number").select("number", "term", F.col("documents").cast("long"))
+
+
 def topic_distributions(model, df: DataFrame) -> DataFrame:
     """Distribution and most likely topic of each document."""
     scored = model.transform(df).withColumn("distribution", vector_to_array("topicDistribution"))
@@ -86,14 +93,14 @@ def with_topic(df: DataFrame, distribution: str) -> DataFrame:
     return df.withColumn("topic", best)
 
 
-def topic_words(model, words: int = 10) -> DataFrame:
-    """(topic, rank, term, weight) of the strongest terms."""
+def topic_words(model, words: int | None = 10) -> DataFrame:
+    """(topic, rank, term, weight) of the strongest terms, of all where ``words`` is None."""
     counts, topics = model.stages
-    spark_rows = topics.describeTopics(words)
-    vocabulary = counts.vocabulary
-    named = F.udf(lambda ids: [vocabulary[i] for i in ids], "array<string>")
-    zipped = F.arrays_zip(named("termIndices").alias("term"), F.col("termWeights").alias("weight"))
-    return spark_rows.select("topic", F.posexplode(zipped).alias("rank", "p")).select("topic", "rank", "p.term", "p.weight")
+    terms = topics.describeTopics(len(counts.vocabulary) if words is None else words)
+    zipped = F.arrays_zip(F.col("termIndices").alias("number"), F.col("termWeights").alias("weight"))
+    rows = terms.select("topic", F.posexplode(zipped).alias("rank", "p")).select("topic", "rank", "p.number", "p.weight")
+    named = rows.sparkSession.createDataFrame(list(enumerate(counts.vocabulary)), "number int, term string")
+    return rows.join(named, "number").select("topic", "rank", "term", "weight")
 
 
 def topic_representatives(scored: DataFrame, topic: int, row_id: str, k: int = 5) -> DataFrame:
@@ -200,14 +207,45 @@ def vectors_from_arrays(df: DataFrame, array: str, out: str = "features") -> Dat
     return df.withColumn(out, array_to_vector(F.col(array)))
 
 
-def cluster(df: DataFrame, features: str = "features", clusterer: Estimator | None = None, k: int = 20, seed: int = 42) -> DataFrame:
-    """Add cluster_id by any Spark ML clusterer, k-means by default."""
+Clusterer = Estimator | Callable[[DataFrame], DataFrame]
+
+
+def cluster(df: DataFrame, features: str = "features", clusterer: Clusterer | None = None, k: int = 20, seed: int = 42) -> DataFrame:
+    """Add cluster_id by any Spark ML clusterer, k-means by default, or by a function that adds it."""
+    if clusterer is not None and not isinstance(clusterer, Estimator):
+        return clusterer(df)
     clusterer = clusterer or KMeans(k=k, seed=seed)
     clusterer = clusterer.copy().setFeaturesCol(features)
     return clusterer.fit(df).transform(df).withColumnRenamed(clusterer.getPredictionCol(), "cluster_id")
 
 
-def cluster_texts(df: DataFrame, columns: list[str], extractor: Pipeline | None = None, clusterer: Estimator | None = None,
+def kmeans_from(df: DataFrame, row_id: str, vector: str, starts: DataFrame, rounds: int = 10) -> DataFrame:
+    """``df`` with cluster_id after Lloyd steps from stated centres (cluster_id, centre array).
+
+    Squared distances are rounded to nine places and ties go to the smaller number; a centre without
+    rows stays where it is. The centres, a few rows, are broadcast after measuring them.
+    """
+    rows = settle(df)
+    centres = settle(starts.select("cluster_id", "centre"))
+
+    def assigned():
+        listed = centres.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centre"))).alias("_all"))  # one row
+        near = F.transform("_all", lambda c: F.struct(
+            F.round(F.aggregate(F.zip_with(vector, c["centre"], lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)),
+                                F.lit(0.0), lambda a, x: a + x), 9).alias("away"), c["cluster_id"].alias("id")))
+        return rows.crossJoin(fit_broadcast(listed)).withColumn("cluster_id", F.array_min(near)["id"]).drop("_all")
+
+    for _ in range(rounds):
+        moved = assigned().groupBy("cluster_id").agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("_m"))
+        fresh = centres.join(moved, "cluster_id", "left").select(
+            "cluster_id", F.coalesce(vector_to_array("_m"), "centre").alias("centre")
+        )
+        before, centres = centres, settle(fresh)
+        release(before)
+    return assigned()
+
+
+def cluster_texts(df: DataFrame, columns: list[str], extractor: Pipeline | None = None, clusterer: Clusterer | None = None,
                   joiner: str = "\n\n", k: int = 20) -> DataFrame:
     """Merge text columns, extract features, cluster. The features stay in the table for a
     later refit."""
@@ -218,13 +256,13 @@ def cluster_texts(df: DataFrame, columns: list[str], extractor: Pipeline | None
     return cluster(stored, clusterer=clusterer, k=k)
 
 
-def refit(clustered: DataFrame, clusterer: Estimator, features: str = "features") -> DataFrame:
+def refit(clustered: DataFrame, clusterer: Clusterer, features: str = "features") -> DataFrame:
     return cluster(clustered.drop("cluster_id"), features, clusterer)
 
 
-def cluster_examples(clustered: DataFrame, array: str, row_id: str, dim: int, n: int = 3) -> DataFrame:
+def cluster_examples(clustered: DataFrame, array: str, row_id: str, n: int = 3) -> DataFrame:
     """Original columns of the ``n`` rows nearest to each cluster's mean."""
-    return nearest_to_centroid(clustered, "cluster_id", array, row_id, dim, n)
+    return nearest_to_centroid(clustered, "cluster_id", array, row_id, n)
 
 
 def project(df: DataFrame, features: str, k: int = 2) -> DataFrame:
@@ -233,13 +271,19 @@ def project(df: DataFrame, features: str, k: int = 2) -> DataFrame:
     return model.transform(df).withColumn("projection", vector_to_array("_pca")).drop("_pca")
 
 
-def sweep(df: DataFrame, clusterers: Iterable[tuple[dict, Estimator]], features: str = "features") -> DataFrame:
-    """One row per parameter set with the size of its largest cluster."""
-    rows = []
+def sweep(df: DataFrame, clusterers: Iterable[tuple[dict, Clusterer]],
+          features: str = "features") -> DataFrame:
+    """One row per parameter set with the size of its largest cluster.
+
+    A clusterer is an estimator or a function that adds cluster_id.
+    """
+    parts = None
     for params, clusterer in clusterers:
-        sizes = cluster(df, features, clusterer).groupBy("cluster_id").count()
-        rows.append((str(sorted(params.items())), int(sizes.agg(F.max("count")).first()[0])))
-    return df.sparkSession.createDataFrame(rows, "params string, value long").orderBy("value", "params")
+        one = cluster(df, features, clusterer).groupBy("cluster_id").count().agg(F.max("count").alias("value")).select(
+            F.lit(str(sorted(params.items()))).alias("params"), "value"
+        )
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.orderBy("value", "params")
 
 
 def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], out: str = "embedding", batch: int = 64) -> DataFrame:
@@ -265,26 +309,35 @@ def score(df: DataFrame, text: str, labels: Sequence[str], scorer: Callable[[lis
 # -- diversity ---------------------------------------------------------------------------
 
 
+def distinct_draws(key: Column, size: Column, total: Column) -> Column:
+    """``size`` different numbers from 0 to ``total`` - 1, as an array in drawing order.
+
+    The i-th draw picks a rank among the numbers not drawn yet, by the first twelve hex digits of the
+    MD5 of ``key:i``, and is moved past the drawn ones before it. No draw is repeated or lost.
+    """
+    def step(drawn: Column, i: Column) -> Column:
+        digits = F.substring(F.md5(F.concat(key, F.lit(":"), i.cast("string"))), 1, 12)
+        rank = F.conv(digits, 16, 10).cast("long") % (total - i)
+        return F.array_append(drawn, F.aggregate(F.array_sort(drawn), rank, lambda x, d: x + F.when(d <= x, 1).otherwise(0)))
+
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), (size - 1).cast("long")), none, step)
+
+
 def sample_diversity(df: DataFrame, row_id: str, vector: str, sizes: Sequence[int] = tuple(range(1, 11)), trials: int = 100, seed: int = 42) -> DataFrame:
     """Mean determinant of the cosine matrix of random samples, per sample size.
 
-    The rows of a trial are drawn by hash of (size, trial, draw), without repeats, so a
-    group never holds more than the sample.
+    A trial draws different rows, as many as its size, so a group never holds more than the sample;
+    sizes beyond the table have no sample and no row.
     """
     placed = settle(running(df.select(row_id, vector), [], [row_id], position="n"))
     total = placed.count()
-    spark = df.sparkSession
-    plan = spark.range(trials).select(
+    plan = df.sparkSession.range(trials).select(
         F.col("id").alias("trial"), F.explode(F.array(*[F.lit(int(s)) for s in sizes if s <= total])).alias("size")
     )
-    draws = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), F.col("size") * 8 + 32),
-            lambda d: F.pmod(F.xxhash64(F.col("trial"), F.col("size"), d, F.lit(seed)), F.lit(total)) + 1,
-        )
-    )
-    picked = plan.select("trial", "size", F.explode(F.slice(draws, F.lit(1), F.col("size"))).alias("n"))
-    rows = salted_join(picked, placed, ["n"])
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("size").cast("string"), F.col("trial").cast("string"))
+    picked = plan.select("trial", "size", F.explode(distinct_draws(key, F.col("size"), F.lit(total).cast("long"))).alias("_at"))
+    rows = salted_join(picked.select("trial", "size", (F.col("_at") + 1).alias("n")), placed, ["n"])
 
     def determinant(key, frame):
         m = np.stack(frame[vector].to_numpy()).astype(np.float64)
@@ -296,65 +349,58 @@ def sample_diversity(df: DataFrame, row_id: str, vector: str, sizes: Sequence[in
     return per_trial.groupBy("size").agg(F.avg("value").alias("determinant"), F.count(F.lit(1)).alias("trials"))
 
 
-def diverse_pick(vectors: np.ndarray, relevance: np.ndarray, n: int, diversity: float) -> list[int]:
-    """Greedy choice by (1 - diversity) * relevance - diversity * nearest chosen cosine."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    alike = unit @ unit.T
-    chosen = [int(np.argmax(relevance))]
-    while len(chosen) < min(n, len(relevance)):
-        gain = (1 - diversity) * relevance - diversity * alike[:, chosen].max(axis=1)
-        gain[chosen] = -np.inf
-        chosen.append(int(np.argmax(gain)))
-    return chosen
+def diverse_selection(df: DataFrame, group: str, row_id: str, vector: str, relevance: str, n: int = 10, diversity: float = 0.3) -> DataFrame:
+    """Maximal marginal relevance per group over all its rows: (group, id, place).
 
-
-def diverse_selection(df: DataFrame, group: str, row_id: str, vector: str, relevance: str, n: int = 10, diversity: float = 0.3, candidates: int = 30) -> DataFrame:
-    """Maximal marginal relevance per group over its ``candidates`` most relevant rows, the
-    candidate list being part of the method."""
-    pool = top_per_group(df.select(group, row_id, vector, relevance), [group], [F.desc(relevance), F.asc(row_id)], candidates)
-
-    def pick(frame):
-        frame = frame.sort_values("rank").reset_index(drop=True)
-        order = diverse_pick(np.stack(frame[vector].to_numpy()).astype(float), frame[relevance].to_numpy(float), n, diversity)
-        return pd.DataFrame({group: frame[group].iloc[order], row_id: frame[row_id].iloc[order], "place": range(1, len(order) + 1)})
-
-    kinds = dict(df.dtypes)
-    return pool.groupBy(group).applyInPandas(pick, f"`{group}` {kinds[group]}, `{row_id}` {kinds[row_id]}, place int")
+    Each place goes to the row with the largest (1 - diversity) * relevance - diversity * nearest
+    chosen cosine, rounded to nine places; ties go to the more relevant row, then the smaller id. One
+    pass over the rows per place keeps the nearest cosine of each as a column.
+    """
+    rows = settle(df.select(
+        F.col(group).alias("group"), F.col(row_id).alias("id"), F.col(vector).alias("vec"),
+        F.col(relevance).cast("double").alias("worth"), F.lit(-1.0).alias("near"),
+    ))
+    picked = []
+    for place in range(1, n + 1):
+        gain = F.col("worth") if place == 1 else (1 - diversity) * F.col("worth") - diversity * F.col("near")
+        order = [F.round(-gain, 9), -F.col("worth"), F.col("id")]
+        chosen = settle(best_per_group(rows.select("group", "id", "vec", "worth", "near"), ["group"], order))
+        picked.append(chosen.select("group", "id", F.lit(place).alias("place")))
+        if place == n:
+            break
+        mate = chosen.select("group", F.col("id").alias("_id"), F.col("vec").alias("_vec"))
+        near = F.greatest("near", vectors.cosine(F.col("vec"), F.col("_vec")))
+        before = rows
+        rows = settle(salted_join(rows, mate, ["group"]).where(F.col("id") != F.col("_id")).select("group", "id", "vec", "worth", near.alias("near")))
+        release(before)
+    out = picked[0]
+    for part in picked[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("group").alias(group), F.col("id").alias(row_id), "place")
 
 
 # -- corpus comparison -------------------------------------------------------------------
 
 
-def diff_features(first: DataFrame, second: DataFrame, doc: str, feature: str, n_first: int, n_second: int,
-                  metric: str = "absolute", min_coverage: float = 0.0, max_coverage: float = 1.0) -> DataFrame:
-    """Difference of document frequencies of features between two corpora.
+def share_gaps(counts: DataFrame, side: str, feature: str, sizes: dict[str, int], relative: bool = False,
+               least: float = 0.0, most: float = 1.0) -> DataFrame:
+    """How much more often documents of the first side have a feature than those of the second.
 
-    Inputs have one row per document and present feature. Features outside the coverage
-    bounds show -1 on both sides.
+    ``counts`` has a row (side, feature, n) for the documents of a side that have the feature; ``sizes``
+    maps the two sides to their numbers of documents. Returns (feature, share_a, share_b, gap). Features rarer than
+    ``least`` on a side or more common than ``most`` show -1 on both. ``relative`` divides by the larger share.
     """
-    if metric not in ("absolute", "relative"):
-        raise ValueError(f"unsupported metric: {metric}")
-
-    def frequency(df, n, name):
-        present = df.select(doc, feature).distinct()
-        return present.groupBy(feature).agg((F.count(F.lit(1)) / F.lit(n)).alias(name))
-
-    both = frequency(first, n_first, "f1").join(frequency(second, n_second, "f2"), feature, "full")
-    both = both.select(feature, F.coalesce("f1", F.lit(0.0)).alias("f1"), F.coalesce("f2", F.lit(0.0)).alias("f2"))
-    outside = (F.least("f1", "f2") < min_coverage) | (F.greatest("f1", "f2") > max_coverage)
-    both = both.select(
-        feature,
-        F.when(outside, F.lit(-1.0)).otherwise(F.col("f1")).alias("freq_first"),
-        F.when(outside, F.lit(-1.0)).otherwise(F.col("f2")).alias("freq_second"),
-    )
-    gap = F.col("freq_first") - F.col("freq_second")
-    if metric == "relative":
-        top = F.greatest("freq_first", "freq_second")
-        top = F.when(top == 0, F.lit(1.0)).otherwise(top)
-        gap = F.col("freq_first") / top - F.col("freq_second") / top
-    return both.withColumn("frequency_difference", gap).orderBy(
-        F.desc("frequency_difference"), F.desc("freq_first"), feature
-    )
+    (a, n_a), (b, n_b) = sizes.items()
+    share = lambda name, n: F.sum(F.when(F.col(side) == name, F.col("n")).otherwise(0)) / F.lit(n)
+    both = counts.groupBy(feature).agg(share(a, n_a).alias("a"), share(b, n_b).alias("b"))
+    outside = (F.least("a", "b") < least) | (F.greatest("a", "b") > most)
+    both = both.select(feature, *[F.when(outside, -1.0).otherwise(F.col(c)).alias(f"share_{c}") for c in "ab"])
+    gap = F.col("share_a") - F.col("share_b")
+    if relative:
+        top = F.greatest("share_a", "share_b")
+        top = F.when(top == 0, 1.0).otherwise(top)
+        gap = F.col("share_a") / top - F.col("share_b") / top
+    return both.withColumn("gap", gap)
 
 
 def activation_counts(df: DataFrame, row_id: str, array: str) -> DataFrame:
@@ -373,8 +419,12 @@ def features_by_peak(df: DataFrame, array: str) -> DataFrame:
 
 def group_apply(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
                 schema: str, merge: dict[str, Column], rows_per_part: int = 100_000) -> DataFrame:
-    """A pandas function over groups of any size: it sees ordered parts of a group, and the
-    part results are merged by aggregates."""
+    """A partial pandas function over groups of any size, merged by aggregates.
+
+    ``fn`` always gets an ordered part of a group, at most ``rows_per_part`` rows, and ``merge`` joins
+    the parts, also where a group has only one: ``fn`` must be mergeable, as counts, sums, extremes
+    and sketches are. Medians and fits need a mergeable form of their own.
+    """
     placed = running(df, list(keys), list(order))
     part = F.floor((F.col("pos") - 1) / rows_per_part).alias("_part")
     parts = placed.withColumn("_part", part).groupBy(*keys, "_part").applyInPandas(fn, schema)

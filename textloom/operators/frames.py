@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +100,10 @@ def latest(df: DataFrame, keys: Sequence[str], moment: str, tie: str) -> DataFra
     return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def nearest_to_centroid(
-    df: DataFrame, cluster: str, vector: str, row_id: str, dim: int, n: int
-) -> DataFrame:
-    """The ``n`` rows of each cluster nearest to its mean vector, with their distance."""
-    means = df.groupBy(cluster).agg(
-        F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]).alias("_centroid")
-    )
+def nearest_to_centroid(df: DataFrame, cluster: str, vector: str, row_id: str, n: int | None) -> DataFrame:
+    """The ``n`` rows of each cluster nearest to its mean vector, with their distance; all when ``n`` is None."""
+    means = df.groupBy(cluster).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)))).alias("_centroid"))
     gap = F.zip_with(vector, "_centroid", lambda x, c: (x.cast("double") - c) * (x.cast("double") - c))
     away = F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)), 9)
     rows = salted_join(df, settle(means), [cluster]).withColumn("distance", away).drop("_centroid")
-    return top_per_group(rows, [cluster], [F.asc("distance"), F.asc(row_id)], n)
+    return rows if n is None else top_per_group(rows, [cluster], [F.asc("distance"), F.asc(row_id)], n)

@@ -478,12 +478,19 @@ def hyperbolicity(dist: DataFrame, block_rows: int = 512) -> DataFrame:
     )
 
 
-def sampled_hyperbolicity(dist: DataFrame, samples: int, seed: int = 42) -> DataFrame:
-    """Half the largest gap over ``samples`` random quadruples of the sources, as a lower bound
-    with its sample size. Draws are digests, so a re-run task draws the same."""
-    names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
+def sampled_hyperbolicity(edges: DataFrame, samples: int, pool: int, seed: int = 42) -> DataFrame:
+    """Half the largest gap over random quadruples of ``pool`` drawn vertices, as a lower bound with its
+    sample size.
+
+    The pool is drawn first and only its vertices are walked from, so the distances grow with pool times
+    vertices, never with their square. Draws are digests, so a re-run task draws the same.
+    """
+    ids = settle(vertices(edges))
+    order = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("draw"), "id")
+    names = settle(running(ids.orderBy(order).limit(pool), [], ["id"], position="n"))
     n = names.count()
-    spark = dist.sparkSession
+    dist = settle(distances(edges, names).join(fit_broadcast(names.select(F.col("id").alias("dst"))), "dst", "left_semi"))
+    spark = edges.sparkSession
 
     def pick(i):
         digest = F.md5(F.concat_ws(":", F.col("q").cast("string"), F.lit(str(seed)), F.lit(str(i))))
@@ -516,26 +523,37 @@ def normalised_delta(delta: DataFrame) -> DataFrame:
 
 
 def sample_neighbours(edges: DataFrame, n_positive: int, n_negative: int, seed: int = 42) -> DataFrame:
-    """Per vertex: neighbours drawn with replacement, and random vertices that are neither
-    neighbours nor the vertex itself. Draws are hashes, so a re-run task draws the same."""
+    """(anchor, other, draw, positive): neighbours drawn with replacement, and as many random vertices
+    that are neither neighbours nor the vertex itself.
+
+    A draw is a rank from the MD5 of its name. A negative rank counts the vertices that may be drawn
+    and is moved past the places of those that may not, so every draw gives a vertex; a vertex that
+    is linked to all others has no negatives. Ids are text.
+    """
     wide = settle(both_ways(edges).distinct())
     placed = settle(running(wide, ["src"], ["dst"], position="k"))
-    degree = placed.groupBy("src").agg(F.max("k").alias("_deg"))
-    ids = settle(running(degree.select("src"), [], ["src"], position="k"))
+    degree = settle(placed.groupBy("src").agg(F.max("k").alias("_deg")))
+    ids = settle(running(degree.select("src"), [], ["src"], position="k").withColumn("k", F.col("k") - 1))
     total = ids.count()
 
-    def draw(base, many, size, kind):
-        return base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(many)))).withColumn(
-            "k", F.pmod(F.xxhash64(F.col("src"), F.col("draw"), F.lit(seed), F.lit(kind)), size) + 1
-        )
+    def draws(many, size, kind):
+        name = F.concat_ws(":", F.lit(str(seed)), F.col("src").cast("string"), F.lit(kind), F.col("draw").cast("string"))
+        rank = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % size
+        some = degree.where(size > 0).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(many))))
+        return some.select("src", "draw", rank.alias("rank"))
 
-    positive = draw(degree, n_positive, F.col("_deg"), "positive").join(placed, ["src", "k"]).select(
+    chosen = draws(n_positive, F.col("_deg"), "positive").withColumn("k", F.col("rank") + 1)
+    positive = salted_join(placed, chosen, ["src", "k"]).select(
         F.col("src").alias("anchor"), F.col("dst").alias("other"), "draw", F.lit(1).alias("positive")
     )
-    drawn = draw(ids.select("src"), n_negative, F.lit(total), "negative")
-    negative = drawn.join(ids.withColumnRenamed("src", "dst"), "k").where("src <> dst").join(
-        wide, ["src", "dst"], "left_anti"
-    ).select(F.col("src").alias("anchor"), F.col("dst").alias("other"), "draw", F.lit(0).alias("positive"))
+    # places that a vertex may not draw: its neighbours' and its own, each with how many may stand before it
+    barred = salted_join(wide, ids.select(F.col("src").alias("dst"), "k"), ["dst"]).select("src", "k").unionByName(ids.select("src", "k"))
+    before = settle(running(barred, ["src"], ["k"], position="_n").select("src", (F.col("k") - F.col("_n") + 1).alias("free")))
+    asked = draws(n_negative, F.lit(total) - F.col("_deg") - 1, "negative")
+    moved = salted_join(before, asked, ["src"]).groupBy("src", "draw", "rank").agg(F.count_if(F.col("free") <= F.col("rank")).alias("past"))
+    negative = moved.withColumn("k", F.col("rank") + F.col("past")).join(ids.select(F.col("src").alias("other"), "k"), "k").select(
+        F.col("src").alias("anchor"), "other", "draw", F.lit(0).alias("positive")
+    )
     return positive.unionByName(negative)
 
 

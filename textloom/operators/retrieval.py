@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx, vectors
 from textloom.operators.similarity import top_k
 from textloom.scale import (
-    best_per_group, fits, running, salted_join, settle, top_per_group,
+    Salted, best_per_group, fits, running, salted_join, settle, top_per_group,
 )
 
 # The usual BM25 parameters of inverted-index stores.
@@ -26,26 +29,26 @@ def query_terms(queries: DataFrame, query: str, text: str, stop_words=tx.STOP_WO
     return found.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _wanted(tokens: str, asked: DataFrame) -> Column:
-    """Tokens that some query asks for; all tokens when the queries ask for very many."""
-    words = asked.select("term").distinct()
-    if not fits(words, VOCABULARY):
-        return F.col(tokens)
-    listed = ", ".join(f"'{r['term']}'" for r in words.collect())  # letters and digits only
-    return F.expr(f"filter({tokens}, t -> t IN ({listed}))") if listed else F.array().cast("array<string>")
-
-
 def postings(corpus: DataFrame, doc: str, text: str, asked: DataFrame, stop_words=tx.STOP_WORDS):
     """Postings of the asked terms, and the number and mean length of all documents.
 
-    One pass over the texts leaves one small row per document: its length and the tokens
-    that some query asks for. Everything after it reads that table.
+    Where the asked terms fit a list, one pass over the texts leaves one small row per document: its
+    length and the tokens that some query asks for. Beyond that the counted terms of each document
+    are joined with the asked ones, and only what is asked is kept.
     """
     tokens = corpus.select(F.col(doc).alias("doc"), tx.terms(F.col(text), stop_words).alias("tokens"))
-    hits = settle(tokens.select("doc", F.size("tokens").alias("length"), _wanted("tokens", asked).alias("hits")))
-    total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    rows = hits.select("doc", "length", F.explode("hits").alias("term"))
-    counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = asked.select("term").distinct()
+    if fits(words, VOCABULARY):
+        listed = ", ".join(f"'{r['term']}'" for r in words.collect())  # letters and digits only
+        wanted = F.expr(f"filter(tokens, t -> t IN ({listed}))") if listed else F.array().cast("array<string>")
+        hits = settle(tokens.select("doc", F.size("tokens").alias("length"), wanted.alias("hits")))
+        total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+        rows = hits.select("doc", "length", F.explode("hits").alias("term"))
+        counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+        rows = tokens.select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf")).join(words, "term", "left_semi")
     return counted, total["n"], total["mean"] or 1.0
 
 
@@ -90,24 +93,53 @@ def dense(corpus, queries, doc, vector, query, query_vector, k: int = 10) -> Dat
     return found.select("query", F.col("row").alias("doc"), F.round("score", ROUND).alias("score"), "rank")
 
 
-def dense_approximate(corpus, queries, doc, vector, query, query_vector, k: int = 10, bucket: float = 1.0,
-                      tables: int = 8, seed: int = 42) -> DataFrame:
-    """Cosine top ``k`` among the rows that share a random-projection bucket with the query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    scale = Normalizer(inputCol="raw", outputCol="unit")
-    docs = scale.transform(corpus.select(F.col(doc).alias("doc"), array_to_vector(F.col(vector)).alias("raw")))
-    asks = scale.transform(queries.select(F.col(query).alias("query"), array_to_vector(F.col(query_vector)).alias("raw")))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(docs)
-    pairs = lsh.approxSimilarityJoin(asks, docs, 2.0, distCol="gap")
-    scores = pairs.select(
-        F.col("datasetA.query").alias("query"), F.col("datasetB.doc").alias("doc"),
-        F.round(1 - F.col("gap") * F.col("gap") / 2, ROUND).alias("score"),
-    )
-    return cut(scores, k)
+def sign_buckets(df: DataFrame, row_id: str, vector: str, tables: int, bits: int, seed: int = 42) -> DataFrame:
+    """(id, table, bucket): the signs of ``bits`` fixed random projections of each vector, per table.
+
+    A projection's entry is 1 or -1 by the first hex digit of the MD5 of ``seed:table:bit:place``, so
+    the buckets need no fit and are the same wherever they are computed.
+    """
+    rows = df.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
+    known: dict[int, np.ndarray] = {}
+
+    def planes(dim: int) -> np.ndarray:
+        if dim not in known:
+            names = (f"{seed}:{t}:{b}:{i}" for t in range(tables) for b in range(bits) for i in range(dim))
+            signs = [1.0 if int(md5(n.encode()).hexdigest()[0], 16) >= 8 else -1.0 for n in names]
+            known[dim] = np.array(signs).reshape(tables * bits, dim)
+        return known[dim]
+
+    def hashed(batches):
+        for frame in batches:
+            if len(frame):
+                matrix = np.stack(frame["vec"].to_list()).astype(np.float64)
+                up = np.round(matrix @ planes(matrix.shape[1]).T, 9) >= 0
+                places = up.reshape(len(frame), tables, bits) @ (1 << np.arange(bits))
+                yield pd.DataFrame({"id": frame["id"], "buckets": list(places)})
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInPandas(hashed, f"id {kind}, buckets array<long>").select("id", F.posexplode("buckets").alias("table", "bucket"))
+
+
+def sign_candidates(corpus, queries, doc, vector, query, query_vector, bits: int = 7, tables: int = 12, seed: int = 42) -> DataFrame:
+    """Distinct (query, doc) that share a bucket of any table; no vectors are shuffled."""
+    docs = settle(sign_buckets(corpus, doc, vector, tables, bits, seed).withColumnRenamed("id", "doc"))
+    asks = settle(sign_buckets(queries, query, query_vector, tables, bits, seed).withColumnRenamed("id", "query"))
+    return Salted(docs, ["table", "bucket"]).join(asks).select("query", "doc").distinct()
+
+
+def dense_approximate(corpus, queries, doc, vector, query, query_vector, k: int = 10, bits: int = 7,
+                      tables: int = 12, seed: int = 42) -> DataFrame:
+    """Cosine top ``k`` among the rows that share a bucket of sign hashes with the query.
+
+    About ``tables / 2 ** bits`` of all pairs are candidates; their cosines are computed once.
+    """
+    pairs = settle(sign_candidates(corpus, queries, doc, vector, query, query_vector, bits, tables, seed))
+    asks = queries.select(F.col(query).alias("query"), F.col(query_vector).alias("_q"))
+    docs = corpus.select(F.col(doc).alias("doc"), F.col(vector).alias("_d"))
+    rows = salted_join(salted_join(pairs, asks, ["query"]), docs, ["doc"])
+    scores = rows.select("query", "doc", F.round(vectors.cosine(F.col("_q"), F.col("_d")), 9).alias("score"))
+    return cut(scores, k).withColumn("score", F.round("score", ROUND))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

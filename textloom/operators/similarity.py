@@ -12,10 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.scale import running, top_per_group
+from textloom.scale import running, settle, top_per_group
 
 BLOCK_ROWS = 2048
 MATRIX_ENTRIES = 4_000_000
@@ -60,25 +62,74 @@ def block_pairs(
 
 
 def _units(df: DataFrame, row_id: str, vector: str) -> DataFrame:
-    return df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("vec"))
+    return df.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
 
 
-def cosine_rows(df: DataFrame, row_id: str, vector: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+SELF_ROWS = 100_000  # most rows of a block in a task
+
+
+def self_blocks(df: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` over every unordered pair of blocks of one table (id, vec), and each block with itself.
+
+    The grid follows the cores, not the rows, while a block stays under ``SELF_ROWS``: a row is copied
+    about as often as the root of the number of tasks. ``fn`` is told whether both blocks are one.
+    """
+    spark = df.sparkSession
+    rows = df.count()
+    tasks = 2 * int(spark.sparkContext.defaultParallelism)
+    grid = max(1, math.ceil(rows / SELF_ROWS), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(rows / 256)))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(grid)), F.col("_k")
+    dealt = df.withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<bigint>")))
+    dealt = dealt.withColumn("_i", F.least("_own", other)).withColumn("_j", F.greatest("_own", other)).drop("_k")
+
+    def meet(key, frame):
+        x = frame[frame["_own"] == key[0]]
+        y = x if key[0] == key[1] else frame[frame["_own"] == key[1]]
+        return fn(x, y, key[0] == key[1]) if len(x) and len(y) else pd.DataFrame()
+
+    return dealt.groupBy("_i", "_j").applyInPandas(meet, schema)
+
+
+def _tiles(x: pd.DataFrame, y: pd.DataFrame, same: bool):
+    """Cosine tiles of two blocks with the row numbers they cover; of one block only those on or above
+    the diagonal. The entry of a vector and itself is NaN."""
+    a, b = _matrix(x["vec"]), None
+    b = a if same else _matrix(y["vec"])
+    for i in range(0, len(a), BLOCK_ROWS):
+        for j in range(i if same else 0, len(b), BLOCK_ROWS):
+            tile = a[i : i + BLOCK_ROWS] @ b[j : j + BLOCK_ROWS].T
+            if same and i == j:
+                np.fill_diagonal(tile, np.nan)
+            yield i, j, tile
+
+
+def cosine_rows(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     """Per vector: number of others, largest and mean cosine to them."""
     units = _units(df, row_id, vector)
-    blocks = block_count(units, block_rows)
-
-    def summarise(x, y):
-        product = _matrix(x["vec"]) @ _matrix(y["vec"]).T
-        same = x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]
-        product[same] = 0.0
-        total = product.sum(axis=1)
-        product[same] = -np.inf
-        return pd.DataFrame(
-            {"id": x["id"], "others": (~same).sum(axis=1), "nearest": product.max(axis=1), "total": total}
-        )
+    kind = dict(units.dtypes)["id"]
 
-    parts = block_pairs(units, units, summarise, "id long, others long, nearest double, total double", blocks, blocks)
+    def summarise(x, y, same):
+        n = {"x": np.zeros(len(x), np.int64), "y": np.zeros(len(y), np.int64)}
+        top = {k: np.full(len(v), -np.inf) for k, v in n.items()}
+        total = {k: np.zeros(len(v)) for k, v in n.items()}
+
+        def add(side, at, tile, axis):
+            part = slice(at, at + tile.shape[1 - axis])
+            n[side][part] += (~np.isnan(tile)).sum(axis=axis)
+            total[side][part] += np.nansum(tile, axis=axis)
+            top[side][part] = np.fmax(top[side][part], np.fmax.reduce(tile, axis=axis))
+
+        for i, j, tile in _tiles(x, y, same):
+            add("x", i, tile, 1)
+            if not same or i != j:
+                add("x" if same else "y", j, tile, 0)
+        sides = ["x"] if same else ["x", "y"]
+        ids = {"x": x["id"], "y": y["id"]}
+        return pd.concat([
+            pd.DataFrame({"id": ids[k].to_numpy(), "others": n[k], "nearest": top[k], "total": total[k]}) for k in sides
+        ])
+
+    parts = self_blocks(units, summarise, f"id {kind}, others long, nearest double, total double")
     return parts.groupBy(F.col("id").alias(row_id)).agg(
         F.sum("others").alias("others"),
         F.max("nearest").alias("nearest"),
@@ -108,78 +159,88 @@ def cosine_matrix(df: DataFrame, row_id: str, vector: str, block_rows: int = BLO
     return block_pairs(units, units, product, f"left {kind}, right {kind}, cosine double", blocks, blocks)
 
 
-def _zoom(units: DataFrame, ranges: list[tuple[float, float]], bins: int, blocks: int) -> dict:
-    """Counts of matrix entries per range and equal bin of it; bin -1 holds what lies below."""
-
-    def count(x, y):
-        product = _entries(x, y)
-        parts = []
-        for i, (low, high) in enumerate(ranges):
-            at = np.floor((product - low) / (high - low) * bins)
-            found, n = np.unique(np.clip(at, -1, bins).astype(np.int64), return_counts=True)
-            parts.append(pd.DataFrame({"range": i, "bin": found, "n": n}))
-        return pd.concat(parts)
-
-    counted = block_pairs(units, units, count, "range long, bin long, n long", blocks, blocks)
-    rows = counted.groupBy("range", "bin").agg(F.sum("n").alias("n")).collect()  # ranges x bins rows
-    return {(r["range"], r["bin"]): r["n"] for r in rows}
-
-
-def _entries(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    """Cosines of a block pair with a zero for each vector and itself."""
-    product = _matrix(x["vec"]) @ _matrix(y["vec"]).T
-    product[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = 0.0
-    return np.round(product, 12).reshape(-1)
-
-
 def coherence(
     df: DataFrame,
     row_id: str,
     vector: str,
     probs=(0.25, 0.5, 0.75, 0.95),
-    block_rows: int = BLOCK_ROWS,
-    zooms: int = 4,
-    bins: int = 1000,
+    bins: int = 20_000,
 ) -> DataFrame:
     """Summary of the cosine matrix with a zero diagonal: (statistic, value) rows.
 
-    A task returns moments or a histogram of its block pair, never the entries. The entries
-    next to each quantile are found by zooming into the bin that holds them, to within
-    ``2 / bins ** zooms``, and interpolated.
+    Mean and deviation follow from the sums and products of the vectors themselves. The entries next to each
+    quantile are found by a histogram over all pairs and a second one inside the bins that hold
+    them, to within ``4 / bins ** 2``, and interpolated; a task returns its histogram, never entries.
     """
-    units = _units(df, row_id, vector)
-    blocks = block_count(units, block_rows)
-
-    def moments(x, y):
-        v = _entries(x, y)
-        return pd.DataFrame({"n": [len(v)], "s": [v.sum()], "q": [(v * v).sum()], "lo": [v.min()], "hi": [v.max()]})
+    units = settle(_units(df, row_id, vector))
+    rows = units.count()
+
+    def moments(batches):
+        for frame in batches:
+            if len(frame):
+                m = _matrix(frame["vec"])
+                yield pd.DataFrame({"total": [m.sum(axis=0)], "gram": [(m.T @ m).reshape(-1)], "ones": [float((m * m).sum())], "fourth": [float(((m * m).sum(axis=1) ** 2).sum())]})
+
+    parts = units.mapInPandas(moments, "total array<double>, gram array<double>, ones double, fourth double")
+    summed = parts.agg(  # a few numbers per dimension, whatever the rows
+        Summarizer.sum(array_to_vector("total")).alias("t"), Summarizer.sum(array_to_vector("gram")).alias("g"),
+        F.sum("ones").alias("ones"), F.sum("fourth").alias("fourth"),
+    ).first()
+    n = float(rows) ** 2
+    s = float((summed["t"].toArray() ** 2).sum()) - summed["ones"]
+    q = float((summed["g"].toArray() ** 2).sum()) - summed["fourth"]
+
+    def histogram(ranges):
+        def count(x, y, same):
+            held = [np.zeros(bins + 2, np.int64) for _ in ranges]
+            low, high = np.inf, -np.inf
+            for i, j, tile in _tiles(x, y, same):
+                v = np.round(tile[~np.isnan(tile)], 12)
+                times = 1 if same and i == j else 2
+                if len(v):
+                    low, high = min(low, v.min()), max(high, v.max())
+                for k, (a, b) in enumerate(ranges):
+                    at = np.clip(np.floor((v - a) / (b - a) * bins).astype(np.int64), -1, bins) + 1
+                    held[k] += times * np.bincount(at, minlength=bins + 2)
+            found = [(k, np.flatnonzero(h)) for k, h in enumerate(held)]
+            frames = [pd.DataFrame({"range": k, "bin": at - 1, "n": held[k][at], "lo": low, "hi": high}) for k, at in found]
+            return pd.concat(frames)
+
+        counted = self_blocks(units, count, "range long, bin long, n long, lo double, hi double")
+        table = counted.groupBy("range", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # ranges x bins
+        counts = {(r["range"], r["bin"]): r["n"] for r in table}
+        for k, (a, b) in enumerate(ranges):  # the zeros of the diagonal
+            at = min(max(math.floor((0.0 - a) / (b - a) * bins), -1), bins)
+            counts[k, at] = counts.get((k, at), 0) + rows
+        return counts, min([0.0, *[r["lo"] for r in table]]), max([0.0, *[r["hi"] for r in table]])
 
-    sums = block_pairs(units, units, moments, "n long, s double, q double, lo double, hi double", blocks, blocks)
-    n, s, q, lo, hi = sums.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.min("lo"), F.max("hi")).first()
-    rows = [
-        ("count", float(n)), ("mean", s / n), ("std", math.sqrt(max(0.0, (q - s * s / n) / max(n - 1, 1)))),
-        ("min", lo), ("max", hi),
-    ]
     ranks = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
     spans = {r: (-1.001, 1.001) for r in ranks}
-    for _ in range(zooms):
+    low = high = 0.0
+    for step in range(2):
         ranges = sorted(set(spans.values()))
-        counts = _zoom(units, ranges, bins, blocks)
-        for rank, (low, high) in spans.items():
-            i = ranges.index((low, high))
-            width, below = (high - low) / bins, counts.get((i, -1), 0)
-            for b in range(bins):
-                inside = counts.get((i, b), 0)
+        counts, lo, hi = histogram(ranges)
+        if not step:
+            low, high = lo, hi
+        for rank, (a, b) in spans.items():
+            i = ranges.index((a, b))
+            width, below = (b - a) / bins, counts.get((i, -1), 0)
+            for k in range(bins):
+                inside = counts.get((i, k), 0)
                 if below + inside > rank:
-                    spans[rank] = (low + b * width, low + (b + 1) * width)
+                    spans[rank] = (a + k * width, a + (k + 1) * width)
                     break
                 below += inside
-    value = {r: (low + high) / 2 for r, (low, high) in spans.items()}
+    out = [
+        ("count", n), ("mean", s / n), ("std", math.sqrt(max(0.0, (q - s * s / n) / max(n - 1, 1)))),
+        ("min", float(low)), ("max", float(high)),
+    ]
+    value = {r: (a + b) / 2 for r, (a, b) in spans.items()}
     for p in probs:
         at = p * (n - 1)
         a, b = value[math.floor(at)], value[math.ceil(at)]
-        rows.append((f"q{p:.2f}", a + (b - a) * (at - math.floor(at))))
-    return df.sparkSession.createDataFrame(rows, "statistic string, value double")
+        out.append((f"q{p:.2f}", a + (b - a) * (at - math.floor(at))))
+    return df.sparkSession.createDataFrame(out, "statistic string, value double")
 
 
 def top_k(
@@ -201,9 +262,8 @@ def top_k(
     before ranking and ties go to the smaller id.
     """
     asks = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("vec"))
-    docs = corpus.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("vec"))
-    kind = dict(asks.dtypes)["id"]
-    schema = f"query {kind}, row long, score double"
+    docs = corpus.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
+    schema = f"query {dict(asks.dtypes)['id']}, row {dict(docs.dtypes)['id']}, score double"
 
     def best(ask_ids, ask_matrix, ids, matrix):
         """At least the k best per query: all that reach the k-th score of this batch."""

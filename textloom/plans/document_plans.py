@@ -68,19 +68,24 @@ def chunk_layouts(t):
 
 @plan(
     "D04_chunk_offsets",
-    """
-    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, TRUE AS found, TRUE AS covered FROM documents
+    r"""
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, TRUE AS found,
+           CAST(length(regexp_replace(text, '[\p{Z}\x09-\x0d\x1c-\x1f\x85]', '', 'g')) AS BIGINT) AS solid,
+           CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE 1 END AS any_chunk
+    FROM documents
     """,
 )
 def chunk_offsets(t):
+    """Each chunk stands at its offsets, and the chunks hold every character that is no white space."""
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     docs = t.documents.select(name.alias("name"), "text")
-    rows = chunks.chunk_rows(docs.withColumn("source_text", F.col("text")), "name", "text", 512, 0)
-    at = F.substr("source_text", F.col("start") + 1, F.col("end") - F.col("start"))
-    solid = lambda c: F.length(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]", ""))
-    return rows.groupBy("name").agg(
-        F.every(at == F.col("chunk")).alias("found"),
-        (F.sum(solid(F.col("chunk"))) == F.max(solid(F.col("source_text")))).alias("covered"),
+    listed = chunks.chunk_lists(docs, "text", 512, 0)
+    solid = lambda c: F.length(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]", "")).cast("long")
+    stands = lambda c: F.substr("text", c["start"] + 1, c["end"] - c["start"]) == c["chunk"]
+    return listed.select(
+        "name", F.forall("chunks", stands).alias("found"),
+        F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + solid(c["chunk"])).alias("solid"),
+        F.least(F.size("chunks"), F.lit(1)).alias("any_chunk"),
     )
 
 
@@ -127,7 +132,7 @@ def toc_pages(t):
     """
     SELECT 'b' || CAST(s_suppkey AS VARCHAR) AS book, 1 AS entry, 4 AS page_ref, 'I' AS roman, 'FIRST DAYS' AS title FROM supplier
     UNION ALL SELECT 'b' || CAST(s_suppkey AS VARCHAR), 2, 6, 'II', 'LATER ' || CAST(s_suppkey AS VARCHAR) || ' DAYS' FROM supplier
-    UNION ALL SELECT 'b' || CAST(s_suppkey AS VARCHAR), 3, 1002, 'III', 'LAST DAYS' FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT 'b' || CAST(s_suppkey AS VARCHAR), 3, 10, 'III', 'LAST DAYS' FROM supplier WHERE s_suppkey % 2 = 0
     """,
 )
 def book_toc(t):
@@ -154,7 +159,7 @@ def page_links(t):
         F.concat(F.lit("http://"), host, F.lit("/")).alias("src"), host.alias("host"),
         F.explode(links.html_hrefs(F.col("html"))).alias("href"),
     )
-    away = F.concat(F.lit("http://"), F.lower(F.substring("href", 2, 40)), F.lit(".example.com/"))
+    away = F.concat(F.lit("http://"), F.lower(F.expr("substring(href, 2)")), F.lit(".example.com/"))
     return rows.select("src", F.explode(F.array(F.concat(F.lit("http://"), "host", F.col("href")), away)).alias("dst")).distinct()
 
 
@@ -163,7 +168,7 @@ def page_links(t):
     """
     WITH a AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages),
     l AS (SELECT DISTINCT 'http://' || host || '/' AS src, 'http://' || host || href AS dst FROM a
-          UNION SELECT 'http://' || host || '/', 'http://' || lower(substring(href, 2, 40)) || '.example.com/' FROM a),
+          UNION SELECT 'http://' || host || '/', 'http://' || lower(substring(href, 2)) || '.example.com/' FROM a),
     s AS (SELECT DISTINCT 'http://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' AS url FROM pages),
     d1 AS (SELECT DISTINCT s.url AS start, dst AS url FROM s JOIN l ON src = s.url
            WHERE regexp_extract(dst, '^http://([^/]*)', 1) = regexp_extract(s.url, '^http://([^/]*)', 1) AND dst <> s.url
@@ -255,7 +260,7 @@ def book_sections(t):
 def chapter_texts(t):
     from textloom.plans.join_plans import book_pages, book_spans
 
-    rows = books.chapter_texts(book_pages(t), settle(book_spans(t)))
+    rows = books.chapter_texts(book_pages(t), settle(book_spans(t)), part_bytes=64 << 20)
     return rows.select("book", "entry", "part", F.md5("text").alias("digest"))
 
 

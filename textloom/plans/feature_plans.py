@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
@@ -44,13 +44,10 @@ def fitted_lda(t):
     return features.lda(docs, topics=8, rounds=3), docs
 
 
-@plan("M02_lda")
+@plan("M02_lda", f"WITH {TF_SQL} SELECT term, df AS documents FROM df")
 def lda(t):
     model, docs = fitted_lda(t)
-    return features.topic_distributions(model, docs).groupBy("topic").agg(
-        F.count("*").alias("documents"),
-        F.round(F.max(F.abs(F.aggregate("distribution", F.lit(0.0), lambda a, x: a + x) - 1)), 6).alias("off_one"),
-    )
+    return features.vocabulary(model, docs).select("term", "documents")
 
 
 def nmf_sql(topics, rounds):
@@ -108,10 +105,15 @@ def topic_of_document(t):
     return features.with_topic(t.embeddings, "embedding").select("vec_id", "topic")
 
 
-@plan("M05_topic_words")
+@plan(
+    "M05_topic_words",
+    f"WITH {TF_SQL} SELECT CAST(range AS INTEGER) AS topic, (SELECT count(*) FROM df) AS terms, (SELECT count(*) FROM df) AS different, 1.0::DOUBLE AS total FROM range(8)",
+)
 def topic_words(t):
     model, _ = fitted_lda(t)
-    return features.topic_words(model, 5)
+    return features.topic_words(model, None).groupBy("topic").agg(
+        F.count("*").alias("terms"), F.count_distinct("term").alias("different"), F.round(F.sum("weight"), 6).alias("total")
+    )
 
 
 @plan(
@@ -167,34 +169,65 @@ def topics_over_time(t):
     return features.topics_over_time(rows, "event_type", "ts", "body", 20, 5).drop("start")
 
 
-@plan("M09_topic_transform")
+@plan(
+    "M09_topic_transform",
+    f"""
+    WITH {TF_SQL} SELECT doc_id, CASE WHEN doc IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total
+    FROM documents LEFT JOIN (SELECT DISTINCT doc FROM tok JOIN df USING (term)) ON doc = doc_id
+    """,
+)
 def topic_transform(t):
     model, docs = fitted_lda(t)
-    return features.topic_distributions(model, docs).select("doc_id", "topic", F.round(F.array_max("distribution"), 6).alias("share"))
+    whole = F.aggregate("distribution", F.lit(0.0), lambda a, x: a + x)
+    return features.topic_distributions(model, docs).select("doc_id", F.round(whole, 6).alias("total"))
+
+
+def lloyd_sql(k, rounds, name=""):
+    """Table expressions of Lloyd steps from the first ``k`` vectors; the last is {name}a{rounds}."""
+    away = "round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))), 9)"
+    parts = [f"{name}c0 AS (SELECT CAST(vec_id AS INTEGER) AS id, v AS m FROM e WHERE vec_id < {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"{name}a{r} AS (SELECT vec_id, arg_min(id, {{'d': {away}, 'i': id}}) AS id FROM e, {name}c{r} GROUP BY vec_id)")
+        if r < rounds:
+            parts.append(
+                f"{name}n{r} AS (SELECT id, list(x ORDER BY i) AS m FROM (SELECT id, i, avg(x) AS x FROM (SELECT id, unnest(v) AS x, "
+                f"unnest(range(64)) AS i FROM {name}a{r} JOIN e USING (vec_id)) GROUP BY 1, 2) GROUP BY 1)"
+            )
+            parts.append(f"{name}c{r + 1} AS (SELECT id, coalesce(n.m, c.m) AS m FROM {name}c{r} c LEFT JOIN {name}n{r} n USING (id))")
+    return ", ".join(parts)
+
+
+VECTORS_SQL = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
-def clustered(t):
-    rows = features.vectors_from_arrays(t.embeddings, "embedding")
-    return features.cluster(rows, k=10)
+def lloyd(rows, k, rounds):
+    first = rows.where(F.col("vec_id") < k).select(
+        F.col("vec_id").cast("int").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("centre")
+    )
+    return features.kmeans_from(rows, "vec_id", "embedding", first, rounds)
 
 
-@plan("M10_kmeans")
+@plan("M10_kmeans", f"WITH {VECTORS_SQL}, {lloyd_sql(10, 3)} SELECT vec_id, id AS cluster_id FROM a3")
 def kmeans(t):
-    return clustered(t).select("vec_id", "cluster_id")
+    rows = t.embeddings.select("vec_id", "embedding")
+    return features.cluster(rows, clusterer=lambda df: lloyd(df, 10, 3)).select("vec_id", "cluster_id")
 
 
 @plan("M10_text_clusters")
 def text_clusters(t):
     docs = t.documents.select("doc_id", "source", "text")
-    rows = features.cluster_texts(docs, ["source", "text"], features.hashed_features(1 << 10), k=5)
+    rows = features.cluster_texts(docs, ["source", "text"], k=5)
     return rows.groupBy("cluster_id").agg(F.count("*").alias("documents"))
 
 
-@plan("M11_refit")
+@plan(
+    "M11_refit",
+    f"WITH {VECTORS_SQL}, {lloyd_sql(10, 1, 'x')}, {lloyd_sql(5, 2)} SELECT vec_id, a2.id AS cluster_id, xa1.id AS earlier FROM a2 JOIN xa1 USING (vec_id)",
+)
 def refit(t):
-    stored = settle(clustered(t).select("vec_id", "embedding", "cluster_id"))
-    rows = features.vectors_from_arrays(stored, "embedding")
-    return features.refit(rows, BisectingKMeans(k=5, seed=42)).select("vec_id", "cluster_id")
+    stored = settle(lloyd(t.embeddings.select("vec_id", "embedding"), 10, 1))
+    rows = stored.withColumn("earlier", F.col("cluster_id"))
+    return features.refit(rows, lambda df: lloyd(df, 5, 2)).select("vec_id", "cluster_id", "earlier")
 
 
 @plan(
@@ -209,7 +242,7 @@ def refit(t):
 )
 def cluster_examples(t):
     rows = t.embeddings.withColumnRenamed("label", "cluster_id")
-    found = features.cluster_examples(rows, "embedding", "vec_id", 64, 3)
+    found = features.cluster_examples(rows, "embedding", "vec_id", 3)
     return found.select("cluster_id", "vec_id", F.col("embedding")[0].alias("first"))
 
 
@@ -236,11 +269,17 @@ def projection(t):
     return rows.select("vec_id", F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
 
 
-@plan("M16_parameter_sweep")
+@plan(
+    "M16_parameter_sweep",
+    f"WITH {VECTORS_SQL}, {lloyd_sql(5, 2, 'p')}, {lloyd_sql(10, 2, 'q')}, {lloyd_sql(20, 2, 'r')} "
+    + " UNION ALL ".join(
+        f"SELECT '[(''k'', {k})]' AS params, max(n) AS value FROM (SELECT count(*) AS n FROM {x}a2 GROUP BY id)" for k, x in ((5, "p"), (10, "q"), (20, "r"))
+    ),
+)
 def parameter_sweep(t):
     rows = settle(t.embeddings.select("vec_id", "embedding"))
-    grid = [({"k": k}, KMeans(k=k, seed=42, maxIter=10)) for k in (5, 10, 20)]
-    return features.sweep(features.vectors_from_arrays(rows, "embedding"), grid)
+    grid = [({"k": k}, lambda df, k=k: lloyd(df, k, 2)) for k in (5, 10, 20)]
+    return features.sweep(rows, grid)
 
 
 @plan(
@@ -261,9 +300,31 @@ def similarity_matrix(t):
     return out.select("left", "right", F.round("cosine", 6).alias("cosine"))
 
 
-@plan("M18_sample_diversity")
+def draw_sql(i, earlier):
+    """The i-th draw of a sample: a rank among the numbers not drawn yet, moved past those in ``earlier``."""
+    rank = f"('0x' || substr(md5('42:' || size || ':' || trial || ':{i}'), 1, 12))::BIGINT % (n - {i})"
+    for e in earlier:
+        rank = f"({rank}) + CASE WHEN {e} <= ({rank}) THEN 1 ELSE 0 END"
+    return rank
+
+
+@plan(
+    "M18_sample_diversity",
+    f"""
+    WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS at, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT t.range AS trial, s.range AS size, (SELECT count(*) FROM e) AS n FROM range(50) t, range(1, 4) s),
+    d0 AS (SELECT *, {draw_sql(0, [])} AS a FROM p),
+    d1 AS (SELECT *, {draw_sql(1, ['a'])} AS b FROM d0),
+    d2 AS (SELECT *, {draw_sql(2, ['least(a, b)', 'greatest(a, b)'])} AS c FROM d1),
+    g AS (SELECT size, list_cosine_similarity(x.v, y.v) AS ab, list_cosine_similarity(x.v, z.v) AS ac, list_cosine_similarity(y.v, z.v) AS bc
+          FROM d2 JOIN e x ON x.at = a JOIN e y ON y.at = b JOIN e z ON z.at = c)
+    SELECT CAST(size AS INTEGER) AS size, count(*) AS trials, round(avg(CASE size WHEN 1 THEN 1.0 WHEN 2 THEN 1 - ab * ab
+           ELSE 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc END), 6) AS determinant FROM g GROUP BY 1
+    """,
+)
 def sample_diversity(t):
-    return features.sample_diversity(t.embeddings, "vec_id", "embedding", trials=50)
+    out = features.sample_diversity(t.embeddings, "vec_id", "embedding", sizes=(1, 2, 3), trials=50)
+    return out.withColumn("determinant", F.round("determinant", 6))
 
 
 def diverse_sql(places):
@@ -271,7 +332,7 @@ def diverse_sql(places):
     steps = ["p1 AS (SELECT label, vec_id, 1 AS place FROM cand WHERE rank = 1)"]
     for i in range(2, places + 1):
         steps.append(
-            f"g{i} AS (SELECT c.label, c.vec_id, c.rank, 0.7 * (1 - c.distance) - 0.3 * max(list_cosine_similarity(c.v, o.v)) AS gain "
+            f"g{i} AS (SELECT c.label, c.vec_id, c.rank, round(0.7 * (1 - c.distance) - 0.3 * max(list_cosine_similarity(c.v, o.v)), 9) AS gain "
             f"FROM cand c JOIN p{i - 1} p ON p.label = c.label JOIN cand o ON o.vec_id = p.vec_id "
             f"WHERE c.vec_id NOT IN (SELECT vec_id FROM p{i - 1}) GROUP BY c.label, c.vec_id, c.rank, c.distance)"
         )
@@ -284,14 +345,14 @@ def diverse_sql(places):
     m AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2),
     d AS (SELECT label, vec_id, round(sqrt(sum((v - m) * (v - m))), 9) AS distance FROM x JOIN m USING (label, i) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d),
-    cand AS (SELECT r.*, CAST(embedding AS DOUBLE[]) AS v FROM r JOIN embeddings USING (vec_id) WHERE rank <= 30),
+    cand AS (SELECT r.*, CAST(embedding AS DOUBLE[]) AS v FROM r JOIN embeddings USING (vec_id)),
     {", ".join(steps)} SELECT label, vec_id, place FROM p{places}"""
 
 
 @plan("M19_diverse_selection", diverse_sql(10))
 def diverse_selection(t):
-    near = frames.nearest_to_centroid(t.embeddings, "label", "embedding", "vec_id", 64, 30)
-    rows = near.withColumn("relevance", 1 - F.col("distance")).drop("rank")
+    near = frames.nearest_to_centroid(t.embeddings, "label", "embedding", "vec_id", None)
+    rows = near.withColumn("relevance", 1 - F.col("distance"))
     return features.diverse_selection(rows, "label", "vec_id", "embedding", "relevance", 10, 0.3)
 
 
@@ -309,16 +370,16 @@ def diverse_selection(t):
     """,
 )
 def feature_difference(t):
-    def side(lang):
-        docs = t.documents.where(F.col("lang") == lang)
-        return docs.select("doc_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("feature")), docs.count()
-
-    (first, n1), (second, n2) = side("en"), side("de")
+    docs = t.documents.where(F.col("lang").isin("en", "de"))
+    present = docs.select("lang", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("feature"))
+    counts = settle(present.groupBy("lang", "feature").agg(F.count("*").alias("n")))
+    counted = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    sizes = {lang: counted.get(lang, 1) for lang in ("en", "de")}
     out = None
     for metric in ("absolute", "relative"):
-        part = features.diff_features(first, second, "doc_id", "feature", n1, n2, metric, max_coverage=0.9).select(
+        part = features.share_gaps(counts, "lang", "feature", sizes, metric == "relative", most=0.9).select(
             F.lit(metric).alias("metric"), "feature",
-            *[F.round(c, 6).alias(c) for c in ("freq_first", "freq_second", "frequency_difference")],
+            *[F.round(c, 6).alias(n) for c, n in (("share_a", "freq_first"), ("share_b", "freq_second"), ("gap", "frequency_difference"))],
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -386,13 +447,13 @@ def row_function(t):
 )
 def text_preprocessor(t):
     rows = t.events.select("event_id", F.concat("event_type", F.lit("_ 12345 x")).alias("body"))
-    return features.term_counts(rows, "event_id", "body", stop_words=(), preprocess=tx.unsnake)
+    return features.term_counts(rows, "event_id", "body", stop_words=(), preprocess=tx.unsnake).select("doc", "term", "tf")
 
 
 @plan("L03_pluggable_models")
 def pluggable_models(t):
     docs = t.conversations.select("conv_id", "turn", "role", "text")
-    rows = features.cluster_texts(docs, ["role", "text"], features.hashed_features(1 << 8), BisectingKMeans(k=4, seed=1))
+    rows = features.cluster_texts(docs, ["role", "text"], features.hashed_features(), BisectingKMeans(k=4, seed=1))
     return rows.groupBy("cluster_id").agg(F.count("*").alias("turns"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import graphs
 from textloom.plans.registry import plan
-from textloom.scale import best_per_group, running, settle
+from textloom.scale import best_per_group, running, salted_join, settle
 
 
 def named(prefix, column):
@@ -261,22 +261,34 @@ def induced_subgraph(t):
     return graphs.induced(graphs.undirected(trade(t)), keep)
 
 
-@plan("G11_distances", f"WITH RECURSIVE {PLACES_SQL}, {distance_sql('se')} SELECT src, dst, d FROM dist")
+FROM_REGIONS_SQL = distance_sql("se").replace(
+    "SELECT DISTINCT src, src, 0 FROM dbw", "SELECT DISTINCT src, src, 0 FROM dbw WHERE src LIKE 'R%'"
+)
+
+
+def regions(edges):
+    return graphs.vertices(edges).where("id like 'R%'")
+
+
+@plan("G11_distances", f"WITH RECURSIVE {PLACES_SQL}, {FROM_REGIONS_SQL} SELECT src, dst, d FROM dist")
 def distances(t):
-    return graphs.distances(places(t))
+    """From the regions to every place."""
+    edges = places(t)
+    return graphs.distances(edges, regions(edges))
 
 
 @plan(
     "G12_eccentricity",
     f"""
-    WITH RECURSIVE {PLACES_SQL}, {distance_sql('se')}, ec AS (SELECT src AS id, max(d) AS eccentricity FROM dist GROUP BY 1)
-    SELECT id, eccentricity, (SELECT max(d) FROM dist) AS diameter FROM ec
+    WITH RECURSIVE {PLACES_SQL}, {FROM_REGIONS_SQL}, ec AS (SELECT src AS id, max(d) AS eccentricity FROM dist GROUP BY 1)
+    SELECT id, eccentricity, (SELECT max(d) FROM dist) AS widest FROM ec
     """,
 )
 def eccentricity(t):
-    dist = settle(graphs.distances(places(t)))
+    edges = places(t)
+    dist = settle(graphs.distances(edges, regions(edges)))
     widest = graphs.diameter(dist).first()["diameter"]
-    return graphs.eccentricities(dist).withColumn("diameter", F.lit(widest))
+    return graphs.eccentricities(dist).withColumn("widest", F.lit(widest))
 
 
 @plan(
@@ -320,8 +332,10 @@ def hyperbolicity(t):
 @plan(
     "G14_sampled_hyperbolicity",
     f"""
-    WITH RECURSIVE {PLACES_SQL}, {distance_sql('se')},
-    ids AS (SELECT src AS id, row_number() OVER (ORDER BY src) AS n FROM (SELECT DISTINCT src FROM dist)),
+    WITH RECURSIVE {PLACES_SQL},
+    pool AS (SELECT id FROM (SELECT src AS id FROM se UNION SELECT dst FROM se) ORDER BY md5('42:' || id), id LIMIT 60),
+    {distance_sql("se").replace("SELECT DISTINCT src, src, 0 FROM dbw", "SELECT id, id, 0 FROM pool")},
+    ids AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM pool),
     draws AS (SELECT q, i, CAST('0x' || substr(md5(CAST(q AS VARCHAR) || ':42:' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT count(*) FROM ids) + 1 AS n
               FROM range(20000) r(q), range(4) s(i)),
     p AS (SELECT q, max(CASE WHEN i = 0 THEN id END) AS a, max(CASE WHEN i = 1 THEN id END) AS b,
@@ -335,7 +349,8 @@ def hyperbolicity(t):
     """,
 )
 def sampled_hyperbolicity(t):
-    return graphs.sampled_hyperbolicity(settle(graphs.distances(places(t))), 20_000)
+    """Quadruples of 60 drawn places, the sample size of this estimate."""
+    return graphs.sampled_hyperbolicity(places(t), 20_000, 60)
 
 
 @plan(
@@ -351,53 +366,46 @@ def normalised_delta(t):
     return out.select("delta", F.round("by_diameter", 6).alias("by_diameter"), F.round("by_size", 6).alias("by_size"))
 
 
-@plan(
-    "G16_neighbour_samples",
-    f"""
-    WITH {TRADE_SQL} SELECT DISTINCT src AS anchor, 5 AS positives, 5 AS linked, TRUE AS some_apart, 0 AS wrong FROM bw
-    """,
-)
-def neighbour_samples(t):
-    edges = settle(graphs.undirected(trade(t)))
-    drawn = graphs.sample_neighbours(edges, 5, 40)
-    known = graphs.both_ways(edges).select(F.col("src").alias("anchor"), F.col("dst").alias("other"), F.lit(1).alias("hit"))
-    checked = drawn.join(known, ["anchor", "other"], "left")
-    positive, hit = F.col("positive") == 1, F.col("hit") == 1
-    wrong = ~positive & (F.coalesce(hit, F.lit(False)) | (F.col("anchor") == F.col("other")))
-    return checked.groupBy("anchor").agg(
-        F.count_if(positive).cast("int").alias("positives"), F.count_if(positive & hit).cast("int").alias("linked"),
-        (F.count_if(~positive) > 0).alias("some_apart"), F.count_if(wrong).cast("int").alias("wrong"),
-    )
+SAMPLE_SQL = """
+    deg AS (SELECT src, count(*) AS deg FROM bw GROUP BY 1),
+    ids AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS place FROM deg),
+    nb AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM bw),
+    draws AS (SELECT src, deg, range AS draw, (SELECT count(*) FROM ids) AS n,
+                ('0x' || substr(md5('42:' || src || ':positive:' || range), 1, 12))::BIGINT AS hp,
+                ('0x' || substr(md5('42:' || src || ':negative:' || range), 1, 12))::BIGINT AS hn FROM deg, range(1, 6)),
+    barred AS (SELECT src, place, place - row_number() OVER (PARTITION BY src ORDER BY place) + 1 AS free
+               FROM (SELECT bw.src, i.place FROM bw JOIN ids i ON i.src = dst UNION ALL SELECT src, place FROM ids)),
+    ranks AS (SELECT src, draw, hn % (n - deg - 1) AS rank FROM draws WHERE n - deg - 1 > 0),
+    past AS (SELECT src, draw, rank + (SELECT count(*) FROM barred b WHERE b.src = r.src AND b.free <= rank) AS place FROM ranks r),
+    samples AS (SELECT d.src AS anchor, dst AS other, draw, 1 AS positive FROM draws d JOIN nb ON nb.src = d.src AND nb.k = hp % deg
+                UNION ALL SELECT p.src, i.src, draw, 0 FROM past p JOIN ids i USING (place))"""
 
 
-def points(t, edges):
-    """Lorentz coordinates of the vertices from the first two entries of numbered vectors."""
-    from textloom.functions.vectors import to_hyperboloid
-
-    ids = running(graphs.vertices(edges), [], ["id"], position="n")
-    vecs = t.embeddings.select((F.col("vec_id") + 1).alias("n"), to_hyperboloid(F.slice("embedding", 1, 2)).alias("point"))
-    return settle(ids.join(vecs, "n").select("id", "point"))
+@plan("G16_neighbour_samples", f"WITH {TRADE_SQL}, {SAMPLE_SQL} SELECT anchor, other, CAST(draw AS INTEGER) AS draw, positive FROM samples")
+def neighbour_samples(t):
+    return graphs.sample_neighbours(settle(graphs.undirected(trade(t))), 5, 5)
 
 
 @plan(
     "G17_embedding_loss",
     f"""
-    WITH {PROFILE_SQL}, bw AS (SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe),
-    ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM (SELECT DISTINCT src AS id FROM bw)),
-    pt AS (SELECT id, sqrt(1 + pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)) AS w, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y
-           FROM ids JOIN embeddings ON n = vec_id),
-    s AS (SELECT a.id AS anchor, CASE WHEN dst IS NULL THEN 0 ELSE 1 END AS positive,
-             1e-6 - acosh(greatest(1.0, a.w * b.w - a.x * b.x - a.y * b.y)) AS v
-          FROM pt a JOIN pt b ON a.id <> b.id LEFT JOIN bw ON src = a.id AND dst = b.id)
+    WITH {TRADE_SQL}, {SAMPLE_SQL},
+    v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS nth, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    pt AS (SELECT src AS id, v, sqrt(1 + list_dot_product(v, v)) AS w FROM ids JOIN v ON nth = place % (SELECT count(*) FROM v)),
+    s AS (SELECT anchor, positive, 1e-6 - acosh(greatest(1.0, a.w * b.w - list_dot_product(a.v, b.v))) AS v
+          FROM samples JOIN pt a ON a.id = anchor JOIN pt b ON b.id = other)
     SELECT anchor, round(ln(sum(exp(v))) - ln(sum(CASE WHEN positive = 1 THEN exp(v) END)), 5) AS loss FROM s GROUP BY 1
     """,
 )
 def embedding_loss(t):
-    edges = profile(t)
-    ids = graphs.vertices(edges)
-    positive = graphs.both_ways(edges).select(F.col("src").alias("anchor"), F.col("dst").alias("other"), F.lit(1).alias("positive"))
-    negative = graphs.non_neighbours(edges, ids).select(F.col("id").alias("anchor"), "other", F.lit(0).alias("positive"))
-    out = graphs.embedding_loss(positive.unionByName(negative), points(t, edges))
+    """Vertices take the vectors in turn as their points."""
+    from textloom.functions.vectors import to_hyperboloid
+
+    edges = settle(graphs.undirected(trade(t)))
+    vecs = settle(running(t.embeddings.select("vec_id", to_hyperboloid(F.col("embedding")).alias("point")), [], ["vec_id"], position="nth"))
+    places = running(graphs.vertices(edges), [], ["id"], position="at").withColumn("nth", (F.col("at") - 1) % vecs.count() + 1)
+    points = settle(salted_join(places, vecs.select("nth", "point"), ["nth"]).select("id", "point"))
+    out = graphs.embedding_loss(settle(graphs.sample_neighbours(edges, 5, 5)), points)
     return out.select("anchor", F.round("loss", 5).alias("loss"))
 
 
@@ -421,13 +429,14 @@ def heat_kernel(t):
 @plan(
     "G20_near_set",
     f"""
-    WITH RECURSIVE {PLACES_SQL}, {distance_sql('se')}, q AS (SELECT src, quantile_cont(d, 0.05) AS q FROM dist GROUP BY 1)
+    WITH RECURSIVE {PLACES_SQL}, {FROM_REGIONS_SQL}, q AS (SELECT src, quantile_cont(d, 0.05) AS q FROM dist GROUP BY 1)
     SELECT 'quantile' AS kind, src, dst, d FROM dist JOIN q USING (src) WHERE d < q
     UNION ALL SELECT 'bound', src, dst, d FROM dist WHERE d < 2
     """,
 )
 def near_set(t):
-    dist = settle(graphs.distances(places(t)))
+    edges = places(t)
+    dist = settle(graphs.distances(edges, regions(edges)))
     near = graphs.near_set(dist, 0.05).withColumn("kind", F.lit("quantile"))
     return near.unionByName(graphs.near_set(dist, below=2).withColumn("kind", F.lit("bound")))
 

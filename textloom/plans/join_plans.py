@@ -372,7 +372,7 @@ def describe(t):
 )
 def concat_text(t):
     turns = t.conversations.select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("text"))
-    whole = concat_parts(running(turns, ["conv_id"], ["turn"]), ["conv_id"], "pos", "text", "\n")
+    whole = concat_parts(turns, ["conv_id"], ["turn"], "text", "\n", part_bytes=64 << 20)
     counts = turns.groupBy("conv_id").agg(F.count("*").alias("turns"))
     return whole.join(counts, "conv_id").select("conv_id", "part", F.md5("text").alias("digest"), "turns")
 
@@ -498,7 +498,7 @@ def best_rows(t):
     """,
 )
 def nearest_to_centroid(t):
-    rows = frames.nearest_to_centroid(t.embeddings, "label", "embedding", "vec_id", 64, 3)
+    rows = frames.nearest_to_centroid(t.embeddings, "label", "embedding", "vec_id", 3)
     return rows.select("label", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 

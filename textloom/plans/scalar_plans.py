@@ -267,12 +267,25 @@ def arxiv_id(t):
 @plan(
     "X16_url_extraction",
     """
-    SELECT page_id, 0 AS pos, url FROM pages UNION ALL SELECT page_id, 1, 'www.site.org/p' || CAST(page_id AS VARCHAR) FROM pages
+    WITH said AS (
+        SELECT 'page' AS kind, page_id AS id, [url, 'www.site.org/p' || CAST(page_id AS VARCHAR), 'http://a.org/w_(b_(c))', 'foo.com',
+            'Sub.Example.co.uk:80/x?y=1#z'] AS found FROM pages
+        UNION ALL SELECT 'document', doc_id, ['http://a.org/w_(' || CAST(doc_id AS VARCHAR) || ')', 'example.net'] FROM documents
+    )
+    SELECT kind, id, CAST(pos AS INTEGER) AS pos, url FROM (SELECT kind, id, unnest(range(len(found))) AS pos, unnest(found) AS url FROM said)
     """,
 )
 def url_extraction(t):
-    text = F.concat(F.lit("see "), "url", F.lit(" and (www.site.org/p"), F.col("page_id").cast("string"), F.lit("), not a.b"))
-    return t.pages.select("page_id", F.posexplode(links.urls(text)).alias("pos", "url"))
+    number = lambda c: F.col(c).cast("string")
+    page = F.concat(
+        F.lit("see "), "url", F.lit(" and (www.site.org/p"), number("page_id"),
+        F.lit("), not a.b; <http://a.org/w_(b_(c))>. foo.com, me@foo.com, x@mail.site.org! 'Sub.Example.co.uk:80/x?y=1#z' http:// .com v1.2"),
+    )
+    document = F.concat("text", F.lit("\n(http://a.org/w_("), number("doc_id"), F.lit(")) example.net."))
+    rows = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), page.alias("text")).unionByName(
+        t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), document.alias("text"))
+    )
+    return rows.select("kind", "id", F.posexplode(links.urls(F.col("text"))).alias("pos", "url"))
 
 
 @plan(
@@ -338,20 +351,17 @@ def cosine(t):
     )
 
 
-LIFT = "[sqrt(1 + pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)), embedding[1]::DOUBLE, embedding[2]::DOUBLE]"
-
-
 @plan(
     "X22_hyperbolic_distance",
-    f"""
-    WITH h AS (SELECT vec_id, {LIFT} AS p FROM embeddings)
-    SELECT vec_id, round(acosh(greatest(1.0, p[1] * sqrt(1.25) - p[2] * 0.5)), 5) AS d FROM h
+    """
+    WITH h AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT vec_id, round(acosh(greatest(1.0, sqrt(1 + list_dot_product(v, v)) * sqrt(1.25) - v[1] * 0.5)), 5) AS d FROM h
     """,
 )
 def hyperbolic_distance(t):
-    point = vectors.to_hyperboloid(F.slice("embedding", 1, 2))
-    other = vectors.to_hyperboloid(F.array(F.lit(0.5), F.lit(0.0)))
-    return t.embeddings.select("vec_id", F.round(vectors.lorentz_distance(point, other), 5).alias("d"))
+    point = vectors.to_hyperboloid(F.col("embedding"))
+    axis = F.transform("embedding", lambda x, i: F.when(i == 0, 0.5).otherwise(0.0))
+    return t.embeddings.select("vec_id", F.round(vectors.lorentz_distance(point, vectors.to_hyperboloid(axis)), 5).alias("d"))
 
 
 @plan(

@@ -338,7 +338,7 @@ def union_all(t):
 )
 def set_difference(t):
     placed = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))
-    return t.customer.select(F.col("c_custkey").alias("k")).exceptAll(placed.distinct()).distinct()
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(placed)
 
 
 @plan(

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -30,11 +31,13 @@ def scratch_path(spark: SparkSession) -> str:
     """A fresh path in the folder the cluster shares through spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="textloom-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")  # one process, one machine: nobody else reads it
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -45,7 +48,6 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.add(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
@@ -191,6 +193,9 @@ def neighbourhood(
     return framed.where(F.col("_block") == own).drop("_block")
 
 
+MERGE_ROWS = 200_000
+
+
 def top_per_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -200,15 +205,23 @@ def top_per_group(
 ) -> DataFrame:
     """First ``k`` rows of each group. ``order`` must be total.
 
-    Up to the optimizer's group-limit threshold the cut runs before the shuffle; past it
-    the groups are first cut inside each partition's rows.
+    Up to the optimizer's group-limit threshold the cut runs before the shuffle; past it the groups are
+    first cut inside each partition's rows. Where the partitions' survivors of one group could pass
+    ``MERGE_ROWS`` they meet in about the root of that many buckets first.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    spark = df.sparkSession
+    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stages = []
     if k > limit:
-        slices = W.partitionBy(*keys, "_slice").orderBy(*order)
+        stages.append(F.spark_partition_id())
+    if k * partitions > MERGE_ROWS:
+        stages.append(F.pmod(F.spark_partition_id(), F.lit(math.isqrt(partitions))))
+    for bucket in stages:
+        cut = W.partitionBy(*keys, "_slice").orderBy(*order)
         df = (
-            df.withColumn("_slice", F.spark_partition_id())
-            .withColumn("_local", F.row_number().over(slices))
+            df.withColumn("_slice", bucket)
+            .withColumn("_local", F.row_number().over(cut))
             .where(F.col("_local") <= k)
             .drop("_slice", "_local")
         )
@@ -228,6 +241,12 @@ def best_per_group(df: DataFrame, keys: Sequence[str], smallest: Sequence[Column
     )
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether reading ``df`` again costs no more than a scan with projections and filters."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(node in plan for node in ("Join", "Aggregate", "Window", "Generate", "MapIn", "FlatMap", "Sort", "Repartition"))
+
+
 class Salted:
     """A large side prepared for one or many equi joins on the same columns.
 
@@ -248,6 +267,8 @@ class Salted:
     def _prepare(self) -> None:
         counts = self.counts
         if counts is None:
+            if not _is_scan(self.big):
+                self.big = settle(self.big)  # it is read for the counts and for the join
             counts = self.big.groupBy(*self.on).agg(F.count(F.lit(1)).alias("_n"))
         self.heavy = settle(
             counts.where(F.col("_n") > self.rows_per_task).select(
@@ -286,29 +307,32 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return Salted(big, on, **options).join(small, how)
 
 
+PART_BYTES = 64 << 20
+
+
 def concat_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    text: str,
-    joiner: str,
-    rows_per_part: int = 1_000,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, joiner: str, part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """Join the texts of each group in order; a group past the limit gives several parts.
+    """The texts of each group joined in order, as rows (keys, part, text).
 
-    ``position`` is the dense 1-based row number inside the group. No row is lost: the
-    parts in order, joined by ``joiner``, are the whole text.
+    ``order`` must be unique inside a group. A group's text is cut into consecutive parts before the piece
+    that begins at or past each multiple of ``part_bytes``, so a row stays near that size however long
+    the group is; the parts in order, joined by ``joiner``, are the whole text. Places are numbered from the
+    lengths alone, the texts move once.
     """
-    part = F.floor((F.col(position) - 1) / rows_per_part).cast("int").alias("part")
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(text))))
+    keys, order = list(keys), list(order)
+    sized = df.select(*keys, *order, (F.octet_length(text) + F.lit(len(joiner.encode()))).alias("_size"))
+    placed = running(sized, keys, order, {"_end": "_size"}, position="_pos")
+    names = [f"_k{i}" for i in range(len(keys) + len(order))]
+    part = F.floor((F.col("_end") - F.col("_size")) / part_bytes).cast("int").alias("part")
+    placed = placed.select(*[F.col(c).alias(n) for c, n in zip(keys + order, names)], part)
+    same = F.lit(True)
+    for c, n in zip(keys + order, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     return (
-        df.groupBy(*keys, part)
-        .agg(pieces.alias("_pieces"))
-        .select(
-            *keys,
-            "part",
-            F.array_join(F.transform("_pieces", lambda p: p[text]), joiner).alias(text),
-        )
+        df.join(placed, same).groupBy(*keys, "part").agg(pieces.alias("_pieces"))
+        .select(*keys, "part", F.array_join(F.transform("_pieces", lambda p: p["_text"]), joiner).alias(text))
     )
 
 

@@ -41,8 +41,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, app: str = "textloom", memory: str = "16g") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(cores: int | str = 8, app: str = "textloom", memory: str = "16g", scratch: str | None = None) -> SparkSession:
+    """A single-machine session for tests and the bench; ``scratch`` becomes its shared folder where none is set."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -54,4 +54,6 @@ def local_session(cores: int | str = 8, app: str = "textloom", memory: str = "16
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if scratch and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", scratch)
     return tune(spark)
