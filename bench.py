@@ -43,6 +43,19 @@ HEADLINE = [
     "G06_pagerank",
     "G08_components",
     "G11_distances",
+    "R03_dense_approximate",
+    "R05_hybrid_sum",
+    "R06_late_interaction",
+    "M02_lda",
+    "M10_kmeans",
+    "M15_spectral_clusters",
+    "G08_strong_components",
+    "G13_biconnected",
+    "G14_hyperbolicity",
+    "G16_neighbour_samples",
+    "G20_near_set",
+    "J11_pairwise_join",
+    "S07_load_wiki_dump",
 ]
 
 

@@ -204,9 +204,14 @@ def late_interaction(candidates: DataFrame, query_tokens: DataFrame, doc_tokens:
         doc_tokens.withColumnRenamed("tokens", "_d"),
         ["doc"],
     )
-    best = lambda q: F.array_max(F.transform("_d", lambda d: vectors.dot(q, d)))
-    total = F.aggregate(F.transform("_q", best), F.lit(0.0), lambda a, x: a + x)
-    return cut(rows.select("query", "doc", F.round(total, ROUND).alias("score")), k)
+
+    @F.pandas_udf("double")
+    def total(asked: pd.Series, held: pd.Series) -> pd.Series:
+        tokens = lambda v: np.stack([np.asarray(x, np.float64) for x in v]) if len(v) else None
+        pairs = ((tokens(q), tokens(d)) for q, d in zip(asked, held))
+        return pd.Series([0.0 if q is None or d is None else float((q @ d.T).max(axis=1).sum()) for q, d in pairs])
+
+    return cut(rows.select("query", "doc", F.round(total("_q", "_d"), ROUND).alias("score")), k)
 
 
 def grouped(run: DataFrame, groups: DataFrame, doc: str, group: str, raw_top: int = 1000, k: int = 10) -> DataFrame:

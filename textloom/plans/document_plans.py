@@ -45,32 +45,38 @@ def recursive_chunks(t):
     return _chunked(t, 512, 128).select("name", "chunkno", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
+SOLID_SQL = r"CAST(length(regexp_replace(text, '[\p{Z}\x09-\x0d\x1c-\x1f\x85]', '', 'g')) AS BIGINT)"
+
+
+def _solid(text):
+    """Characters that are no white space."""
+    return F.length(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]", "")).cast("long")
+
+
 @plan(
     "D03_chunk_layouts",
-    """
-    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, sha1('d' || CAST(doc_id AS VARCHAR)) AS id, TRUE AS same_chunks, TRUE AS short FROM documents
+    f"""
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, sha1('d' || CAST(doc_id AS VARCHAR)) AS id, {SOLID_SQL} AS in_list, {SOLID_SQL} AS in_rows,
+           CASE WHEN length(text) <= 1024 THEN md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) END AS only_chunk
+    FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''
     """,
 )
 def chunk_layouts(t):
+    """The list of a document's chunks and the rows of them hold the same text; a short text is one chunk."""
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     docs = t.documents.select(name.alias("name"), "text")
-    arrays = chunks.chunk_arrays(docs, "name", "text", 1024, 0)
+    lists = chunks.chunk_arrays(docs.withColumn("size", F.length("text")), "name", "text", 1024, 0)
     rows = chunks.chunk_rows(docs, "name", "text", 1024, 0)
-    counted = rows.groupBy("name").agg(
-        F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest"), F.sum(F.xxhash64("chunk")).alias("mix")
-    )
-    mixed = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: F.try_add(a, F.xxhash64(c)))
-    wide = arrays.select("id", "name", F.size("chunks").alias("size"), mixed.alias("whole"))
-    return wide.join(counted, "name").select(
-        "name", "id", (F.col("n") == F.col("size")).alias("same_chunks"), (F.col("longest") <= 1024).alias("short")
-    )
+    counted = rows.groupBy("name").agg(F.sum(_solid(F.col("chunk"))).alias("in_rows"))
+    total = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + _solid(c))
+    only = F.when(F.col("size") <= 1024, F.md5(F.array_join("chunks", "")))
+    return lists.select("id", "name", total.alias("in_list"), only.alias("only_chunk")).join(counted, "name")
 
 
 @plan(
     "D04_chunk_offsets",
-    r"""
-    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, TRUE AS found,
-           CAST(length(regexp_replace(text, '[\p{Z}\x09-\x0d\x1c-\x1f\x85]', '', 'g')) AS BIGINT) AS solid,
+    f"""
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, TRUE AS found, {SOLID_SQL} AS solid,
            CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE 1 END AS any_chunk
     FROM documents
     """,
@@ -78,13 +84,11 @@ def chunk_layouts(t):
 def chunk_offsets(t):
     """Each chunk stands at its offsets, and the chunks hold every character that is no white space."""
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    docs = t.documents.select(name.alias("name"), "text")
-    listed = chunks.chunk_lists(docs, "text", 512, 0)
-    solid = lambda c: F.length(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]", "")).cast("long")
+    listed = chunks.chunk_lists(t.documents.select(name.alias("name"), "text"), "text", 512, 0)
     stands = lambda c: F.substr("text", c["start"] + 1, c["end"] - c["start"]) == c["chunk"]
     return listed.select(
         "name", F.forall("chunks", stands).alias("found"),
-        F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + solid(c["chunk"])).alias("solid"),
+        F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + _solid(c["chunk"])).alias("solid"),
         F.least(F.size("chunks"), F.lit(1)).alias("any_chunk"),
     )
 
@@ -215,9 +219,7 @@ def stripped(x):
     return f"regexp_replace(regexp_replace({x}, '^{WS}', ''), '{WS}$', '')"
 
 
-@plan(
-    "W05_document_paragraphs",
-    rf"""
+PARAGRAPH_SQL = rf"""
     WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: [x, {stripped('x')}]) AS pairs FROM documents),
     k AS (SELECT doc_id, list_filter(pairs, lambda p: p[2] <> '---' AND (p[2] = '' OR regexp_matches(p[1], '^(PART|CHAPTER)[	 ]+[IVXLCDM]+')
             OR NOT (regexp_matches(p[1], '^\s*(\d+|[IVXLCDM]+)\s*$') OR (regexp_matches(p[2], '\d{{4}}[-–—]\d{{4}}') AND length(p[2]) < 80)))) AS kept FROM l),
@@ -225,8 +227,12 @@ def stripped(x):
 
 +'),
             lambda x: {stripped(f"regexp_replace(x, '{WS}', ' ', 'g')")}), lambda x: x <> '') AS parts FROM k)
-    SELECT doc_id, CAST(i AS INTEGER) AS no, md5(parts[i + 1]) AS digest FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM j)
-    """,
+"""
+
+
+@plan(
+    "W05_document_paragraphs",
+    PARAGRAPH_SQL + "SELECT doc_id, CAST(i AS INTEGER) AS no, md5(parts[i + 1]) AS digest FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM j)",
 )
 def document_paragraphs(t):
     found = t.documents.select("doc_id", F.posexplode(books.paragraphs(F.col("text"))).alias("no", "paragraph"))
@@ -246,6 +252,16 @@ def book_sections(t):
     return found.select("s_suppkey", "title", F.array_join("paragraphs", "|").alias("body"))
 
 
+@plan(
+    "D09_document_sections",
+    PARAGRAPH_SQL + "SELECT doc_id, 'Front Matter' AS title, md5(array_to_string(parts, '|')) AS digest FROM j WHERE len(parts) > 0",
+)
+def document_sections(t):
+    """Documents have no headings, so all of a text is its front matter."""
+    found = t.documents.select("doc_id", F.inline(books.sections(F.col("text"))))
+    return found.select("doc_id", "title", F.md5(F.array_join("paragraphs", "|")).alias("digest"))
+
+
 @plan(
     "D10_chapter_texts",
     """

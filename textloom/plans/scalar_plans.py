@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates, links, text as tx, vectors
 from textloom.plans.registry import plan
+from textloom.scale import fit_broadcast
 from textloom.sources import markup
 
 # Texts with links, headings and addresses are built from the part and nation names.
@@ -88,7 +89,7 @@ def wiki_links(t):
 
 def note_text(t):
     """One outline note per supplier that links to its nation and region."""
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t.supplier.join(fit_broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     body = F.concat(
         F.lit(":PROPERTIES:\n:ID:  s-"), F.col("s_suppkey").cast("string"),
         F.lit("\n:END:\n* Place\n[[id:n-"), F.col("n_nationkey").cast("string"), F.lit("]["), "n_name",
@@ -185,7 +186,10 @@ def sha1_ids(t):
       regexp_extract(html, '<title>(.*?)</title>', 1, 's') LIKE '%&%' AS escaped,
       len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS n_anchors,
       regexp_extract(html, '<a [^>]*href="([^"]*)"', 1) AS first_href,
-      FALSE AS has_script
+      FALSE AS has_script,
+      trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"', 'g'), '&amp;?', '&', 'g')) AS title,
+      regexp_extract(html, '<a [^>]*>([^<]*)</a>', 1) AS first_label,
+      regexp_extract(html, '<footer>&copy; ([a-zA-Z0-9]*)', 1) AS footer
     FROM pages
     """,
 )
@@ -196,6 +200,9 @@ def html_parts(t):
         "page_id",
         F.size("anchors").cast("long").alias("n_anchors"),
         F.coalesce(F.get("anchors", F.lit(0))["href"], F.lit("")).alias("first_href"),
+        F.trim("title").alias("title"),
+        F.coalesce(F.get("anchors", F.lit(0))["label"], F.lit("")).alias("first_label"),
+        F.regexp_extract("body", "© ([a-zA-Z0-9]*)", 1).alias("footer"),
         (F.col("body").contains("track(") | F.col("body").contains("margin:0")).alias("has_script"),
     )
     return rows.join(raw, "page_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.plans.registry import plan
-from textloom.scale import scratch_path
+from textloom.scale import fit_broadcast, scratch_path
 from textloom.sources import readers, writers
 
 DOCUMENT = "doc_id bigint, text string, lang string, source string"
@@ -57,7 +57,7 @@ def load_corpus(t):
     rows.write.partitionBy("slice").option("compression", "gzip").text(f"{base}/part.json.gz")
 
     def read(kind):
-        found = readers.load_corpus(t.spark, f"{base}/part.{kind}", schema)
+        found = readers.load_corpus(t.spark, f"{base}/part.{kind}", schema, multi_line=False)
         return found.select(
             F.lit(kind).alias("kind"), "p_partkey", "p_name", "p_brand", "p_size",
             F.round("p_retailprice", 2).alias("price"),
@@ -179,7 +179,7 @@ def load_wiki_dump(t):
 )
 def load_content_tree(t):
     base = scratch_path(t.spark)
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t.supplier.join(fit_broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     body = F.concat(F.col("s_suppkey").cast("string"), F.lit(" [["), "n_name", F.lit("]]"))
     files = rows.select(
         F.col("s_suppkey").alias("page"),
@@ -220,7 +220,7 @@ def load_ocr_pages(t):
 )
 def load_link_records(t):
     base = scratch_path(t.spark)
-    links = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    links = t.supplier.join(fit_broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_name").alias("source_name"), F.col("n_name").alias("destination_name"),
         F.lit("2020").alias("source_date"), F.lit("2021").alias("destination_date"),
         "s_acctbal", "n_regionkey",
@@ -383,7 +383,7 @@ def load_notes_dir(t):
     from textloom.operators.notes import note_elements
 
     base = scratch_path(t.spark)
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t.supplier.join(fit_broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     note = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
     files = rows.select(
         note.alias("note"),

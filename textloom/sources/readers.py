@@ -44,12 +44,12 @@ def load_documents(spark: SparkSession, path: str, schema=None, multi_line: bool
     raise ValueError(f"unsupported file format: {path}; use .csv or .jsonl")
 
 
-def load_corpus(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def load_corpus(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
     """A corpus from .csv, .csv.gz, .json, .json.gz or .parquet. A JSON file is one document
-    (an array of rows)."""
+    (an array of rows). ``multi_line=False`` lets Spark split CSV files without line breaks in quotes."""
     name = _stem(path)
     if name.endswith((".csv", ".csv.gz")):
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line=multi_line)
     if name.endswith((".json", ".json.gz")):
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.option("multiLine", "true").json(path)
@@ -169,6 +169,7 @@ def load_snapshots(
     )
 
 
+# Columns of a page in a wiki export.
 WIKI_PAGE = """
     title string, ns int, id bigint, redirect struct<_title string>,
     revision array<struct<id bigint, timestamp timestamp,
@@ -224,6 +225,7 @@ def load_content_tree(
     return titles.join(contents, "folder")
 
 
+# Layout of a page record of the text recogniser.
 OCR_PAGE = "book string, page_num int, page_response struct<natural_text string>"
 
 
@@ -239,6 +241,7 @@ def load_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Layout of a link record.
 LINK_RECORD = "source_name string, destination_name string, source_date string, destination_date string"
 
 
@@ -250,6 +253,7 @@ def load_link_records(spark: SparkSession, path: str, schema: str = LINK_RECORD,
     return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
 
 
+# Layout of a crawl record.
 CRAWL_RECORD = """
     url string, markdown string, cleaned_html string, html string, success boolean,
     error_message string, links array<string>,
