@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.names import fresh, others
-from textloom.scale import Salted, fit_broadcast, settle
+from textloom.scale import Salted, fit_broadcast, release, settle
 
 WHITE = "[\\x20\\x09-\\x0D]"
 # a word with a digit, matched from its start in one pass
@@ -23,35 +23,34 @@ DEPTH = 3
 ALIKE = 0.8
 
 
-def masked_words(line: Column) -> Column:
-    """The words of a line with the variable ones masked; the edges give no empty words."""
-    return F.filter(F.split(F.regexp_replace(line, VARIABLE, HOLE), WHITE + "+"), lambda w: w != "")
+def masked_line(line: Column) -> Column:
+    """The line with its variable words masked and one space between words.
+
+    Lines without a digit and without unusual white space, that is most, are left as they are.
+    """
+    odd = line.rlike("[\\x09-\\x0D0-9]|  |^ | $")
+    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, HOLE), WHITE + "+", " "))).otherwise(line)
 
 
 def parsed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, body, at, leaf, sign, words): the lines of ``df`` that reach a leaf.
+    """(key, body, at, leaf, line): the masked lines of ``df`` that reach a leaf.
 
-    ``body`` is the text's hash, ``at`` the line's place, ``leaf`` a hash of word count and leading words,
-    ``sign`` a 128-bit digest of the masked line. Lines of fewer words than the tree is deep have no leaf.
+    ``body`` is the text's hash, ``at`` the line's place, ``leaf`` a hash of word count and leading words.
+    Lines of fewer words than the tree is deep have no leaf.
     """
-    lines = df.select(
-        F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("at", "line")
-    )
-    words = lines.select("key", "body", "at", masked_words(F.col("line")).alias("words")).where(F.size("words") >= DEPTH)
-    leading = [F.get("words", F.lit(i)) for i in range(DEPTH)]
-    return words.select(
-        "key", "body", "at", F.xxhash64(F.size("words"), *leading).alias("leaf"),
-        F.unhex(F.md5(F.array_join("words", " ").cast("binary"))).alias("sign"), "words",
-    )
+    masked = F.transform(F.split(F.col(text), "\n"), masked_line)
+    lines = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.posexplode(masked).alias("at", "line"))
+    gaps = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    leaf = F.xxhash64(gaps, F.substring_index("line", " ", DEPTH))
+    return lines.where(gaps >= DEPTH - 1).select("key", "body", "at", leaf.alias("leaf"), "line")
 
 
 def alike_lines(df: DataFrame, key: str, text: str, signs: DataFrame) -> DataFrame:
     """(sign, leaf) of the masked lines that agree with their leaf's template."""
     several = signs.groupBy("leaf").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo <> hi").select("leaf")
-    lines = parsed_lines(df, key, text).select("leaf", "sign", "words")
+    lines = parsed_lines(df, key, text).select("leaf", "line").join(fit_broadcast(settle(several)), "leaf", "left_semi")
     shared = settle(
-        lines.join(fit_broadcast(settle(several)), "leaf", "left_semi")
-        .groupBy("leaf", "sign").agg(F.first("words").alias("words"))
+        lines.distinct().select("leaf", _sign().alias("sign"), F.split("line", " ").alias("words"))
     )
     places = shared.select("leaf", F.posexplode("words").alias("place", "word"))
     counted = places.groupBy("leaf", "place", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -64,9 +63,18 @@ def alike_lines(df: DataFrame, key: str, text: str, signs: DataFrame) -> DataFra
     return found.where(agreeing >= F.lit(ALIKE) * F.size("words")).select("sign", "leaf")
 
 
+def _sign() -> Column:
+    """A 128-bit digest of a masked line."""
+    return F.unhex(F.md5(F.col("line").cast("binary")))
+
+
 def recurring_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, body, drop): the places of the lines to drop, for texts that have any."""
-    lines = settle(parsed_lines(df, key, text).drop("words"))
+    every = settle(parsed_lines(df, key, text).select("key", "body", "at", "leaf", _sign().alias("sign")))
+    # a line whose leaf is met in one text only cannot recur, which sets most lines aside by plain numbers
+    met = every.groupBy("leaf").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("leaf")
+    lines = settle(every.join(met, "leaf", "left_semi"))
+    release(every)
     signs = settle(
         lines.groupBy("leaf", "sign").agg(
             F.min(F.struct("key", "body", "at")).alias("first"), F.min("body").alias("lo"), F.max("body").alias("hi"),
@@ -80,8 +88,7 @@ def recurring_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     again = groups.where("lo <> hi").select(F.col("leaf").alias("_leaf"), F.col("own").alias("_own"), F.col("first").alias("_first"))
     same = (F.col("leaf") == F.col("_leaf")) & F.col("own").eqNullSafe(F.col("_own"))
     recurring = settle(named.join(again, same).select("sign", F.col("_first.body").alias("_body"), F.col("_first.at").alias("_at")))
-    counts = signs.select("sign", "_n")
-    found = Salted(lines.select("key", "body", "at", "sign"), ["sign"], counts=counts).join(recurring)
+    found = Salted(lines.select("key", "body", "at", "sign"), ["sign"], counts=signs.select("sign", "_n")).join(recurring)
     later = (F.col("body") != F.col("_body")) | (F.col("at") != F.col("_at"))
     return found.where(later).groupBy("key", "body").agg(F.collect_set("at").alias("drop"))
 
@@ -100,7 +107,7 @@ def drop_recurring(df: DataFrame, key: str, text: str, counts: tuple[str, str] |
     lines = F.split(F.col(text), "\n")
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at)))
     left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))[0]
-    joined = df.join(fit_broadcast(drops), same, "left")
+    joined = df.join(drops, same, "left")
     names = others(df, counts or ())
     made = [F.when(F.col(at).isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in names]
     if counts:
