@@ -48,3 +48,23 @@ def test_input_order_does_not_matter(spark, con, name, monkeypatch):
     monkeypatch.setattr(registry.Tables, "__getattr__", lambda self, n: plain(self, n).repartition(7, F.rand(3)) if not n.startswith("_") else plain(self, n))
     out = compare(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name])
     assert out[0] is None, out
+
+
+def test_python_workers_find_the_package(tmp_path):
+    """A session started elsewhere, with the repository on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        f"import sys; sys.path.insert(0, {str(Path(entry.__file__).parent)!r})\n"
+        "from textloom.session import local_session\n"
+        f"spark = local_session(2, 'elsewhere', '1g', {str(tmp_path / 'scratch')!r})\n"
+        "from textloom.operators import chunks\n"
+        "docs = spark.createDataFrame([('d', 'one two three')], 'name string, text string')\n"
+        "print('chunks', chunks.chunk_rows(docs, 'name', 'text').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "chunks 1" in done.stdout, done.stderr[-2000:]

@@ -176,15 +176,15 @@ def pagerank(t):
 @plan(
     "G07_centrality_table",
     f"""
-    WITH {PROFILE_SQL}, bwp AS (SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe), {pagerank_sql('bwp', 8)},
-    g AS (SELECT src AS id, count(*) AS degree, count(*) / ((SELECT n FROM pn) - 1) AS dc FROM bwp GROUP BY 1)
-    SELECT id, degree, round(dc, 6) AS degree_centrality, round(r, 6) AS pagerank, round(2 / (1 / dc + 1 / r), 6) AS agg_centrality
+    WITH {TRADE_SQL}, {pagerank_sql('bw', 8)},
+    g AS (SELECT src AS id, count(*) AS degree, count(*) / ((SELECT n FROM pn) - 1) AS dc FROM bw GROUP BY 1)
+    SELECT id, degree, round(dc, 8) AS degree_centrality, round(r, 8) AS pagerank, round(2 / (1 / dc + 1 / r), 8) AS agg_centrality
     FROM g JOIN r8 USING (id)
     """,
 )
 def centrality_table(t):
-    out = graphs.centrality(profile(t), tolerance=0.0, max_rounds=8)
-    return out.select("id", "degree", *[F.round(c, 6).alias(c) for c in ("degree_centrality", "pagerank", "agg_centrality")]).orderBy(
+    out = graphs.centrality(settle(graphs.undirected(trade(t))), tolerance=0.0, max_rounds=8)
+    return out.select("id", "degree", *[F.round(c, 8).alias(c) for c in ("degree_centrality", "pagerank", "agg_centrality")]).orderBy(
         F.desc("agg_centrality"), "id"
     )
 
