@@ -150,9 +150,9 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     same = F.col(key).eqNullSafe(F.col(of)) & (F.col(mark) == F.col(twin_of))
     twins = settle(
         prints.groupBy(key, mark).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        .join(fit_broadcast(chosen), same, "left_semi").select(F.col(key).alias(of), F.col(mark).alias(twin_of))
+        .join(chosen, same, "left_semi").select(F.col(key).alias(of), F.col(mark).alias(twin_of))
     )
-    kept = hashed.join(fit_broadcast(chosen), same, "left_semi")
+    kept = hashed.join(chosen, same, "left_semi")  # one row per group: as many as the result has
     if not twins.isEmpty():
         twin = fit_broadcast(twins)
         kept = kept.join(twin, same, "left_anti").unionByName(
