@@ -23,13 +23,19 @@ DEPTH = 3
 ALIKE = 0.8
 
 
-def masked_line(line: Column) -> Column:
-    """The line with its variable words masked and one space between words.
+def masked_lines(text: Column) -> Column:
+    """The lines of a text with their variable words masked and one space between words.
 
-    Lines without a digit and without unusual white space, that is most, are left as they are.
+    A text without a digit and without unusual white space, as most are, is only split.
     """
-    odd = line.rlike("[\\x09-\\x0D0-9]|  |^ | $")
-    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, HOLE), WHITE + "+", " "))).otherwise(line)
+    def masked(line: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, HOLE), WHITE + "+", " "))
+
+    lines = F.split(text, "\n")
+    odd = text.rlike("[\\x09\\x0B-\\x0D0-9]") | text.startswith(" ") | text.endswith(" ")
+    for pair in ("  ", "\n ", " \n"):
+        odd = odd | text.contains(pair)
+    return F.when(odd, F.transform(lines, masked)).otherwise(lines)
 
 
 def parsed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -38,8 +44,9 @@ def parsed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     ``body`` is the text's hash, ``at`` the line's place, ``leaf`` a hash of word count and leading words.
     Lines of fewer words than the tree is deep have no leaf.
     """
-    masked = F.transform(F.split(F.col(text), "\n"), masked_line)
-    lines = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.posexplode(masked).alias("at", "line"))
+    lines = df.select(
+        F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.posexplode(masked_lines(F.col(text))).alias("at", "line")
+    )
     gaps = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     leaf = F.xxhash64(gaps, F.substring_index("line", " ", DEPTH))
     return lines.where(gaps >= DEPTH - 1).select("key", "body", "at", leaf.alias("leaf"), "line")
