@@ -31,7 +31,8 @@ def scratch_path(spark: SparkSession) -> str:
     """A fresh path in the folder the cluster shares through spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="textloom-")  # one process, one machine: nobody else reads it
         spark.conf.set("spark.checkpoint.dir", base)
