@@ -216,6 +216,23 @@ def test_vectors_equal_brute_force(spark):
     assert same >= 0.99 * len(keys) and all(got[k].kept == (got[k].component_id == k) for k in keys)
 
 
+@pytest.mark.parametrize("kind", ["low rank", "one axis"])
+def test_neighbours_in_few_directions_are_all_linked(spark, kind):
+    from textloom.llm import pq
+
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(600, 3)) @ rnd.normal(size=(3, 64))
+    if kind == "one axis":  # copies moved along one axis, just above the threshold
+        base = pq.unit(base)
+        base = np.r_[base, base + 0.3 * np.eye(64)[0]]
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pq.near_duplicates(table, "vec_id", "embedding").collect()}
+    cosines = pq.unit(base) @ pq.unit(base).T
+    assert np.abs(cosines - 0.95).min() > 1e-9
+    want = (cosines >= 0.95).sum(axis=1) - 1
+    assert [got[i] for i in range(len(base))] == want.tolist() and want.sum() > 1000
+
+
 def test_vector_edges(spark):
     from textloom.llm import pq
 
