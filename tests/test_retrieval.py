@@ -109,6 +109,24 @@ def test_approximate_results_are_mostly_exact(spark):
     assert retrieval.recall(found, exact).agg(F.avg("recall")).first()[0] > 0.9
 
 
+def test_registered_multiprobe_search_reaches_its_recall(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["R03_dense_multiprobe"](spark, "/root/testdata/sf0.1").collect()
+    recalls = {r["query"]: r["recall"] for r in rows}
+    assert len(recalls) == 200 and sum(recalls.values()) / 200 >= 0.9
+    assert all(r["candidates"] < 0.75 for r in rows)
+
+
+def test_probes_are_the_nearest_buckets(spark):
+    docs, _ = vectors(spark, 50)
+    own, near, every = (
+        {(r["id"], r["table"], r["bucket"]) for r in retrieval.sign_buckets(docs, "id", "vec", 2, 3, probes=n).collect()} for n in (1, 4, 8)
+    )
+    assert own < near < every and (len(own), len(near)) == (100, 400)
+    assert every == {(i, t, b) for i in range(50) for t in range(2) for b in range(8)}
+
+
 def test_grouped_takes_the_best_of_each_group_and_drops_unknown(spark):
     run = spark.createDataFrame([(1, 1, 5.0), (1, 2, 4.0), (1, 3, 3.0), (1, 4, 9.0), (1, 5, 1.0)], "query long, doc long, score double")
     groups = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (5, "c")], "id long, g string")
