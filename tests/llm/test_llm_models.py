@@ -389,6 +389,23 @@ def test_article_without_its_surroundings(page):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><form id='aspnetForm'><input name=q><nav><a>m</a></nav><div><h2>Title &amp; more</h2>{BODY}</div><select><option>x</select></form></body>",
+    f"<body><h1>Site</h1><form class=form role=form><div><h2>Title &amp; more</h2>{BODY}</div></form><footer>f</footer>",
+    f"<body><form action=/find><input name=q><nav><a>m</a></nav><article><h2>Title &amp; more</h2>{BODY}</article><aside><p>short</aside>",
+    f"<body><main><fieldset><h2>Title &amp; more</h2>{BODY}</fieldset></main><form>Sign up<input></form>",
+    f"<body><aside><div><h2>Title &amp; more</h2>{BODY}</div></aside><form>Find<input></form>",
+    f"<body><dialog open><article><h2>Title &amp; more</h2>{BODY}</article></dialog>",
+    f"<body><form><article><h2>Title &amp; more</h2>{BODY}</article></form><aside><article><p>teaser</article></aside>",
+    f"<body><article><h2>Title &amp; more</h2>{BODY}</article><aside><article><p>{'other story ' * 5}</article></aside><form><h1>Find</h1><p>it</form>",
+    f"<body><form><fieldset><h2>Title &amp; more</h2>{BODY}</fieldset><fieldset><p>Send a note<input></fieldset></form>",
+    f"<body><div class=menu><h2>Title &amp; more</h2>{BODY}</div><form><p>Search here<input></form>",
+    f"<body><form><fieldset><h2>Title &amp; more</h2><p>First paragraph with enough words to be the text of an article.</fieldset><fieldset><p>Second &lt;one&gt; with <a href=x>a link</a>.<br>More.</fieldset></form>",
+])
+def test_article_in_a_page_wide_wrapper(page):
+    test_article_without_its_surroundings(page)
+
+
 def test_page_edges(spark):
     from textloom.llm import html_density
 

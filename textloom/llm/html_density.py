@@ -33,8 +33,11 @@ INLINE = frozenset(
 # elements that are never part of an article's text
 NOISE_TAGS = frozenset(
     "head script style noscript template iframe object embed applet canvas svg math audio video map "
-    "nav menu aside footer form fieldset button select option datalist textarea input dialog".split()
+    "nav menu footer button select option datalist textarea input".split()
 )
+# elements that are as a rule no part of it, but may stand around it
+WRAPPERS = frozenset("form fieldset aside dialog".split())
+WRAPPER_NAMES = frozenset("form aside dialog complementary".split())  # names that say no more than the element does
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # words of class and id names
 NOISE_WORDS = frozenset(
@@ -63,14 +66,15 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         noise, named = tag in NOISE_TAGS, False
+        said = WRAPPER_NAMES if tag in WRAPPERS else frozenset()
         if attributes and tag not in KEEP_TAGS:
             for key, a, b, c, hidden in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), a or b or c
-                if key == "role" and value.lower() in NOISE_ROLES or hidden or key == "aria-hidden" and value == "true":
+                if key == "role" and value.lower() in NOISE_ROLES - said or hidden or key == "aria-hidden" and value == "true":
                     named = True
                 elif key in ("class", "id") and not named:
                     names = (n for n in value.split() if not STATE.match(n))
-                    named = any(not NOISE_WORDS.isdisjoint(map(str.lower, WORD.findall(n))) for n in names)
+                    named = any(not (NOISE_WORDS - said).isdisjoint(map(str.lower, WORD.findall(n))) for n in names)
         self.noise.append(noise)
         self.named.append(named)
         if tag == "body" and not self.body:
@@ -169,7 +173,8 @@ def main_text(html: str | None) -> str:
             link_tags[p] += link_tags[i] + (tag[i] == "a")
         return chars, links, tags, link_tags
 
-    # noise by element, and by name where the node holds no article or page heading
+    # noise by element, by name where the node holds no article or page heading, and by wrapper where it is
+    # not the one that stands around the page's text
     noise, inside = [False] * size, [False] * size
     holds = [t in ("article", "main", "h1") for t in tag]
     for i in range(size - 1, 0, -1):
@@ -180,8 +185,39 @@ def main_text(html: str | None) -> str:
     unnamed = noise.copy()
     for i in range(1, size):
         noise[i] = noise[i] or noise[parent[i]] or (page.named[i] and not holds[i])
+
+    def wrapped(noise: list[bool]) -> list[bool]:
+        if WRAPPERS.isdisjoint(tag):
+            return noise
+        # of the text besides links, and of the articles, headings and controls, what is in each node; text
+        # under a noisy name counts too, or a small form would hold most where names have taken the rest
+        plain = [0 if unnamed[i] or linked[i] else own[i] for i in range(size)]
+        articles = [int(t in ("article", "main")) for t in tag]
+        headings = [int(t == "h1") for t in tag]
+        controls = [int(t in ("button", "input", "select", "textarea")) for t in tag]
+        for i in range(size - 1, 0, -1):
+            for count in (plain, articles, headings, controls):
+                count[parent[i]] += count[i]
+
+        def around(i: int) -> bool:
+            if tag[i] == "fieldset" and not controls[i]:
+                return True  # a box around text
+            most = 2 * plain[i] > plain[0]
+            if inside[i] or most and articles[i]:
+                return most
+            return articles[i] == articles[0] and bool(most or articles[i] or headings[i] and headings[i] == headings[0])
+
+        noise = noise.copy()
+        for i in range(1, size):
+            noise[i] = noise[i] or noise[parent[i]] or (tag[i] in WRAPPERS and not around(i))
+        return noise
+
+    named, noise = noise, wrapped(noise)
     chars, links, tags, link_tags = totals(noise)
-    if not chars[0]:  # the names have taken everything, so they are not what they say
+    if not chars[0]:  # the names or wrappers have taken everything, so they are not what they say
+        noise = max(wrapped(unnamed), named, key=lambda n: totals(n)[0][0])
+        chars, links, tags, link_tags = totals(noise)
+    if not chars[0]:
         noise = unnamed
         chars, links, tags, link_tags = totals(noise)
 
