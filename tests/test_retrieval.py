@@ -127,6 +127,33 @@ def test_probes_are_the_nearest_buckets(spark):
     assert every == {(i, t, b) for i in range(50) for t in range(2) for b in range(8)}
 
 
+def test_chunks_of_whole_documents_are_searched(spark):
+    from hashlib import sha1
+
+    import __spark_entry__
+    from textloom.operators.chunks import _chunks
+    from textloom.plans.retrieval_plans import letter_profile
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    held = {}
+    for d in docs:
+        for c in _chunks(d["text"], 1024, 0):
+            held[sha1(f"d{d['doc_id']}/{c['chunk']}".encode()).hexdigest()] = (c["chunk"], d["doc_id"] % 50 == 0)
+    ids, units = list(held), letter_profile([c for c, _ in held.values()])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    row = {x: i for i, x in enumerate(ids)}
+    got = __spark_entry__.queries()["R02_chunk_search_whole"](spark, "/root/testdata/sf0.001").collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query"], []).append(r)
+    assert len(held) > len(docs) and found.keys() == {x for x, (_, asked) in held.items() if asked}
+    for query, rows in found.items():
+        cosines = units @ units[row[query]]
+        assert np.allclose([r["score"] for r in rows], np.sort(cosines)[::-1][:10], atol=2e-6)
+        assert np.allclose([r["score"] for r in rows], [cosines[row[r["doc"]]] for r in rows], atol=2e-6)
+        assert len({r["doc"] for r in rows}) == 10
+
+
 def test_grouped_takes_the_best_of_each_group_and_drops_unknown(spark):
     run = spark.createDataFrame([(1, 1, 5.0), (1, 2, 4.0), (1, 3, 3.0), (1, 4, 9.0), (1, 5, 1.0)], "query long, doc long, score double")
     groups = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (5, "c")], "id long, g string")

@@ -132,6 +132,22 @@ def chunk_search(t):
     return own.agg(F.count("*").alias("chunks"), F.count_distinct("query").alias("ids"))
 
 
+@plan("R02_chunk_search_whole")
+def chunk_search_whole(t):
+    """The chunks of every 50th document searched among the chunks of all documents, ten each.
+
+    Equal chunks of one document have one id and count once.
+    """
+    from textloom.operators import chunks, features
+
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"))
+    asked = (F.col("doc_id") % 50 == 0).alias("asked")
+    rows = chunks.chunk_rows(t.documents.select(name.alias("name"), "text", asked), "name", "text", 1024, 0)
+    pieces = rows.select("id", "chunk", "asked").dropDuplicates(["id"])
+    coded = settle(features.encode(pieces, "chunk", letter_profile).select("id", "embedding", "asked"))
+    return retrieval.dense(coded, coded.where("asked"), "id", "embedding", "id", "embedding", 10)
+
+
 def letter_profile(texts):
     """Shares of some letters, with a constant so that no vector is zero: stands in for a text model."""
     import numpy as np
