@@ -441,6 +441,16 @@ def test_secrets_of_the_documents(spark):
     assert all(r.end <= len(docs[r.doc_id]) for r in rows)
 
 
+def test_secrets_of_prefixed_names(spark):
+    from textloom.llm import secret_scan as ss
+
+    lines = ['db_password = "Tr0ub4dor&3x"', 'client_secret: "zP4!kLm92qs"', 'dbPassword: "hunter2Xq9!v"', 'my_password = "placeholder"']
+    rows = ss.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), "text").collect()
+    assert {(r.doc_id, r.value, r.secret) for r in rows} == {
+        (0, "Tr0ub4dor&3x", True), (1, "zP4!kLm92qs", True), (2, "hunter2Xq9!v", True), (3, "placeholder", False),
+    }
+
+
 def test_secret_edges(spark):
     from textloom.llm import secret_scan as ss
 

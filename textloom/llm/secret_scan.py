@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ASSIGNED = "(?i:\\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential))[\"']?\\s{0,3}[:=]\\s{0,3}[\"']?"
+# the telling word may end a longer name, such as db_password or clientSecret
+ASSIGNED = "(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential))[\"']?\\s{0,3}[:=]\\s{0,3}[\"']?"
 VALUE = "[^\\s\"'<>,;]{8,}+"
 LONG = "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 HEADER = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
@@ -66,6 +67,11 @@ FINDINGS = """
 1 set secret = "Jk29sLq0Vt84BnXw61Rz"
 1 with auth 1a79a4d60de6718e8e5b326e338ae533f00dcafe given
 1 private key 0x9f4c2b7d8e1a3f605b4c7d9e8f1a2b3c4d5e6f708192a3b4
+1 db_password = "Gx7!rTq02&vb"
+1 client_secret: "mQ4$kLz81wNs"
+1 dbPassword: "winter5Yk7!q"
+0 db_password = "changeme"
+0 clientSecret: "your_secret_here"
 1 token: ya29a0AfH6SMBx7Qk3Lz9PvT2rWn5
 0 commit 269b1cea0846965f2d3ecc05a4b7f2d1e0c9a8b7 fixes the test
 0 sha1 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12 of the file
