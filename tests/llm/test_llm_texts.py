@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 # -- quality ------------------------------------------------------------------------------

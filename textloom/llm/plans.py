@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, html_density, line_templates, packing, pii, pq, quality, secret_scan, sharding, simhash
+from textloom.llm import (
+    bpe, filter_audit, html_density, line_templates, packing, pii, pq, quality, secret_scan, sharding, simhash,
+    token_alignment, token_counts,
+)
 from textloom.llm.registry import query
 
 SHARDS = 24
@@ -171,3 +174,75 @@ def drop_line_templates(docs: DataFrame) -> DataFrame:
 def secret_forest(docs: DataFrame) -> DataFrame:
     found = secret_scan.scan(docs.select("doc_id", "source", "text"), "text", path="source")
     return found.select("doc_id", "start", "end", "kind", F.round("score", 6).alias("score"), "secret")
+
+
+@query("op11_rank_merging", "documents")
+def rank_merging(docs: DataFrame) -> DataFrame:
+    counter = token_counts.load_counter(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(docs, "doc_id", "text", counter, 2048)
+
+
+@query("op12_merge_path", "documents")
+def merge_path(docs: DataFrame) -> DataFrame:
+    sides = token_alignment.load_sides(public_tokenizers.path(VOCABULARY), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.compare(docs, "doc_id", "text", sides)
+
+
+@query(
+    "op13_truth_table_words",
+    "documents labels",
+    """
+    WITH texts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+    ), split AS (
+        SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+               min(doc_id) OVER (PARTITION BY text) AS first
+        FROM texts
+    ), judged AS (
+        SELECT doc_id, part, [
+                   len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                   100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+                   regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)
+               ] AS fails
+        FROM split
+    ), said AS (
+        SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+        FROM labels GROUP BY doc_id
+    ), kinds AS (
+        SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+        FROM judged LEFT JOIN said USING (doc_id) GROUP BY ALL
+    ), letters AS (
+        SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i
+    ), orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS places
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)
+    ), steps AS (
+        SELECT filter_order, CAST(step AS INTEGER) AS step, places[step] AS own, places[1:step - 1] AS earlier,
+               list_filter([1, 2, 3, 4, 5], lambda i: i <> places[step]) AS others
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ), met AS (
+        SELECT part, filter_order, step, own, n, n_good, n_toxic, fails[own] AS failed,
+               len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+               len(list_filter(others, lambda i: fails[i])) > 0 AS shared
+        FROM kinds, steps
+    ), told AS (
+        SELECT part, filter_order, step, own,
+               sum(n) FILTER (NOT gone AND NOT failed) AS kept, sum(n) FILTER (NOT gone AND failed) AS removed,
+               sum(n) FILTER (gone AND failed) AS redundant, sum(n) FILTER (failed AND NOT shared) AS unique_fails,
+               sum(n_good) FILTER (NOT gone AND failed) AS good_lost, sum(n_toxic) FILTER (NOT gone AND failed) AS toxic_lost
+        FROM met GROUP BY ALL
+    )
+    SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+           CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+           CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+           CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+    FROM told
+    """,
+)
+def truth_table_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    counts = filter_audit.survivors(
+        docs, "doc_id", "text", "lang", filter_audit.text_failures("text"), labels, "doc_id",
+        F.col("quality") == 1, F.col("toxic") == 1,
+    )
+    return filter_audit.audit(counts, "ABCDE")

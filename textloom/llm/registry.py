@@ -13,13 +13,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table, spark, folder)`` over one whole table, with its SQL where there is one."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register ``fn`` over one or more whole tables, named with spaces between, with its SQL where there is one."""
 
     def add(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             ship(spark)
-            return fn(spark.read.parquet(f"{folder}/{table}.parquet"))
+            return fn(*[spark.read.parquet(f"{folder}/{table}.parquet") for table in tables.split()])
 
         QUERIES[name] = run
         if sql is not None:
