@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx, vectors
+from textloom.operators import inverted
 from textloom.operators.similarity import top_k
 from textloom.scale import (
     Salted, best_per_group, fits, running, salted_join, settle, top_per_group,
@@ -93,67 +93,15 @@ def dense(corpus, queries, doc, vector, query, query_vector, k: int = 10) -> Dat
     return found.select("query", F.col("row").alias("doc"), F.round("score", ROUND).alias("score"), "rank")
 
 
-def sign_buckets(df: DataFrame, row_id: str, vector: str, tables: int, bits: int, seed: int = 42, probes: int = 1) -> DataFrame:
-    """(id, table, bucket): the signs of ``bits`` fixed random projections of each vector, per table.
+def dense_approximate(corpus, queries, doc, vector, query, query_vector, k: int = 10, lists: int = 1024, bits: int = 512,
+                      near: int = 8, miss: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Cosine top ``k`` by inverted lists, and the number of exact comparisons of each query.
 
-    With more ``probes``, also the buckets that the vector is nearest to: those whose differing signs have
-    the smallest sum of squared projections.
-
-    A projection's entry is 1 or -1 by the first hex digit of the MD5 of ``seed:table:bit:place``, so
-    the buckets need no fit and are the same wherever they are computed.
-    """
-    rows = df.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
-    known: dict[int, np.ndarray] = {}
-
-    def planes(dim: int) -> np.ndarray:
-        if dim not in known:
-            names = (f"{seed}:{t}:{b}:{i}" for t in range(tables) for b in range(bits) for i in range(dim))
-            signs = [1.0 if int(md5(n.encode()).hexdigest()[0], 16) >= 8 else -1.0 for n in names]
-            known[dim] = np.array(signs).reshape(tables * bits, dim)
-        return known[dim]
-
-    def hashed(batches):
-        for frame in batches:
-            if len(frame):
-                matrix = np.stack(frame["vec"].to_list()).astype(np.float64)
-                sides = np.round(matrix @ planes(matrix.shape[1]).T, 9).reshape(len(frame), tables, bits)
-                places = (sides >= 0) @ (1 << np.arange(bits))
-                near = places[:, :, None] if probes == 1 else np.concatenate(
-                    [places[at : at + step, :, None] ^ nearest_flips(sides[at : at + step]) for at in range(0, len(frame), step)]
-                )
-                yield pd.DataFrame({"id": frame["id"], "buckets": [row.ravel() for row in near]})
-
-    flips = (np.arange(1 << bits if probes > 1 else 0)[:, None] >> np.arange(bits)) & 1
-    step = max(1, (1 << 20) // (tables << bits))
-
-    def nearest_flips(sides: np.ndarray) -> np.ndarray:
-        return np.argsort(sides**2 @ flips.T, axis=2, kind="stable")[:, :, :probes]  # no flip comes first
-
-    kind = dict(rows.dtypes)["id"]
-    found = rows.mapInPandas(hashed, f"id {kind}, buckets array<long>").select("id", F.posexplode("buckets").alias("table", "bucket"))
-    return found.withColumn("table", F.floor(F.col("table") / min(probes, 1 << bits)).cast("int"))
-
-
-def sign_candidates(corpus, queries, doc, vector, query, query_vector, bits: int = 7, tables: int = 12, seed: int = 42,
-                    probes: int = 1) -> DataFrame:
-    """Distinct (query, doc) where the document is in one of the query's buckets of any table; no vectors are shuffled."""
-    docs = settle(sign_buckets(corpus, doc, vector, tables, bits, seed).withColumnRenamed("id", "doc"))
-    asks = settle(sign_buckets(queries, query, query_vector, tables, bits, seed, probes).withColumnRenamed("id", "query"))
-    return Salted(docs, ["table", "bucket"]).join(asks).select("query", "doc").distinct()
-
-
-def dense_approximate(corpus, queries, doc, vector, query, query_vector, k: int = 10, bits: int = 7,
-                      tables: int = 12, seed: int = 42, probes: int = 1) -> DataFrame:
-    """Cosine top ``k`` among the rows in the query's ``probes`` nearest buckets of each table of sign hashes.
-
-    Up to about ``probes * tables / 2 ** bits`` of all pairs are candidates; their cosines are computed once.
+    See ``textloom.operators.inverted``: a row as good as the k-th result is left out with probability ``miss``.
     """
-    pairs = settle(sign_candidates(corpus, queries, doc, vector, query, query_vector, bits, tables, seed, probes))
-    asks = queries.select(F.col(query).alias("query"), F.col(query_vector).alias("_q"))
-    docs = corpus.select(F.col(doc).alias("doc"), F.col(vector).alias("_d"))
-    rows = salted_join(salted_join(pairs, asks, ["query"]), docs, ["doc"])
-    scores = rows.select("query", "doc", F.round(vectors.cosine(F.col("_q"), F.col("_d")), 9).alias("score"))
-    return cut(scores, k).withColumn("score", F.round("score", ROUND))
+    index = inverted.build(corpus, doc, vector, lists, bits, seed)
+    found, candidates = inverted.search(index, queries, query, query_vector, k, near, miss=miss)
+    return found.withColumn("score", F.round("score", ROUND)), candidates
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from textloom.plans.registry import plan
 from textloom.scale import fit_broadcast, settle
 
 WORDS = r"'[\p{L}\p{N}]+'"
-PROBES = 8
 
 
 def bm25_sql(name="", corpus="documents", doc="doc_id", text="text", queries="benchmark", query="item_id", query_text="text"):
@@ -71,15 +70,41 @@ def dense(t):
     return dense_run(t, 10)
 
 
+LISTS, BITS, NEAR = 32, 512, 8
+
+
 @plan(
     "R03_dense_approximate",
     f"""
     WITH {COSINE_SQL},
-    planes AS (SELECT t, b, list(CASE WHEN ('0x' || substr(md5('42:' || t || ':' || b || ':' || i), 1, 1))::BIGINT >= 8 THEN 1.0 ELSE -1.0 END ORDER BY i) AS r
-               FROM (SELECT a.range AS t, c.range AS b, d.range AS i FROM range(12) a, range(7) c, range(64) d) GROUP BY 1, 2),
-    h AS (SELECT vec_id, t, sum(CASE WHEN round(list_dot_product(v, CAST(r AS DOUBLE[])), 9) >= 0 THEN 1 << b ELSE 0 END) AS bucket
-          FROM e, planes GROUP BY 1, 2),
-    cand AS (SELECT DISTINCT q.vec_id AS query, x.vec_id AS doc FROM h q JOIN dq ON dq.query = q.vec_id JOIN h x ON x.t = q.t AND x.bucket = q.bucket),
+    centres AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS list, v AS c
+                FROM e QUALIFY row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) <= {LISTS}),
+    angles AS (SELECT vec_id, list, acos(least(greatest(round(list_cosine_similarity(v, c), 9), -1), 1)) AS angle FROM e, centres),
+    placed AS (SELECT vec_id, arg_min(list, {{'a': angle, 'l': list}}) AS list, min(angle) AS away FROM angles GROUP BY 1),
+    radii AS (SELECT list, coalesce(max(away), 0) AS radius FROM centres LEFT JOIN placed USING (list) GROUP BY 1),
+    planes AS (SELECT b, list(CASE WHEN ('0x' || substr(md5('42:' || b || ':' || i), 1, 1))::BIGINT >= 8 THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY i) AS r
+               FROM (SELECT c.range AS b, d.range AS i FROM range({BITS}) c, range(64) d) GROUP BY 1),
+    words AS (SELECT vec_id, b // 32 AS w, sum(CASE WHEN round(list_dot_product(v, r), 9) >= 0 THEN 1::BIGINT << (b % 32) ELSE 0 END)::BIGINT AS s
+              FROM e, planes GROUP BY 1, 2),
+    signs AS (SELECT vec_id, list(s ORDER BY w) AS signs FROM words GROUP BY 1),
+    away AS (SELECT q.vec_id AS query, x.vec_id AS doc,
+                    list_sum(list_transform(range(1, {BITS // 32 + 1}), lambda i: bit_count(xor(q.signs[i], x.signs[i])))) AS n
+             FROM signs q JOIN dq ON dq.query = q.vec_id, signs x),
+    close AS (SELECT vec_id AS query, list FROM angles JOIN dq ON dq.query = vec_id
+              QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY angle, list) <= {NEAR}),
+    likely AS (SELECT a.query, a.doc, a.n FROM away a JOIN placed p ON p.vec_id = a.doc JOIN close c ON c.query = a.query AND c.list = p.list
+               QUALIFY row_number() OVER (PARTITION BY a.query ORDER BY a.n, a.doc) <= 20),
+    kth AS (SELECT query, CASE WHEN count(*) >= 10 THEN min(score) ELSE -1 END AS floor FROM (
+              SELECT query, score FROM likely JOIN dscores USING (query, doc)
+              QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 10) GROUP BY 1),
+    asked AS (SELECT dq.query, coalesce(floor, -1) AS floor,
+                     floor({BITS} * acos(least(greatest(coalesce(floor, -1), -1), 1)) / pi() + 1.2815515655446004 * sqrt({BITS}) / 2) AS most
+              FROM dq LEFT JOIN kth USING (query)),
+    open AS (SELECT query, a.list FROM asked JOIN angles a ON a.vec_id = query JOIN radii r ON r.list = a.list
+             WHERE cos(greatest(angle - radius, 0)) >= floor - 1e-9),
+    cand AS (SELECT a.query, a.doc FROM away a JOIN asked USING (query) JOIN placed p ON p.vec_id = a.doc
+             JOIN open o ON o.query = a.query AND o.list = p.list WHERE a.n <= most
+             UNION SELECT query, doc FROM likely),
     cs AS (SELECT query, doc, score FROM dscores JOIN cand USING (query, doc)),
     near AS ({top_sql('cs', 10)}), exact AS ({top_sql('dscores', 10)}),
     rec AS (SELECT exact.query, avg(CASE WHEN near.doc IS NULL THEN 0.0 ELSE 1.0 END) AS recall
@@ -90,48 +115,18 @@ def dense(t):
     """,
 )
 def dense_approximate(t):
-    """The found rows, with the recall and the share of candidates of their query."""
-    return approximate_run(t, 1)
-
-
-@plan("R03_dense_multiprobe")
-def dense_multiprobe(t):
-    """As R03_dense_approximate, with enough buckets of each query for a recall of 0.9."""
-    return approximate_run(t, PROBES)
-
-
-def approximate_run(t, probes):
+    """The found rows, with the recall and the share of exactly compared rows of their query."""
     asks = settle(vector_queries(t))
     sides = (t.embeddings, asks, "vec_id", "embedding", "item_id", "embedding")
-    found = settle(retrieval.dense_approximate(*sides, 10, probes=probes))
+    found, counted = retrieval.dense_approximate(*sides, 10, LISTS, BITS, NEAR)
+    found = settle(found)
     recall = retrieval.recall(found, dense_run(t, 10))
-    part = retrieval.sign_candidates(*sides, probes=probes).groupBy("query").agg((F.count("*") / F.lit(t.embeddings.count())).alias("candidates"))
+    part = counted.select("query", (F.col("candidates") / F.lit(t.embeddings.count())).alias("candidates"))
     return found.join(recall, "query").join(part, "query").select(
         "query", "doc", "score", "rank", F.round("recall", 6).alias("recall"), F.round("candidates", 6).alias("candidates")
     )
 
 
-@plan(
-    "R02_chunk_search",
-    r"""
-    WITH d AS (SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR) AS name, text FROM documents WHERE length(text) BETWEEN 1 AND 256),
-    c AS (SELECT sha1(name || text) AS id, text FROM (SELECT name, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM d) WHERE text <> '')
-    SELECT count(*) AS chunks, count(DISTINCT id) AS ids FROM c
-    """,
-)
-def chunk_search(t):
-    """Short documents are one chunk each; every chunk is encoded and finds itself by its sha1 id."""
-    from textloom.operators import chunks, features
-
-    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    short = t.documents.where("length(text) BETWEEN 1 AND 256").select(name.alias("name"), "text")
-    rows = chunks.chunk_rows(short, "name", "text", 1024, 0)
-    coded = settle(features.encode(rows.select("id", "chunk"), "chunk", letter_profile))
-    found = retrieval.dense(coded, coded, "id", "embedding", "id", "embedding", 1)
-    own = found.where("score >= 0.999999")
-    return own.agg(F.count("*").alias("chunks"), F.count_distinct("query").alias("ids"))
-
-
 @plan("R02_chunk_search_whole")
 def chunk_search_whole(t):
     """The chunks of every 50th document searched among the chunks of all documents, ten each.
