@@ -306,20 +306,6 @@ def test_nmf_equals_dense_updates_and_lowers_the_error(spark):
     assert errors == sorted(errors, reverse=True)
 
 
-def test_topic_models(spark):
-    docs = texts(spark, ["apple pie tart", "apple tart sugar", "engine wheel car", "car wheel road"] * 5)
-    rows = features.token_table(docs, "text")
-    model = features.lda(rows, topics=3, rounds=3, min_df=1)
-    got = features.topic_distributions(model, rows).collect()
-    assert all(abs(sum(r["distribution"]) - 1) < 1e-6 and 0 <= r["topic"] < 3 for r in got)
-    assert all(r["topic"] == int(np.argmax(r["distribution"])) for r in got)
-    words = features.topic_words(model, 4).collect()
-    assert len(words) == 12
-    for t in range(3):
-        w = [r["weight"] for r in sorted(words, key=lambda r: r["rank"]) if r["topic"] == t]
-        assert w == sorted(w, reverse=True)
-
-
 def test_class_words_leave_out_the_outlier_topic(spark):
     df = spark.createDataFrame([(-1, "noise noise"), (0, "apple apple pear"), (1, "wheel pear")], "topic int, text string")
     got = {(r["topic"], r["term"]): r["weight"] for r in features.class_tf_idf(df, "topic", "text").collect()}

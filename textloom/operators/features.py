@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF
+from pyspark.ml import Estimator
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -49,60 +49,14 @@ def tf_idf(counts: DataFrame, n_docs: int) -> DataFrame:
     return weighed.select("doc", "term", (F.col("w") / size).alias("weight"))
 
 
-def token_table(df: DataFrame, text: str, stop_words=tx.STOP_WORDS) -> DataFrame:
-    return df.withColumn("tokens", tx.terms(F.col(text), stop_words))
-
-
-def hashed_features(width: int = 1 << 18, tokens: str = "tokens", out: str = "features") -> Pipeline:
-    """Default text features: hashed term counts with inverse document frequency."""
-    return Pipeline(stages=[HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=width), IDF(inputCol="_tf", outputCol=out)])
-
-
 # -- topics ------------------------------------------------------------------------------
 
 
-def lda(df: DataFrame, tokens: str = "tokens", topics: int = 25, rounds: int = 10, min_df: int = 5,
-        binary: bool = True, seed: int = 42):
-    """A fitted pipeline of term counts and LDA; every round reads every document.
-
-    The vocabulary holds every term of at least ``min_df`` documents; like the topic matrix it is
-    part of the model on the driver.
-    """
-    counts = CountVectorizer(inputCol=tokens, outputCol="_counts", minDF=min_df, binary=binary, vocabSize=(1 << 31) - 1)
-    model = LDA(featuresCol="_counts", k=topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=1.0)
-    return Pipeline(stages=[counts, model]).fit(df)
-
-
-def vocabulary(model, df: DataFrame) -> DataFrame:
-    """(number, term, documents) of the fitted vocabulary, counted over the documents of ``df``."""
-    counts = model.stages[0]
-    terms = df.sparkSession.createDataFrame(list(enumerate(counts.vocabulary)), "number int, term string")
-    found = counts.transform(df).agg(Summarizer.numNonZeros(F.col("_counts")).alias("n"))
-    numbered = found.select(F.posexplode(vector_to_array("n")).alias("number", "documents"))
-    return terms.join(numbered, "number").select("number", "term", F.col("documents").cast("long"))
-
-
-def topic_distributions(model, df: DataFrame) -> DataFrame:
-    """Distribution and most likely topic of each document."""
-    scored = model.transform(df).withColumn("distribution", vector_to_array("topicDistribution"))
-    return with_topic(scored.drop("topicDistribution", "_counts"), "distribution")
-
-
 def with_topic(df: DataFrame, distribution: str) -> DataFrame:
     best = F.array_position(distribution, F.array_max(distribution)).cast("int") - 1
     return df.withColumn("topic", best)
 
 
-def topic_words(model, words: int | None = 10) -> DataFrame:
-    """(topic, rank, term, weight) of the strongest terms, of all where ``words`` is None."""
-    counts, topics = model.stages
-    terms = topics.describeTopics(len(counts.vocabulary) if words is None else words)
-    zipped = F.arrays_zip(F.col("termIndices").alias("number"), F.col("termWeights").alias("weight"))
-    rows = terms.select("topic", F.posexplode(zipped).alias("rank", "p")).select("topic", "rank", "p.number", "p.weight")
-    named = rows.sparkSession.createDataFrame(list(enumerate(counts.vocabulary)), "number int, term string")
-    return rows.join(named, "number").select("topic", "rank", "term", "weight")
-
-
 def topic_representatives(scored: DataFrame, topic: int, row_id: str, k: int = 5) -> DataFrame:
     """The ``k`` documents with the largest share of one topic."""
     share = F.col("distribution")[topic]
@@ -245,15 +199,18 @@ def kmeans_from(df: DataFrame, row_id: str, vector: str, starts: DataFrame, roun
     return assigned()
 
 
-def cluster_texts(df: DataFrame, columns: list[str], extractor: Pipeline | None = None, clusterer: Clusterer | None = None,
-                  joiner: str = "\n\n", k: int = 20) -> DataFrame:
-    """Merge text columns, extract features, cluster. The features stay in the table for a
-    later refit."""
-    merged = df.withColumn("extracted_text", tx.merge_columns(columns, joiner))
-    tokens = token_table(merged, "extracted_text")
-    features = (extractor or hashed_features()).fit(tokens).transform(tokens)
-    stored = settle(features.drop("tokens", "_tf"))
-    return cluster(stored, clusterer=clusterer, k=k)
+def cluster_texts(
+    df: DataFrame, row_id: str, columns: list[str], extractor: Callable[[DataFrame], DataFrame],
+    clusterer: Callable[[DataFrame], DataFrame], joiner: str = "\n\n",
+) -> DataFrame:
+    """Merge text columns, extract features, cluster: ``df`` with cluster_id.
+
+    ``extractor`` turns (doc, text) into feature rows that name their ``doc``, such as (doc, term, weight);
+    ``clusterer`` turns those into (doc, cluster_id). Rows without features have no cluster.
+    """
+    merged = df.select(F.col(row_id).alias("doc"), tx.merge_columns(columns, joiner).alias("text"))
+    found = clusterer(extractor(merged)).select(F.col("doc").alias(row_id), "cluster_id")
+    return salted_join(df, found, [row_id], "left")
 
 
 def refit(clustered: DataFrame, clusterer: Clusterer, features: str = "features") -> DataFrame:

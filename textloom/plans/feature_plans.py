@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import features, frames
+from textloom.operators import features, frames, topics
 from textloom.operators.similarity import coherence, cosine_matrix
 from textloom.plans.registry import plan
 from textloom.plans.retrieval_plans import WORDS
-from textloom.scale import settle
+from textloom.scale import running, settle
 from textloom.sources.markup import encode_each
 
 STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
@@ -39,15 +38,56 @@ def tf_idf(t):
     return weights(t).withColumn("weight", F.round("weight", 6))
 
 
+def digamma_sql(x):
+    tail = "0.0::DOUBLE"
+    for c in reversed(topics.SERIES):
+        tail = f"(({tail}) + ({c!r}::DOUBLE)) / (({x} + 6) * ({x} + 6))"
+    return f"(ln({x} + 6) - 0.5::DOUBLE / ({x} + 6) + {tail} - (" + " + ".join(f"1.0::DOUBLE / ({x} + {i})" for i in range(6)) + "))"
+
+
+TOPICS, ROUNDS = 4, 2
+
+
+def lda_sql(k=TOPICS, rounds=ROUNDS):
+    """The variational updates written out; the last are lt{rounds} (term, t0, ...) and ld{rounds} (doc, g0, ...)."""
+    each = range(k)
+    listed = lambda form: ", ".join(form.format(i=i) for i in each)
+    added = lambda form: " + ".join(form.format(i=i) for i in each)
+    first = ", ".join(f"0.1::DOUBLE + ((length(term) + ascii(term)) * {7 + 3 * i} + {i}) % 11 / 10.0::DOUBLE AS t{i}" for i in each)
+    parts = [
+        "n AS (SELECT doc, term, 1.0::DOUBLE AS tf FROM tok JOIN df USING (term))",
+        f"lt0 AS (SELECT term, {first} FROM df)",
+        f"ld0 AS (SELECT doc, {listed(f'1.0::DOUBLE / {k} + sum(tf) / {k} AS g{{i}}')} FROM n GROUP BY 1)",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"lb{r} AS (SELECT term, {', '.join(f'exp({digamma_sql(f't{i}')} - {digamma_sql(f'w{i}')}) AS b{i}' for i in each)} "
+            f"FROM lt{r}, (SELECT {listed('sum(t{i}) AS w{i}')} FROM lt{r}))",
+            f"le{r} AS (SELECT doc, {', '.join(f'exp({digamma_sql(f'g{i}')} - {digamma_sql('w')}) AS e{i}' for i in each)} "
+            f"FROM (SELECT *, {added('g{i}')} AS w FROM ld{r}))",
+            f"lp{r} AS (SELECT doc, term, {listed(f'tf * e{{i}} * b{{i}} / ({added('e{i} * b{i}')}) AS p{{i}}')} "
+            f"FROM n JOIN lb{r} USING (term) JOIN le{r} USING (doc))",
+            f"lt{r + 1} AS (SELECT term, {listed(f'1.0::DOUBLE / {k} + sum(p{{i}}) AS t{{i}}')} FROM lp{r} GROUP BY 1)",
+            f"ld{r + 1} AS (SELECT doc, {listed(f'1.0::DOUBLE / {k} + sum(p{{i}}) AS g{{i}}')} FROM lp{r} GROUP BY 1)",
+        ]
+    return f"WITH {TF_SQL}, {', '.join(parts)}"
+
+
+def binary_counts(t):
+    return features.term_counts(t.documents, "doc_id", "text", min_df=5, binary=True)
+
+
 def fitted_lda(t):
-    docs = features.token_table(t.documents.select("doc_id", "text", "source"), "text")
-    return features.lda(docs, topics=8, rounds=3), docs
+    counts = binary_counts(t)
+    return topics.lda(counts, TOPICS, ROUNDS, start=fixed_start), counts
 
 
-@plan("M02_lda", f"WITH {TF_SQL} SELECT term, df AS documents FROM df")
+@plan("M02_lda", f"{lda_sql()} SELECT term, df AS documents, {', '.join(f'round(t{i}, 6) AS t{i}' for i in range(TOPICS))} FROM lt{ROUNDS} JOIN df USING (term)")
 def lda(t):
-    model, docs = fitted_lda(t)
-    return features.vocabulary(model, docs).select("term", "documents")
+    """The weight of every term in every topic after the stated rounds."""
+    model, counts = fitted_lda(t)
+    known = counts.groupBy("term").agg(F.max("df").alias("documents"))
+    return model.terms.join(known, "term").select("term", "documents", *[F.round(f"t{i}", 6).alias(f"t{i}") for i in range(TOPICS)])
 
 
 def nmf_sql(topics, rounds):
@@ -107,13 +147,17 @@ def topic_of_document(t):
 
 @plan(
     "M05_topic_words",
-    f"WITH {TF_SQL} SELECT CAST(range AS INTEGER) AS topic, (SELECT count(*) FROM df) AS terms, (SELECT count(*) FROM df) AS different, 1.0::DOUBLE AS total FROM range(8)",
+    f"""
+    {lda_sql()},
+    shares AS ({" UNION ALL ".join(f"SELECT {i} AS topic, term, round(t{i} / (SELECT sum(t{i}) FROM lt{ROUNDS}), 9) AS weight FROM lt{ROUNDS}" for i in range(TOPICS))})
+    SELECT topic, term, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM shares) WHERE rank <= 10
+    """,
 )
 def topic_words(t):
-    model, _ = fitted_lda(t)
-    return features.topic_words(model, None).groupBy("topic").agg(
-        F.count("*").alias("terms"), F.count_distinct("term").alias("different"), F.round(F.sum("weight"), 6).alias("total")
-    )
+    """The ten heaviest terms of every topic."""
+    best = features.top_words(fitted_lda(t)[0].term_shares(), ["topic"], 10)
+    return best.withColumn("weight", F.round("weight", 6)).select("topic", "term", "weight", "rank")
 
 
 @plan(
@@ -169,17 +213,36 @@ def topics_over_time(t):
     return features.topics_over_time(rows, "event_type", "ts", "body", 20, 5).drop("start")
 
 
-@plan(
-    "M09_topic_transform",
-    f"""
-    WITH {TF_SQL} SELECT doc_id, CASE WHEN doc IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total
-    FROM documents LEFT JOIN (SELECT DISTINCT doc FROM tok JOIN df USING (term)) ON doc = doc_id
-    """,
-)
+def transform_sql():
+    """One update of the documents of the table, from even shares, with the fitted terms."""
+    each = range(TOPICS)
+    whole = " + ".join(f"e{i} * b{i}" for i in each)
+    expected = ", ".join(f"exp({digamma_sql(f't{i}')} - {digamma_sql(f'w{i}')}) AS b{i}" for i in each)
+    steps = [
+        f"xb AS (SELECT term, {expected} FROM lt{ROUNDS}, (SELECT {', '.join(f'sum(t{i}) AS w{i}' for i in each)} FROM lt{ROUNDS}))",
+        f"xn AS (SELECT doc, term, tf FROM n WHERE term IN (SELECT term FROM xb))",
+        f"x0 AS (SELECT doc, {', '.join(f'1.0::DOUBLE / {TOPICS} + sum(tf) / {TOPICS} AS g{i}' for i in each)} FROM xn GROUP BY 1)",
+    ]
+    for r in range(2):
+        steps += [
+            f"xe{r} AS (SELECT doc, {', '.join(f'exp({digamma_sql(f'g{i}')} - {digamma_sql('w')}) AS e{i}' for i in each)} "
+            f"FROM (SELECT *, {' + '.join(f'g{i}' for i in each)} AS w FROM x{r}))",
+            f"x{r + 1} AS (SELECT doc, {', '.join(f'1.0::DOUBLE / {TOPICS} + sum(tf * e{i} * b{i} / ({whole})) AS g{i}' for i in each)} "
+            f"FROM xn JOIN xb USING (term) JOIN xe{r} USING (doc) GROUP BY 1)",
+        ]
+    total = " + ".join(f"g{i}" for i in each)
+    shares = ", ".join(f"round(g{i} / ({total}), 6) AS share{i}" for i in each)
+    best = "CASE WHEN g0 IS NOT NULL THEN CAST(list_position([" + ", ".join(f"g{i}" for i in each) + "], greatest(" + ", ".join(f"g{i}" for i in each) + ")) - 1 AS INTEGER) END"
+    return f"{lda_sql()}, {', '.join(steps)} SELECT doc_id, {shares}, {best} AS topic FROM documents LEFT JOIN x2 ON doc = doc_id"
+
+
+@plan("M09_topic_transform", transform_sql())
 def topic_transform(t):
-    model, docs = fitted_lda(t)
-    whole = F.aggregate("distribution", F.lit(0.0), lambda a, x: a + x)
-    return features.topic_distributions(model, docs).select("doc_id", F.round(whole, 6).alias("total"))
+    """The share of every topic in every document; none where no term is known."""
+    model, counts = fitted_lda(t)
+    shares = features.with_topic(topics.transform(model, counts, 2).distributions(), "distribution")
+    shares = shares.select(F.col("doc").alias("doc_id"), *[F.round(F.col("distribution")[i], 6).alias(f"share{i}") for i in range(TOPICS)], "topic")
+    return t.documents.select("doc_id").join(shares, "doc_id", "left")
 
 
 def lloyd_sql(k, rounds, name=""):
@@ -213,11 +276,58 @@ def kmeans(t):
     return features.cluster(rows, clusterer=lambda df: lloyd(df, 10, 3)).select("vec_id", "cluster_id")
 
 
-@plan("M10_text_clusters")
+def sparse_lloyd_sql(weights, k, rounds):
+    """Lloyd steps over the sparse rows of ``weights`` (doc, term, weight) from its ``k`` first documents; the last is sa{rounds}."""
+    parts = [
+        f"sd AS (SELECT DISTINCT doc FROM {weights})",
+        f"ss AS (SELECT CAST(row_number() OVER (ORDER BY doc) - 1 AS INTEGER) AS id, doc FROM sd QUALIFY row_number() OVER (ORDER BY doc) <= {k})",
+        f"sc0 AS (SELECT id, term, weight AS m FROM ss JOIN {weights} USING (doc))",
+    ]
+    for r in range(rounds + 1):
+        parts += [
+            f"sn{r} AS (SELECT id, sum(m * m) AS size FROM sc{r} GROUP BY 1)",
+            f"sx{r} AS (SELECT doc, id, sum(weight * m) AS dot FROM {weights} JOIN sc{r} USING (term) GROUP BY 1, 2)",
+            f"sa{r} AS (SELECT doc, arg_max(id, {{'g': round(2 * coalesce(dot, 0) - size, 9), 'i': -id}}) AS id "
+            f"FROM (SELECT sd.doc, n.id, n.size, x.dot FROM sd CROSS JOIN sn{r} n LEFT JOIN sx{r} x ON x.doc = sd.doc AND x.id = n.id) GROUP BY 1)",
+        ]
+        if r < rounds:
+            parts.append(
+                f"sc{r + 1} AS (SELECT id, term, sum(weight) / any_value(c) AS m FROM {weights} JOIN sa{r} USING (doc) "
+                f"JOIN (SELECT id, count(*) AS c FROM sa{r} GROUP BY 1) USING (id) GROUP BY 1, 2 "
+                f"UNION ALL SELECT * FROM sc{r} WHERE id NOT IN (SELECT id FROM sa{r}))"
+            )
+    return ", ".join(parts)
+
+
+def first_documents(weights, k):
+    """The ``k`` first documents with a feature, numbered from 0."""
+    return running(weights.select("doc").distinct().orderBy("doc").limit(k), [], ["doc"], position="cluster_id").select(
+        (F.col("cluster_id") - 1).cast("int").alias("cluster_id"), "doc"
+    )
+
+
+MERGED_SQL = "(SELECT doc_id, 'source:' || chr(10) || source || chr(10) || chr(10) || 'text:' || chr(10) || text AS body FROM documents)"
+
+
+@plan(
+    "M10_text_clusters",
+    f"""
+    WITH {TF_SQL.replace(terms_sql('text'), terms_sql('body')).replace('FROM documents),', f'FROM {MERGED_SQL}),', 1)},
+    wt AS (SELECT doc, term, w / size AS weight FROM w JOIN s USING (doc)), {sparse_lloyd_sql('wt', 5, 2)}
+    SELECT doc_id, id AS cluster_id FROM documents LEFT JOIN sa2 ON doc = doc_id
+    """,
+)
 def text_clusters(t):
+    """Cluster of every document by the weights of its terms."""
+    def extract(rows):
+        return features.tf_idf(features.term_counts(rows, "doc", "text", min_df=5, binary=True), t.documents.count())
+
+    def clusters(weights):
+        weights = settle(weights)
+        return topics.sparse_kmeans(weights, first_documents(weights, 5), 2)
+
     docs = t.documents.select("doc_id", "source", "text")
-    rows = features.cluster_texts(docs, ["source", "text"], k=5)
-    return rows.groupBy("cluster_id").agg(F.count("*").alias("documents"))
+    return features.cluster_texts(docs, "doc_id", ["source", "text"], extract, clusters).select("doc_id", "cluster_id")
 
 
 @plan(
@@ -450,11 +560,25 @@ def text_preprocessor(t):
     return features.term_counts(rows, "event_id", "body", stop_words=(), preprocess=tx.unsnake).select("doc", "term", "tf")
 
 
-@plan("L03_pluggable_models")
+@plan(
+    "L03_pluggable_models",
+    f"""
+    WITH tok AS (SELECT conv_id * 1000 + turn AS doc, unnest({terms_sql("'role:' || chr(10) || role || chr(10) || chr(10) || 'text:' || chr(10) || text")}) AS term FROM conversations),
+    wt AS (SELECT doc, term, CAST(count(*) AS DOUBLE) AS weight FROM tok GROUP BY 1, 2), {sparse_lloyd_sql('wt', 4, 1)}
+    SELECT doc, id AS cluster_id FROM (SELECT conv_id * 1000 + turn AS doc FROM conversations) LEFT JOIN sa1 USING (doc)
+    """,
+)
 def pluggable_models(t):
-    docs = t.conversations.select("conv_id", "turn", "role", "text")
-    rows = features.cluster_texts(docs, ["role", "text"], features.hashed_features(), BisectingKMeans(k=4, seed=1))
-    return rows.groupBy("cluster_id").agg(F.count("*").alias("turns"))
+    """Another vectoriser, plain counts, and another number of clusters and rounds."""
+    def extract(rows):
+        return features.term_counts(rows, "doc", "text").select("doc", "term", F.col("tf").cast("double").alias("weight"))
+
+    def clusters(weights):
+        weights = settle(weights)
+        return topics.sparse_kmeans(weights, first_documents(weights, 4), 1)
+
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "role", "text")
+    return features.cluster_texts(turns, "doc", ["role", "text"], extract, clusters).select("doc", "cluster_id")
 
 
 def checked_length(text):
