@@ -180,7 +180,23 @@ def plain_alignment(texts):
 def sides():
     from textloom.llm import token_alignment
 
-    return token_alignment.load_sides(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.load_sides(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+def test_left_side_equals_its_library(sides):
+    from textloom.llm import token_alignment
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    sides.encode("x")
+    texts = ["a" + c * n + "b" for c in " \n\u00a0\u3000" for n in (1, token_alignment.LONG_SPACE - 1, token_alignment.LONG_SPACE, 400_000)]
+    texts += [" <|endoftext|> it's 12 ", "日本" * 2000]
+    for first in range(0, 0x110000, 256):
+        points = [p for p in range(first, first + 256) if not 0xD800 <= p < 0xE000]
+        texts.append("".join(f" a{chr(p)}{chr(p)}1{chr(p)} {chr(p)}" for p in points))
+    assert all(sides.left(t) == library.encode(t, add_special_tokens=False).ids for t in texts)
 
 
 def test_alignment_of_odd_rows(spark, odd, sides, monkeypatch):

@@ -184,7 +184,9 @@ def rank_merging(docs: DataFrame) -> DataFrame:
 
 @query("op12_merge_path", "documents")
 def merge_path(docs: DataFrame) -> DataFrame:
-    sides = token_alignment.load_sides(public_tokenizers.path(VOCABULARY), public_tokenizers.path("piece_bpe_32k.model"))
+    sides = token_alignment.load_sides(
+        public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    )
     return token_alignment.compare(docs, "doc_id", "text", sides)
 
 

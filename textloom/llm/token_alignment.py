@@ -30,6 +30,7 @@ from textloom.scale import Salted, settle
 PIECE_STEPS = 256
 BLOCK_BYTES = 2 << 20
 BLOCK_TEXTS = 4096
+LONG_SPACE = 5000
 BEYOND = np.iinfo(np.int64).max
 
 
@@ -88,29 +89,39 @@ def align(a: np.ndarray, b: np.ndarray, steps: int = PIECE_STEPS) -> Alignment:
 
 
 class Sides:
-    """Both tokenizers, opened in the task, with the bytes and lengths of their tokens."""
+    """Both tokenizers, opened in the task, with the bytes and lengths of their tokens.
 
-    def __init__(self, left_spec: str, right_model: bytes):
-        self.kept = left_spec, right_model
+    The left vocabulary is read as ranks by the quicker of its two libraries, which gives the same numbers; that one
+    stops at very long runs of white space, so texts with such a run go through the file's own library.
+    """
+
+    def __init__(self, left_spec: str, left_pattern: str, right_model: bytes):
+        self.kept = left_spec, left_pattern, right_model
         self.left = None
 
     def __reduce__(self):
         return Sides, self.kept
 
     def _open(self) -> None:
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
-        self.left = Tokenizer.from_str(self.kept[0])
-        self.left.encode_special_tokens = True
-        self.left.no_truncation()
-        self.left.no_padding()
+        spec, pattern, model = self.kept
+        whole = Tokenizer.from_str(spec)
+        whole.encode_special_tokens = True
+        whole.no_truncation()
+        whole.no_padding()
         letters = byte_letters()
-        self.left_bytes = [b""] * self.left.get_vocab_size()
-        for token, i in self.left.get_vocab(with_added_tokens=False).items():
-            self.left_bytes[i] = bytes(letters[c] for c in token)
-        self.right = SentencePieceProcessor(model_proto=self.kept[1])
+        ranks = {bytes(letters[c] for c in token): i for token, i in whole.get_vocab(with_added_tokens=False).items()}
+        self.left_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.left_bytes[i] = token
+        quick = tiktoken.Encoding("left", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        long_space = re.compile(r"\s{%d}" % LONG_SPACE).search
+        self.left = lambda text: whole.encode(text, add_special_tokens=False).ids if long_space(text) else quick.encode_ordinary(text)
+        self.right = SentencePieceProcessor(model_proto=model)
         self.right_bytes = [self._piece(i) for i in range(self.right.get_piece_size())]
         self.left_length, self.right_length = (np.array([len(x) for x in y], np.int64) for y in (self.left_bytes, self.right_bytes))
         decimals = max(len(self.left_bytes), len(self.right_bytes))
@@ -133,7 +144,7 @@ class Sides:
         right = self.right.encode(text)
         if b"".join(map(self.right_bytes.__getitem__, right)) != wanted:
             return none, none
-        left = self.left.encode(" " + text, add_special_tokens=False).ids
+        left = self.left(" " + text)
         if b"".join(map(self.left_bytes.__getitem__, left)) != wanted:
             return none, none
         return np.array(left, np.int64), np.array(right, np.int64)
@@ -159,10 +170,10 @@ class Sides:
         return digests
 
 
-def load_sides(left_path: str, right_path: str) -> Sides:
-    """Both vocabulary files, read on the driver."""
+def load_sides(left_path: str, left_pattern: str, right_path: str) -> Sides:
+    """Both vocabulary files, read on the driver; ``left_pattern`` splits texts before the left side's merges."""
     with open(left_path, encoding="utf-8") as left, open(right_path, "rb") as right:
-        return Sides(left.read(), right.read())
+        return Sides(left.read(), left_pattern, right.read())
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
