@@ -1,6 +1,7 @@
 """Tokens, packing, vectors, personal data, pages and secrets against plain versions and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -406,6 +407,143 @@ def test_article_in_a_page_wide_wrapper(page):
     test_article_without_its_surroundings(page)
 
 
+class Tree:
+    """A page without void or unclosed elements as nested nodes (tag, children and texts)."""
+
+    def __init__(self, html):
+        from html.parser import HTMLParser
+
+        root = self.root = ("#root", [])
+        stack = [root]
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attributes):
+                stack[-1][1].append((tag, []))
+                stack.append(stack[-1][1][-1])
+
+            def handle_endtag(self, tag):
+                stack.pop()
+
+            def handle_data(self, data):
+                stack[-1][1].append(data)
+
+        Reader().feed(html)
+
+
+def plain_density(html):
+    """The main text by recursion: sums of child densities, threshold of the path, marked nodes."""
+    body = Tree(html).root[1][0][1][-1]
+
+    def walk(node):
+        yield node
+        for c in node[1]:
+            if isinstance(c, tuple):
+                yield from walk(c)
+
+    def chars(node, linked=False, only=False):
+        linked = linked or node[0] == "a"
+        found = 0
+        for c in node[1]:
+            found += chars(c, linked, only) if isinstance(c, tuple) else len(c.strip()) * (linked or not only)
+        return found
+
+    share = chars(body, only=True) / chars(body)
+
+    def density(node):
+        c, lc = chars(node), chars(node, only=True)
+        t, lt = max(len(list(walk(node))) - 1, 1), sum(n[0] == "a" for n in walk(node)) - (node[0] == "a")
+        if not c:
+            return 0.0
+        base = math.log(c * lc / max(c - lc, 1) + share * c + math.e) + math.e - 1
+        return c / t * math.log(1 + (c / max(lc, 1)) * (t / max(lt, 1))) / math.log(base)
+
+    def total(node):
+        return sum(density(c) for c in node[1] if isinstance(c, tuple) and c[0] != "a")
+
+    def top(node):
+        return max((n for n in walk(node) if n[0] != "a"), key=total)  # the first of equal ones
+
+    best = top(body)
+    path = [n for n in walk(body) if any(m is best for m in walk(n))]
+    threshold = min(map(density, path))
+    marked = []
+
+    def mark(node):
+        if density(node) >= threshold:
+            marked.append(top(node))
+            for c in node[1]:
+                if isinstance(c, tuple) and c[0] != "a":
+                    mark(c)
+
+    mark(body)
+    for n in path:
+        if n is not best and (n is not body or any(c is best for c in body[1])):
+            marked.extend(c for c in n[1] if isinstance(c, tuple) and c[0] in ("p", "h1", "h2", "h3") and chars(c, only=True) < chars(c))
+    kept = [m for n in walk(body) for m in marked if m is n]
+
+    def blocks(node, inside):
+        inside = inside or any(node is m for m in kept)
+        line = []
+        for c in node[1]:
+            if isinstance(c, str):
+                line.append(c if inside else "")
+            elif c[0] == "a":
+                line.append("".join(x for x in c[1]) if inside else "")
+            else:
+                yield " ".join("".join(line).split())
+                line = []
+                yield from blocks(c, inside)
+        yield " ".join("".join(line).split())
+
+    return "\n".join(b for b in blocks(body, False) if b)
+
+
+def made_page(draw):
+    """An article in nested boxes, with short columns and link lists around it, no telling names; and its text."""
+    words = lambda n: " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    lines = [words(draw.randrange(3, 8)), *[words(draw.randrange(40, 120)) + "." for _ in range(draw.randrange(3, 9))]]
+    inner = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    for _ in range(draw.randrange(1, 3)):
+        inner = f"<div>{inner}</div>"
+
+    def column():
+        kind = draw.randrange(3)
+        items = [words(draw.randrange(1, 4)) for _ in range(draw.randrange(2, 7))]
+        if kind == 0:
+            return "<div><ul>" + "".join(f"<li><a href='/x'>{x}</a></li>" for x in items) + "</ul></div>"
+        if kind == 1:
+            return "<div><h3>" + words(2) + "</h3><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul></div>"
+        return "<div>" + "".join(f"<div><h3>{x}</h3><p>{words(2)}</p></div>" for x in items) + "</div>"
+
+    parts = [column() for _ in range(draw.randrange(0, 3))] + [inner] + [column() for _ in range(draw.randrange(0, 3))]
+    whole = f"<div>{''.join(parts)}</div>" if draw.random() < 0.5 else "".join(parts)
+    return f"<html><body>{whole}</body></html>", "\n".join(lines)
+
+
+def test_made_pages_by_density_alone():
+    from textloom.llm.html_density import main_text
+
+    draw = random.Random(9)
+    for _ in range(200):
+        page, want = made_page(draw)
+        assert main_text(page) == want == plain_density(page)
+
+
+def test_columns_beside_an_article():
+    """One box around opening hours, an article and a column of weather and a poll."""
+    from textloom.llm.html_density import main_text
+
+    text = "The council met on a rainy evening to discuss the new bridge over the river and its price. "
+    article = "".join(f"<p>{text * n}</p>" for n in (3, 2, 4, 1))
+    page = (
+        "<body><div><div><h3>Opening hours</h3><ul><li>Monday 9 to 5</li><li>Friday 9 to 12</li></ul></div>"
+        f"<div><h1>The bridge</h1>{article}</div>"
+        "<div><h3>Weather</h3><p>Rain, 12 degrees</p><h3>Poll</h3><p>Do you like it?</p><ul><li>Yes</li><li>No</li></ul></div></div>"
+    )
+    assert main_text(page) == "\n".join(["The bridge", *[(text * n).strip() for n in (3, 2, 4, 1)]])
+    assert main_text(page.replace("<body><div>", "<body><main>")) == main_text(page)
+
+
 def test_page_edges(spark):
     from textloom.llm import html_density
 

@@ -2,9 +2,11 @@
 
 Each page becomes a table of DOM nodes in page order. A node's density is its characters per tag, raised
 where few of them are links and lowered where the node has a larger share of links than the page. The
-node whose children's densities sum highest marks the article; the lowest density on its path to the
-body is the threshold that tells link blocks inside it from text. Navigation, forms, adverts and
-comments are taken out beforehand by their elements and names, so that they add no density.
+node whose children's densities sum highest marks the article, and the lowest density on its path to the
+body is the threshold: from the body down, only nodes at or above it are looked into, and the node of largest sum
+in each of them is text. Paragraphs and headings beside the path to the densest node belong to it, but not a
+page's own beside a box that holds the article. An article element around that node settles its borders. Navigation, forms, adverts and comments are taken out
+beforehand by their elements and names, so that they add no density.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist discussion disqus reply "
     "replies respond widget widgets search form hidden skip toc".split()
 )
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure fieldset".split())  # beside the article, a part of it
 KEEP_TAGS = frozenset(["html", "body", "article", "main"])
 CLOSED_BY_SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -143,6 +146,25 @@ class Page:
         text(len(html) if tail < 0 else tail)
 
 
+def _marked(page: Page, noise: list[bool], densities: list[float], sums: list[float], path: list[int], threshold: float, linked: list[bool]) -> set[int]:
+    """The roots of the main text: from the body down, through nodes at or above the threshold, the node of
+    largest sum in each of them; and the paragraphs and headings that stand beside the densest node's path."""
+    tag, parent, size = page.tag, page.parent, len(page.tag)
+    top = list(range(size))  # the node of largest sum in each subtree, the outermost of equal ones
+    for i in range(size - 1, 0, -1):
+        if not noise[i] and tag[i] not in INLINE and sums[top[i]] >= sums[top[parent[i]]] and sums[top[i]] > sums[parent[i]]:
+            top[parent[i]] = top[i]
+    start, roots, passed, way = path[-1], {path[0]}, [False] * size, set(path)
+    for i in range(start, size):
+        passed[i] = i == start or (passed[parent[i]] and densities[i] >= threshold and not noise[i] and tag[i] not in INLINE)
+        if passed[i] and i not in way:
+            roots.add(top[i])
+        beside = parent[i] in way and parent[i] != path[0] and (parent[i] != start or parent[path[0]] == start)
+        if beside and i not in way and tag[i] in TEXT_TAGS and not noise[i] and not linked[i]:
+            roots.add(i)
+    return roots
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one per line; empty where a page (null, empty, or markup only) has none."""
     if not html:
@@ -244,23 +266,18 @@ def main_text(html: str | None) -> str:
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
     threshold = min(densities[i] for i in path)
-    # the whole article around the densest node, or the outermost node below the body
-    chosen = next((i for i in path if tag[i] in ("article", "main")), None)
-    if chosen is None:
-        chosen = best
-        for i in path[1:]:
-            if i in (body, 0) or densities[i] < threshold:
-                break
-            chosen = i
-
+    # an article element around the densest node has its borders; else the densities have to find them
+    chosen = next((i for i in path if tag[i] == "article"), None)
+    roots = {chosen} if chosen is not None else _marked(page, noise, densities, sums, path, threshold, linked)
     keep = [False] * size
     for i in range(size):
-        within = i == chosen or (i and keep[parent[i]])
+        within = i in roots or (i and keep[parent[i]])
         menu = (
-            i != chosen and tag[i] not in INLINE and link_tags[i] > 1
+            i not in roots and tag[i] not in INLINE and link_tags[i] > 1
             and 2 * links[i] > chars[i] and densities[i] < threshold
         )
-        keep[i] = bool(within) and not noise[i] and not menu
+        aside = best == body and parent[i] == body and tag[i] in ("div", "section", "table") and densities[i] < threshold and i not in roots
+        keep[i] = bool(within) and not noise[i] and not menu and not (aside and chosen is None)
 
     blocks, block = [], []
     for n, clean, raw in runs:
