@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from textloom import scale
 from textloom.operators import graphs
 
 
@@ -129,6 +131,71 @@ def test_biconnected(spark, pairs):
     assert {frozenset(b) for b in got.values()} == blocks_of(pairs)
 
 
+def test_biconnected_path_takes_logarithmic_rounds(spark, monkeypatch):
+    """A path of 5,000 vertices with a triangle at its end: every edge of the path is a block."""
+    rounds = []
+    halved = graphs._halved
+    monkeypatch.setattr(graphs, "_halved", lambda up: rounds.append(1) or halved(up))
+    n = 5000
+    path = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    tail = spark.createDataFrame([(n - 1, n), (n, n + 1), (n - 1, n + 1)], "src long, dst long")
+    blocks = scale.settle(graphs.biconnected(path.unionByName(tail)))
+    assert len(rounds) < 25
+    sizes = graphs.block_sizes(blocks).groupBy("size", "edges").count().collect()
+    assert {tuple(r) for r in sizes} == {(2, 1, n - 1), (3, 3, 1)}
+
+
+def test_list_ranks(spark, monkeypatch):
+    rounds = []
+    release = graphs.release
+    monkeypatch.setattr(graphs, "release", lambda *t: rounds.append(1) or release(*t))
+    rows = [(i, i + 1 if (i + 1) % 700 else None) for i in range(2100)]
+    items = spark.createDataFrame(rows, "item long, next long")
+    got = {r["item"]: r["rank"] for r in graphs.list_ranks(items).collect()}
+    assert got == {i: 699 - i % 700 for i in range(2100)} and len(rounds) <= 6
+
+
+def test_preorder_numbers_subtrees(spark):
+    tree = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (1, 5), (7, 9), (9, 8)], "u long, v long")
+    roots = spark.createDataFrame([(i, 1) for i in range(1, 6)] + [(i, 7) for i in (7, 8, 9)], "id long, root long")
+    got = {r["id"]: (r["parent"], r["pre"], r["size"]) for r in graphs.preorder(tree, roots).collect()}
+    assert {i: (p, s) for i, (p, _, s) in got.items()} == {
+        1: (None, 5), 2: (1, 3), 3: (2, 1), 4: (2, 1), 5: (1, 1), 7: (None, 3), 9: (7, 2), 8: (9, 1)
+    }
+    assert sorted(pre for _, pre, _ in got.values()) == list(range(1, 9))
+    for parent, pre, _ in got.values():
+        if parent is not None:
+            assert got[parent][1] < pre < got[parent][1] + got[parent][2]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_strong_components_with_chains(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(14)}
+    fresh = 100
+    for a, b in sorted(pairs)[:6]:  # long ways between vertices, and tails
+        way = [a, *range(fresh, fresh + rng.randrange(2, 9)), b]
+        fresh += 20
+        pairs |= set(zip(way, way[1:]))
+    cycle = list(range(500, 507))
+    pairs |= set(zip(cycle, cycle[1:] + cycle[:1])) | {(600, 601), (601, 602), (602, 0)}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    got = {r["id"]: r["component"] for r in graphs.strong_components(edge_table(spark, pairs)).collect()}
+    assert got == strong_of(pairs, {v for e in pairs for v in e})
+
+
+def test_strong_components_of_long_chains(spark, monkeypatch):
+    """A path of 5,000 vertices and a cycle of 3,000 in a logarithmic number of tables."""
+    written = []
+    settle = graphs.settle
+    monkeypatch.setattr(graphs, "settle", lambda df: written.append(1) or settle(df))
+    path = spark.range(4999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    cycle = spark.range(3000).select((F.col("id") + 10_000).alias("src"), ((F.col("id") + 1) % 3000 + 10_000).alias("dst"))
+    parts = scale.settle(graphs.strong_components(path.unionByName(cycle)))
+    assert graphs.component_sizes(parts).where("size > 1").collect() == [(12_999, 3000)]
+    assert parts.count() == 8000 and len(written) < 60
+
+
 PETERSEN = [(i, (i + 1) % 5) for i in range(5)] + [(i, i + 5) for i in range(5)] + [(5 + i, 5 + (i + 2) % 5) for i in range(5)]
 CIRCULANT = [(i, (i + 2) % 16) for i in range(0, 16, 2)]
 
@@ -141,7 +208,7 @@ def test_hyperbolicity_equals_the_naive_value(spark, pairs):
     ids = sorted(bfs(adj, min(adj)))
     d = {v: bfs(adj, v) for v in ids}
     dist = spark.createDataFrame([(a, b, d[a][b]) for a in ids for b in ids], "src long, dst long, d int")
-    row = graphs.hyperbolicity(dist, block_rows=16).first()
+    row = graphs.hyperbolicity(dist, tile=5).first()
     assert row["delta"] == naive_delta(d, ids)
     sampled = graphs.sampled_hyperbolicity(edge_table(spark, pairs), 300, 10).first()
     assert sampled["delta"] <= row["delta"] and sampled["quadruples"] > 0
@@ -204,18 +271,40 @@ def test_every_negative_is_drawn(spark):
     assert all(o not in (0, a) and {a, o} != {1, 2} for a, v in drawn.items() for o in v)
 
 
-def test_spectral_clusters_cover_all_vertices(spark):
-    pairs = grid(2, 3) + [(a + 10, b + 10) for a, b in grid(2, 3)] + [(5, 10)]
-    dist = graphs.distances(edge_table(spark, pairs))
-    rows = graphs.spectral_clusters(dist, 2).collect()
-    assert len(rows) == 12 and {r["cluster"] for r in rows} <= {0, 1}
+def test_spectral_clusters_part_two_cliques(spark):
+    two = [(a + s, b + s) for s in (0, 50) for a in range(12) for b in range(a)] + [(0, 50)]
+    found = {r["id"]: r["cluster"] for r in graphs.spectral_clusters(edge_table(spark, two), 2, 6, rounds=6, steps=4).collect()}
+    assert len(found) == 24 and set(found.values()) <= {0, 1}
+    assert len({found[i] for i in range(1, 12)}) == 1 and len({found[50 + i] for i in range(1, 12)}) == 1
 
 
-def test_distance_pca_has_unit_components(spark):
-    dist = graphs.distances(edge_table(spark, grid(3, 3)))
-    rows = graphs.distance_pca(dist, 2).collect()
-    m = np.array([r["point"] for r in rows])
-    assert np.allclose((m * m).sum(axis=0), 1)
+def test_distance_pca_equals_the_decomposition(spark):
+    pairs = [tuple(sorted(p)) for p in random_graph(14, 24, 3)]
+    adj = adjacency(pairs)
+    ids = sorted(bfs(adj, min(adj)))
+    d = np.array([[bfs(adj, a)[b] for b in ids] for a in ids], float)
+    dist = spark.createDataFrame([(a, b, int(d[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids)], "src long, dst long, d int")
+    got = {r["id"]: r["point"] for r in graphs.distance_pca(dist, 2, rounds=20).collect()}
+    h = -np.cosh(d / d.max())
+    _, size, axes = np.linalg.svd(h - h.mean(axis=0), full_matrices=False)
+    for k in range(2):
+        axis = axes[k] * np.sign(axes[k][np.argmax(np.round(abs(axes[k]), 9))])
+        assert np.allclose([got[v][k] for v in ids], axis, atol=1e-4)
+
+
+def test_twins_do_not_change_delta(spark):
+    """Leaves on every vertex and doubled vertices: the value stays, the table shrinks."""
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+    doubled = ring + [(100, 1), (100, 3), (101, 1), (101, 3)] + [(200 + 10 * i + j, i) for i in range(9) for j in range(4)]
+    pairs = [tuple(sorted(p)) for p in doubled]
+    adj = adjacency(pairs)
+    ids = sorted(adj)
+    d = {v: bfs(adj, v) for v in ids}
+    dist = scale.settle(spark.createDataFrame([(a, b, d[a][b]) for a in ids for b in ids], "src long, dst long, d int"))
+    kept = graphs.vertices(graphs.without_twins(dist)).count()
+    assert kept < len(ids) and kept == 9 + 2 + 18
+    core = sorted(set(range(9)) | {100, 101} | {200 + 10 * i for i in range(9)})
+    assert graphs.hyperbolicity(dist, tile=16).first()["delta"] == naive_delta(d, core)
 
 
 def test_crawl_rules(spark):

@@ -353,11 +353,58 @@ def test_clusters_and_refit(spark):
     assert rows.count() == 60 and {r[0] for r in rows.select("cluster_id").distinct().collect()} <= set(range(4))
     again = features.refit(rows, BisectingKMeans(k=2, seed=1))
     assert {r[0] for r in again.select("cluster_id").distinct().collect()} == {0, 1}
-    flat = features.project(rows, "features", 2)
-    assert all(len(r["projection"]) == 2 for r in flat.collect())
     assert len(features.cluster_examples(rows.drop("features"), "vec", "id", 2).collect()) <= 8
 
 
+def test_projection_finds_the_principal_axes(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(80, 5)) * [9.0, 3.0, 1.0, 0.5, 0.2] + [9, -4, 0, 1, 2]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>")
+    got = {r["id"]: r["projection"] for r in features.project(df, "id", "vec", 2, rounds=12).collect()}
+    centred = data - data.mean(axis=0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    for k in range(2):
+        axis = axes[k] * np.sign(axes[k][np.argmax(abs(axes[k]))])
+        assert np.allclose([got[i][k] for i in range(80)], centred @ axis, atol=1e-5)
+
+
+def test_all_parameter_sets_are_stepped_together(spark):
+    docs, data = vectors(spark, 50, dim=3)
+    starts = [(name, i, [float(x) for x in data[i]]) for name, k in (("a", 2), ("b", 5), ("c", 1)) for i in range(k)]
+    table = spark.createDataFrame(starts, "params string, cluster_id int, centre array<double>")
+    got = [(r["params"], r["value"]) for r in features.sweep(docs, "id", "vec", table, 4).collect()]
+    want = {}
+    for name, k in (("a", 2), ("b", 5), ("c", 1)):
+        first = table.where(F.col("params") == name).select("cluster_id", "centre")
+        alone = features.kmeans_from(docs, "id", "vec", first, 4).groupBy("cluster_id").count()
+        want[name] = alone.agg(F.max("count")).first()[0]
+    assert got == sorted(want.items(), key=lambda x: (x[1], x[0]))
+
+
+def test_whole_groups_are_handed_over_in_order(spark):
+    import pandas as pd
+
+    data = [("hot", i * 7919 % 12_345) for i in range(12_345)] + [("b", 3), ("b", 1), (None, 2), (None, 5)]
+    df = spark.createDataFrame(data, "k string, v long").repartition(5)
+
+    def median(key, size, frames):
+        at, middle, last = 0, [], -1
+        for frame in frames:
+            values = frame["v"].tolist()
+            assert values == sorted(values) and values[0] >= last and list(frame.columns) == ["k", "v"]
+            last = values[-1]
+            middle += [values[p - at] for p in ((size - 1) // 2, size // 2) if at <= p < at + len(values)]
+            at += len(values)
+        assert at == size
+        yield pd.DataFrame({"k": [key[0]], "n": [size], "median": [sum(middle) / 2]})
+
+    got = {r["k"]: (r["n"], r["median"]) for r in features.group_stream(df, ["k"], ["v"], median, "k string, n long, median double").collect()}
+    assert got == {"hot": (12_345, 6172.0), "b": (2, 2.0), None: (2, 3.5)}
+    first = lambda key, size, frames: [next(iter(frames)).head(1)]
+    assert features.group_stream(df, ["k"], ["v"], first, "k string, v long").count() == 3
+    assert features.group_stream(df.limit(0), ["k"], ["v"], first, "k string, v long").count() == 0
+
+
 def test_group_function_over_parts(spark):
     import pandas as pd
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textloom.functions import dates, text as tx, vectors
+from textloom.operators import axes
 from textloom.operators.frames import nearest_to_centroid
 from textloom.scale import best_per_group, fit_broadcast, release, running, salted_join, settle, top_per_group
 
@@ -190,9 +191,9 @@ def kmeans_from(df: DataFrame, row_id: str, vector: str, starts: DataFrame, roun
         return rows.crossJoin(fit_broadcast(listed)).withColumn("cluster_id", F.array_min(near)["id"]).drop("_all")
 
     for _ in range(rounds):
-        moved = assigned().groupBy("cluster_id").agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("_m"))
+        moved = assigned().groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)))).alias("_m"))
         fresh = centres.join(moved, "cluster_id", "left").select(
-            "cluster_id", F.coalesce(vector_to_array("_m"), "centre").alias("centre")
+            "cluster_id", F.coalesce("_m", "centre").alias("centre")
         )
         before, centres = centres, settle(fresh)
         release(before)
@@ -222,25 +223,41 @@ def cluster_examples(clustered: DataFrame, array: str, row_id: str, n: int = 3)
     return nearest_to_centroid(clustered, "cluster_id", array, row_id, n)
 
 
-def project(df: DataFrame, features: str, k: int = 2) -> DataFrame:
-    """First ``k`` principal coordinates as an array column."""
-    model = PCA(k=k, inputCol=features, outputCol="_pca").fit(df)
-    return model.transform(df).withColumn("projection", vector_to_array("_pca")).drop("_pca")
+def project(df: DataFrame, row_id: str, vector: str, k: int = 2, rounds: int = 30, start: Callable = axes.hashed_start) -> DataFrame:
+    """(row id, projection): coordinates on the first ``k`` principal axes of a column of vectors."""
+    cells = settle(axes.vector_cells(df, row_id, vector))
+    found = settle(axes.principal_axes(cells, k, rounds, start=start))
+    return axes.scores(cells, found).select(F.col("row").alias(row_id), F.col("point").alias("projection"))
 
 
-def sweep(df: DataFrame, clusterers: Iterable[tuple[dict, Clusterer]],
-          features: str = "features") -> DataFrame:
-    """One row per parameter set with the size of its largest cluster.
+def sweep(df: DataFrame, row_id: str, vector: str, starts: DataFrame, rounds: int = 10) -> DataFrame:
+    """(params, value): the size of the largest cluster for every set of starting centres (params, cluster_id, centre).
 
-    A clusterer is an estimator or a function that adds cluster_id.
+    All sets are stepped together: one pass over the rows per round assigns every row to the nearest centre
+    of each set, and the centres of all sets move at once, so the jobs do not grow with the sets. The
+    centres, a few rows per set, are one row of every pass.
     """
-    parts = None
-    for params, clusterer in clusterers:
-        one = cluster(df, features, clusterer).groupBy("cluster_id").count().agg(F.max("count").alias("value")).select(
-            F.lit(str(sorted(params.items()))).alias("params"), "value"
+    rows = settle(df.select(row_id, F.col(vector).alias("_v")))
+    centres = settle(starts.select("params", "cluster_id", "centre"))
+
+    def assigned():
+        each = centres.groupBy("params").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centre"))).alias("all"))
+        listed = each.agg(F.collect_list(F.struct("params", "all")).alias("_sets"))  # one row
+        away = lambda c: F.round(F.aggregate(
+            F.zip_with("_v", c["centre"], lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x), 9)
+        best = lambda s: F.struct(s["params"].alias("params"), F.array_min(
+            F.transform(s["all"], lambda c: F.struct(away(c).alias("away"), c["cluster_id"].alias("id"))))["id"].alias("cluster_id"))
+        return rows.crossJoin(fit_broadcast(listed)).select("_v", F.inline(F.transform("_sets", best)))
+
+    for _ in range(rounds):
+        moved = assigned().groupBy("params", "cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("_v")))).alias("_m"))
+        fresh = centres.join(moved, ["params", "cluster_id"], "left").select(
+            "params", "cluster_id", F.coalesce("_m", "centre").alias("centre")
         )
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.orderBy("value", "params")
+        before, centres = centres, settle(fresh)
+        release(before)
+    sizes = assigned().groupBy("params", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("params").agg(F.max("n").alias("value")).orderBy("value", "params")
 
 
 def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], out: str = "embedding", batch: int = 64) -> DataFrame:
@@ -388,6 +405,49 @@ def group_apply(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Ca
     return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
 
 
+GroupFunction = Callable[[tuple, int, Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]
+
+
+def group_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: GroupFunction, schema: str) -> DataFrame:
+    """Any function over whole groups, each handed over as its rows in order, some thousand at a time.
+
+    ``fn`` gets the key, the number of rows and an iterator of frames, and yields frames of ``schema``. It sees every
+    row of its group however large that is, and holds what it keeps itself: a median needs the two middle
+    rows. A group is read by one task from its sorted rows; ``group_apply`` spreads functions whose
+    parts can be merged. Null keys are a group; a group whose frames are not read to their end is passed over.
+    """
+    keys = list(keys)
+    rows = settle(df)
+    sizes = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    names = [f"_key{i}" for i in range(len(keys))]
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    sized = rows.join(fit_broadcast(sizes.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "_rows")), same).drop(*names)
+    placed = sized.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def pieces(batches):
+        for frame in batches:
+            if len(frame):
+                change = np.zeros(len(frame), bool)
+                for k in keys:
+                    now, past = frame[k], frame[k].shift()
+                    change |= ((now != past) & ~(now.isna() & past.isna())).to_numpy()
+                change[0] = False
+                cuts = [0, *np.flatnonzero(change).tolist(), len(frame)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    part = frame.iloc[a:b]
+                    yield tuple(None if pd.isna(x) else x for x in part[keys].iloc[0]), part
+
+    def run(batches):
+        for key, group in groupby(pieces(batches), key=lambda piece: piece[0]):
+            _, first = next(group)
+            size = int(first["_rows"].iloc[0])
+            yield from fn(key, size, (f.drop(columns="_rows") for f in chain([first], (part for _, part in group))))
+
+    return placed.mapInPandas(run, schema)
+
+
 def map_column(df: DataFrame, column: str, fn: Callable[[pd.Series], pd.Series], kind: str, out: str) -> DataFrame:
     """A vectorised user function over one column, for what no built-in expresses."""
     return df.withColumn(out, F.pandas_udf(fn, kind)(F.col(column)))

@@ -6,10 +6,15 @@ folder, so lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import links, text as tx, vectors
+from textloom.operators import axes
+from textloom.operators.features import kmeans_from
 from textloom.operators.similarity import block_count
 from textloom.scale import Salted, exact_quantiles, fit_broadcast, release, running, salted_join, settle
 
@@ -159,15 +164,53 @@ def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _contract_chains(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Edges without their chain vertices, the chains (id, start, end), and pure cycles (id, component).
+
+    A chain vertex has one edge in and one out. Pointers to both ends double their reach in every round, so a chain
+    of any length takes a logarithmic number of them. None where there is no chain.
+    """
+    into = left.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_in"), F.min("src").alias("prev"))
+    out = left.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_out"), F.min("dst").alias("next"))
+    chain = settle(into.where("_in = 1").join(out.where("_out = 1"), "id").select("id", "prev", "next"))
+    total = chain.count()
+    if not total:
+        return None
+    # ``top`` is the largest id met on the way forward, which names a cycle of chain vertices only
+    walk = chain.withColumn("top", F.greatest("id", "next"))
+    before, reach = None, 1
+    while reach <= total:
+        ahead = walk.select(F.col("id").alias("next"), F.col("next").alias("_n"), F.col("top").alias("_t"))
+        behind = walk.select(F.col("id").alias("prev"), F.col("prev").alias("_p"))
+        step = settle(walk.join(ahead, "next", "left").join(behind, "prev", "left").select(
+            "id", F.coalesce("_p", "prev").alias("prev"), F.coalesce("_n", "next").alias("next"),
+            F.greatest("top", "_t").alias("top"), (F.col("_n").isNotNull() | F.col("_p").isNotNull()).alias("_moved"),
+        ))
+        release(before)
+        walk, before, reach = step.drop("_moved"), step, 2 * reach
+        if step.where("_moved").isEmpty():
+            break
+    inside = chain.select(F.col("id").alias("next"))
+    cycles = settle(salted_join(walk, inside, ["next"], "left_semi").select("id", F.col("top").alias("component")))
+    open_ = settle(salted_join(walk, inside, ["next"], "left_anti").select("id", F.col("prev").alias("start"), F.col("next").alias("end")))
+    names = chain.select("id")
+    kept = salted_join(left, names.withColumnRenamed("id", "src"), ["src"], "left_anti")
+    kept = salted_join(kept, names.withColumnRenamed("id", "dst"), ["dst"], "left_anti").select("src", "dst")
+    bridged = open_.select(F.col("start").alias("src"), F.col("end").alias("dst"))
+    return settle(kept.unionByName(bridged).where("src <> dst").distinct()), open_, cycles
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """Strong components: (id, component), the component being its largest id.
 
-    Each round removes vertices without links in or out, colours the rest with the largest
-    id that reaches them, and takes what reaches back to the colour's own vertex.
+    Chains are contracted by pointer jumping, and vertices without links in or out removed, until neither is
+    left: long paths and trees take a logarithmic number of rounds. The rest is coloured with the largest id that
+    reaches a vertex, which searches forward from all vertices at once, and each colour's own vertex takes what
+    reaches back to it. A chain belongs to the component of its ends if that is the same for both.
     """
     left = settle(edges.select("src", "dst").where("src <> dst").distinct())
     alive = settle(vertices(edges))
-    done = None
+    done, chains = None, []
 
     def finish(part):
         nonlocal done
@@ -175,6 +218,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     while not alive.isEmpty():
         while True:
+            contracted = _contract_chains(left)
+            if contracted is not None:
+                left, open_, cycles = contracted
+                chains.append(open_)
+                finish(cycles)
+                gone = open_.select("id").unionByName(cycles.select("id"))
+                alive = settle(alive.join(gone, "id", "left_anti"))
             inner = salted_join(
                 salted_join(alive, left.select(F.col("src").alias("id")).distinct(), ["id"], "left_semi"),
                 left.select(F.col("dst").alias("id")).distinct(), ["id"], "left_semi",
@@ -182,7 +232,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
             inner = settle(inner)
             single = settle(alive.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
             if single.isEmpty():
-                break
+                if contracted is None:
+                    break
+                continue
             finish(single)
             alive = inner
             left = settle(induced(left, alive))
@@ -220,6 +272,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
         finish(reached)
         alive = settle(alive.join(reached, "id", "left_anti"))
         left = settle(induced(left, alive))
+    if done is None:
+        return alive.select("id", F.col("id").alias("component"))
+    for open_ in reversed(chains):  # a later contraction may hold the ends of an earlier one
+        done = settle(done)
+        at = lambda end, name: done.select(F.col("id").alias(end), F.col("component").alias(name))
+        named = salted_join(salted_join(open_, at("start", "_s"), ["start"]), at("end", "_e"), ["end"])
+        whole = F.when(F.col("_s") == F.col("_e"), F.col("_s")).otherwise(F.col("id"))
+        done = done.unionByName(named.select("id", whole.alias("component")))
+    if chains:
+        done = settle(done)
+        largest = settle(done.groupBy("component").agg(F.max("id").alias("_top"), F.count(F.lit(1)).alias("_n")))
+        done = salted_join(done, largest.drop("_n"), ["component"], counts=largest.drop("_top")).select("id", F.col("_top").alias("component"))
     return done
 
 
@@ -310,100 +374,154 @@ def crawl(
 # -- biconnected components --------------------------------------------------------------
 
 
-def _forest(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """Breadth-first forest (id, parent, depth) rooted at the smallest id of each component."""
-    along = Salted(settle(both_ways(edges)), ["src"])
-    level = settle(
-        parts.select(F.col("component").alias("id")).distinct().select("id", F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit(0).alias("depth"))
-    )
-    whole, before, depth = level, None, 0
+def spanning_forest(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tree edges (u, v) of every component and (id, root), for edges (src, dst) between numbered vertices.
+
+    Every round hooks each root onto its smallest neighbouring label by an edge, which joins the forest, and halves the
+    way to the root for all. Labels only fall, so no cycle can close. Numbers dealt at random keep the
+    rounds logarithmic.
+    """
+    links_ = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("src").alias("u"), F.col("dst").alias("v"))
+    links_ = settle(links_.where("a <> b"))
+    up = settle(ids.select("id", F.col("id").alias("p")))
+    forest = []
+    while not links_.isEmpty():
+        lowest = links_.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.struct(F.least("a", "b").alias("to"), "u", "v")).alias("_m"))
+        hooks = settle(lowest.join(up.where("id = p").select("id"), "id", "left_semi").select("id", "_m.to", "_m.u", "_m.v"))
+        forest.append(hooks.select("u", "v"))
+        hooked = settle(up.join(hooks.select("id", "to"), "id", "left").select("id", F.coalesce("to", "p").alias("p")))
+        older, up = up, _halved(hooked)
+        moved = links_
+        for end in ("a", "b"):
+            moved = salted_join(moved, up.select(F.col("id").alias(end), F.col("p").alias(f"_{end}")), [end])
+        ends = [F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")]
+        fresh = settle(moved.where("_a <> _b").groupBy(*ends).agg(F.min(F.struct("u", "v")).alias("_m")).select("a", "b", "_m.u", "_m.v"))
+        release(links_, hooked, older)
+        links_ = fresh
     while True:
-        depth += 1
-        found = along.join(level.select(F.col("id").alias("src"))).groupBy(
-            F.col("dst").alias("id")
-        ).agg(F.min("src").alias("parent"))
-        seen = level.select("id") if before is None else level.select("id").unionByName(before.select("id"))
-        fresh = settle(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
-            return whole
-        whole, before, level = whole.unionByName(fresh), level, fresh
+        older, up = up, _halved(up)
+        same = up.join(older.withColumnRenamed("p", "_old"), "id").where("p <> _old").isEmpty()
+        release(older)
+        if same:
+            break
+    tree = forest[0] if forest else edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).limit(0)
+    for part in forest[1:]:
+        tree = tree.unionByName(part)
+    return settle(tree.distinct()), up.select("id", F.col("p").alias("root"))
 
 
-def biconnected(edges: DataFrame) -> DataFrame:
-    """Biconnected components of a simple undirected graph: (src, dst, block) per edge.
+def _halved(up: DataFrame) -> DataFrame:
+    """Every pointer (id, p) moved on to the pointer of where it points."""
+    return settle(salted_join(up, up.select(F.col("id").alias("p"), F.col("p").alias("_q")), ["p"]).select("id", F.col("_q").alias("p")))
+
 
-    The published parallel method over a breadth-first forest: preorder numbers and subtree
-    sizes, the range of numbers reached from every subtree, then components of a graph
-    whose vertices are the tree edges. In a breadth-first forest no other edge joins a
-    vertex with its ancestor, which leaves two joining rules. Rounds follow the depth of the
-    forest; no vertex set is gathered in one task.
+def list_ranks(items: DataFrame, jumps: int = 2) -> DataFrame:
+    """(item, rank): steps to the end of its list for (item, next), a null ``next`` being the end.
+
+    Pointer jumping: each round every item skips as far as it has come, ``jumps`` times over.
     """
-    edges = settle(undirected(edges))
-    forest = settle(_forest(edges, components(edges)))
-    depth = forest.agg(F.max("depth")).first()[0]
-
-    sized = forest.where(F.col("depth") == depth).select("id", "parent", F.lit(1).cast("long").alias("size"))
-    sizes = sized
-    for level in range(depth - 1, -1, -1):
-        below = sized.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("_b"))
-        sized = settle(
-            forest.where(F.col("depth") == level).join(below, "id", "left").select(
-                "id", "parent", (F.coalesce("_b", F.lit(0)) + 1).alias("size")
+    walk = settle(items.select("item", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("rank")))
+    while not walk.where("next IS NOT NULL").isEmpty():
+        step = walk
+        for _ in range(jumps):
+            far = step.select(F.col("item").alias("next"), F.col("next").alias("_n"), F.col("rank").alias("_r"))
+            moved = step.where("next IS NOT NULL").join(far, "next").select(
+                "item", F.col("_n").alias("next"), (F.col("rank") + F.col("_r")).alias("rank")
             )
-        )
-        sizes = sizes.unionByName(sized)
-    # preorder number: the parent's, plus one, plus the subtrees of earlier siblings
-    order = running(settle(sizes), ["parent"], ["id"], sums={"upto": "size"})
-    order = order.select("id", "parent", "size", (F.col("upto") - F.col("size")).alias("gap"))
-    order = settle(order.join(forest.select("id", "depth"), "id"))
-    placed = settle(order.where("depth = 0").select("id", F.col("gap").alias("pre"), "size", "parent", "depth"))
-    numbers = placed
-    for level in range(1, depth + 1):
-        up = placed.select(F.col("id").alias("parent"), F.col("pre").alias("_up"))
-        placed = settle(
-            salted_join(order.where(F.col("depth") == level), up, ["parent"]).select(
-                "id", (F.col("_up") + 1 + F.col("gap")).alias("pre"), "size", "parent", "depth"
-            )
-        )
-        numbers = numbers.unionByName(placed)
-    numbers = settle(numbers)
+            step = step.where("next IS NULL").unionByName(moved)
+        older, walk = walk, settle(step)
+        release(older)
+    return walk.select("item", "rank")
 
-    pre = numbers.select(F.col("id").alias("dst"), F.col("pre").alias("_p"))
-    around = salted_join(both_ways(edges), pre, ["dst"]).groupBy(F.col("src").alias("id")).agg(
-        F.min("_p").alias("low"), F.max("_p").alias("high")
-    )
-    own = settle(numbers.join(around, "id", "left").select(
-        "id", "parent", "pre", "size", "depth",
-        F.least("pre", "low").alias("low"), F.greatest("pre", "high").alias("high"),
+
+def preorder(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, parent, pre, size) of rooted trees from their edges (u, v) and (id, root).
+
+    The Euler tour of each tree is a list of arcs: after u -> v comes the arc of v that follows v -> u around v. The places of
+    an edge's two arcs on the tour tell which end is the parent and how large the subtree is.
+    Numbers run over all trees, each subtree having consecutive ones.
+    """
+    around = tree.select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    arcs = settle(running(both_ways(around), [], ["src", "dst"], position="item"))
+    ends = settle(arcs.groupBy("src").agg(F.min("item").alias("first"), F.max("item").alias("last")))
+    back = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("item").alias("back"))
+    placed = arcs.join(back, ["src", "dst"])
+    placed = salted_join(placed, ends.withColumnRenamed("src", "dst"), ["dst"])
+    turn = F.when(F.col("back") < F.col("last"), F.col("back") + 1).otherwise(F.col("first"))
+    at_root = salted_join(placed, roots.select(F.col("id").alias("dst"), "root"), ["dst"])
+    over = (F.col("dst") == F.col("root")) & (F.col("back") == F.col("last"))
+    tour = settle(at_root.select("item", "back", "src", "dst", "root", F.when(~over, turn).alias("next")))
+    ranks = settle(list_ranks(tour.select("item", "next")))
+    ranked = tour.join(ranks, "item").join(ranks.select(F.col("item").alias("back"), F.col("rank").alias("_back")), "back")
+    down = settle(ranked.where(F.col("rank") > F.col("_back")).select(
+        F.col("dst").alias("id"), F.col("src").alias("parent"), "root", (-F.col("rank")).alias("place"),
+        ((F.col("rank") - F.col("_back") + 1) / 2).cast("long").alias("size"),
     ))
-    reach = own.where(F.col("depth") == depth)
-    ranges = reach
-    for level in range(depth - 1, -1, -1):
-        below = reach.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("_l"), F.max("high").alias("_h"))
-        reach = settle(
-            own.where(F.col("depth") == level).join(below, "id", "left").select(
-                "id", "parent", "pre", "size", "depth",
-                F.least("low", "_l").alias("low"), F.greatest("high", "_h").alias("high"),
-            )
-        )
-        ranges = ranges.unionByName(reach)
-    ranges = settle(ranges)
+    sizes = down.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
+    tops = sizes.select(F.col("root").alias("id"), F.lit(None).cast("long").alias("parent"), "root", F.lit(None).cast("long").alias("place"), "size")
+    numbered = running(down.unionByName(tops), [], ["root", F.col("place").asc_nulls_first()], position="pre")
+    return numbered.select("id", "parent", "pre", "size")
 
-    tree = numbers.where(F.col("parent").isNotNull()).select(
-        F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"), F.col("id").alias("child")
-    )
-    cross = edges.join(tree, ["src", "dst"], "left_anti")
-    up = numbers.where(F.col("parent").isNotNull()).select(
-        F.col("id").alias("parent"), F.col("pre").alias("_pre"), F.col("size").alias("_size")
+
+def subtree_ranges(numbers: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, low, high): the extremes of ``values`` (pre, low, high) over every subtree's numbers.
+
+    A subtree is a range of numbers, cut into aligned blocks of powers of two; the extremes of the blocks
+    are one aggregate, and no more than two blocks of a size belong to a range.
+    """
+    levels = max(1, int(values.agg(F.max("pre")).first()[0] or 1).bit_length())
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    blocks = values.select("*", level).groupBy("level", F.expr("shiftright(pre, level)").alias("block")).agg(
+        F.min("low").alias("low"), F.max("high").alias("high")
     )
-    climbing = salted_join(ranges.where(F.col("parent").isNotNull()), up, ["parent"]).where(
+    first, behind = F.expr("shiftright(pre + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(pre + size, level)")
+    pieces = numbers.select("id", "pre", "size", level).select("id", "level", first.alias("a"), behind.alias("b")).where("a < b")
+    pieces = pieces.select("id", "level", F.explode(F.array_compact(F.array(
+        F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)
+    ))).alias("block"))
+    met = salted_join(pieces, settle(blocks), ["level", "block"])
+    return met.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def biconnected(edges: DataFrame) -> DataFrame:
+    """Biconnected components of a simple undirected graph: (src, dst, block) per edge.
+
+    The published parallel method: a spanning forest by hooking, its Euler tour ranked by pointer jumping for preorder
+    numbers and subtree sizes, the range of numbers reached from every subtree, then components of a
+    graph whose vertices are the tree edges. All rounds are logarithmic in the number of vertices, whatever
+    the depth of the forest; no vertex set is gathered in one task. A block is named by a vertex number.
+    """
+    edges = settle(undirected(edges))
+    names = settle(running(vertices(edges), [], [F.xxhash64("id"), F.col("id")], position="n"))
+    numbered = edges
+    for end, n in (("src", "a"), ("dst", "b")):
+        numbered = salted_join(numbered, names.select(F.col("id").alias(end), F.col("n").alias(n)), [end])
+    numbered = settle(numbered.select("src", "dst", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    plain = numbered.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    tree, roots = spanning_forest(plain, names.select(F.col("n").alias("id")))
+    order = settle(preorder(tree, roots))
+
+    placed = numbered
+    for end in "ab":
+        at = order.select(F.col("id").alias(end), F.col("pre").alias(f"pre_{end}"), F.col("size").alias(f"size_{end}"), F.col("parent").alias(f"parent_{end}"))
+        placed = salted_join(placed, at, [end])
+    placed = settle(placed)
+    met = placed.select(F.col("pre_a").alias("pre"), F.col("pre_b").alias("to")).unionByName(
+        placed.select(F.col("pre_b").alias("pre"), F.col("pre_a").alias("to"))
+    ).unionByName(order.select("pre", F.col("pre").alias("to")))
+    reached = settle(subtree_ranges(order, met.groupBy("pre").agg(F.min("to").alias("low"), F.max("to").alias("high"))))
+
+    is_tree = F.coalesce(F.col("parent_a") == F.col("b"), F.lit(False)) | F.coalesce(F.col("parent_b") == F.col("a"), F.lit(False))
+    apart = (F.col("pre_a") + F.col("size_a") <= F.col("pre_b")) | (F.col("pre_b") + F.col("size_b") <= F.col("pre_a"))
+    cross = placed.where(~is_tree & apart).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    above = order.where("parent IS NOT NULL").select(F.col("id").alias("parent"), F.col("pre").alias("_pre"), F.col("size").alias("_size"))
+    climbing = salted_join(order.where("parent IS NOT NULL").select("id", "parent").join(reached, "id"), above, ["parent"]).where(
         (F.col("low") < F.col("_pre")) | (F.col("high") >= F.col("_pre") + F.col("_size"))
     ).select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    blocks = settle(components(settle(cross.unionByName(climbing)), tree.select(F.col("child").alias("id"))))
-    named = blocks.select(F.col("id").alias("child"), F.col("component").alias("block"))
-    on_tree = salted_join(tree, named, ["child"]).select("src", "dst", "block")
-    off_tree = salted_join(cross.withColumn("child", F.col("src")), named, ["child"]).select("src", "dst", "block")
-    return on_tree.unionByName(off_tree)
+    blocks = components(settle(cross.unionByName(climbing)), order.where("parent IS NOT NULL").select("id"))
+    # an edge lies in the block of its end with the larger number, the lower end of a tree or back edge
+    below = F.when(F.col("pre_a") > F.col("pre_b"), F.col("a")).otherwise(F.col("b"))
+    return salted_join(placed.select("src", "dst", below.alias("id")), blocks.select("id", F.col("component").alias("block")), ["id"]).select("src", "dst", "block")
 
 
 def block_sizes(blocks: DataFrame) -> DataFrame:
@@ -422,55 +540,93 @@ def largest_block(blocks: DataFrame) -> DataFrame:
 # -- hyperbolicity -----------------------------------------------------------------------
 
 
-def hyperbolicity(dist: DataFrame, block_rows: int = 512) -> DataFrame:
-    """Four-point delta of a complete distance table: half the largest gap between the two
-    largest pair sums over all quadruples.
+def without_twins(dist: DataFrame) -> DataFrame:
+    """The distances among at most two vertices of every class of twins.
 
-    Pairs are taken from the far ones down. Two pairs (a, b) and (c, d) give
-    d(a,b) + d(c,d) - max(d(a,c) + d(b,d), d(a,d) + d(b,c)), which is at most the smaller of
-    their distances, so the search ends once a level cannot beat the best. Pairs meet in
-    blocks as matrices; a task returns one number.
+    Twins have the same neighbours, or the same with themselves; to all others they are equally far. Of a quadruple
+    with three twins two pair sums are the largest and equal, so two of a class give every gap there is.
+    """
+    near = dist.where("d = 1").groupBy(F.col("src").alias("id")).agg(
+        *[F.sum(F.conv(F.substring(F.md5(F.col("dst").cast("string")), i, 15), 16, 10).cast("decimal(38,0)")).alias(n) for i, n in ((1, "_a"), (16, "_b"))]
+    )
+    own = [F.conv(F.substring(F.md5(F.col("id").cast("string")), i, 15), 16, 10).cast("decimal(38,0)") for i in (1, 16)]
+    named = settle(near.select("id", "_a", "_b", (F.col("_a") + own[0]).alias("_c"), (F.col("_b") + own[1]).alias("_d")))
+    kept = named
+    for keys in (["_a", "_b"], ["_c", "_d"]):
+        two = kept.groupBy(*keys).agg(F.min("id").alias("_one"), F.count(F.lit(1)).alias("_n"))
+        rest = kept.join(two.select(F.col("_one").alias("id")), "id", "left_anti").groupBy(*keys).agg(F.min("id").alias("_one"))
+        chosen = two.select(F.col("_one").alias("id")).unionByName(rest.select(F.col("_one").alias("id")))
+        kept = settle(kept.join(chosen, "id", "left_semi"))
+    ids = kept.select("id").unionByName(vertices(dist).join(named.select("id"), "id", "left_anti"))
+    return induced(dist, settle(ids)).select("src", "dst", "d")
+
+
+TILE = 512
+
+
+def hyperbolicity(dist: DataFrame, tile: int = TILE) -> DataFrame:
+    """Four-point delta of a complete table of hop distances: half the largest gap between the two largest pair sums
+    over all quadruples.
+
+    Two pairs (a, b) and (c, d) give d(a,b) + d(c,d) - max(d(a,c) + d(b,d), d(a,d) + d(b,c)), which is at most the
+    smaller of their distances. So pairs are taken from the far ones down, level by level, and the search ends
+    once a level cannot beat the best. The distances are stored once, in square tiles; a task meets the pairs of
+    two tiles by the four tiles between their rows and columns, and returns one number. Twins beyond two are left out first.
     """
     import numpy as np
     import pandas as pd
 
-    from textloom.operators.similarity import block_pairs
-
-    names = running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n")
+    small = settle(without_twins(dist))
+    names = running(small.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n")
     names = settle(names.select("id", (F.col("n") - 1).cast("int").alias("n")))
     numbered = salted_join(
-        salted_join(dist, names.select(F.col("id").alias("src"), F.col("n").alias("a")), ["src"]),
+        salted_join(small, names.select(F.col("id").alias("src"), F.col("n").alias("a")), ["src"]),
         names.select(F.col("id").alias("dst"), F.col("n").alias("b")), ["dst"],
-    ).select("a", "b", F.col("d").cast("double").alias("d"))
-    numbered = settle(numbered)
-    rows = numbered.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda p: p["d"]).alias("row"))
-    rows = settle(rows)
-    pairs = numbered.where("a < b")
-    full = salted_join(
-        salted_join(pairs, rows.select("a", F.col("row").alias("ra")), ["a"]),
-        rows.select(F.col("a").alias("b"), F.col("row").alias("rb")), ["b"],
-    ).select(F.xxhash64("a", "b").alias("id"), "a", "b", "d", "ra", "rb")
-    full = settle(full)
-    slim = full.select("id", "a", "b", "d")
-
-    def best(x, y):
-        ra, rb = np.stack(x["ra"].to_numpy()), np.stack(x["rb"].to_numpy())
-        c, d = y["a"].to_numpy(), y["b"].to_numpy()
-        side = np.maximum(ra[:, c] + rb[:, d], ra[:, d] + rb[:, c])
-        gap = x["d"].to_numpy()[:, None] + y["d"].to_numpy()[None, :] - side
-        a, b = x["a"].to_numpy()[:, None], x["b"].to_numpy()[:, None]
-        shared = (a == c) | (a == d) | (b == c) | (b == d)
-        gap[shared] = 0.0
-        return pd.DataFrame({"gap": [float(gap.max())]})
-
-    found, spent = 0.0, 0
-    levels = [r["d"] for r in slim.select("d").distinct().orderBy(F.desc("d")).collect()]
-    for level in levels:
+    ).select(F.expr(f"a div {tile}").cast("int").alias("x"), F.expr(f"b div {tile}").cast("int").alias("y"),
+             F.expr(f"a % {tile}").alias("a"), F.expr(f"b % {tile}").alias("b"), F.col("d").cast("int").alias("d"))
+
+    def pack(key, frame):
+        cells = np.zeros((tile, tile), np.int16)
+        cells[frame["a"].to_numpy(), frame["b"].to_numpy()] = frame["d"].to_numpy()
+        return pd.DataFrame({"x": [key[0]], "y": [key[1]], "cells": [cells.tobytes()], "most": [int(cells.max())]})
+
+    tiles = settle(numbered.groupBy("x", "y").applyInPandas(pack, "x int, y int, cells binary, most int"))
+    roles = {"ab": ("i", "j"), "cd": ("k", "l"), "ac": ("i", "k"), "bd": ("j", "l"), "ad": ("i", "l"), "bc": ("j", "k")}
+    upper = tiles.where("x <= y")
+
+    def best(level):
+        def meet(key, frame):
+            at = {r: np.frombuffer(c, np.int16).reshape(tile, tile) for r, c in zip(frame["role"], frame["cells"])}
+            a, b = np.nonzero(np.triu(at["ab"], 1) == level if key[0] == key[1] else at["ab"] == level)
+            c, d = np.nonzero(np.triu(at["cd"], 1) >= level if key[2] == key[3] else at["cd"] >= level)
+            far, top, step = at["cd"][c, d], 0, max(1, 4_000_000 // max(len(c), 1))
+            for lo in range(0, len(a) if len(c) else 0, step):
+                p, q = a[lo : lo + step, None], b[lo : lo + step, None]
+                side = np.maximum(at["ac"][p, c] + at["bd"][q, d], at["ad"][p, d] + at["bc"][q, c])
+                top = max(top, int((level + far[None, :] - side).max()))
+            return pd.DataFrame({"gap": [top]})
+
+        open_ = upper.where(F.col("most") >= level)
+        one = open_.select(F.col("x").alias("i"), F.col("y").alias("j"))
+        # every pair of tiles that hold pairs so far apart; a level's own pairs stand on the first side
+        spots = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("l", F.explode(F.sequence(F.col("k"), F.lit(grid - 1))))
+        spots = settle(spots.join(open_.select(F.col("x").alias("k"), F.col("y").alias("l")), ["k", "l"], "left_semi"))
+        parts = [
+            spots.join(tiles.select(F.col("x").alias(m), F.col("y").alias(n), "cells"), [m, n]).select("i", "j", "k", "l", F.lit(role).alias("role"), "cells")
+            for role, (m, n) in roles.items()
+        ]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole.groupBy("i", "j", "k", "l").applyInPandas(meet, "gap int").agg(F.max("gap")).first()[0] or 0
+
+    found, spent = 0, 0
+    state = tiles.agg(F.max("most"), F.max("x")).first()
+    widest, grid = state[0] or 0, (state[1] or 0) + 1
+    for level in range(widest, 0, -1):
         if level <= found:
             break
-        near, far = full.where(F.col("d") == level), slim.where(F.col("d") >= level)
-        tops = block_pairs(near, far, best, "gap double", block_count(near, block_rows), block_count(far, 16 * block_rows))
-        found = max(found, tops.agg(F.max("gap")).first()[0] or 0.0)
+        found = max(found, best(level))
         spent += 1
     return dist.agg(
         F.lit(found / 2).alias("delta"), F.lit(float(spent)).alias("levels"), F.max("d").alias("diameter"),
@@ -590,44 +746,56 @@ def embedding_loss(samples: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def heat_kernel(dist: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """Affinity exp(-gamma d / std) with the population deviation of the full table."""
+    """Affinity exp(-gamma d / std) with the population deviation of the table, which may hold the
+    distances of some sources only."""
     spread = dist.agg(F.stddev_pop("d")).first()[0]
     return dist.select("src", "dst", F.exp(-gamma * F.col("d") / F.lit(spread)).alias("affinity"))
 
 
-def spectral_clusters(dist: DataFrame, k: int = 10, gamma: float = 1.0, rounds: int = 20) -> DataFrame:
-    """(id, cluster) by power iteration on the heat-kernel affinities."""
-    from pyspark.ml.clustering import PowerIterationClustering
+def landmarks(edges: DataFrame, count: int) -> DataFrame:
+    """The ``count`` vertices whose ids have the smallest MD5."""
+    return settle(vertices(edges).orderBy(F.md5(F.col("id").cast("string")), "id").limit(count))
 
-    names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
-    pairs = heat_kernel(dist, gamma).where("src < dst")
-    pairs = salted_join(pairs, names.select(F.col("id").alias("src"), F.col("n").alias("a")), ["src"])
-    pairs = salted_join(pairs, names.select(F.col("id").alias("dst"), F.col("n").alias("b")), ["dst"])
-    model = PowerIterationClustering(k=k, maxIter=rounds, srcCol="a", dstCol="b", weightCol="affinity", initMode="degree")
-    found = model.assignClusters(settle(pairs.select("a", "b", "affinity")))
-    return names.join(found.select(F.col("id").alias("n"), "cluster"), "n").select("id", "cluster")
 
+def apart(points: list[list[float]], k: int) -> list[int]:
+    """Numbers of k points: the first, then always one farthest from those taken, the earliest in ties."""
+    taken = [0] if points else []
+    near = [math.inf] * len(points)
+    while len(taken) < min(k, len(points)):
+        last = points[taken[-1]]
+        near = [min(n, round(sum((x - y) ** 2 for x, y in zip(p, last)), 9)) for n, p in zip(near, points)]
+        taken.append(max(range(len(points)), key=lambda i: (near[i], -i)))
+    return taken
 
-def distance_pca(dist: DataFrame, k: int = 3) -> DataFrame:
-    """Principal components of minus cosh(D / max D): (id, coordinates).
 
-    One vector per vertex with an entry per vertex, as the distance matrix itself; the
-    library's limit of 65,535 features applies.
+def spectral_clusters(edges: DataFrame, k: int = 10, marks: int = 64, dims: int | None = None, gamma: float = 1.0, rounds: int = 30,
+                      steps: int = 20, start: Callable[[Column, int], Column] = axes.hashed_start) -> DataFrame:
+    """(id, cluster): spectral clusters of a connected graph from its distances to some landmarks.
+
+    Heat-kernel affinities to ``marks`` landmarks give every vertex ``dims`` spectral coordinates, and Lloyd steps
+    from the points of k landmarks far apart the clusters. Nothing grows faster than vertices times landmarks.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    chosen = landmarks(edges, max(marks, k))
+    near = heat_kernel(settle(distances(edges, chosen)), gamma)
+    affinity = near.select(F.col("dst").alias("id"), F.col("src").alias("landmark"), "affinity")
+    points = settle(axes.landmark_embedding(affinity, dims or k, rounds, start))
+    order = [F.md5(F.col("id").cast("string")), F.col("id")]
+    held = [r["point"] for r in points.join(fit_broadcast(chosen), "id").orderBy(*order).collect()]  # a point per landmark
+    first = edges.sparkSession.createDataFrame(
+        list(enumerate(held[i] for i in apart(held, k))), "cluster_id int, centre array<double>"
+    )
+    found = kmeans_from(points, "id", "point", first, steps)
+    return found.select("id", F.col("cluster_id").alias("cluster"))
+
 
+def distance_pca(dist: DataFrame, k: int = 3, rounds: int = 30, start: Callable[[Column, int], Column] = axes.hashed_start) -> DataFrame:
+    """Principal components of minus cosh(D / max D): (id, point), a vertex's entry on each of the k axes.
+
+    The matrix stays a table of distances and the axes a table of vertices, whatever their number.
+    """
     top = dist.agg(F.max("d")).first()[0]
-    names = settle(running(dist.select(F.col("src").alias("id")).distinct(), [], ["id"], position="n"))
-    value = F.struct("dst", (-F.cosh(F.col("d") / F.lit(float(top)))).alias("h"))
-    rows = dist.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(value)), lambda p: p["h"]).alias("row"))
-    matrix = settle(rows.select("src", "row")).select("src", array_to_vector("row").alias("row"))
-    model = PCA(k=k, inputCol="row", outputCol="out").fit(matrix)
-    parts = model.pc.toArray()  # vertices by k, in name order
-    table = names.sparkSession.createDataFrame(
-        [(i + 1, [float(x) for x in r]) for i, r in enumerate(parts)], "n long, point array<double>"
-    )
-    return names.join(table, "n").select("id", "point")
+    cells = dist.select(F.col("src").alias("row"), F.col("dst").alias("col"), (-F.cosh(F.col("d") / F.lit(float(top or 1)))).alias("value"))
+    return axes.principal_axes(cells, k, rounds, start=start).select(F.col("col").alias("id"), F.col("axis").alias("point"))
 
 
 def near_set(dist: DataFrame, quantile: float | None = 0.05, below: float | None = None) -> DataFrame:

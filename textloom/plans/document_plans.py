@@ -40,9 +40,64 @@ def _chunked(t, size, overlap):
     return chunks.chunk_rows(t.documents.select(name.alias("name"), "text", "lang"), "name", "text", size, overlap)
 
 
-@plan("D02_recursive_chunks")
+BLANK = r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]"
+
+
+def chunk_sql(size, overlap):
+    """The separator recursion as steps over cut places; the last table is chunks (doc_id, s, e), before trimming.
+
+    A span of ``size`` characters or more is cut at the next finer separator. The others, between two such spans of
+    one parent, are a run. From every possible start of a chunk the place after it and the next start
+    follow by two nearest-place joins, and a recursive walk takes those that are reached from the run's first.
+    """
+
+    def spans(level, nodes, cuts):
+        return (
+            f"m{level} AS (SELECT doc_id, lo AS node, hi AS top, lo FROM {nodes} UNION "
+            f"SELECT doc_id, lo, hi, i FROM {nodes} JOIN {cuts} USING (doc_id) WHERE i > lo AND i < hi), "
+            f"s{level} AS (SELECT doc_id, node, lo, lead(lo, 1, top) OVER w AS hi FROM m{level} WINDOW w AS (PARTITION BY doc_id, node ORDER BY lo)), "
+            f"f{level} AS (SELECT *, hi - lo >= {size} AS big FROM s{level}), "
+            f"r{level} AS (SELECT doc_id, {level} AS level, node, sum(CAST(big AS INTEGER)) OVER (PARTITION BY doc_id, node ORDER BY lo) AS part, lo, hi, big FROM f{level})"
+        )
+
+    return rf"""
+    d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+    c AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS c FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM d)),
+    breaks AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c WHERE c = chr(10)),
+    pairs AS (SELECT doc_id, i, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY doc_id, g) AS m FROM breaks WINDOW w AS (PARTITION BY doc_id, g ORDER BY i)),
+    c0 AS (SELECT doc_id, i FROM pairs WHERE k % 2 = 0 AND k + 1 < m),
+    c1 AS (SELECT doc_id, i FROM breaks), c2 AS (SELECT doc_id, i FROM c WHERE c = ' '), c3 AS (SELECT doc_id, i FROM c),
+    n0 AS (SELECT doc_id, 0 AS lo, n AS hi FROM d),
+    {spans(0, 'n0', 'c0')}, n1 AS (SELECT doc_id, lo, hi FROM f0 WHERE big),
+    {spans(1, 'n1', 'c1')}, n2 AS (SELECT doc_id, lo, hi FROM f1 WHERE big),
+    {spans(2, 'n2', 'c2')}, n3 AS (SELECT doc_id, lo, hi FROM f2 WHERE big),
+    {spans(3, 'n3', 'c3')},
+    runs AS (SELECT doc_id, level || '/' || node || '/' || part AS run, lo, hi FROM
+             (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) WHERE NOT big),
+    ends AS (SELECT doc_id, run, min(lo) AS first, max(hi) AS top FROM runs GROUP BY 1, 2),
+    over AS (SELECT a.doc_id, a.run, a.lo AS s, b.lo AS e, greatest(b.lo - {overlap}, b.hi - {size}) AS least
+             FROM runs a ASOF JOIN runs b ON a.doc_id = b.doc_id AND a.run = b.run AND a.lo + {size} < b.hi WHERE b.lo > a.lo),
+    steps AS (SELECT o.doc_id, o.run, o.s, o.e, least(b.lo, o.e) AS next FROM over o ASOF JOIN runs b ON o.doc_id = b.doc_id AND o.run = b.run AND o.least <= b.lo),
+    walk AS (SELECT doc_id, run, first AS s FROM ends
+             UNION ALL SELECT w.doc_id, w.run, t.next FROM walk w JOIN steps t ON t.doc_id = w.doc_id AND t.run = w.run AND t.s = w.s),
+    chunks AS (SELECT w.doc_id, w.s, coalesce(t.e, top) AS e FROM walk w JOIN ends USING (doc_id, run)
+               LEFT JOIN steps t ON t.doc_id = w.doc_id AND t.run = w.run AND t.s = w.s)"""
+
+
+@plan(
+    "D02_recursive_chunks",
+    rf"""
+    WITH RECURSIVE {chunk_sql(512, 128)},
+    pieces AS (SELECT doc_id, s, substr(text, s + 1, e - s) AS piece FROM chunks JOIN d USING (doc_id)),
+    trimmed AS (SELECT doc_id, s + length(piece) - length(regexp_replace(piece, '^{BLANK}+', '')) AS b,
+                       regexp_replace(regexp_replace(piece, '^{BLANK}+', ''), '{BLANK}+$', '') AS chunk FROM pieces)
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS chunkno,
+           CAST(b AS INTEGER) AS start, CAST(b + length(chunk) AS INTEGER) AS "end", md5(chunk) AS digest
+    FROM trimmed WHERE chunk <> ''
+    """,
+)
 def recursive_chunks(t):
-    return _chunked(t, 512, 128).select("name", "chunkno", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
+    return _chunked(t, 512, 128).select("name", "chunkno", "start", "end", F.md5("chunk").alias("digest"))
 
 
 SOLID_SQL = r"CAST(length(regexp_replace(text, '[\p{Z}\x09-\x0d\x1c-\x1f\x85]', '', 'g')) AS BIGINT)"

@@ -373,10 +373,61 @@ def text_encoder(t):
     return rows.select("doc_id", *[F.col("embedding")[i].alias(f"v_{v}") for i, v in enumerate("aeiou")])
 
 
-@plan("M14_projection")
+def power_sql(cells, k, rounds, start, centred=True):
+    """Block power iteration over ``cells`` (row, col, value), step by step; the last columns are pq{rounds} (col, v0, ...)."""
+    each = range(k)
+
+    def orthonormal(name, source):
+        """Gram and Schmidt column by column."""
+        parts, at = [], source
+        for i in each:
+            minus = "".join(f" - p{j} * v{j}" for j in range(i))
+            dots = ", ".join(f"sum(w{i} * v{j}) AS p{j}" for j in range(i))
+            head = f"SELECT * FROM {at}, (SELECT {dots} FROM {at})" if i else f"SELECT * FROM {at}"
+            keep = ", ".join(["col", *[f"v{j}" for j in range(i)], *[f"w{j}" for j in range(i + 1, k)]])
+            step = f"{name}_{i}" if i < k - 1 else name
+            parts.append(
+                f"{name}t{i} AS (SELECT {keep}, w{i}{minus} AS x FROM ({head}))",
+            )
+            parts.append(f"{step} AS (SELECT {keep}, x / (SELECT sqrt(sum(x * x)) FROM {name}t{i}) AS v{i} FROM {name}t{i})")
+            at = step
+        return parts
+
+    mean = "pm AS (SELECT col, sum(value) / (SELECT count(DISTINCT row) FROM {c}) AS mean FROM {c} GROUP BY 1)".format(c=cells)
+    parts = [mean, f"pw0 AS (SELECT col, {', '.join(f'{start(i)} AS w{i}' for i in each)} FROM pm)", *orthonormal("pq0", "pw0")]
+    for r in range(rounds):
+        less = lambda text: text if centred else "0"
+        shift = less(f"(SELECT sum(mean * v{{i}}) FROM pm JOIN pq{r} USING (col))")
+        whole = less(f"(SELECT sum(y{{i}}) FROM py{r})")
+        parts += [
+            f"py{r} AS (SELECT row, {', '.join(f'sum(value * v{i}) - {shift.format(i=i)} AS y{i}' for i in each)} FROM {cells} JOIN pq{r} USING (col) GROUP BY 1)",
+            f"pw{r + 1} AS (SELECT col, {', '.join(f's{i} - mean * {whole.format(i=i)} AS w{i}' for i in each)} FROM pm JOIN "
+            f"(SELECT col, {', '.join(f'sum(value * y{i}) AS s{i}' for i in each)} FROM {cells} JOIN py{r} USING (row) GROUP BY 1) USING (col))",
+            *orthonormal(f"pq{r + 1}", f"pw{r + 1}"),
+        ]
+    top = lambda i: f"(SELECT arg_max(v{i}, {{'a': round(abs(v{i}), 9), 'r': -rk}}) FROM (SELECT *, row_number() OVER (ORDER BY col) AS rk FROM pq{rounds}))"
+    parts.append(f"axes AS (SELECT col, {', '.join(f'CASE WHEN {top(i)} < 0 THEN -v{i} ELSE v{i} END AS v{i}' for i in each)} FROM pq{rounds})")
+    return ", ".join(parts)
+
+
+def counted_start(key, i):
+    """First axis entries from a column's number."""
+    return ((key * (3 + 2 * i) + 1) % 7 - 3) / F.lit(7.0)
+
+
+@plan(
+    "M14_projection",
+    f"""
+    WITH cells AS (SELECT vec_id AS row, unnest(range(64)) AS col, unnest(embedding)::DOUBLE AS value FROM embeddings),
+    {power_sql("cells", 2, 3, lambda i: f"((col * {3 + 2 * i} + 1) % 7 - 3) / 7.0::DOUBLE")},
+    p AS (SELECT row, sum(value * v0) AS x, sum(value * v1) AS y FROM cells JOIN axes USING (col) GROUP BY 1)
+    SELECT row AS vec_id, round(x - (SELECT avg(x) FROM p), 6) AS x, round(y - (SELECT avg(y) FROM p), 6) AS y FROM p
+    """,
+)
 def projection(t):
-    rows = features.project(features.vectors_from_arrays(t.embeddings, "embedding"), "features", 2)
-    return rows.select("vec_id", F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
+    """Three rounds from stated axes."""
+    rows = features.project(t.embeddings, "vec_id", "embedding", 2, 3, counted_start)
+    return rows.select("vec_id", *[F.round(F.col("projection")[i], 6).alias(n) for i, n in enumerate("xy")])
 
 
 @plan(
@@ -387,9 +438,12 @@ def projection(t):
     ),
 )
 def parameter_sweep(t):
-    rows = settle(t.embeddings.select("vec_id", "embedding"))
-    grid = [({"k": k}, lambda df, k=k: lloyd(df, k, 2)) for k in (5, 10, 20)]
-    return features.sweep(rows, grid)
+    """Three numbers of clusters, from the first vectors, stepped together."""
+    rows = t.embeddings.select("vec_id", "embedding")
+    sets = F.array(*[F.struct(F.lit(f"[('k', {k})]").alias("params"), F.lit(k).alias("k")) for k in (5, 10, 20)])
+    first = rows.where("vec_id < 20").select("vec_id", F.col("embedding").cast("array<double>").alias("centre"), F.explode(sets).alias("s"))
+    starts = first.where(F.col("vec_id") < F.col("s.k")).select("s.params", F.col("vec_id").cast("int").alias("cluster_id"), "centre")
+    return features.sweep(rows, "vec_id", "embedding", starts, 2)
 
 
 @plan(
@@ -599,11 +653,38 @@ def item_map(t):
     return encode_each(t.documents.select("doc_id", "text"), "text", checked_length, "chars", "int").drop("text")
 
 
+HOT = "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END"
+
+
 @plan(
     "L05_group_function",
-    "SELECT l_suppkey, count(*) AS n, max(l_quantity) AS top FROM lineitem GROUP BY 1",
+    f"""
+    SELECT {HOT} AS supplier, count(*) AS n, CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE) AS median,
+           count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1
+    """,
 )
 def group_function(t):
+    """The median price and the number of parts of every supplier; a third of all rows share one key."""
+    def describe(key, size, frames):
+        middle, at, parts = [], 0, set()
+        for frame in frames:
+            for place in ((size - 1) // 2, size // 2):
+                if at <= place < at + len(frame):
+                    middle.append(float(frame["l_extendedprice"].iloc[place - at]))
+            at += len(frame)
+            parts.update(frame["l_partkey"].tolist())
+        yield pd.DataFrame({"supplier": [key[0]], "n": [size], "median": [sum(middle) / 2], "parts": [len(parts)]})
+
+    rows = t.lineitem.select(F.expr(HOT).alias("supplier"), "l_extendedprice", "l_partkey")
+    found = features.group_stream(rows, ["supplier"], ["l_extendedprice", "l_partkey"], describe, "supplier long, n long, median double, parts long")
+    return found
+
+
+@plan(
+    "L05_mergeable_function",
+    "SELECT l_suppkey, count(*) AS n, max(l_quantity) AS top FROM lineitem GROUP BY 1",
+)
+def mergeable_function(t):
     def summary(frame):
         return pd.DataFrame({"l_suppkey": frame["l_suppkey"].iloc[:1], "n": [len(frame)], "top": [frame["l_quantity"].max()]})
 

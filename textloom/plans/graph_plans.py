@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import graphs
+from textloom.plans.feature_plans import power_sql
 from textloom.plans.registry import plan
 from textloom.scale import best_per_group, running, salted_join, settle
 
@@ -329,6 +330,19 @@ def hyperbolicity(t):
     return graphs.hyperbolicity(settle(graphs.distances(profile(t)))).select("delta", "diameter", "n")
 
 
+@plan(
+    "G14_places_hyperbolicity",
+    f"""
+    WITH RECURSIVE {PLACES_SQL}, {distance_sql('pe')}, {DELTA_SQL},
+    {distance_sql('se', 'wide').replace('dbw', 'wbw').replace('walk', 'stroll')}
+    SELECT CAST(delta AS DOUBLE) AS delta, (SELECT max(d) FROM wide) AS diameter, (SELECT count(DISTINCT src) FROM wide) AS n FROM delta
+    """,
+)
+def places_hyperbolicity(t):
+    """All places: the suppliers hang on one nation each and change no gap, so SQL may look at the others alone."""
+    return graphs.hyperbolicity(settle(graphs.distances(places(t)))).select("delta", "diameter", "n")
+
+
 @plan(
     "G14_sampled_hyperbolicity",
     f"""
@@ -409,20 +423,42 @@ def embedding_loss(t):
     return out.select("anchor", F.round("loss", 5).alias("loss"))
 
 
-@plan("G18_distance_pca")
-def distance_pca(t):
-    return graphs.distance_pca(settle(graphs.distances(profile(t))), 3)
+def named_start(key, i):
+    """First axis entries from the length and the first character of a name."""
+    return ((F.length(key) + F.ascii(key)) * (3 + 2 * i) % 11 - 5) / F.lit(11.0)
+
+
+def named_start_sql(i):
+    return f"((length(col) + ascii(col)) * {3 + 2 * i} % 11 - 5) / 11.0::DOUBLE"
 
 
 @plan(
-    "G19_heat_kernel",
+    "G18_distance_pca",
     f"""
-    WITH RECURSIVE {PROFILE_SQL}, {distance_sql('pe')}
-    SELECT src, dst, round(exp(-d / (SELECT stddev_pop(d) FROM dist)), 6) AS affinity FROM dist
+    WITH RECURSIVE {PROFILE_SQL}, {distance_sql('pe')},
+    cells AS (SELECT src AS row, dst AS col, -cosh(d / (SELECT max(d) FROM dist)) AS value FROM dist),
+    {power_sql("cells", 3, 3, named_start_sql)}
+    SELECT col AS id, round(v0, 5) AS x, round(v1, 5) AS y, round(v2, 5) AS z FROM axes
     """,
 )
+def distance_pca(t):
+    """Three rounds from stated axes."""
+    found = graphs.distance_pca(settle(graphs.distances(profile(t))), 3, 3, named_start)
+    return found.select("id", *[F.round(F.col("point")[i], 5).alias(n) for i, n in enumerate("xyz")])
+
+
+MARKS = 8
+MARKS_SQL = f"""
+    marks AS (SELECT id FROM (SELECT src AS id FROM se UNION SELECT dst FROM se) ORDER BY md5(id), id LIMIT {MARKS}),
+    {distance_sql("se").replace("SELECT DISTINCT src, src, 0 FROM dbw", "SELECT id, id, 0 FROM marks")},
+    heat AS (SELECT src, dst, exp(-d / (SELECT stddev_pop(d) FROM dist)) AS affinity FROM dist)"""
+
+
+@plan("G19_heat_kernel", f"WITH RECURSIVE {PLACES_SQL}, {MARKS_SQL} SELECT src, dst, round(affinity, 6) AS affinity FROM heat")
 def heat_kernel(t):
-    out = graphs.heat_kernel(settle(graphs.distances(profile(t))))
+    """Affinities of all places to a few of them."""
+    edges = places(t)
+    out = graphs.heat_kernel(settle(graphs.distances(edges, graphs.landmarks(edges, MARKS))))
     return out.select("src", "dst", F.round("affinity", 6).alias("affinity"))
 
 
@@ -441,9 +477,52 @@ def near_set(t):
     return near.unionByName(graphs.near_set(dist, below=2).withColumn("kind", F.lit("bound")))
 
 
-@plan("M15_spectral_clusters")
+def point_lloyd_sql(dims, k, rounds):
+    """Lloyd steps over pt (id, p0, ...) from the points of landmarks far apart; the last is ka{rounds}."""
+    each = range(dims)
+    away = "round(" + " + ".join(f"(pt.p{i} - c.m{i}) * (pt.p{i} - c.m{i})" for i in each) + ", 9)"
+    gap = "round(" + " + ".join(f"(l.p{i} - c.p{i}) * (l.p{i} - c.p{i})" for i in each) + ", 9)"
+    parts = [
+        f"lm AS (SELECT row_number() OVER (ORDER BY md5(id), id) AS n, {', '.join(f'p{i}' for i in each)} FROM pt JOIN marks USING (id))",
+        "ch0 AS (SELECT 1::BIGINT AS n, 0 AS cl)",
+    ]
+    for j in range(1, k):
+        parts.append(
+            f"ch{j} AS (SELECT * FROM ch{j - 1} UNION ALL SELECT arg_max(n, {{'d': m, 'n': -n}}), {j} FROM "
+            f"(SELECT l.n, min({gap}) AS m FROM lm l, lm c JOIN ch{j - 1} h ON h.n = c.n GROUP BY 1))"
+        )
+    parts.append(f"kc0 AS (SELECT cl, {', '.join(f'p{i} AS m{i}' for i in each)} FROM ch{k - 1} JOIN lm USING (n))")
+    for r in range(rounds + 1):
+        parts.append(f"ka{r} AS (SELECT pt.id, arg_min(c.cl, {{'d': {away}, 'c': c.cl}}) AS cl FROM pt, kc{r} c GROUP BY 1)")
+        if r < rounds:
+            parts.append(
+                f"kc{r + 1} AS (SELECT cl, {', '.join(f'coalesce(n{i}, m{i}) AS m{i}' for i in each)} FROM kc{r} LEFT JOIN "
+                f"(SELECT cl, {', '.join(f'avg(p{i}) AS n{i}' for i in each)} FROM ka{r} JOIN pt USING (id) GROUP BY 1) USING (cl))"
+            )
+    return ", ".join(parts)
+
+
+@plan(
+    "M15_spectral_clusters",
+    f"""
+    WITH RECURSIVE {PLACES_SQL}, {MARKS_SQL},
+    z AS (SELECT dst AS row, src AS col, affinity / sum(affinity) OVER (PARTITION BY dst) AS z FROM heat),
+    cells AS (SELECT row, col, z / sqrt(sum(z) OVER (PARTITION BY col)) AS value FROM z),
+    {power_sql("cells", 3, 3, named_start_sql, centred=False)},
+    pt AS (SELECT row AS id, sum(value * v0) AS p0, sum(value * v1) AS p1, sum(value * v2) AS p2 FROM cells JOIN axes USING (col) GROUP BY 1),
+    {point_lloyd_sql(3, 4, 2)}
+    SELECT id, cl AS cluster FROM ka2
+    """,
+)
 def spectral_clusters(t):
-    return graphs.spectral_clusters(settle(graphs.distances(profile(t))), 5)
+    """Clusters of all places from a few landmarks, three rounds of axes and two of centres."""
+    return graphs.spectral_clusters(places(t), 4, MARKS, 3, rounds=3, steps=2, start=named_start)
+
+
+@plan("M15_trade_clusters")
+def trade_clusters(t):
+    """Clusters of the suppliers and parts, whose graph is too large for all pairs."""
+    return graphs.spectral_clusters(settle(graphs.undirected(trade(t))), 5, 16, 4, rounds=10, steps=5)
 
 
 @plan(

@@ -127,7 +127,25 @@ def dense_approximate(t):
     )
 
 
-@plan("R02_chunk_search_whole")
+def letters_sql(column):
+    shares = ", ".join(f"(length(lower({column})) - length(replace(lower({column}), '{c}', ''))) / greatest(length({column}), 1)" for c in "etaonihsrl")
+    return f"[1e-3::DOUBLE, {shares}]"
+
+
+def chunk_search_sql():
+    from textloom.plans.document_plans import BLANK, chunk_sql
+
+    return rf"""
+    WITH RECURSIVE {chunk_sql(1024, 0)},
+    trimmed AS (SELECT doc_id, regexp_replace(regexp_replace(substr(text, s + 1, e - s), '^{BLANK}+', ''), '{BLANK}+$', '') AS chunk FROM chunks JOIN d USING (doc_id)),
+    coded AS (SELECT DISTINCT sha1('d' || doc_id || '/' || chunk) AS id, doc_id % 50 = 0 AS asked, {letters_sql('chunk')} AS v FROM trimmed WHERE chunk <> ''),
+    scored AS (SELECT q.id AS query, x.id AS doc, round(list_cosine_similarity(q.v, x.v), 9) AS score FROM coded q, coded x WHERE q.asked),
+    r AS ({top_sql('scored', 10)})
+    SELECT query, doc, round(score, 6) AS score, rank FROM r
+    """
+
+
+@plan("R02_chunk_search_whole", chunk_search_sql())
 def chunk_search_whole(t):
     """The chunks of every 50th document searched among the chunks of all documents, ten each.
 

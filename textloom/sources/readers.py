@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.scale import salted_join, settle
+
 CSV_OPTIONS = {
     "header": "true",
     "multiLine": "true",
@@ -88,25 +90,36 @@ def file_part(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(file_path(), pattern, group)
 
 
-def csv_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> dict[str, list[str]]:
-    """Header line to the files that start with it. One entry per file reaches the driver,
-    like any file listing."""
+HEAD_SETTINGS = ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+
+
+def csv_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """(path, head): the first line of every file, as a table.
+
+    Each file, or part of a large one, is a scan partition of its own, and a task takes its first lines and stops, so
+    only the first bytes of the files are read.
+    """
     lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(folder)
-        .select(
-            file_path().alias("path"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("at"),
-            "value",
-        )
-        .where("start = 0")
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
+        .select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("head"))
     )
-    heads: dict[str, list[str]] = {}
-    for row in lines.groupBy("path").agg(F.min_by("value", "at").alias("head")).collect():
-        heads.setdefault(row["head"].lstrip("﻿").rstrip("\r"), []).append(row["path"])
-    return heads
+
+    def first_line(batches):
+        for batch in batches:
+            if batch.num_rows:
+                if batch.column(1)[0].as_py() == 0:
+                    yield batch.slice(0, 1).select([0, 2])
+                return
+
+    kept = {name: spark.conf.get(name) for name in HEAD_SETTINGS}
+    try:  # a split that costs as much to open as a partition may hold shares it with no other
+        for name in HEAD_SETTINGS:
+            spark.conf.set(name, kept["spark.sql.files.maxPartitionBytes"])
+        found = settle(lines.mapInArrow(first_line, "path string, head string"))
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    return found.select("path", F.regexp_replace("head", "^\ufeff|\\r+$", "").alias("head"))
 
 
 def load_csv_folder(
@@ -121,11 +134,11 @@ def load_csv_folder(
 ) -> DataFrame:
     """All CSV files of a folder, with a name taken from each path as a column.
 
-    With a schema the files are read in one scan; without one, files are grouped by their
-    header and each group is read on its own, then united by column name.
+    The files are read in one scan. Without a schema the columns are read by place, and each file's header, joined
+    by path, says which place holds which name; only the different headers reach the driver.
     """
 
-    def scan(paths, with_schema):
+    def scan(paths, with_schema, extra=()):
         return (
             spark.read.options(**CSV_OPTIONS)
             .option("multiLine", str(multi_line).lower())
@@ -134,22 +147,27 @@ def load_csv_folder(
             .option("ignoreCorruptFiles", str(skip_unreadable).lower())
             .schema(with_schema)
             .csv(paths)
-            .select("*", file_part(name_pattern).alias(name_column))
+            .select("*", file_part(name_pattern).alias(name_column), *extra)
         )
 
     if schema is not None:
         return scan(folder, schema)
-    parts = []
-    for head, paths in sorted(csv_headers(spark, folder, glob).items()):
-        names = next(csv.reader([head]))
-        fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        parts.append(scan(paths, fields))
-    if not parts:
+    headers = csv_headers(spark, folder, glob)
+    names = {r["head"]: next(csv.reader([r["head"]]), []) for r in headers.select("head").distinct().collect()}
+    if not names:
         return spark.createDataFrame([], T.StructType([T.StructField(name_column, T.StringType())]))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole
+    places = [f"_place_{i}" for i in range(max(map(len, names.values())))]
+    rows = scan(folder, T.StructType([T.StructField(p, T.StringType()) for p in places]), [file_path().alias("_path")])
+    rows = salted_join(rows, headers.select(F.col("path").alias("_path"), F.col("head").alias("_head")), ["_path"])
+    listed = list(dict.fromkeys(name for head in sorted(names) for name in names[head]))
+    columns = []
+    for name in listed:
+        value = F.lit(None).cast("string")
+        for head, held in names.items():
+            if name in held:
+                value = F.when(F.col("_head") == head, F.col(places[held.index(name)])).otherwise(value)
+        columns.append(value.alias(name))
+    return rows.select(*columns, name_column)
 
 
 SNAPSHOT_USER = r"([^/]+)_github_stars_[^/]*\.csv$"
