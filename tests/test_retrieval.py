@@ -147,6 +147,22 @@ def test_approximate_search_of_nothing(spark):
         assert found.count() == 0 and compared.count() == 0
 
 
+def test_candidate_cosines_both_ways(spark, monkeypatch):
+    docs, d = vectors(spark, 30)
+    asks, q = vectors(spark, 4, seed=1)
+    held = docs.select((F.col("id") % 10).alias("doc"), F.col("vec").alias("vector"))
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(10) if (a + b) % 3] + [(0, 1), (9, 1), (1, 99)], "query long, doc long")
+    asked = asks.select(F.col("id").alias("query"), F.col("vec").alias("vector"))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosines = np.round(unit(q) @ unit(d).T, 6)
+    want = sorted((a, b, float(cosines[a, i])) for a in range(4) for b in range(10) if (a + b) % 3 or (a, b) == (0, 1) for i in range(b, 30, 10))
+    for most in (retrieval.QUERY_VALUES, 0):
+        monkeypatch.setattr(retrieval, "QUERY_VALUES", most)
+        got = sorted(map(tuple, retrieval.candidate_cosines(pairs, held, asked).collect()))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+    assert retrieval.candidate_cosines(pairs, held, asked.limit(0)).count() == 0
+
+
 def test_chunks_of_whole_documents_are_searched(spark):
     from hashlib import sha1
 

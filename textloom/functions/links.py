@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,23 +87,32 @@ def note_path(path: Column) -> Column:
     )
 
 
-# Endings of bare host names that count as addresses.
+# Endings of bare host names that count as addresses, besides those of countries.
 HOST_ENDINGS = (
-    "com net org edu gov mil int info biz io ai co dev app me tv eu uk de fr es it nl be ch at pl se no dk fi "
-    "ru ua cz gr pt ie us ca mx br ar cl au nz jp cn kr in id sg hk tw za il tr"
+    "com net org edu gov mil aero asia biz cat coop info int jobs mobi museum name post pro tel travel xxx app dev "
+    "ac an cs dd eu ja su tp uk yu"
 ).split()
 
 
-def urls(text: Column, endings: Sequence[str] = HOST_ENDINGS) -> Column:
-    """Web addresses in order: those with http or https, www hosts, and bare hosts with a known ending.
+@lru_cache(maxsize=1)
+def country_endings() -> tuple[str, ...]:
+    """The two-letter codes of all countries, from the table that the Java runtime keeps of ISO 3166."""
+    codes = SparkContext._active_spark_context._jvm.java.util.Locale.getISOCountries()
+    return tuple(sorted(c.lower() for c in codes))
+
+
+def urls(text: Column, endings: Sequence[str] | None = None) -> Column:
+    """Web addresses in order: those with http or https, www hosts, and bare hosts with one of ``endings``,
+    by default ``HOST_ENDINGS`` and those of all countries.
 
     Round brackets belong to an address while they are balanced; signs that close a sentence do not.
     A host beside an @ is a mail address and no web address.
     """
+    known = [*HOST_ENDINGS, *country_endings()] if endings is None else endings
     plain = r"[^\s()<>{}\[\]\"'`«»“”‘’]"
     brackets = rf"\((?:{plain}++|\({plain}*+\))*+\)"
     rest = rf"(?:{plain}++|{brackets})*+"
-    host = rf"(?:[a-z0-9-]+\.)+(?:{'|'.join(endings)})(?![\w@-]|\.\w)"
+    host = rf"(?:[a-z0-9-]+\.)+(?:{'|'.join(known)})(?![\w@-]|\.\w)"
     www = r"www\d{0,3}(?:\.[a-z0-9-]+)+"
     found = F.regexp_extract_all(
         text, F.lit(rf"(?i)(?<![@\w.-])(https?://(?={plain}){rest}|(?:{www}|{host})(?!@)(?::\d+)?(?:[/?#]{rest})?)"), F.lit(1)

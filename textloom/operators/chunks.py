@@ -114,3 +114,14 @@ def chunk_arrays(df: DataFrame, name: str, text: str, size: int = 1024, overlap:
         F.transform(split_text(F.col(text), size, overlap), lambda c: c["chunk"]).alias("chunks"),
         *rest,
     )
+
+
+def chunks_stand(text: Column, chunks: Column) -> Column:
+    """Whether every chunk of a list stands at its offsets in the text, in one walk over both."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        stands = lambda t, found: all(t[c["start"] : c["end"]] == c["chunk"] for c in found)
+        return pd.Series([t is None or found is None or stands(t, found) for t, found in zip(texts, lists)])
+
+    return check(text, chunks)

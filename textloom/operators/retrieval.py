@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx, vectors
 from textloom.operators import inverted
-from textloom.operators.similarity import top_k
+from textloom.operators.similarity import _matrix, top_k
 from textloom.scale import (
     Salted, best_per_group, fits, running, salted_join, settle, top_per_group,
 )
@@ -131,15 +131,48 @@ def fuse(sparse: DataFrame, dense_run: DataFrame, alpha: float = 0.5, k: int = 1
     return cut(both.groupBy("query", "doc").agg(F.round(F.sum("part"), ROUND).alias("score")), k)
 
 
+PAIRS = 50_000  # pairs compared at once
+QUERY_VALUES = 4_000_000  # most numbers of the query vectors that go to every task
+
+
 def candidate_cosines(candidates: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """(query, doc, score) per candidate pair and vector of the document.
 
-    ``doc_vectors`` has one row (doc, vector) per chunk, ``query_vectors`` (query, vector).
+    ``doc_vectors`` has one row (doc, vector) per chunk, ``query_vectors`` (query, vector). While the query vectors hold at
+    most ``QUERY_VALUES`` numbers they go to every task as one matrix, and a document's vectors meet the
+    numbers of its queries; past that both kinds of vectors are joined to the pairs.
     """
-    asks = query_vectors.select("query", F.col("vector").alias("_q"))
-    pairs = salted_join(candidates.select("query", "doc").distinct(), asks, ["query"])
-    rows = salted_join(pairs, doc_vectors.select("doc", F.col("vector").alias("_d")), ["doc"])
-    return rows.select("query", "doc", F.round(vectors.cosine(F.col("_q"), F.col("_d")), ROUND).alias("score"))
+    pairs = candidates.select("query", "doc").distinct()
+    asks = settle(query_vectors.select("query", "vector"))
+    docs = doc_vectors.select("doc", F.col("vector").alias("_d"))
+    total = asks.agg(F.sum(F.size("vector"))).first()[0] or 0
+    if total > QUERY_VALUES:
+        met = salted_join(pairs, asks.withColumnRenamed("vector", "_q"), ["query"])
+        rows = salted_join(met, docs, ["doc"])
+        return rows.select("query", "doc", F.round(vectors.cosine(F.col("_q"), F.col("_d")), ROUND).alias("score"))
+    held = asks.orderBy("query").collect()
+    names = np.array([r["query"] for r in held], dtype=object)
+    shared = pairs.sparkSession.sparkContext.broadcast((names, _matrix([r["vector"] for r in held]) if held else np.zeros((0, 1))))
+    table = pairs.sparkSession.createDataFrame([(r["query"], i) for i, r in enumerate(held)], f"query {dict(asks.dtypes)['query']}, _n int")
+    placed = pairs.join(F.broadcast(table), "query").select("doc", "_n")  # a row per query vector
+    listed = placed.groupBy("doc").agg(F.collect_list("_n").alias("_asked"))  # at most all queries
+    rows = salted_join(docs, listed, ["doc"])
+    kinds = f"query {dict(asks.dtypes)['query']}, doc {dict(docs.dtypes)['doc']}, score double"
+
+    def compare(batches):
+        names, matrix = shared.value
+        for frame in batches:
+            if not len(frame):
+                continue
+            units = _matrix(frame["_d"])
+            sizes = frame["_asked"].map(len).to_numpy()
+            asked, row = np.concatenate(frame["_asked"].to_list()), np.repeat(np.arange(len(frame)), sizes)
+            for lo in range(0, len(row), PAIRS):
+                q, d = asked[lo : lo + PAIRS], row[lo : lo + PAIRS]
+                score = np.round(np.einsum("ij,ij->i", matrix[q], units[d]), ROUND)
+                yield pd.DataFrame({"query": names[q], "doc": frame["doc"].to_numpy()[d], "score": score})
+
+    return rows.mapInPandas(compare, kinds)
 
 
 def hybrid_sum(name_scores: DataFrame, chunk_scores: DataFrame, chunk_cosines: DataFrame, k: int = 10) -> DataFrame:

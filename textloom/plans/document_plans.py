@@ -140,9 +140,8 @@ def chunk_offsets(t):
     """Each chunk stands at its offsets, and the chunks hold every character that is no white space."""
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     listed = chunks.chunk_lists(t.documents.select(name.alias("name"), "text"), "text", 512, 0)
-    stands = lambda c: F.substr("text", c["start"] + 1, c["end"] - c["start"]) == c["chunk"]
     return listed.select(
-        "name", F.forall("chunks", stands).alias("found"),
+        "name", chunks.chunks_stand(F.col("text"), F.col("chunks")).alias("found"),
         F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + _solid(c["chunk"])).alias("solid"),
         F.least(F.size("chunks"), F.lit(1)).alias("any_chunk"),
     )

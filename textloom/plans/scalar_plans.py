@@ -277,7 +277,7 @@ def arxiv_id(t):
     WITH said AS (
         SELECT 'page' AS kind, page_id AS id, [url, 'www.site.org/p' || CAST(page_id AS VARCHAR), 'http://a.org/w_(b_(c))', 'foo.com',
             'Sub.Example.co.uk:80/x?y=1#z'] AS found FROM pages
-        UNION ALL SELECT 'document', doc_id, ['http://a.org/w_(' || CAST(doc_id AS VARCHAR) || ')', 'example.net'] FROM documents
+        UNION ALL SELECT 'document', doc_id, ['http://a.org/w_(' || CAST(doc_id AS VARCHAR) || ')', 'example.net', 'example.lt', 'shop.mobi/x'] FROM documents
     )
     SELECT kind, id, CAST(pos AS INTEGER) AS pos, url FROM (SELECT kind, id, unnest(range(len(found))) AS pos, unnest(found) AS url FROM said)
     """,
@@ -288,7 +288,7 @@ def url_extraction(t):
         F.lit("see "), "url", F.lit(" and (www.site.org/p"), number("page_id"),
         F.lit("), not a.b; <http://a.org/w_(b_(c))>. foo.com, me@foo.com, x@mail.site.org! 'Sub.Example.co.uk:80/x?y=1#z' http:// .com v1.2"),
     )
-    document = F.concat("text", F.lit("\n(http://a.org/w_("), number("doc_id"), F.lit(")) example.net."))
+    document = F.concat("text", F.lit("\n(http://a.org/w_("), number("doc_id"), F.lit(")) example.net, example.lt; shop.mobi/x. not.anending"))
     rows = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), page.alias("text")).unionByName(
         t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), document.alias("text"))
     )
