@@ -571,6 +571,28 @@ def test_forest_on_held_out_findings(spark):
     assert total == len(ss.FINDINGS) - 1 and wrong <= 0.2 * total  # one line has no candidate
 
 
+def test_labelled_rows_are_not_from_the_tables(spark):
+    """Telling values of the labelled rows occur in no document, so figures on the documents are held out."""
+    from textloom.llm import pii, secret_scan as ss
+
+    values = {v for line in ss.FINDINGS if line[0] == "1" for v in re.findall(r"[0-9A-Za-z]{24,}", line)}
+    values |= {v for _, v in re.findall(r"\[(email|ip|card|phone)\|([^\]]+)\]", pii.LABELLED)}
+    assert len(values) > 40
+    text = "\n".join(r.text or "" for sf in ("sf0.01", "sf0.1") for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").toLocalIterator())
+    assert not [v for v in values if v in text]
+
+
+def test_secret_scan_keeps_columns_of_any_name(spark):
+    from textloom.llm import secret_scan as ss
+
+    names = ["_features", "_row", "row", "kept", "_probability", "length", "Score", "place"]
+    line = 'the token = "e93b57c0418fda62b60d7e1f3395ac84d27f610b" of'
+    table = spark.createDataFrame([(1, line, *names)], "doc_id int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    row = ss.scan(table, "text").first()
+    assert row.secret and row.start == 13 and all(row[n] == n for n in names if n != "Score")
+    assert ss.candidates(table, "text").first()["Score"] == "Score"
+
+
 def test_secrets_of_the_documents(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = entry.queries()["op3_secret_forest"](spark, "/root/testdata/sf0.01").collect()

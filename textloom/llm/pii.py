@@ -30,11 +30,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 # The labelled table: [kind|span] marks personal data. Numbers that are none stand unmarked.
 LABELLED = """
-Write to [email|anna.smith@example.com] or call [phone|+1 (212) 555-0134] today.
+Write to [email|anna.smith@example.com] or call [phone|+1 (212) 555-0172] today.
 My address is [email|j.doe99@mail2.example.org], thanks.
 contact: [email|info@example.co.uk]
 Questions go to [email|first_last+tag@sub.example.net] please
-[email|und.34@mail7.example.com] in chein
+[email|rolf.81@mail4.example.com] is mine
 Schreib an [email|müller.42@mail1.example.de] oder ruf an.
 Escribe a [email|niña.07@mail3.example.es] hoy.
 The host [ip|192.168.10.24] did not answer.
@@ -42,25 +42,25 @@ Login from [ip|10.0.0.7], then from [ip|172.16.254.1].
 Server [ip|203.0.113.195] was reached from [ip|2001:db8:0:1:1:1:1:1] twice.
 client [ip|fe80:0:0:0:204:61ff:fe9d:f156] sent the request
 the [ip|8.8.4.4]!! reply
-on [ip|97.51.17.173] the
+on [ip|61.204.38.119] the
 She paid with [card|4556737586899855] last week.
 Card number [card|4111 1111 1111 1111], valid.
 card [card|5500-0000-0000-0004] expired
 conto [card|378282246310005] era
-the thand [card|9807915762804490] raie ntesllra
-osga [card|4699065906345690]. El llbo
-erthion, [card|9000426309966109]$$$ reanndin
-ouè le [card|4868701055796358]!! ré
+the old [card|7312480956113427] was blocked
+tarjeta [card|4917330284516673]. El banco
+number, [card|8250917364402918]$$$ please
+voilà le [card|4539027716648805]!! né
 und [card|6011000990139424] der die
 Reach me at [phone|+44 20 7946 0958] before noon.
 Rufen Sie [phone|+49 30 901820] an.
-Tel. [phone|(212) 555-0187] or [phone|(415) 555-2671].
+Tel. [phone|(212) 555-0187] or [phone|(415) 555-0193].
 Phone [phone|212-555-0199] any time.
 Call [phone|555-867-5309] now
 ring [phone|800-555-0123] or [phone|888-555-0145] for help
 Les ées [phone|+33 1 70 18 99 00] et la
-the [phone|+1 (076) 555-8046] Rebleea ha.
-oned [phone|+1 (803) 555-5351]%%% ed of
+the [phone|+1 (084) 555-0163] Marlene he.
+asked [phone|+1 (907) 555-0148]%%% or of
 This work is licensed under the GNU General Public License, version 3.
 Licensed under the Apache License, Version 2.0.
 Released under CC BY-NC 4.0.
@@ -70,8 +70,8 @@ It costs $19.99 or 20 euros, or 1000 in all.
 On 2024-05-17 at 10:30 the meeting began.
 The order 48213 has 12 items of 3 kg each.
 version 10.4.3 build 20231105 was released
-token = "5f367f08b1a810c7777ad785b0be42018bfcbf49" queou
-key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B!! tiinst
+token = "c41d9a27e8b35f60917ad2e4408bb36f5512ce7a" there
+key B7D4019F62EA8C35F1D0743A9E58C26B1F90A4D3!! keep
 sha 269b1cea0846965f2d3ecc05a4b7f2d1e0c9a8b7 done
 chapter 12 verse 3, then 14-16
 Windows 11 and Python 3.13 with 64 bit
