@@ -448,13 +448,17 @@ def distance_pca(t):
 
 
 MARKS = 8
-MARKS_SQL = f"""
-    marks AS (SELECT id FROM (SELECT src AS id FROM se UNION SELECT dst FROM se) ORDER BY md5(id), id LIMIT {MARKS}),
-    {distance_sql("se").replace("SELECT DISTINCT src, src, 0 FROM dbw", "SELECT id, id, 0 FROM marks")},
+
+
+def marks_sql(edges, count):
+    """Distances and affinities from the landmarks of an edge table."""
+    return f"""
+    marks AS (SELECT id FROM (SELECT src AS id FROM {edges} UNION SELECT dst FROM {edges}) ORDER BY md5(id), id LIMIT {count}),
+    {distance_sql(edges).replace("SELECT DISTINCT src, src, 0 FROM dbw", "SELECT id, id, 0 FROM marks")},
     heat AS (SELECT src, dst, exp(-d / (SELECT stddev_pop(d) FROM dist)) AS affinity FROM dist)"""
 
 
-@plan("G19_heat_kernel", f"WITH RECURSIVE {PLACES_SQL}, {MARKS_SQL} SELECT src, dst, round(affinity, 6) AS affinity FROM heat")
+@plan("G19_heat_kernel", f"WITH RECURSIVE {PLACES_SQL}, {marks_sql('se', MARKS)} SELECT src, dst, round(affinity, 6) AS affinity FROM heat")
 def heat_kernel(t):
     """Affinities of all places to a few of them."""
     edges = places(t)
@@ -502,27 +506,27 @@ def point_lloyd_sql(dims, k, rounds):
     return ", ".join(parts)
 
 
-@plan(
-    "M15_spectral_clusters",
-    f"""
-    WITH RECURSIVE {PLACES_SQL}, {MARKS_SQL},
+def spectral_sql(edges, k, count, dims, rounds, steps):
+    points = ", ".join(f"sum(value * v{i}) AS p{i}" for i in range(dims))
+    return f"""{marks_sql(edges, count)},
     z AS (SELECT dst AS row, src AS col, affinity / sum(affinity) OVER (PARTITION BY dst) AS z FROM heat),
     cells AS (SELECT row, col, z / sqrt(sum(z) OVER (PARTITION BY col)) AS value FROM z),
-    {power_sql("cells", 3, 3, named_start_sql, centred=False)},
-    pt AS (SELECT row AS id, sum(value * v0) AS p0, sum(value * v1) AS p1, sum(value * v2) AS p2 FROM cells JOIN axes USING (col) GROUP BY 1),
-    {point_lloyd_sql(3, 4, 2)}
-    SELECT id, cl AS cluster FROM ka2
-    """,
-)
+    {power_sql("cells", dims, rounds, named_start_sql, centred=False)},
+    pt AS (SELECT row AS id, {points} FROM cells JOIN axes USING (col) GROUP BY 1),
+    {point_lloyd_sql(dims, k, steps)}
+    SELECT id, cl AS cluster FROM ka{steps}"""
+
+
+@plan("M15_spectral_clusters", f"WITH RECURSIVE {PLACES_SQL}, {spectral_sql('se', 4, MARKS, 3, 3, 2)}")
 def spectral_clusters(t):
     """Clusters of all places from a few landmarks, three rounds of axes and two of centres."""
     return graphs.spectral_clusters(places(t), 4, MARKS, 3, rounds=3, steps=2, start=named_start)
 
 
-@plan("M15_trade_clusters")
+@plan("M15_trade_clusters", f"WITH RECURSIVE {TRADE_SQL}, {spectral_sql('e', 5, 16, 3, 3, 2)}")
 def trade_clusters(t):
     """Clusters of the suppliers and parts, whose graph is too large for all pairs."""
-    return graphs.spectral_clusters(settle(graphs.undirected(trade(t))), 5, 16, 4, rounds=10, steps=5)
+    return graphs.spectral_clusters(settle(graphs.undirected(trade(t))), 5, 16, 3, rounds=3, steps=2, start=named_start)
 
 
 @plan(
