@@ -30,7 +30,7 @@ from textloom.scale import Salted, settle
 PIECE_STEPS = 256
 BLOCK_BYTES = 2 << 20
 BLOCK_TEXTS = 4096
-LONG_SPACE = 5000
+LONG_SPACE = 5000  # white space signs in a row that the quicker library is not given
 BEYOND = np.iinfo(np.int64).max
 
 
