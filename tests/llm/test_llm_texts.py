@@ -144,21 +144,39 @@ def test_lines_of_recurring_templates_go(spark):
     rows = [
         (1, "Page 3 of 10 in the book\nOwn line of the first text here"),
         (2, "Page 77 of 120 in the book\nAnother line that is its own\nPage 4 of 9 in the book"),
-        (3, "user alice logged in from the main office today\nshort a"),
-        (4, "user alice logged in from the other office today\nshort a"),
+        (3, "user alice logged in from the main office today\nshort a\n17 3"),
+        (4, "user alice logged in from the other office today\nshort a\n18 4"),
         (5, "Own line of a fifth text\n\n  Own   line of the first text here "),
         (6, None), (7, ""), (8, "Own line of a fifth text\n\n  Own   line of the first text here "),
     ]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, at string")
     got = {r.doc_id: r for r in lt.drop_recurring(docs, "doc_id", "text", ("n", "gone")).collect()}
     assert got[1].text == rows[0][1] and got[2].text == "Another line that is its own"
-    assert got[3].text == rows[2][1] and got[4].text == "short a"  # eight of nine words agree
+    assert got[3].text == rows[2][1] and got[4].text == "18 4"  # eight of nine words agree
     # two copies of one text are one text: they keep the same lines
     assert got[5].text == got[8].text == "Own line of a fifth text\n"
     assert got[6].text is None and got[7].text == "" and got[2].gone == 2 and got[6].n == 0
     assert lt.drop_recurring(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_several_templates_of_a_leaf(spark):
+    """Templates of one leaf (eleven words, the same three in front) do not hide each other, whatever their sizes."""
+    from textloom.llm import line_templates as lt
+
+    kinds = [
+        ("This page was last edited on the old server by {}", 5), ("This page was printed from our archive in Rome by {}", 3),
+        ("This page was printed for our readers in Oslo by {}", 2), ("This page was {} moved without a note to the attic", 4),
+    ]
+    names = ["anna", "boris", "carla", "dmitri", "elena", "fahad", "gita", "hugo", "ines", "jan", "kemal", "lea", "mila", "nils"]
+    lines = [(kind, pattern) for kind, (pattern, n) in enumerate(kinds) for _ in range(n)]
+    rows = [(i, f"{pattern.format(names[i])}\nnumber {names[i]} has a line of its own") for i, (_, pattern) in enumerate(lines)]
+    rows.append((50, "This page was once the only one with such words"))
+    out = lt.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    left = {r.doc_id: r.text.split("\n") for r in out}
+    firsts = {min(i for i, (k, _) in enumerate(lines) if k == kind) for kind in range(len(kinds))}
+    assert {i for i, t in left.items() if t[0].startswith("This page")} == firsts | {50}
+
+
 def test_line_edges(spark, odd):
     from textloom.llm import line_templates as lt
 
@@ -181,10 +199,10 @@ def test_clean_lines_stay(spark):
     for k, t in before.items():
         lines, left = (t or "").split("\n"), (after[k] or "").split("\n")
         gone = [x for x in lines if x not in left]
-        assert all(len(x.split()) >= 3 for x in gone)
+        assert all(x.split() for x in gone)
         places = iter(lines)
         assert left == [""] or all(x in places for x in left)  # in the old order
-    exact = sum(n > 1 and len(x.split()) >= 3 for x, n in seen.items())
+    exact = sum(n > 1 and x.split() != [] for x, n in seen.items())
     assert exact and sum(len(t or "") for t in after.values()) < sum(len(t or "") for t in before.values())
 
 

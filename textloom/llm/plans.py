@@ -134,7 +134,7 @@ def product_quantisation(vectors: DataFrame) -> DataFrame:
     ), leaves AS (
         SELECT doc_id, body, pos, words, array_to_string(words, ' ') AS sign,
                {'n': len(words), 'a': words[1], 'b': words[2], 'c': words[3]} AS leaf
-        FROM parsed WHERE len(words) >= 3
+        FROM parsed WHERE len(list_filter(words, lambda w: w <> '<*>')) > 0
     ), signs AS (
         SELECT leaf, sign, any_value(words) AS words FROM leaves GROUP BY leaf, sign
     ), shared AS (
@@ -149,15 +149,34 @@ def product_quantisation(vectors: DataFrame) -> DataFrame:
     ), merged AS (
         SELECT leaf, sign FROM shared JOIN templates USING (leaf)
         WHERE len(list_filter(range(1, len(words) + 1), lambda i: words[i] = template[i])) >= 0.8 * len(words)
+    ), stretches AS (
+        SELECT leaf, sign, words, j,
+               words[4 + (j * (len(words) - 3) + 4) // 5 : 3 + ((j + 1) * (len(words) - 3) + 4) // 5] AS part
+        FROM shared, range(5) r(j) WHERE sign NOT IN (SELECT sign FROM merged)
+    ), met AS (
+        SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY leaf, j, part) AS size FROM stretches WHERE len(part) > 0)
+        WHERE size > 1
+    ), part_usual AS (
+        SELECT leaf, j, part, place, max({'n': n, 'word': word}).word AS word FROM (
+            SELECT leaf, j, part, place, word, count(*) AS n
+            FROM (SELECT leaf, j, part, unnest(range(len(words))) AS place, unnest(words) AS word FROM met) GROUP BY ALL
+        ) GROUP BY leaf, j, part, place
+    ), part_templates AS (
+        SELECT leaf, j, part, list(word ORDER BY place) AS template FROM part_usual GROUP BY leaf, j, part
+    ), later AS (
+        SELECT sign, max({'size': size, 'j': -j, 'part': part}) AS best FROM met JOIN part_templates USING (leaf, j, part)
+        WHERE len(list_filter(range(1, len(words) + 1), lambda i: words[i] = template[i])) >= 0.8 * len(words)
+        GROUP BY sign
     ), named AS (
-        SELECT l.*, CASE WHEN m.sign IS NULL THEN l.sign END AS own
-        FROM leaves l LEFT JOIN merged m ON l.leaf = m.leaf AND l.sign = m.sign
+        SELECT l.*, CASE WHEN m.sign IS NOT NULL THEN 'leaf' WHEN t.sign IS NOT NULL THEN concat(t.best.j, ' ', array_to_string(t.best.part, ' '))
+                         ELSE concat('own ', l.sign) END AS own
+        FROM leaves l LEFT JOIN merged m USING (sign) LEFT JOIN later t USING (sign)
     ), groups AS (
         SELECT leaf, own, min({'d': doc_id, 'b': body, 'p': pos}) AS first FROM named
         GROUP BY leaf, own HAVING count(DISTINCT body) > 1
     ), dropped AS (
         SELECT doc_id, count(*) AS n, list(pos) AS pos
-        FROM named n JOIN groups g ON n.leaf = g.leaf AND n.own IS NOT DISTINCT FROM g.own
+        FROM named n JOIN groups g USING (leaf, own)
         WHERE n.body <> g.first.b OR n.pos <> g.first.p GROUP BY doc_id
     )
     SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(x.n, 0) AS n_dropped,
