@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from textloom.llm.names import fresh, others
 from textloom.scale import Salted, fit_broadcast, release, settle
 
-WHITE = "[\\x20\\x09-\\x0D]"
 # a word with a digit, matched from its start in one pass
 VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
+# a run of white space that is not one plain space
+RUN = "(?:[\\x09-\\x0D]|\\x20(?=[\\x20\\x09-\\x0D]))[\\x20\\x09-\\x0D]*+"
 HOLE = "<*>"
 DEPTH = 3
 ALIKE = 0.8
@@ -36,7 +37,7 @@ def masked_lines(text: Column) -> Column:
     A text without a digit and without unusual white space, as most are, is only split.
     """
     def masked(line: Column) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, HOLE), WHITE + "+", " "))
+        return F.trim(F.regexp_replace(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, HOLE)).otherwise(line), RUN, " "))
 
     lines = F.split(text, "\n")
     odd = text.rlike("[\\x09\\x0B-\\x0D0-9]") | text.startswith(" ") | text.endswith(" ")
