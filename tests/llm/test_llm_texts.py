@@ -113,6 +113,28 @@ def test_shards_follow_weights(spark):
         sharding.rendezvous(["id"], 2, [1, 0])
 
 
+def test_shards_recomputed(spark):
+    """The smallest draw of the record and each shard, with 64-bit hashes of the same rule from a library of its own."""
+    import math
+    import struct
+
+    import xxhash
+    from textloom.llm import sharding
+
+    def draw(key, shard, weight):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        bits = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11
+        return -math.log((bits + 0.5) * 2.0**-53) / weight
+
+    weights = [1.0, 2.0, 0.5, 1.0, 3.0]
+    for shards, given in ((24, None), (5, weights)):
+        used = given or [1.0] * shards
+        rows = spark.range(-200, 800).select("id", sharding.rendezvous(["id"], shards, given).alias("s")).collect()
+        for r in rows:
+            costs = [draw(r.id, s, w) for s, w in enumerate(used)]
+            assert math.isclose(costs[r.s], min(costs), rel_tol=1e-12)
+
+
 def test_shard_query_by_hand(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = entry.queries()["op8_rendezvous_shards"](spark, FOLDER).collect()
