@@ -297,12 +297,91 @@ def test_simhash_edges(spark, odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "7", "None"]
 
 
+def plain_similar(texts, words=5, least=0.8):
+    """For every text the place of the first one linked to it, all pairs compared."""
+    sets = []
+    for text in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        found = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets.append({tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set())
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) / len(a | b) >= least):
+                low, high = sorted((root(i), root(j)))
+                label[high] = low
+    return [root(i) for i in range(len(sets))]
+
+
+def test_similar_texts_equal_brute_force(spark):
+    import random
+
+    from textloom.llm import simhash
+
+    rnd = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(3_000)]
+    passage = rnd.choices(vocabulary, k=60)
+    texts = []
+    for _ in range(40):
+        words = rnd.choices(vocabulary, k=rnd.randint(3, 200)) + passage  # a passage that all share
+        texts.append(" ".join(words))
+        for changes in (0, 1, 2, 4, 8, 30):
+            copy = list(words)
+            for at in rnd.sample(range(len(copy)), min(changes, len(copy))):
+                copy[at] = rnd.choice(vocabulary)
+            texts.append("  ".join(copy).upper() if changes == 0 else " ".join(copy))
+    hub = rnd.choices(vocabulary, k=300)  # a large group of near copies
+    for _ in range(150):
+        copy = list(hub)
+        copy[rnd.randrange(300)] = rnd.choice(vocabulary)
+        texts.append(" ".join(copy))
+    texts += ["", None, " \n", "a b c", "A b  c", "a b d", "one"]
+    rnd.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    kept = {r.doc_id: r.text for r in simhash.keep_similar(rows, "doc_id", "text").collect()}
+    assert set(kept) == set(plain_similar(texts)) and all(texts[k] == t for k, t in kept.items())
+
+
+def test_similar_texts_edges(spark, odd):
+    from textloom.llm import simhash
+
+    clashing = odd.withColumnsRenamed({"n_words": "same", "_words": "drawn", "shard": "id", "root": "k", "kept": "_mark"})
+    kept = simhash.keep_similar(clashing, "doc_id", "text")
+    assert kept.columns == clashing.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "7", "None"]
+    assert simhash.keep_similar(clashing.limit(0), "doc_id", "text").count() == 0
+
+
 # -- the pipeline -------------------------------------------------------------------------
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    good = "Some words about the {} and its long way to the sea, told by people who have seen it with their own eyes. " \
+        "They say that of all that they met there the {} was what they liked most, and that the road back was harder, " \
+        "but nobody was lost on it, for which the {} is to be thanked."
+    fine = spark.createDataFrame(
+        [(i, good.format(*[w] * 3), "x", "y", "z", "r", "s") for i, w in ((20, "river"), (20, "river"), (21, "river"), (22, "moon"))]
+        + [(None, good.format(*["hill"] * 3), "x", "y", "z", "r", "s")], DOCS,
+    )
+    for docs in (odd.unionByName(fine), odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, FOLDER).toPandas().columns.tolist() == docs.columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
 def test_pipeline_keeps_its_word(spark):
     import corpus_pipeline
-    from textloom.llm import pii, quality, simhash
+    from textloom.llm import pii, quality
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, tables = docs.columns, {}
@@ -317,7 +396,7 @@ def test_pipeline_keeps_its_word(spark):
     assert set(lines) == set(good)
     unique = {r.doc_id: r.text for r in tables["simhash near-dedup"].collect()}
     keys = sorted(lines)
-    roots = plain_groups([simhash.fingerprint(lines[k]) for k in keys])
+    roots = plain_similar([lines[k] for k in keys])
     assert set(unique) == {keys[r] for r in roots} and all(unique[k] == lines[k] for k in unique)
     clean = {r.doc_id: (r.text, r.n_chars) for r in tables["personal data"].collect()}
     assert set(clean) == set(unique) and all(len(t) == n for t, n in clean.values())

@@ -7,50 +7,96 @@ fingerprint visits its own point and its neighbours, and only those that met ano
 They meet again on the finest grid, of 1-bit segments, where at most 65 fingerprints share a point and
 any two of them differ in at most 2 bits; links run from the smallest of a point and are verified.
 No pairs of a group are formed, so a group of any size costs as many rows as it has fingerprints.
+
+Texts whose shingles are equal to four fifths differ in some ten bits, beyond any popcount grid. ``keep_similar``
+therefore takes further fingerprints, of a few shingles drawn alike from every text: similar texts agree in one of
+them. What met there or in the grid is verified by the similarity of all shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
 from textloom.llm.names import fresh
 from textloom.operators.graphs import components
-from textloom.scale import Salted, fit_broadcast, settle
+from textloom.scale import Salted, fit_broadcast, fits, salted_join, settle
 
 SEED = 42
 WORDS = 3
 MOST_BITS = 2
 CHUNK = 1 << 16
 SEGMENTS = 21
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+DRAWS = 12
+DRAWN = 3
+MIX = np.uint64(0x9E3779B97F4A7C15)
+DRAW_SEEDS = np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 FIELD_ONES = sum(1 << 3 * i for i in range(SEGMENTS))
 
 
-def fingerprint(text: str | None, words_per_shingle: int = WORDS) -> int:
-    """The signed 64-bit fingerprint of a whole text.
-
-    A-Z are lowered, words end at ASCII white space, repeated shingles count each time. A text with
-    fewer words is one shingle; one without words (or null) has the fingerprint zero.
-    """
+def hash_chunks(text: str | None, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """The unsigned hashes of a text's shingles in order, some thousand at a time; none for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - words_per_shingle + 1)
     lo, hi = starts[:n].tolist(), ends[-n:].tolist()
-    votes = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         hashes = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(lo[at : at + CHUNK], hi[at : at + CHUNK])]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
+        yield np.array(hashes, "<u8")
+
+
+def majority(hashes: np.ndarray, axis: int = 0) -> tuple[np.ndarray, int]:
+    """How often each of the 64 bits is set along an axis, and out of how many."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(*hashes.shape, 8), axis=-1, bitorder="little")
+    return bits.sum(axis=axis, dtype=np.int64), hashes.shape[axis]
+
+
+def fingerprint(text: str | None, words_per_shingle: int = WORDS) -> int:
+    """The signed 64-bit fingerprint of a whole text.
+
+    A-Z are lowered, words end at ASCII white space, repeated shingles count each time. A text with
+    fewer words is one shingle; one without words (or null) has the fingerprint zero.
+    """
+    return vote(hash_chunks(text, words_per_shingle))
+
+
+def vote(chunks: Iterable[np.ndarray]) -> int:
+    """The signed fingerprint of hashes: the bits set in over half of them."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in chunks:
+        ones, many = majority(hashes)
+        votes, n = votes + ones, n + many
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
+def draw(distinct: np.ndarray, seeds: np.ndarray = DRAW_SEEDS) -> list[int]:
+    """One signed fingerprint per seed, each of the few hashes that come first in an order of that seed.
+
+    The order depends on seed and hash alone, so two texts draw the same hashes about as often as the power
+    ``DRAWN`` of their similarity. Fewer hashes are all drawn; none give zeros.
+    """
+    if not len(distinct):
+        return [0] * len(seeds)
+    picks = []
+    for seed in seeds:
+        order = (distinct ^ seed) * MIX
+        order = (order ^ order >> np.uint64(29)) * MIX
+        picks.append(distinct[np.argpartition(order, DRAWN - 1)[:DRAWN]] if len(distinct) > DRAWN else distinct)
+    ones, n = majority(np.stack(picks), axis=1)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
 def fingerprints(df: DataFrame, text: str, name: str = "fingerprint") -> DataFrame:
     """``df`` without ``text`` and with its fingerprint as a long."""
     rest = [c for c in df.columns if c not in (text, name)]
@@ -137,19 +183,29 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     Null keys come last; rows with equal keys are told apart by a hash of all their columns, and
     of rows equal in every column one stays.
     """
-    mark, of, twin_of = fresh(df, "_mark", "_of", "_twin_of")
-    hashed = df.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(c)) if _nested(df, c) else F.col(c) for c in df.columns]))
+    hashed, mark = _marked(df)
     prints = settle(fingerprints(hashed.select(key, mark, text), text))
-    grouped = groups(prints, key)
-    order = F.struct(F.col(key).isNull(), F.col(key).alias("k"), F.col(mark).alias("m"))
-    chosen = settle(
-        grouped.groupBy("root").agg(F.min(order).alias("_best")).select(
-            F.col("_best.k").alias(of), F.col("_best.m").alias(twin_of)
-        )
-    )
+    best = groups(prints, key).groupBy("root").agg(F.min(_order(key, mark)).alias("_best"))
+    return _chosen_rows(hashed, prints, best, key, mark)
+
+
+def _marked(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a hash of all its columns, and that column's name."""
+    (mark,) = fresh(df, "_mark")
+    return df.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(c)) if _nested(df, c) else F.col(c) for c in df.columns])), mark
+
+
+def _order(key: str, mark: str) -> Column:
+    return F.struct(F.col(key).isNull(), F.col(key).alias("k"), F.col(mark).alias("m"))
+
+
+def _chosen_rows(hashed: DataFrame, rows: DataFrame, best: DataFrame, key: str, mark: str) -> DataFrame:
+    """The rows of ``hashed`` named by ``_best`` (k and m), each once; ``rows`` holds key and mark of all."""
+    of, twin_of = fresh(hashed, "_of", "_twin_of")
+    chosen = settle(best.select(F.col("_best.k").alias(of), F.col("_best.m").alias(twin_of)))
     same = F.col(key).eqNullSafe(F.col(of)) & (F.col(mark) == F.col(twin_of))
     twins = settle(
-        prints.groupBy(key, mark).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        rows.groupBy(key, mark).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         .join(chosen, same, "left_semi").select(F.col(key).alias(of), F.col(mark).alias(twin_of))
     )
     kept = hashed.join(chosen, same, "left_semi")  # one row per group: as many as the result has
@@ -161,5 +217,124 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.drop(mark)
 
 
+def draws(df: DataFrame, text: str, words_per_shingle: int = SIMILAR_WORDS) -> DataFrame:
+    """``df`` without ``text`` and with ``same`` (a digest of its words), its fingerprint and its drawn fingerprints."""
+    rest = [c for c in df.columns if c != text]
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches):
+        for batch in batches:
+            same, prints, drawn = [], [], []
+            for cell in batch.column(len(rest)):
+                value = cell.as_py()
+                hashes = list(hash_chunks(value, words_per_shingle))
+                same.append(xxh3_128_hexdigest(b" ".join((value or "").encode().lower().split())))
+                prints.append(vote(hashes))
+                drawn.append(draw(np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)))
+            found = [pa.array(same), pa.array(prints, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(rest)], *found], names=[*rest, "same", "fingerprint", "drawn"]
+            )
+
+    return df.select(*rest, text).mapInArrow(run, f"{fields}, same string, fingerprint long, drawn array<long>")
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, words_per_shingle: int = SIMILAR_WORDS) -> DataFrame:
+    """(key, shingles): the distinct shingle hashes of every text."""
+
+    def run(batches):
+        for batch in batches:
+            sets, first = [], 0
+            for at, cell in enumerate(batch.column(1)):
+                hashes = list(hash_chunks(cell.as_py(), words_per_shingle))
+                sets.append(np.unique(np.concatenate(hashes)).view("<i8") if hashes else np.empty(0, np.int64))
+                if at + 1 == batch.num_rows or sum(map(len, sets)) >= CHUNK:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"]
+                    )
+                    sets, first = [], at + 1
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, shingles array<long>")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(src, dst): ids of ``classes`` (id, spot, fingerprint, drawn) that met in a draw or in the popcount grid.
+
+    Those that share a draw meet its first and its last member, in an order of the draw's own, and not each other, so
+    a group costs two rows a member and draw. ``spot`` is a hash of the text; it makes the order.
+    """
+    points = classes.select("id", "spot", F.posexplode("drawn").alias("turn", "point"))
+    order = F.xxhash64("spot", "turn")
+    shared = settle(
+        points.groupBy("turn", "point")
+        .agg(F.min_by("id", order).alias("lo"), F.max_by("id", order).alias("hi"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+    )
+    met = Salted(points, ["turn", "point"], counts=shared.select("turn", "point", "_n")).join(shared.drop("_n"))
+    drawn = met.select(F.explode(F.array("lo", "hi")).alias("src"), F.col("id").alias("dst"))
+    first = settle(
+        classes.groupBy("fingerprint").agg(F.min_by("id", "spot").alias("src"), F.count(F.lit(1)).alias("_n"))
+    )
+    equal = Salted(classes.select("id", "fingerprint"), ["fingerprint"], counts=first.select("fingerprint", "_n")).join(
+        first.where("_n > 1").drop("_n")
+    )
+    near = settle(links(first))
+    ends = [first.select(F.col("fingerprint").alias(end), F.col("src").alias(f"{end}_id")) for end in ("src", "dst")]
+    grid = salted_join(salted_join(near, ends[0], ["src"]), ends[1], ["dst"])
+    return (
+        drawn.unionByName(equal.select("src", F.col("id").alias("dst")))
+        .unionByName(grid.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+        .where("src <> dst").distinct()
+    )
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (src, dst) whose ``sets`` (id, shingles) have at least this share of their union in common."""
+    left = sets.select(F.col("id").alias("src"), F.col("shingles").alias("_a"))
+    right = sets.select(F.col("id").alias("dst"), F.col("shingles").alias("_b"))
+    both = salted_join(pairs, left, ["src"]).join(right, "dst")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.where(common / (F.size("_a") + F.size("_b") - common) >= similarity).select("src", "dst")
+
+
+def keep_similar(
+    df: DataFrame, key: str, text: str, words_per_shingle: int = SIMILAR_WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """``df`` with one row of each group of texts linked by the similarity of their distinct shingles.
+
+    Texts of equal words (A-Z lowered, any white space between them) are one class; null and texts without words are the
+    same one. Of a group the row with the smallest key stays whole. Null keys come last; rows with equal keys are told apart by a hash of
+    all their columns, and of rows equal in every column one stays. An empty table stays empty; other columns may have any name.
+    """
+    hashed, mark = _marked(df)
+    names = [F.col(key).alias("k"), F.col(mark).alias("m"), F.col(text).alias("text")]
+    marked = hashed.select(*names)
+    rows = settle(draws(marked, "text", words_per_shingle))
+    # written once, so the numbers stay as they are
+    classes = settle(
+        rows.groupBy("same")
+        .agg(F.min(_order("k", "m")).alias("_best"), F.first("fingerprint").alias("fingerprint"), F.first("drawn").alias("drawn"))
+        .select(
+            F.monotonically_increasing_id().alias("id"), F.xxhash64("same").alias("spot"), "_best", "fingerprint", "drawn"
+        )
+    )
+    pairs = settle(candidates(classes))
+    wanted = settle(
+        pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        .join(classes.select("id", "_best"), "id").select("id", F.col("_best.k").alias("of"), F.col("_best.m").alias("by"))
+    )
+    if fits(wanted):
+        wanted = F.broadcast(wanted)
+    met = marked.join(wanted, F.col("k").eqNullSafe(F.col("of")) & (F.col("m") == F.col("by")))
+    sets = settle(shingle_sets(met, "id", "text", words_per_shingle).dropDuplicates(["id"]))
+    edges = settle(similar_pairs(pairs, sets, similarity))
+    linked = components(edges).select("id", "component")
+    best = (
+        classes.join(linked, "id", "left").groupBy(F.coalesce("component", "id").alias("root"))
+        .agg(F.min("_best").alias("_best"))
+    )
+    return _chosen_rows(hashed, rows.select(F.col("k").alias(key), F.col("m").alias(mark)), best, key, mark)
+
+
 def _nested(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() in ("map", "variant")
