@@ -260,8 +260,9 @@ def shingle_sets(df: DataFrame, key: str, text: str, words_per_shingle: int = SI
 def candidates(classes: DataFrame) -> DataFrame:
     """(src, dst): ids of ``classes`` (id, spot, fingerprint, drawn) that met in a draw or in the popcount grid.
 
-    Those that share a draw meet its first and its last member, in an order of the draw's own, and not each other, so
-    a group costs two rows a member and draw. ``spot`` is a hash of the text; it makes the order.
+    Those that share a draw meet three of its members and not each other, so a group costs three rows a member and draw:
+    the first and the last in an order of the draw's own, and the one that shares most draws with others. ``spot`` is a
+    hash of the text; it makes the order.
     """
     points = classes.select("id", "spot", F.posexplode("drawn").alias("turn", "point"))
     order = F.xxhash64("spot", "turn")
@@ -270,8 +271,15 @@ def candidates(classes: DataFrame) -> DataFrame:
         .agg(F.min_by("id", order).alias("lo"), F.max_by("id", order).alias("hi"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
     )
-    met = Salted(points, ["turn", "point"], counts=shared.select("turn", "point", "_n")).join(shared.drop("_n"))
-    drawn = met.select(F.explode(F.array("lo", "hi")).alias("src"), F.col("id").alias("dst"))
+    counts = shared.select("turn", "point", "_n")
+    met = settle(Salted(points, ["turn", "point"], counts=counts).join(shared))
+    weight = met.groupBy("id").agg(F.sum("_n").alias("weight"))
+    # the text that others are copies of shares most draws
+    middle = met.join(weight, "id").groupBy("turn", "point").agg(F.max_by("id", F.struct("weight", "spot")).alias("mid"))
+    centred = Salted(met.select("turn", "point", "id"), ["turn", "point"], counts=counts).join(settle(middle))
+    drawn = met.select(F.explode(F.array("lo", "hi")).alias("src"), F.col("id").alias("dst")).unionByName(
+        centred.select(F.col("mid").alias("src"), F.col("id").alias("dst"))
+    )
     first = settle(
         classes.groupBy("fingerprint").agg(F.min_by("id", "spot").alias("src"), F.count(F.lit(1)).alias("_n"))
     )
