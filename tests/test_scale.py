@@ -164,3 +164,17 @@ def test_results_do_not_depend_on_row_order(spark):
 def test_scratch_folder_comes_from_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert scale.scratch_path(spark).startswith(base.rstrip("/"))
+
+
+def test_tables_measured_as_large_are_not_broadcast(spark):
+    """200,000 rows that take little room in files, whose size is what the optimizer goes by."""
+    small = scale.settle(spark.range(200_000).withColumn("v", F.lit(1)))
+    big = scale.settle(spark.range(300_000))
+    for joined in (scale.salted_join(big, small, ["id"]), big.join(scale.fit_broadcast(small), "id")):
+        assert joined.count() == 200_000
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = scale.salted_join(big, small.limit(10), ["id"])
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
+    placed = scale.running(big.withColumn("k", F.col("id") % 150_000), ["k"], ["id"])
+    assert placed.where("pos = 2").count() == 150_000
+    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()
