@@ -250,6 +250,21 @@ def test_wiki_graph_is_case_insensitive_and_drops_lone_articles(spark):
     assert [tuple(r) for r in graphs.wiki_graph(articles).collect()] == [("Alpha", "beta")]
 
 
+def test_twins_are_left_out_before_the_distances(spark):
+    """A ring of six, two of its places with 40 leaves each, and a clique of 30 on a third."""
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    leaves = [(hub, 100 * hub + i) for hub in (1, 4) for i in range(40)]
+    clique = [(a, b) for a in [2, *range(900, 930)] for b in range(900, 930) if a == 2 or a < b]
+    edges = edge_table(spark, ring + leaves + clique)
+    few = graphs.without_twin_vertices(edges).collect()
+    assert len({v for r in few for v in (r["src"], r["dst"])}) == 6 + 4 + 2
+    whole = graphs.distances(edges).cache()
+    kept = graphs.distances(graphs.without_twin_vertices(edges)).cache()
+    assert kept.join(whole, ["src", "dst", "d"], "left_anti").isEmpty()
+    one, two = (graphs.hyperbolicity(d).first() for d in (whole, kept))
+    assert (one["delta"], one["diameter"]) == (two["delta"], two["diameter"])
+
+
 def test_samples_respect_the_graph(spark):
     pairs = grid(3, 3)
     rows = graphs.sample_neighbours(edge_table(spark, pairs), 3, 20).collect()
