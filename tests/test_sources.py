@@ -71,6 +71,23 @@ def test_content_tree_needs_both_files(spark, tmp_path):
     assert [(r["title"], r["contents"]) for r in rows] == [("One", "[[Two]]\nx")]
 
 
+def test_content_tree_is_written_by_all_cores_and_read_once(spark):
+    from pathlib import Path
+
+    from textloom import scale
+    from textloom.plans import source_plans
+    from textloom.plans.registry import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    tables.supplier = spark.range(40).selectExpr("id AS s_suppkey", "concat('n', id) AS s_name", "int(id % 25) AS s_nationkey")
+    before = set(scale._WRITTEN)
+    found = source_plans.load_content_tree(tables)
+    assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40
+    parts = {f.name[:10] for p in set(scale._WRITTEN) - before for f in Path(p).rglob("page=*/*/part-*")}
+    assert len(parts) > 1
+
+
 def test_ocr_pages(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"page_num": 2, "page_response": {"natural_text": null}}\n{"page_num": 1, "page_response": {"natural_text": "a"}}\n{"x": 1}\n')
     got = readers.load_ocr_pages(spark, str(tmp_path / "p.jsonl")).orderBy("page_num").collect()

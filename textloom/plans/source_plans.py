@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from textloom.plans.registry import plan
@@ -185,7 +187,9 @@ def load_content_tree(t):
         F.col("s_suppkey").alias("page"),
         F.explode(F.create_map(F.lit("name"), F.col("s_name"), F.lit("content.md"), body)).alias("file", "value"),
     )
-    files.write.partitionBy("page", "file").text(base)
+    # a file a row: the folders are dealt over the cores, some thousand each
+    tasks = max(t.spark.sparkContext.defaultParallelism, math.ceil(t.supplier.count() / 1000))
+    files.repartition(tasks, "page").write.partitionBy("page", "file").text(base)
     tree = readers.load_content_tree(t.spark, base)
     return tree.select(F.trim(F.regexp_replace("title", "\n", "")).alias("title"),
                        F.regexp_replace("contents", "\n", "").alias("contents"))
