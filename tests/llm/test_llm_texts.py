@@ -349,6 +349,53 @@ def test_similar_texts_equal_brute_force(spark):
     assert set(kept) == set(plain_similar(texts)) and all(texts[k] == t for k, t in kept.items())
 
 
+def test_all_pairs_of_a_draw_are_decided(spark):
+    """Sixty texts with a passage in common and two variants of each: the draws of the passage gather texts that do not link."""
+    import random
+
+    from textloom.llm import simhash
+
+    rnd = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(5_000)]
+    passage, texts = rnd.choices(vocabulary, k=60), []
+    for _ in range(60):
+        base = rnd.choices(vocabulary, k=60)
+        for _ in range(3):
+            copy = list(base)
+            copy[rnd.randrange(60)] = rnd.choice(vocabulary)
+            texts.append(" ".join(passage + copy))
+    rnd.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    spots = {r.doc_id: {*enumerate(r.drawn), r.fingerprint} for r in simhash.draws(rows, "text").collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if spots[i] & spots[j] and len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = simhash.keep_similar(rows, "doc_id", "text")
+    assert {r.doc_id for r in kept.collect()} == set(label)
+
+
+@pytest.mark.parametrize("cell", [3, 2048])
+def test_parted_pairs_are_whole(spark, cell, monkeypatch):
+    """Twenty texts share a draw; every pair of different groups and near sizes is formed, whatever the cells."""
+    from textloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "CELL", cell)
+    sizes, parts = {i: 80 + 3 * i for i in range(20)}, {0: 0, 3: 0, 5: 0, 7: 7, 8: 7}
+    classes = spark.createDataFrame(
+        [(i, n, i << 20, [9, i]) for i, n in sizes.items()], "id long, size long, fingerprint long, drawn array<long>"
+    )
+    linked = spark.createDataFrame(list(parts.items()), "id long, component long")
+    near = classes.limit(0).selectExpr("id AS src", "id AS dst")
+    got = sorted(map(tuple, simhash.parted_pairs(classes, near, linked).collect()))
+    assert got == [
+        (i, j) for i in sizes for j in sizes if i < j and parts.get(i, i) != parts.get(j, j) and sizes[i] >= 0.8 * sizes[j]
+    ]
+
+
 def test_similar_texts_edges(spark, odd):
     from textloom.llm import simhash
 

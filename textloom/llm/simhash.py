@@ -10,7 +10,8 @@ No pairs of a group are formed, so a group of any size costs as many rows as it
 
 Texts whose shingles are equal to four fifths differ in some ten bits, beyond any popcount grid. ``keep_similar``
 therefore takes further fingerprints, of a few shingles drawn alike from every text: similar texts agree in one of
-them. What met there or in the grid is verified by the similarity of all shingles.
+them. What met there or in the grid is verified by the similarity of all shingles. Members of a draw first meet three of its
+members; all pairs of a draw that this leaves in different groups meet afterwards.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 DRAWS = 12
 DRAWN = 3
+CELL = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DRAW_SEEDS = np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 FIELD_ONES = sum(1 << 3 * i for i in range(SEGMENTS))
@@ -218,25 +220,27 @@ def _chosen_rows(hashed: DataFrame, rows: DataFrame, best: DataFrame, key: str,
 
 
 def draws(df: DataFrame, text: str, words_per_shingle: int = SIMILAR_WORDS) -> DataFrame:
-    """``df`` without ``text`` and with ``same`` (a digest of its words), its fingerprint and its drawn fingerprints."""
+    """``df`` without ``text`` and with ``same`` (a digest of its words), ``size`` (its distinct shingles), its fingerprint and its drawn ones."""
     rest = [c for c in df.columns if c != text]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches):
         for batch in batches:
-            same, prints, drawn = [], [], []
+            same, sizes, prints, drawn = [], [], [], []
             for cell in batch.column(len(rest)):
                 value = cell.as_py()
                 hashes = list(hash_chunks(value, words_per_shingle))
                 same.append(xxh3_128_hexdigest(b" ".join((value or "").encode().lower().split())))
                 prints.append(vote(hashes))
-                drawn.append(draw(np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)))
-            found = [pa.array(same), pa.array(prints, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))]
+                distinct = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+                sizes.append(len(distinct))
+                drawn.append(draw(distinct))
+            found = [pa.array(same), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(rest)], *found], names=[*rest, "same", "fingerprint", "drawn"]
+                [*batch.columns[: len(rest)], *found], names=[*rest, "same", "size", "fingerprint", "drawn"]
             )
 
-    return df.select(*rest, text).mapInArrow(run, f"{fields}, same string, fingerprint long, drawn array<long>")
+    return df.select(*rest, text).mapInArrow(run, f"{fields}, same string, size long, fingerprint long, drawn array<long>")
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, words_per_shingle: int = SIMILAR_WORDS) -> DataFrame:
@@ -257,9 +261,11 @@ def shingle_sets(df: DataFrame, key: str, text: str, words_per_shingle: int = SI
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, shingles array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, near: DataFrame) -> DataFrame:
     """(src, dst): ids of ``classes`` (id, spot, fingerprint, drawn) that met in a draw or in the popcount grid.
 
+    ``near`` holds the ``links`` of their fingerprints.
+
     Those that share a draw meet three of its members and not each other, so a group costs three rows a member and draw:
     the first and the last in an order of the draw's own, and the one that shares most draws with others. ``spot`` is a
     hash of the text; it makes the order.
@@ -286,7 +292,6 @@ def candidates(classes: DataFrame) -> DataFrame:
     equal = Salted(classes.select("id", "fingerprint"), ["fingerprint"], counts=first.select("fingerprint", "_n")).join(
         first.where("_n > 1").drop("_n")
     )
-    near = settle(links(first))
     ends = [first.select(F.col("fingerprint").alias(end), F.col("src").alias(f"{end}_id")) for end in ("src", "dst")]
     grid = salted_join(salted_join(near, ends[0], ["src"]), ends[1], ["dst"])
     return (
@@ -296,6 +301,34 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
 
 
+def parted_pairs(classes: DataFrame, near: DataFrame, linked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst): every pair of ``classes`` (id, size, fingerprint, drawn) that shares a draw, a fingerprint or a point of the
+    1-bit grid and is not yet linked.
+
+    ``near`` holds the ``links`` of the fingerprints. ``linked`` (id, component) names the groups found so far; two members of one group need not meet again, and sizes so
+    far apart that the similarity is out of reach never link. All other pairs are formed, in cells of ``CELL`` by ``CELL``
+    members, so no task holds all pairs of a large group.
+    """
+    named = settle(classes.join(linked, "id", "left").withColumn("root", F.coalesce("component", "id")))
+    spots = named.select("id", "root", "size", F.posexplode(F.concat("drawn", F.array("fingerprint"))).alias("turn", "point"))
+    ends = settle(near.select(F.explode(F.array("src", "dst")).alias("fingerprint")).distinct())
+    grid = salted_join(named, ends, ["fingerprint"], "left_semi")
+    spots = spots.unionByName(grid.select("id", "root", "size", F.lit(-1).alias("turn"), F.explode(bit_points(F.col("fingerprint"))).alias("point")))
+    parted = settle(
+        spots.groupBy("turn", "point").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+        .where("_lo <> _hi").select("turn", "point", "_n")
+    )
+    met = Salted(spots, ["turn", "point"], counts=parted).join(parted)
+    sides = F.ceil(F.col("_n") / CELL).cast("int")
+    dealt = settle(met.withColumn("sides", sides).withColumn("part", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    left = dealt.select("turn", "point", F.col("part").alias("x"), every.alias("y"), F.col("id").alias("src"), F.col("root").alias("_r"), F.col("size").alias("_s"))
+    right = dealt.select("turn", "point", F.col("part").alias("y"), every.alias("x"), F.col("id").alias("dst"), "root", "size")
+    pairs = left.join(right.hint("merge"), ["turn", "point", "x", "y"])
+    near = F.least("_s", "size") >= F.lit(similarity) * F.greatest("_s", "size")
+    return pairs.where((F.col("src") < F.col("dst")) & (F.col("_r") != F.col("root")) & near).select("src", "dst").distinct()
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (src, dst) whose ``sets`` (id, shingles) have at least this share of their union in common."""
     left = sets.select(F.col("id").alias("src"), F.col("shingles").alias("_a"))
@@ -321,22 +354,30 @@ def keep_similar(
     # written once, so the numbers stay as they are
     classes = settle(
         rows.groupBy("same")
-        .agg(F.min(_order("k", "m")).alias("_best"), F.first("fingerprint").alias("fingerprint"), F.first("drawn").alias("drawn"))
+        .agg(F.min(_order("k", "m")).alias("_best"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "drawn")])
         .select(
-            F.monotonically_increasing_id().alias("id"), F.xxhash64("same").alias("spot"), "_best", "fingerprint", "drawn"
+            F.monotonically_increasing_id().alias("id"), F.xxhash64("same").alias("spot"), "_best", "size", "fingerprint", "drawn"
         )
     )
-    pairs = settle(candidates(classes))
-    wanted = settle(
-        pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        .join(classes.select("id", "_best"), "id").select("id", F.col("_best.k").alias("of"), F.col("_best.m").alias("by"))
-    )
-    if fits(wanted):
-        wanted = F.broadcast(wanted)
-    met = marked.join(wanted, F.col("k").eqNullSafe(F.col("of")) & (F.col("m") == F.col("by")))
-    sets = settle(shingle_sets(met, "id", "text", words_per_shingle).dropDuplicates(["id"]))
-    edges = settle(similar_pairs(pairs, sets, similarity))
-    linked = components(edges).select("id", "component")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = settle(
+            pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            .join(classes.select("id", "_best"), "id").select("id", F.col("_best.k").alias("of"), F.col("_best.m").alias("by"))
+        )
+        if fits(wanted):
+            wanted = F.broadcast(wanted)
+        met = marked.join(wanted, F.col("k").eqNullSafe(F.col("of")) & (F.col("m") == F.col("by")))
+        sets = settle(shingle_sets(met, "id", "text", words_per_shingle).dropDuplicates(["id"]))
+        return settle(similar_pairs(pairs, sets, similarity))
+
+    near = settle(links(classes))
+    edges = verified(settle(candidates(classes, near)))
+    linked = settle(components(edges).select("id", "component"))
+    later = settle(parted_pairs(classes, near, linked, similarity))
+    if not later.isEmpty():
+        more = verified(later)
+        if not more.isEmpty():
+            linked = components(edges.unionByName(more)).select("id", "component")
     best = (
         classes.join(linked, "id", "left").groupBy(F.coalesce("component", "id").alias("root"))
         .agg(F.min("_best").alias("_best"))
