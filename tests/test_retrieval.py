@@ -437,3 +437,18 @@ def test_window_rerank_with_another_score(spark):
     asks = spark.createDataFrame([(1, "dogs birds")], "q long, text string")
     got = retrieval.window_rerank(rows, asks, "q", "text", score=F.length("window").cast("double")).orderBy("rank").collect()
     assert [r["doc"] for r in got] == [2, 1]
+
+
+def test_nearest_rows_leaves_out_far_leaves():
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 6))
+    rows = np.concatenate([np.repeat(middles, 100, axis=0) + rng.normal(scale=0.02, size=(4000, 6)), np.zeros((3, 6)), np.tile(middles[:1], (900, 1))])
+    sizes = np.linalg.norm(rows, axis=1, keepdims=True)
+    units = rows / np.where(sizes > 0, sizes, 1.0)
+    ids, asked = np.arange(len(units)), np.arange(0, len(units), 50)
+    found, compared = similarity.nearest_rows(ids[asked], units[asked], ids, units, 7)
+    scores = np.round(units[asked] @ units.T, 9)
+    expected = {q: [(i, s[i]) for i in np.lexsort((ids, -s))[:7]] for q, s in zip(asked.tolist(), scores)}
+    got = {q: list(zip(f["row"], f["score"])) for q, f in found.groupby("query")}
+    assert got == expected
+    assert compared < 0.2 * scores.size

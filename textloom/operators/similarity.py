@@ -21,6 +21,9 @@ from textloom.scale import running, settle, top_per_group
 
 BLOCK_ROWS = 2048
 MATRIX_ENTRIES = 4_000_000
+LEAF_ROWS = 128
+AXES = 10  # main axes of the boxes
+SLACK = 1e-7  # more than rounding can take off a distance between vectors of length one
 
 
 def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
@@ -243,6 +246,113 @@ def coherence(
     return df.sparkSession.createDataFrame(out, "statistic string, value double")
 
 
+def _best(ask_ids, ask_matrix, ids, matrix, k: int) -> pd.DataFrame:
+    """The k best rows per query, by comparing all."""
+    step = max(1, MATRIX_ENTRIES // max(len(ids), 1))
+    parts = []
+    for lo in range(0, len(ask_ids), step):
+        scores = np.round(ask_matrix[lo : lo + step] @ matrix.T, 9)
+        if scores.shape[1] > k:
+            floor = np.partition(scores, -k, axis=1)[:, -k]
+            asked, at = np.nonzero(scores >= floor[:, None])
+        else:
+            asked, at = (i.reshape(-1) for i in np.indices(scores.shape))
+        parts.append(pd.DataFrame({"query": ask_ids[lo + asked], "row": ids[at], "score": scores[asked, at]}))
+    return _cut(pd.concat(parts), k)
+
+
+def _slabs(batches, values: int):
+    """(ids, unit vectors) of the rows of many batches, some ``values`` numbers at a time."""
+    ids, rows, held = [], [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids.append(batch["id"].to_numpy())
+        rows.append(_matrix(batch["vec"]))
+        held += rows[-1].size
+        if held >= values:
+            yield np.concatenate(ids), np.concatenate(rows)
+            ids, rows, held = [], [], 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate(rows)
+
+
+def _leaves(matrix: np.ndarray, rows: int = LEAF_ROWS) -> list[np.ndarray]:
+    """Row numbers in leaves of near rows: halves along the widest axis, down to ``rows`` rows."""
+    out, todo = [], [np.arange(len(matrix))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        part = matrix[at]
+        order = np.argpartition(part[:, np.argmax(np.var(part, axis=0))], len(at) // 2)
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
+def _without_copies(ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with one vector, which tie for every query, the k smallest ids."""
+    _, same, times = np.unique(matrix, axis=0, return_inverse=True, return_counts=True)
+    if times.max() <= k:
+        return ids, matrix
+    order = pd.DataFrame({"same": same.reshape(-1), "id": ids}).sort_values(["same", "id"])
+    kept = order.groupby("same", sort=False).head(k).index.to_numpy()
+    return ids[kept], matrix[kept]
+
+
+def nearest_rows(ask_ids: np.ndarray, asks: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[pd.DataFrame, int]:
+    """The k best rows per query among vectors of length one (or zero), and how many pairs were compared.
+
+    Rows lie in leaves, and a leaf in a box along the main axes. A query meets the nearest leaf first; a leaf whose
+    box is too far from the query for its k-th score so far is left out, which loses nothing.
+    """
+    if len(ids) <= 2 * LEAF_ROWS or not (np.isfinite(matrix).all() and np.isfinite(asks).all()):
+        return _best(ask_ids, asks, ids, matrix, k), len(ask_ids) * len(ids)
+    ids, matrix = _without_copies(ids, matrix, k)
+    axes = np.linalg.eigh(np.cov(matrix, rowvar=False).reshape(matrix.shape[1], -1))[1][:, ::-1][:, :AXES]
+    turned = matrix @ axes
+    leaves = _leaves(turned)
+    held = [matrix[at] for at in leaves]
+    low = np.stack([turned[at].min(axis=0) for at in leaves]) - SLACK
+    high = np.stack([turned[at].max(axis=0) for at in leaves]) + SLACK
+    step, compared, parts = max(1, MATRIX_ENTRIES // len(leaves)), 0, []
+    for lo in range(0, len(ask_ids), step):
+        some = asks[lo : lo + step]
+        gap = np.zeros((len(some), len(leaves)))
+        for a, at in enumerate((some @ axes).T):
+            beside = np.maximum(low[:, a] - at[:, None], at[:, None] - high[:, a])
+            gap += np.square(np.maximum(beside, 0, out=beside), out=beside)
+        most = np.ascontiguousarray((1 + SLACK - gap / 2).T)  # no row of the leaf has a larger cosine
+        top = np.full((len(some), k), -np.inf)
+        floor = np.full(len(some), -np.inf)
+        found = []
+
+        def meet(leaf, asked):
+            scores = some[asked] @ held[leaf].T
+            reached = scores >= (floor[asked] - SLACK)[:, None]
+            row, at = np.nonzero(reached)
+            found.append((asked[row], leaves[leaf][at], np.round(scores[row, at], 9)))
+            better = np.flatnonzero(reached.any(axis=1))
+            both = np.concatenate([top[asked[better]], np.round(scores[better], 9)], axis=1)
+            top[asked[better]] = np.partition(both, -k, axis=1)[:, -k:]
+            floor[asked[better]] = top[asked[better]].min(axis=1)
+            return scores.size
+
+        own = np.argmax(most, axis=0)
+        order = np.argsort(own, kind="stable")
+        for asked in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            compared += meet(own[asked[0]], asked)
+        for leaf in range(len(leaves)):
+            asked = np.flatnonzero((most[leaf] >= floor) & (own != leaf))
+            if len(asked):
+                compared += meet(leaf, asked)
+        asked, at, score = (np.concatenate(c) for c in zip(*found))
+        last = score >= floor[asked]
+        parts.append(_cut(pd.DataFrame({"query": ask_ids[lo + asked[last]], "row": ids[at[last]], "score": score[last]}), k))
+    return pd.concat(parts), compared
+
+
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -257,7 +367,8 @@ def top_k(
     """The ``k`` corpus rows with the largest cosine per query: (query, row, score, rank).
 
     While the query vectors hold at most ``broadcast_values`` numbers they go to every task
-    as one matrix and the corpus is not shuffled; past that both sides meet in block pairs.
+    as one matrix and the corpus is not shuffled; a query leaves out the leaves of near rows that cannot
+    reach its k-th score (``nearest_rows``). Past that both sides meet in block pairs.
     Either way a task keeps only its k best per query. Scores are rounded to nine places
     before ranking and ties go to the smaller id.
     """
@@ -266,18 +377,7 @@ def top_k(
     schema = f"query {dict(asks.dtypes)['id']}, row {dict(docs.dtypes)['id']}, score double"
 
     def best(ask_ids, ask_matrix, ids, matrix):
-        """At least the k best per query: all that reach the k-th score of this batch."""
-        step = max(1, MATRIX_ENTRIES // max(len(ids), 1))
-        parts = []
-        for lo in range(0, len(ask_ids), step):
-            scores = np.round(ask_matrix[lo : lo + step] @ matrix.T, 9)
-            if scores.shape[1] > k:
-                floor = np.partition(scores, -k, axis=1)[:, -k]
-                asked, at = np.nonzero(scores >= floor[:, None])
-            else:
-                asked, at = (i.reshape(-1) for i in np.indices(scores.shape))
-            parts.append(pd.DataFrame({"query": ask_ids[lo + asked], "row": ids[at], "score": scores[asked, at]}))
-        return _cut(pd.concat(parts), k)
+        return _best(ask_ids, ask_matrix, ids, matrix, k)
 
     first = asks.first()
     width = len(first["vec"]) if first else 1
@@ -290,12 +390,10 @@ def top_k(
         )
 
         def scan(batches):
-            held = None
             names, matrix = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                found = best(names, matrix, batch["id"].to_numpy(), _matrix(batch["vec"]))
+            held = None
+            for ids, rows in _slabs(batches, MATRIX_ENTRIES):
+                found, _ = nearest_rows(names, matrix, ids, rows, k)
                 held = found if held is None else _cut(pd.concat([held, found]), k)
             if held is not None:
                 yield held
