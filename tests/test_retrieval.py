@@ -452,3 +452,29 @@ def test_nearest_rows_leaves_out_far_leaves():
     got = {q: list(zip(f["row"], f["score"])) for q, f in found.groupby("query")}
     assert got == expected
     assert compared < 0.2 * scores.size
+
+
+def test_scores_of_whole_rows_and_shared_keys(spark, monkeypatch):
+    """Documents that are one row are scored in it; keys of several rows, and null, are added up as postings."""
+    items = [(1, "red apple pie"), (2, "apple apple tree"), (2, "apple tree"), (2, "a red red sky"), (None, "red sky"), (None, "sky"), (3, None), (4, "blue")]
+    docs = spark.createDataFrame(items, "doc long, text string")
+    asks = spark.createDataFrame([(1, "red apple red"), (None, "sky"), (3, "nothing here"), (4, "")], "q long, text string")
+    asked = retrieval.query_terms(asks, "q", "text")
+    _, whole, n, _ = retrieval.postings(docs, "doc", "text", asked)
+    assert sorted(r["doc"] for r in whole.collect()) == [1, 3, 4] and n == 8
+    order = lambda row: tuple((v is None, v or 0) for v in row)
+    run = lambda: sorted(map(tuple, retrieval.bm25_scores(docs, asks, "doc", "text", "q", "text").collect()), key=order)
+    rows = run()
+    monkeypatch.setattr(retrieval, "VOCABULARY", 1)
+    assert run() == rows and len(rows) == 5
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_cut_leaves_few_rows_to_sort(spark, monkeypatch, kind):
+    monkeypatch.setattr(retrieval, "KEPT", 500)
+    scores = spark.range(20_000).select(
+        (F.col("id") % 3).alias("query"), F.col("id").cast(kind).alias("doc"), ((F.col("id") * 7919) % 50 / 10.0).alias("score")
+    ).unionByName(spark.createDataFrame([(0, None, 9.0), (1, "5", None), (2, "7", float("nan"))], "query long, doc string, score double").withColumn("doc", F.col("doc").cast(kind))).coalesce(2)
+    assert retrieval._first_cut(scores, 5).count() <= 2 * 15 + 3
+    every = retrieval.top_per_group(scores, ["query"], [F.desc("score"), F.asc("doc")], 5)
+    assert sorted(map(str, retrieval.cut(scores, 5).collect())) == sorted(map(str, every.collect()))

@@ -6,14 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as tx, vectors
 from textloom.operators import inverted
 from textloom.operators.similarity import _matrix, top_k
 from textloom.scale import (
-    Salted, best_per_group, fits, running, salted_join, settle, top_per_group,
+    best_per_group, fit_broadcast, fits, running, salted_join, settle, top_per_group,
 )
 
 # The usual BM25 parameters of inverted-index stores.
@@ -30,11 +33,12 @@ def query_terms(queries: DataFrame, query: str, text: str, stop_words=tx.STOP_WO
 
 
 def postings(corpus: DataFrame, doc: str, text: str, asked: DataFrame, stop_words=tx.STOP_WORDS):
-    """Postings of the asked terms, and the number and mean length of all documents.
+    """Postings of the asked terms, rows of whole documents, and the number and mean length of all documents.
 
     Where the asked terms fit a list, one pass over the texts leaves one small row per document: its
-    length and the tokens that some query asks for. Beyond that the counted terms of each document
-    are joined with the asked ones, and only what is asked is kept.
+    length and the tokens that some query asks for (``hits``). A document whose key is its own stays such a row; rows that share
+    a key, or have none, are counted as postings. Beyond the list the counted terms of each document
+    are joined with the asked ones, and only what is asked is kept; there are no whole rows then.
     """
     tokens = corpus.select(F.col(doc).alias("doc"), tx.terms(F.col(text), stop_words).alias("tokens"))
     words = asked.select("term").distinct()
@@ -43,13 +47,21 @@ def postings(corpus: DataFrame, doc: str, text: str, asked: DataFrame, stop_word
         wanted = F.expr(f"filter(tokens, t -> t IN ({listed}))") if listed else F.array().cast("array<string>")
         hits = settle(tokens.select("doc", F.size("tokens").alias("length"), wanted.alias("hits")))
         total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-        rows = hits.select("doc", "length", F.explode("hits").alias("term"))
-        counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    else:
-        total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-        rows = tokens.select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        counted = rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf")).join(words, "term", "left_semi")
-    return counted, total["n"], total["mean"] or 1.0
+        keys = hits.groupBy("doc").agg(F.count(F.lit(1)).alias("_n"))
+        shared = settle(keys.where("_n > 1 OR doc IS NULL").select(F.col("doc").alias("_shared")))
+        whole, rows = hits, hits.limit(0)
+        if not shared.isEmpty():
+            same, shared = F.col("doc").eqNullSafe(F.col("_shared")), fit_broadcast(shared)
+            whole, rows = hits.join(shared, same, "left_anti"), hits.join(shared, same, "left_semi")
+        return _counted(rows), whole, total["n"], total["mean"] or 1.0
+    total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+    rows = tokens.select("doc", F.size("tokens").alias("length"), F.col("tokens").alias("hits"))
+    return _counted(rows).join(words, "term", "left_semi"), None, total["n"], total["mean"] or 1.0
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(doc, length, term, tf) from rows of tokens."""
+    return rows.select("doc", "length", F.explode("hits").alias("term")).groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(
@@ -63,24 +75,120 @@ def bm25_scores(
     k1: float = K1,
     b: float = B,
 ) -> DataFrame:
-    """BM25 score of every document that shares a term with a query: (query, doc, score)."""
+    """BM25 score of every document that shares a term with a query: (query, doc, score).
+
+    A row of a whole document meets the weights of all queries inside its task, so its scores need no shuffle; where
+    the weights are too many for that, and for postings, they are joined by term and added up.
+    """
     asked = settle(query_terms(queries, query, query_text, stop_words))
-    counted, n, mean = postings(corpus, doc, text, asked, stop_words)
+    counted, whole, n, mean = postings(corpus, doc, text, asked, stop_words)
     counted = settle(counted)
-    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = counted.select("term")
+    if whole is not None:
+        held = held.unionByName(whole.select(F.explode(F.array_distinct("hits")).alias("term")))
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(frequency, "term").select("query", "term", (F.col("qtf") * idf).alias("weight"))
-    saturation = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    impact = counted.select("doc", "term", saturation.alias("impact"))
-    matched = salted_join(impact, settle(weighted), ["term"])
-    return matched.groupBy("query", "doc").agg(
-        F.round(F.sum(F.col("weight") * F.col("impact")), ROUND).alias("score")
+    weighted = settle(asked.join(frequency, "term").select("query", "term", (F.col("qtf") * idf).alias("weight")))
+    scored = None
+    if whole is not None and fits(weighted):
+        scored = _row_scores(whole, weighted, mean, k1, b)
+    elif whole is not None:
+        counted = counted.unionByName(_counted(whole))
+    if scored is None or not counted.isEmpty():
+        saturation = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+        impact = counted.select("doc", "term", saturation.alias("impact"))
+        matched = salted_join(impact, weighted, ["term"])
+        summed = matched.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+        scored = summed if scored is None else scored.unionByName(summed)
+    return scored.select("query", "doc", F.round("score", ROUND).alias("score"))
+
+
+SCORES = 500_000  # numbers of a table of some documents by all queries
+
+
+def _row_scores(whole: DataFrame, weighted: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
+    """(query, doc, score) of rows (doc, length, hits) that are one document each, for ``weighted`` of a bounded size."""
+    table = weighted.orderBy("term").toArrow().combine_chunks()
+    asks = table["query"].combine_chunks().dictionary_encode(null_encoding="encode") if len(table) else None
+    if asks is None:
+        return whole.sparkSession.createDataFrame([], f"query {dict(weighted.dtypes)['query']}, doc {dict(whole.dtypes)['doc']}, score double")
+    terms = table["term"].combine_chunks().dictionary_encode()
+    starts = np.searchsorted(terms.indices.to_numpy(), np.arange(len(terms.dictionary) + 1))  # numbered as they come, in order
+    shared = whole.sparkSession.sparkContext.broadcast(
+        (terms.dictionary, starts, asks.dictionary, asks.indices.to_numpy(), table["weight"].to_numpy())
     )
 
+    def score(batches):
+        words, starts, names, asked, weights = shared.value
+        step = max(1, SCORES // len(names))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            hits = batch.column("hits")
+            sizes = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
+            found = pc.index_in(hits.flatten(), value_set=words)
+            row = np.repeat(np.arange(batch.num_rows), sizes)[pc.is_valid(found).to_numpy(zero_copy_only=False)]
+            entry, tf = np.unique(row * len(words) + found.drop_null().to_numpy(), return_counts=True)
+            row, word = entry // len(words), entry % len(words)
+            length = pc.fill_null(batch.column("length"), 0).to_numpy(zero_copy_only=False)[row]
+            impact = (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / mean))
+            times = starts[word + 1] - starts[word]
+            ends = np.cumsum(times)
+            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times - starts[word], times)
+            pair = np.repeat(row, times) * len(names) + asked[at]
+            total = np.bincount(pair, weights[at] * np.repeat(impact, times), batch.num_rows * len(names))
+            met = np.flatnonzero(np.bincount(pair, minlength=len(total)))
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(met % len(names))), batch.column("doc").take(pa.array(met // len(names))), pa.array(total[met])],
+                names=["query", "doc", "score"],
+            )
+
+    return whole.mapInArrow(score, f"query {dict(weighted.dtypes)['query']}, doc {dict(whole.dtypes)['doc']}, score double")
+
+
+KEPT = 200_000  # rows of a task before its lists are cut again
+
+
+def _first_cut(scores: DataFrame, k: int) -> DataFrame:
+    """Rows of ``scores`` (query, doc, score) among the first ``k`` of their query in some rows of their task.
+
+    A task cuts its lists whenever ``KEPT`` further rows have come, so it never holds or sorts all of them. Scores that are no numbers and null
+    documents pass unseen; so does all where documents are neither whole numbers nor texts.
+    """
+    if not isinstance(scores.schema["doc"].dataType, (T.IntegralType, T.StringType)):
+        return scores
+
+    def cut_lists(table):
+        query = table["query"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        doc = table["doc"].combine_chunks()
+        doc = (doc if pa.types.is_integer(doc.type) else pc.rank(doc, tiebreaker="dense")).to_numpy()
+        order = np.lexsort((doc, -table["score"].to_numpy(), query))
+        ordered = query[order]
+        first = np.r_[0, np.flatnonzero(np.diff(ordered)) + 1]
+        place = np.arange(len(ordered)) - np.repeat(first, np.diff(np.r_[first, len(ordered)]))
+        return table.take(pa.array(order[place < k]))
+
+    def run(batches):
+        held, rows, least = [], 0, KEPT
+        for batch in batches:
+            plain = pc.and_(pc.is_valid(batch.column("doc")), pc.fill_null(pc.is_finite(batch.column("score")), False))
+            yield batch.filter(pc.invert(plain))
+            held.append(batch.filter(plain))
+            rows += held[-1].num_rows
+            if rows >= least:
+                table = cut_lists(pa.Table.from_batches(held))
+                if len(table) > 10 * KEPT:  # very many queries
+                    yield from table.to_batches()
+                    table = table.slice(0, 0)
+                held, rows = table.to_batches(), len(table)
+                least = 2 * rows + KEPT
+        if rows:
+            yield from cut_lists(pa.Table.from_batches(held)).to_batches()
+
+    return scores.mapInArrow(run, scores.schema)
+
 
 def cut(scores: DataFrame, k: int) -> DataFrame:
     """Top ``k`` of each query by score, ties to the smaller document."""
-    return top_per_group(scores, ["query"], [F.desc("score"), F.asc("doc")], k)
+    return top_per_group(_first_cut(scores, k), ["query"], [F.desc("score"), F.asc("doc")], k)
 
 
 def bm25(corpus, queries, doc, text, query, query_text, k: int = 10, **options) -> DataFrame:
