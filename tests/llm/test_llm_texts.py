@@ -396,6 +396,37 @@ def test_parted_pairs_are_whole(spark, cell, monkeypatch):
     ]
 
 
+@pytest.mark.parametrize("cell", [50, 2048])
+def test_pairs_of_a_large_draw_are_no_rows(spark, cell, monkeypatch):
+    """Three hundred variants of one text that do not link, and twins of some: decided in cells, without a table of their pairs."""
+    import random
+
+    from textloom.llm import simhash
+
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(3_000)]
+    base, texts = rnd.sample(words, 60), []
+    for i in range(300):
+        copy = list(base)
+        copy[rnd.randrange(5, 25)], copy[rnd.randrange(35, 55)] = f"new{i}", f"other{i}"
+        texts += [" ".join(copy), " ".join([*copy[:-1], f"last{i}"])] if i % 10 == 0 else [" ".join(copy)]
+    rnd.shuffle(texts)
+    sizes, settle = [], simhash.settle
+
+    def counted(df):
+        table = settle(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "settle", counted)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_similar(rows, "doc_id", "text").collect()}
+    assert kept == set(plain_similar(texts)) and len(kept) == 300
+    parts = -(-330 // cell)
+    assert max(sizes) <= 330 * max(43, 13 * parts)  # grid points, or the copies dealt over cells; pairs would be 43,132
+
+
 def test_similar_texts_edges(spark, odd):
     from textloom.llm import simhash
 

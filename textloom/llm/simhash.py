@@ -11,7 +11,7 @@ No pairs of a group are formed, so a group of any size costs as many rows as it
 Texts whose shingles are equal to four fifths differ in some ten bits, beyond any popcount grid. ``keep_similar``
 therefore takes further fingerprints, of a few shingles drawn alike from every text: similar texts agree in one of
 them. What met there or in the grid is verified by the similarity of all shingles. Members of a draw first meet three of its
-members; all pairs of a draw that this leaves in different groups meet afterwards.
+members; all pairs of a draw that this leaves in different groups are decided afterwards, in cells of bounded size, and never as rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
@@ -38,6 +39,10 @@ SIMILARITY = 0.8
 DRAWS = 12
 DRAWN = 3
 CELL = 2048
+CELL_SHINGLES = 2_000_000
+DENSE_SHARE = 256
+COLUMNS = 512
+PAIRS_AT_ONCE = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DRAW_SEEDS = np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 FIELD_ONES = sum(1 << 3 * i for i in range(SEGMENTS))
@@ -301,32 +306,135 @@ def candidates(classes: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-def parted_pairs(classes: DataFrame, near: DataFrame, linked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst): every pair of ``classes`` (id, size, fingerprint, drawn) that shares a draw, a fingerprint or a point of the
-    1-bit grid and is not yet linked.
+def parted_cells(classes: DataFrame, near: DataFrame, linked: DataFrame) -> DataFrame:
+    """(turn, point, x, y, part, id, root, size): the members of ``classes`` (id, size, fingerprint, drawn) that share a draw, a fingerprint
+    or a point of the 1-bit grid with one of another group, dealt over cells.
 
-    ``near`` holds the ``links`` of the fingerprints. ``linked`` (id, component) names the groups found so far; two members of one group need not meet again, and sizes so
-    far apart that the similarity is out of reach never link. All other pairs are formed, in cells of ``CELL`` by ``CELL``
-    members, so no task holds all pairs of a large group.
+    ``near`` holds the ``links`` of the fingerprints, ``linked`` (id, component) names the groups found so far. A draw's
+    members are dealt over parts of about ``CELL`` members and ``CELL_SHINGLES`` shingles at most, and every two parts (x <= y) meet in a cell, so no
+    task holds a large group.
     """
     named = settle(classes.join(linked, "id", "left").withColumn("root", F.coalesce("component", "id")))
     spots = named.select("id", "root", "size", F.posexplode(F.concat("drawn", F.array("fingerprint"))).alias("turn", "point"))
     ends = settle(near.select(F.explode(F.array("src", "dst")).alias("fingerprint")).distinct())
     grid = salted_join(named, ends, ["fingerprint"], "left_semi")
     spots = spots.unionByName(grid.select("id", "root", "size", F.lit(-1).alias("turn"), F.explode(bit_points(F.col("fingerprint"))).alias("point")))
+    sides = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("size") / CELL_SHINGLES)).cast("int")
     parted = settle(
-        spots.groupBy("turn", "point").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-        .where("_lo <> _hi").select("turn", "point", "_n")
+        spots.groupBy("turn", "point")
+        .agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"), sides.alias("sides"))
+        .where("_lo <> _hi").select("turn", "point", "_n", "sides")
     )
-    met = Salted(spots, ["turn", "point"], counts=parted).join(parted)
-    sides = F.ceil(F.col("_n") / CELL).cast("int")
-    dealt = settle(met.withColumn("sides", sides).withColumn("part", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int")))
-    every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    left = dealt.select("turn", "point", F.col("part").alias("x"), every.alias("y"), F.col("id").alias("src"), F.col("root").alias("_r"), F.col("size").alias("_s"))
-    right = dealt.select("turn", "point", F.col("part").alias("y"), every.alias("x"), F.col("id").alias("dst"), "root", "size")
-    pairs = left.join(right.hint("merge"), ["turn", "point", "x", "y"])
-    near = F.least("_s", "size") >= F.lit(similarity) * F.greatest("_s", "size")
-    return pairs.where((F.col("src") < F.col("dst")) & (F.col("_r") != F.col("root")) & near).select("src", "dst").distinct()
+    met = Salted(spots, ["turn", "point"], counts=parted.select("turn", "point", "_n")).join(parted.drop("_n"))
+    part, other = F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"), F.col("other")
+    every = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    cell = [F.least("part", other).alias("x"), F.greatest("part", other).alias("y")]
+    return every.select("turn", "point", *cell, "part", "id", "root", "size")
+
+
+def parted_pairs(classes: DataFrame, near: DataFrame, linked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst): every pair of ``parted_cells`` of different groups, as rows; sizes so far apart that the similarity is
+    out of reach never link."""
+    dealt = settle(parted_cells(classes, near, linked))
+    cell = ["turn", "point", "x", "y"]
+    left = dealt.select(*cell, F.col("id").alias("src"), F.col("root").alias("_r"), F.col("size").alias("_s"), F.col("part").alias("_p"))
+    pairs = left.join(dealt.withColumnRenamed("id", "dst").hint("merge"), cell)
+    reach = F.least("_s", "size") >= F.lit(similarity) * F.greatest("_s", "size")
+    across = (F.col("x") == F.col("y")) | (F.col("_p") != F.col("part"))
+    return pairs.where((F.col("src") < F.col("dst")) & (F.col("_r") != F.col("root")) & across & reach).select("src", "dst").distinct()
+
+
+def parted_links(cells: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst): links between members of different groups, enough to connect all that are similar.
+
+    ``cells`` are ``parted_cells`` and ``sets`` (id, shingles) their texts. All pairs of a cell are decided in the task that holds it, by the
+    common shingles of its two parts as one table of counts; a cell returns fewer links than twice its members, so no pairs become rows.
+    """
+    whole = salted_join(cells.select("turn", "point", "x", "y", "part", "id", "root"), sets, ["id"])
+    kinds = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def decide(table: pa.Table) -> pa.Table:
+        x, part = table.column("x")[0].as_py(), table.column("part").to_numpy()
+        ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+        shingles = table.column("shingles").combine_chunks()
+        sizes = pa.compute.list_value_length(shingles).to_numpy(zero_copy_only=False)
+        owner, hashes = np.repeat(np.arange(len(ids)), sizes), shingles.flatten().to_numpy()
+        mine = np.flatnonzero(part == x)
+        others = mine if table.column("y")[0].as_py() == x else np.flatnonzero(part != x)
+        common = common_counts(owner, hashes, mine, others, len(ids))
+        union = sizes[mine][:, None] + sizes[others][None, :] - common
+        alike = (common >= similarity * np.maximum(union, 1) - 1e-6) & (roots[mine][:, None] != roots[others][None, :])
+        a, b = np.nonzero(alike)
+        alike[a, b] = common[a, b] / union[a, b] >= similarity
+        pairs = spanning_pairs(alike)
+        return pa.table([pa.array(ids[mine[pairs[:, 0]]]), pa.array(ids[others[pairs[:, 1]]])], schema=kinds)
+
+    return whole.groupBy("turn", "point", "x", "y").applyInArrow(decide, "src long, dst long").distinct()
+
+
+def common_counts(owner: np.ndarray, hashes: np.ndarray, mine: np.ndarray, others: np.ndarray, n: int) -> np.ndarray:
+    """How many hashes each row of ``mine`` has in common with each of ``others``; ``owner`` names the row of every hash.
+
+    Frequent hashes are counted by matrix products of some hundred columns each, the others by their few pairs.
+    """
+    common = np.zeros((len(mine), len(others)), np.float32)
+    place = np.full((2, n), -1)
+    place[0, mine], place[1, others] = np.arange(len(mine)), np.arange(len(others))
+    values, column = np.unique(hashes, return_inverse=True)
+    sides = []
+    for at in place:
+        here = at[owner] >= 0
+        order = np.argsort(column[here], kind="stable")
+        sides.append((at[owner][here][order], column[here][order]))
+    many = [np.bincount(c, minlength=len(values)) for _, c in sides]
+    product = many[0] * many[1]
+    dense = product * DENSE_SHARE > common.size
+    starts = [np.cumsum(m) - m for m in many]
+    columns = np.flatnonzero(dense)
+    for at in range(0, len(columns), COLUMNS):
+        chosen = np.full(len(values), -1)
+        chosen[columns[at : at + COLUMNS]] = np.arange(len(columns[at : at + COLUMNS]))
+        flags = []
+        for (rows, cols), size in zip(sides, common.shape):
+            held = chosen[cols] >= 0
+            flag = np.zeros((size, COLUMNS), np.float32)
+            flag[rows[held], chosen[cols[held]]] = 1
+            flags.append(flag)
+        common += flags[0] @ flags[1].T
+    rare = np.flatnonzero(~dense & (product > 0))
+    flat = common.reshape(-1)
+    ends = np.cumsum(product[rare])
+    at = 0
+    while at < len(rare):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        some = rare[at:stop]
+        of = np.repeat(some, product[some])
+        step = np.arange(len(of)) - np.repeat(np.cumsum(product[some]) - product[some], product[some])
+        left = sides[0][0][starts[0][of] + step // many[1][of]]
+        right = sides[1][0][starts[1][of] + step % many[1][of]]
+        found, times = np.unique(left * len(others) + right, return_counts=True)
+        flat[found] += times
+        at = stop
+    return common.astype(np.int64)
+
+
+def spanning_pairs(alike: np.ndarray) -> np.ndarray:
+    """Pairs (row, column) of a table of links that connect what all its links connect, each row and column found once."""
+    new_rows, new_columns = alike.any(axis=1), alike.any(axis=0)
+    pairs = []
+    for first in np.flatnonzero(new_rows).tolist():
+        if not new_rows[first]:
+            continue
+        new_rows[first] = False
+        ahead = [(first, True)]
+        while ahead:
+            at, is_row = ahead.pop()
+            new = new_columns if is_row else new_rows
+            found = np.flatnonzero((alike[at] if is_row else alike[:, at]) & new)
+            new[found] = False
+            pairs += [(at, k) if is_row else (k, at) for k in found.tolist()]
+            ahead += [(k, not is_row) for k in found.tolist()]
+    return np.array(pairs, np.int64).reshape(-1, 2)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -359,23 +467,23 @@ def keep_similar(
             F.monotonically_increasing_id().alias("id"), F.xxhash64("same").alias("spot"), "_best", "size", "fingerprint", "drawn"
         )
     )
-    def verified(pairs: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
         wanted = settle(
-            pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-            .join(classes.select("id", "_best"), "id").select("id", F.col("_best.k").alias("of"), F.col("_best.m").alias("by"))
+            ids.join(classes.select("id", "_best"), "id").select("id", F.col("_best.k").alias("of"), F.col("_best.m").alias("by"))
         )
         if fits(wanted):
             wanted = F.broadcast(wanted)
         met = marked.join(wanted, F.col("k").eqNullSafe(F.col("of")) & (F.col("m") == F.col("by")))
-        sets = settle(shingle_sets(met, "id", "text", words_per_shingle).dropDuplicates(["id"]))
-        return settle(similar_pairs(pairs, sets, similarity))
+        return settle(shingle_sets(met, "id", "text", words_per_shingle).dropDuplicates(["id"]))
 
     near = settle(links(classes))
-    edges = verified(settle(candidates(classes, near)))
+    first = settle(candidates(classes, near))
+    ids = first.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    edges = settle(similar_pairs(first, sets_of(ids), similarity))
     linked = settle(components(edges).select("id", "component"))
-    later = settle(parted_pairs(classes, near, linked, similarity))
-    if not later.isEmpty():
-        more = verified(later)
+    cells = settle(parted_cells(classes, near, linked))
+    if not cells.isEmpty():
+        more = settle(parted_links(cells, sets_of(cells.select("id").distinct()), similarity))
         if not more.isEmpty():
             linked = components(edges.unionByName(more)).select("id", "component")
     best = (
