@@ -297,3 +297,20 @@ def test_pending_runs(spark):
     wanted = spark.createDataFrame([("e", "ppo", 0), ("e", "ppo", 1)], "env_id string, algo_name string, seed int")
     logged = spark.createDataFrame([("e", "ppo", 0)], wanted.schema)
     assert [r["seed"] for r in runs.pending(wanted, logged).collect()] == [1]
+
+
+def test_chunks_across_slices(spark):
+    """Chunks are built as Arrow columns, some texts at a time; empty and null texts have an empty list."""
+    from textloom.operators import chunks
+
+    texts = ["", None, "  one  two\n\nthree", "x" * 70, "é word " * 30]
+    rows = [(i, texts[i % len(texts)]) for i in range(2 * chunks.AT_ONCE + 3)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    listed = chunks.chunk_lists(df, "text", 20, 5)
+    got = {r["id"]: r for r in listed.withColumn("stand", chunks.chunks_stand(F.col("text"), F.col("chunks"))).collect()}
+    assert len(got) == len(rows) and all(r["stand"] for r in got.values())
+    for i, text in rows:
+        assert [c.asDict() for c in got[i]["chunks"]] == chunks._chunks(text, 20, 5)
+    moved = F.transform("chunks", lambda c: c.withField("start", c["start"] + 1))
+    assert not listed.where("id = 2").select(chunks.chunks_stand(F.col("text"), moved)).first()[0]
+    assert listed.limit(0).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from textloom.functions import text as tx
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 CHUNK_TYPE = "array<struct<no:int,start:int,end:int,chunk:string>>"
+CHUNK_FIELDS = pa.schema([("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("chunk", pa.string())])
+AT_ONCE = 128  # texts whose chunks are Python strings at once
 
 
 def _cuts(text: str, lo: int, hi: int, mark: str) -> Iterator[tuple[int, int]]:
@@ -73,14 +75,27 @@ def _chunks(text: str | None, size: int, overlap: int) -> list[dict]:
     return out
 
 
+def _chunk_array(texts: pa.Array, size: int, overlap: int) -> pa.Array:
+    """The chunks of a few texts, as Arrow columns instead of an object per chunk."""
+    ends, columns = [0], {name: [] for name in CHUNK_FIELDS.names}
+    for text in texts:
+        for found in _chunks(text.as_py(), size, overlap):
+            for name, values in columns.items():
+                values.append(found[name])
+        ends.append(len(columns["no"]))
+    held = pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in CHUNK_FIELDS], fields=list(CHUNK_FIELDS))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+
+
 def split_text(text: Column, size: int = 1024, overlap: int = 0) -> Column:
     """Chunks of at most ``size`` characters as an array, one Arrow batch at a time."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
 
-    @F.pandas_udf(CHUNK_TYPE)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _chunks(t, size, overlap))
+    @F.arrow_udf(CHUNK_TYPE)
+    def split(texts: pa.Array) -> pa.Array:
+        pieces = [_chunk_array(texts.slice(at, AT_ONCE), size, overlap) for at in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(pieces or [_chunk_array(texts, size, overlap)])
 
     return split(text)
 
@@ -119,9 +134,10 @@ def chunk_arrays(df: DataFrame, name: str, text: str, size: int = 1024, overlap:
 def chunks_stand(text: Column, chunks: Column) -> Column:
     """Whether every chunk of a list stands at its offsets in the text, in one walk over both."""
 
-    @F.pandas_udf("boolean")
-    def check(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def check(texts: pa.Array, lists: pa.Array) -> pa.Array:
         stands = lambda t, found: all(t[c["start"] : c["end"]] == c["chunk"] for c in found)
-        return pd.Series([t is None or found is None or stands(t, found) for t, found in zip(texts, lists)])
+        rows = ((t.as_py(), found.as_py()) for t, found in zip(texts, lists))
+        return pa.array([t is None or found is None or stands(t, found) for t, found in rows], pa.bool_())
 
     return check(text, chunks)
