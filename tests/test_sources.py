@@ -124,3 +124,19 @@ def test_row_wise_operators_run_on_a_stream(spark, tmp_path):
     ]):
         got = drain(make(stream), f"out{i}")
         assert got and got == plain(make(rows))
+
+
+def test_notes_are_written_by_all_cores(spark):
+    from pathlib import Path
+
+    from textloom import scale
+    from textloom.plans import source_plans
+    from textloom.plans.registry import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    rows = spark.range(0, 40, 1, 1).selectExpr("id AS s_suppkey", "concat('n', id) AS s_name", "int(id % 25) AS s_nationkey")
+    tables.supplier = rows
+    before = set(scale._WRITTEN)
+    assert source_plans.load_notes_dir(tables).count() == 80
+    parts = {f.name[:10] for p in set(scale._WRITTEN) - before for f in Path(p).rglob("note=*/part-*")}
+    assert len(parts) > 1

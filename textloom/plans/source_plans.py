@@ -397,7 +397,8 @@ def load_notes_dir(t):
             F.lit("]["), "n_name", F.lit("]]"),
         ).alias("value"),
     )
-    files.write.partitionBy("note").text(base)
+    tasks = max(t.spark.sparkContext.defaultParallelism, math.ceil(t.supplier.count() / 1000))
+    files.repartition(tasks, "note").write.partitionBy("note").text(base)
     read = readers.load_whole_files(t.spark, base)
     found = note_elements(read, name_pattern=r"note=([^/]+)/")
     return found.select(
