@@ -140,3 +140,17 @@ def test_notes_are_written_by_all_cores(spark):
     assert source_plans.load_notes_dir(tables).count() == 80
     parts = {f.name[:10] for p in set(scale._WRITTEN) - before for f in Path(p).rglob("note=*/part-*")}
     assert len(parts) > 1
+
+
+def test_pages_of_one_row_group_are_parsed_by_all_cores(spark, tmp_path):
+    from textloom.plans import scalar_plans
+    from textloom.plans.registry import Tables
+
+    text = "concat('n', id)"
+    rows = spark.range(0, 400, 1, 1).selectExpr(
+        "id AS p_partkey", f"{text} AS p_name", f"{text} AS p_brand", f"{text} AS p_type", "int(id % 50) AS p_size"
+    )
+    rows.write.parquet(str(tmp_path / "part.parquet"))
+    pages = scalar_plans.paper_pages(Tables(spark, str(tmp_path)))
+    tasks = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 400 and len(tasks) >= 4 and max(tasks) <= 200

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates, links, text as tx, vectors
 from textloom.plans.registry import plan
-from textloom.scale import fit_broadcast
+from textloom.scale import dealt, fit_broadcast
 from textloom.sources import markup
 
 # Texts with links, headings and addresses are built from the part and nation names.
@@ -222,7 +222,8 @@ def paper_pages(t):
         F.lit('</title><style>x</style></head><body><blockquote class="abstract mathjax">Abstract: On &amp; about '), "p_name",
         F.lit('</blockquote><ul class="ltx_biblist">'), item, item, F.lit("</ul></body></html>"),
     )
-    return t.part.select("p_partkey", html.alias("html"))
+    parts = dealt(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return parts.select("p_partkey", html.alias("html"))
 
 
 @plan(
