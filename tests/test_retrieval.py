@@ -478,3 +478,73 @@ def test_cut_leaves_few_rows_to_sort(spark, monkeypatch, kind):
     assert retrieval._first_cut(scores, 5).count() <= 2 * 15 + 3
     every = retrieval.top_per_group(scores, ["query"], [F.desc("score"), F.asc("doc")], 5)
     assert sorted(map(str, retrieval.cut(scores, 5).collect())) == sorted(map(str, every.collect()))
+
+
+def test_many_queries_meet_only_cells_in_reach(spark, monkeypatch):
+    """Cells of near rows find what all pairs do: with copies of a vector, zero vectors and queries that share an id."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(4000, 5)) * np.array([3, 2, 1, 1, 0.5]) + np.array([4, 0, 0, 0, 0])
+    rows[1000:1900], rows[2500:2510] = rows[7], 0
+    docs = spark.createDataFrame([(f"r{i:04d}", [float(x) for x in v]) for i, v in enumerate(rows)], "id string, vec array<double>").cache()
+    asks = docs.where("id like '%3'").select(F.when(F.col("id") < "r0050", "many").otherwise(F.col("id")).alias("id"), "vec")
+    sides = (asks, docs, "id", "vec", "id", "vec", 7)
+    search = lambda **more: sorted(map(tuple, similarity.top_k(*sides, **more).collect()))
+    want = search()
+    assert len(want) == 7 * asks.select("id").distinct().count()
+    assert search(block_rows=300, broadcast_values=1) == want
+    monkeypatch.setattr(similarity, "ASK_VALUES", 500)  # queries in several parts
+    assert search(block_rows=2000, broadcast_values=1) == want
+
+
+def test_rows_below_a_floor_are_left_out():
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(3000, 4))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    ids, asked = np.arange(len(units)), np.arange(0, 3000, 100)
+    scores = np.round(units[asked] @ units.T, 9)
+    floors = np.sort(scores, axis=1)[:, -3]
+    found, compared = similarity.nearest_rows(ids[asked], units[asked], ids, units, 9, floors)
+    assert all(sorted(f["score"]) == sorted(np.sort(scores[ids[asked].tolist().index(q)])[-3:]) for q, f in found.groupby("query"))
+    assert len(found) == 3 * len(asked) and compared < similarity.nearest_rows(ids[asked], units[asked], ids, units, 9)[1]
+
+
+def test_letter_profile_counts_letters_of_any_text():
+    from textloom.plans.retrieval_plans import letter_profile
+
+    texts = ["", "Eat HERE", "éèß ſ İ ñ tt", "😀 enso\ud800", "K Å Ho"]
+    want = [[1e-3] + [t.lower().count(v) / max(len(t), 1) for v in "etaonihsrl"] for t in texts]
+    assert letter_profile(texts).tolist() == want and letter_profile([]).shape == (0, 11)
+
+
+def test_chunk_borders_are_found_by_leaps(monkeypatch):
+    """The same spans as cutting at every separator and joining, without a span for every word."""
+    import random
+
+    from textloom.operators import chunks
+
+    draw, cuts = random.Random(4), []
+    whole = chunks._cuts
+
+    def slow(text, size, lo, hi, level):  # every piece of the text becomes a span
+        fitting = []
+        for a, b in whole(text, lo, hi, chunks.SEPARATORS[level]):
+            if b - a < size:
+                fitting.append((a, b))
+                continue
+            yield from chunks._pack(fitting, size, 0)
+            fitting = []
+            below = level + 1
+            while below < 3 and text.find(chunks.SEPARATORS[below], a, b) == -1:
+                below += 1
+            yield from ((a, b),) if level == 3 else slow(text, size, a, b, below)
+        yield from chunks._pack(fitting, size, 0)
+
+    monkeypatch.setattr(chunks, "_cuts", lambda *a: cuts.append(a) or whole(*a))
+    for _ in range(3000):
+        text = "".join(draw.choice(draw.choice(["ab \n", "ab ", "abc", "a\n"])) for _ in range(draw.randrange(60))).replace("\n\n", "\n")
+        size = draw.randrange(1, 14)
+        level = 0
+        while level < 3 and chunks.SEPARATORS[level] not in text:
+            level += 1
+        assert list(chunks.chunk_spans(text, size, 0)) == list(slow(text, size, 0, len(text), level)), (text, size)
+    assert all(a[3] == "\n\n" for a in cuts)

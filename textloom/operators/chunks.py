@@ -45,11 +45,35 @@ def _pack(spans: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tup
         yield spans[first][0], spans[-1][1]
 
 
+def _leaps(text: str, size: int, lo: int, hi: int, level: int) -> Iterator[tuple[int, int]]:
+    """The chunks of text[lo:hi] without overlap at a separator of one character or none, from border to border."""
+    mark = SEPARATORS[level]
+    if not mark:
+        yield from ((i, min(i + size, hi)) for i in range(lo, hi, size))
+        return
+    while lo < hi:
+        last = text.rfind(mark, lo + 1, min(lo + size + 1, hi))
+        if hi - lo < size or (hi - lo == size and last != -1):
+            yield lo, hi
+            return
+        if last == -1 or (last == lo + size and text.find(mark, lo + 1, last) == -1):  # one span of size or more
+            end = last if last != -1 else text.find(mark, lo + 1, hi)
+            end = hi if end == -1 else end
+            yield from chunk_spans(text, size, 0, lo, end, level + 1)
+        else:
+            end = last
+            yield lo, end
+        lo = end
+
+
 def chunk_spans(text: str, size: int, overlap: int, lo: int = 0, hi: int | None = None, level: int = 0):
     """(start, end) of the chunks of a text, before trimming."""
     hi = len(text) if hi is None else hi
     while level < len(SEPARATORS) - 1 and text.find(SEPARATORS[level], lo, hi) == -1:
         level += 1
+    if not overlap and len(SEPARATORS[level]) < 2:
+        yield from _leaps(text, size, lo, hi, level)
+        return
     fitting: list[tuple[int, int]] = []
     for a, b in _cuts(text, lo, hi, SEPARATORS[level]):
         if b - a < size:

@@ -12,17 +12,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.scale import running, settle, top_per_group
+from textloom.scale import kept, running, settle, top_per_group
 
 BLOCK_ROWS = 2048
 MATRIX_ENTRIES = 4_000_000
 LEAF_ROWS = 128
 AXES = 10  # main axes of the boxes
+CELL_VALUES = 2_000_000  # numbers of the rows of a cell
+ASK_VALUES = 8_000_000  # numbers of the queries that a cell meets at once
 SLACK = 1e-7  # more than rounding can take off a distance between vectors of length one
 
 
@@ -32,7 +35,10 @@ def block_count(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
 
 def _matrix(column) -> np.ndarray:
     """Vectors over their length as rows; zero vectors stay zero."""
-    rows = np.stack(list(column)).astype(np.float64)
+    return _units_of(np.stack(list(column)).astype(np.float64))
+
+
+def _units_of(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(size > 0, size, 1.0)
 
@@ -301,31 +307,43 @@ def _without_copies(ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.nda
     return ids[kept], matrix[kept]
 
 
-def nearest_rows(ask_ids: np.ndarray, asks: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[pd.DataFrame, int]:
+def _main_axes(matrix: np.ndarray) -> np.ndarray:
+    return np.linalg.eigh(np.cov(matrix, rowvar=False).reshape(matrix.shape[1], -1))[1][:, ::-1][:, :AXES]
+
+
+def _boxed(low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Per box and point the largest cosine that a row of the box can have; both lie along the main axes."""
+    gap = np.zeros((len(points), len(low)))
+    for a, at in enumerate(points.T):
+        beside = np.maximum(low[:, a] - SLACK - at[:, None], at[:, None] - high[:, a] - SLACK)
+        gap += np.square(np.maximum(beside, 0, out=beside), out=beside)
+    return np.ascontiguousarray((1 + SLACK - gap / 2).T)
+
+
+def nearest_rows(
+    ask_ids: np.ndarray, asks: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, floors: np.ndarray | None = None
+) -> tuple[pd.DataFrame, int]:
     """The k best rows per query among vectors of length one (or zero), and how many pairs were compared.
 
     Rows lie in leaves, and a leaf in a box along the main axes. A query meets the nearest leaf first; a leaf whose
-    box is too far from the query for its k-th score so far is left out, which loses nothing.
+    box is too far from the query for its k-th score so far is left out, which loses nothing. ``floors`` are k-th scores the
+    queries have among other rows; rows below them are left out too.
     """
     if len(ids) <= 2 * LEAF_ROWS or not (np.isfinite(matrix).all() and np.isfinite(asks).all()):
         return _best(ask_ids, asks, ids, matrix, k), len(ask_ids) * len(ids)
     ids, matrix = _without_copies(ids, matrix, k)
-    axes = np.linalg.eigh(np.cov(matrix, rowvar=False).reshape(matrix.shape[1], -1))[1][:, ::-1][:, :AXES]
+    axes = _main_axes(matrix)
     turned = matrix @ axes
     leaves = _leaves(turned)
     held = [matrix[at] for at in leaves]
-    low = np.stack([turned[at].min(axis=0) for at in leaves]) - SLACK
-    high = np.stack([turned[at].max(axis=0) for at in leaves]) + SLACK
+    low = np.stack([turned[at].min(axis=0) for at in leaves])
+    high = np.stack([turned[at].max(axis=0) for at in leaves])
     step, compared, parts = max(1, MATRIX_ENTRIES // len(leaves)), 0, []
     for lo in range(0, len(ask_ids), step):
         some = asks[lo : lo + step]
-        gap = np.zeros((len(some), len(leaves)))
-        for a, at in enumerate((some @ axes).T):
-            beside = np.maximum(low[:, a] - at[:, None], at[:, None] - high[:, a])
-            gap += np.square(np.maximum(beside, 0, out=beside), out=beside)
-        most = np.ascontiguousarray((1 + SLACK - gap / 2).T)  # no row of the leaf has a larger cosine
+        most = _boxed(low, high, some @ axes)
         top = np.full((len(some), k), -np.inf)
-        floor = np.full(len(some), -np.inf)
+        floor = np.full(len(some), -np.inf) if floors is None else floors[lo : lo + step].copy()
         found = []
 
         def meet(leaf, asked):
@@ -336,21 +354,191 @@ def nearest_rows(ask_ids: np.ndarray, asks: np.ndarray, ids: np.ndarray, matrix:
             better = np.flatnonzero(reached.any(axis=1))
             both = np.concatenate([top[asked[better]], np.round(scores[better], 9)], axis=1)
             top[asked[better]] = np.partition(both, -k, axis=1)[:, -k:]
-            floor[asked[better]] = top[asked[better]].min(axis=1)
+            floor[asked[better]] = np.maximum(floor[asked[better]], top[asked[better]].min(axis=1))
             return scores.size
 
         own = np.argmax(most, axis=0)
         order = np.argsort(own, kind="stable")
-        for asked in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        order = order[most[own[order], order] >= floor[order]]
+        for asked in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else ():
             compared += meet(own[asked[0]], asked)
         for leaf in range(len(leaves)):
             asked = np.flatnonzero((most[leaf] >= floor) & (own != leaf))
             if len(asked):
                 compared += meet(leaf, asked)
+        if not found:
+            continue
         asked, at, score = (np.concatenate(c) for c in zip(*found))
         last = score >= floor[asked]
         parts.append(_cut(pd.DataFrame({"query": ask_ids[lo + asked[last]], "row": ids[at[last]], "score": score[last]}), k))
-    return pd.concat(parts), compared
+    return (pd.concat(parts) if parts else _no_rows()), compared
+
+
+def _no_rows() -> pd.DataFrame:
+    return pd.DataFrame({"query": [], "row": [], "score": np.zeros(0)})
+
+
+def _cuts(points: np.ndarray, cells: int) -> list[tuple[int, float, int, int]]:
+    """A tree of (axis, cut, below, above) over sampled points, halves along the widest axis; ~c is cell c."""
+    tree, todo = [], [(points, cells, 0, None)]
+    while todo:
+        some, n, first, parent = todo.pop()
+        if parent is not None:
+            at, side = parent
+            tree[at][side] = len(tree) if n > 1 else ~first
+        if n > 1:
+            axis = int(np.argmax(np.var(some, axis=0))) if len(some) else 0
+            cut = float(np.quantile(some[:, axis], (n // 2) / n)) if len(some) else 0.0
+            below = some[:, axis] <= cut
+            tree.append([axis, cut, None, None])
+            todo += [(some[below], n // 2, first, (len(tree) - 1, 2)), (some[~below], n - n // 2, first + n // 2, (len(tree) - 1, 3))]
+    return [tuple(node) for node in tree]
+
+
+def _cell_numbers(points: np.ndarray, tree: list[tuple[int, float, int, int]]) -> np.ndarray:
+    out, todo = np.zeros(len(points), np.int64), [(0, np.arange(len(points)))] if tree else []
+    while todo:
+        node, at = todo.pop()
+        if node < 0:
+            out[at] = ~node
+        elif len(at):
+            axis, cut, below, above = tree[node]
+            under = points[at, axis] <= cut
+            todo += [(below, at[under]), (above, at[~under])]
+    return out
+
+
+def _names(column: pa.ChunkedArray) -> np.ndarray:
+    plain = column.null_count == 0 and not pa.types.is_nested(column.type)
+    return column.to_numpy() if plain else pd.Series(column.to_pylist(), dtype=object).to_numpy()
+
+
+def _bytes(matrix: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    size = matrix.shape[1] * 8
+    ends = np.arange(len(matrix) + 1, dtype=np.int64) * size
+    data = np.ascontiguousarray(matrix, dtype=np.float64)
+    return pa.Array.from_buffers(pa.large_binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+
+
+class _Near:
+    """Corpus rows dealt into cells of near rows, for queries too many to go to every task.
+
+    Cells are cut along the main axes of a sample, which only shapes them. A query meets its own cell first. The k-th score it
+    finds there is a floor, and only cells whose box a row at the floor can lie in are met then, so nothing is lost
+    and a task returns no rows below the floor.
+    """
+
+    def __init__(self, asks: DataFrame, docs: DataFrame, kinds: tuple[str, str], width: int, k: int, cell_rows: int):
+        self.kinds, self.width, self.k = kinds, width, k
+        spark, rows, many = docs.sparkSession, docs.count(), asks.count()
+        cores = int(spark.sparkContext.defaultParallelism)
+        cells = max(1, math.ceil(rows / cell_rows), min(4 * cores, math.ceil(rows / (32 * LEAF_ROWS))))
+        wanted = max(20_000, 64 * cells)
+        some = docs.select("vec") if rows <= wanted else docs.select("vec").sample(False, wanted / rows, 42)
+        sample = [r["vec"] for r in some.collect()]
+        sample = _matrix(sample) if sample else np.zeros((0, width))
+        sample = sample[np.isfinite(sample).all(axis=1)]
+        self.axes = _main_axes(sample) if len(sample) > 1 else np.eye(width)[:, :AXES]
+        tree = _cuts(sample @ self.axes, cells) if cells > 1 else []
+        laid = settle(self._dealt(docs, tree, kinds[1]))
+        # a cell of many rows, such as those of one vector, is split again
+        held = {r["cell"]: r["n"] for r in laid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        split = [max(1, math.ceil(held.get(c, 0) / (2 * cell_rows))) for c in range(cells)]
+        first = np.concatenate([[0], np.cumsum(split)]).tolist()
+        numbered = F.get(F.lit(first), F.col("cell").cast("int")) + F.pmod(F.xxhash64("id", "vec"), F.get(F.lit(split), F.col("cell").cast("int")))
+        parts = max(1, math.ceil(many * width / ASK_VALUES))
+        part = F.pmod(F.xxhash64("id"), F.lit(parts))
+        docs_in = laid.withColumn("cell", numbered.cast("long"))
+        self.docs = docs_in.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+        self.asks = self._dealt(asks, tree, kinds[0]).withColumn("cell", numbered.cast("long")).withColumn("part", part).withColumn("floor", F.lit(float("-inf")))
+
+    def _dealt(self, df: DataFrame, tree: list, kind: str) -> DataFrame:
+        axes, width = self.axes, self.width
+
+        def deal(batches):
+            for batch in batches:
+                values = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
+                units = _units_of(values.reshape(batch.num_rows, -1).astype(np.float64)) if batch.num_rows else np.zeros((0, width))
+                cell = pa.array(_cell_numbers(units @ axes, tree))
+                yield pa.RecordBatch.from_arrays([cell, batch.column("id"), _bytes(units)], names=["cell", "id", "vec"])
+
+        return df.mapInArrow(deal, f"cell long, id {kind}, vec binary")
+
+    def found(self) -> DataFrame:
+        """(query, row, score): the k best rows of every query, among others."""
+        query, row = self.kinds
+        axes, width, k = self.axes, self.width, self.k
+        both = f"query {query}, row {row}, score double"
+
+        def search(names, asks, docs):
+            floors, ids = asks["floor"].to_numpy(), _names(docs["id"])
+            if not len(ids) or not len(names):
+                return _no_rows()
+            return nearest_rows(names, _rows(asks["vec"], width), ids, _rows(docs["vec"], width), k, floors)[0]
+
+        def column(values, like):
+            return pa.array(values, like["id"].type, from_pandas=True)
+
+        def own(key, docs, asks):
+            got = search(np.arange(len(asks)), asks, docs)  # ids may repeat, so places stand for them
+            at, scores = got["query"].to_numpy(np.int64), got["score"].to_numpy(np.float64)
+            floors = np.full(len(asks), np.inf)
+            np.minimum.at(floors, at, scores)
+            floors[(np.bincount(at, minlength=len(asks)) < k) | ~np.isfinite(floors)] = -np.inf
+            points = _rows(docs["vec"], width) @ axes
+            names = asks["id"].combine_chunks()
+            out = [
+                {"query": names.take(pa.array(at)), "row": column(got["row"], docs), "score": pa.array(scores)},
+                {"query": names, "vec": asks["vec"].combine_chunks(), "floor": pa.array(floors)},
+            ]
+            if len(points):
+                out.append({"low": pa.array([points.min(axis=0).tolist()]), "high": pa.array([points.max(axis=0).tolist()])})
+            for kind, given in enumerate(out):
+                n = len(next(iter(given.values())))
+                given |= {"kind": pa.array([kind] * n, pa.int32()), "cell": pa.array([key[0].as_py()] * n, pa.int64()), "part": pa.array([key[1].as_py()] * n, pa.int64())}
+                out[kind] = pa.table({f.name: given.get(f.name, pa.nulls(n, f.type)) for f in columns(docs, asks)})
+            return pa.concat_tables(out)
+
+        def columns(docs, asks):
+            real, numbers = pa.float64(), pa.list_(pa.float64())
+            kinds = {"kind": pa.int32(), "cell": pa.int64(), "part": pa.int64(), "query": asks["id"].type, "row": docs["id"].type, "score": real,
+                     "vec": asks["vec"].type, "floor": real, "low": numbers, "high": numbers}
+            return pa.schema(list(kinds.items()))
+
+        schema = f"kind int, cell long, part long, query {query}, row {row}, score double, vec binary, floor double, low array<double>, high array<double>"
+        first = settle(self.docs.groupBy("cell", "part").cogroup(self.asks.groupBy("cell", "part")).applyInArrow(own, schema))
+        boxes = first.where("kind = 2").groupBy("cell").agg(F.first("low").alias("low"), F.first("high").alias("high")).collect()  # a row a cell
+        if not boxes:
+            return first.where("kind = 0").select("query", "row", "score")
+        numbers = np.array([b["cell"] for b in boxes])
+        low, high = np.array([b["low"] for b in boxes]), np.array([b["high"] for b in boxes])
+        open_cells = ~np.isfinite(low + high).all(axis=1)
+
+        def reach(batches):
+            step = max(1, ASK_VALUES // (width * len(numbers)))
+            for whole in batches:
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    units, floors = _rows(batch.column("vec"), width), batch.column("floor").to_numpy(zero_copy_only=False)
+                    most = np.nan_to_num(_boxed(low, high, units @ axes), nan=2.0)
+                    met = (most >= floors) | open_cells[:, None] | ~np.isfinite(units).all(axis=1)
+                    met &= numbers[:, None] != batch.column("cell").to_numpy()
+                    cell, at = np.nonzero(met)
+                    taken = batch.select(["part", "query", "vec", "floor"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[cell]), *taken.columns], names=["cell", "part", "id", "vec", "floor"])
+
+        sent = first.where("kind = 1").select("cell", "part", "query", "vec", "floor").mapInArrow(reach, f"cell long, part long, id {query}, vec binary, floor double")
+
+        def others(docs, asks):
+            got = search(_names(asks["id"]), asks, docs)
+            return pa.table({"query": column(got["query"], asks), "row": column(got["row"], docs), "score": pa.array(got["score"], pa.float64())})
+
+        further = self.docs.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(others, both)
+        return first.where("kind = 0").select("query", "row", "score").unionByName(further)
 
 
 def top_k(
@@ -361,14 +549,15 @@ def top_k(
     row_id: str,
     vector: str,
     k: int,
-    block_rows: int = BLOCK_ROWS,
-    broadcast_values: int = 4_000_000,
+    block_rows: int | None = None,
+    broadcast_values: int = 200_000,
 ) -> DataFrame:
     """The ``k`` corpus rows with the largest cosine per query: (query, row, score, rank).
 
     While the query vectors hold at most ``broadcast_values`` numbers they go to every task
     as one matrix and the corpus is not shuffled; a query leaves out the leaves of near rows that cannot
-    reach its k-th score (``nearest_rows``). Past that both sides meet in block pairs.
+    reach its k-th score (``nearest_rows``). Past that both sides meet in cells of near rows, ``block_rows`` or so each,
+    and a query in those only that can hold one of its best (``_Near``).
     Either way a task keeps only its k best per query. Scores are rounded to nine places
     before ranking and ties go to the smaller id.
     """
@@ -376,9 +565,6 @@ def top_k(
     docs = corpus.select(F.col(row_id).alias("id"), F.col(vector).alias("vec"))
     schema = f"query {dict(asks.dtypes)['id']}, row {dict(docs.dtypes)['id']}, score double"
 
-    def best(ask_ids, ask_matrix, ids, matrix):
-        return _best(ask_ids, ask_matrix, ids, matrix, k)
-
     first = asks.first()
     width = len(first["vec"]) if first else 1
     limit = max(1, broadcast_values // width)
@@ -400,14 +586,8 @@ def top_k(
 
         local = docs.mapInPandas(scan, schema)
     else:
-        local = block_pairs(
-            asks,
-            docs,
-            lambda x, y: best(x["id"].to_numpy(), _matrix(x["vec"]), y["id"].to_numpy(), _matrix(y["vec"])),
-            schema,
-            block_count(asks, block_rows),
-            block_count(docs, block_rows),
-        )
+        kinds = (dict(asks.dtypes)["id"], dict(docs.dtypes)["id"])
+        local = _Near(kept(asks, queries), kept(docs, corpus), kinds, width, k, block_rows or max(1, CELL_VALUES // width)).found()
     return top_per_group(local, ["query"], [F.desc("score"), F.asc("row")], k)
 
 
