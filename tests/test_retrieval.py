@@ -548,3 +548,23 @@ def test_chunk_borders_are_found_by_leaps(monkeypatch):
             level += 1
         assert list(chunks.chunk_spans(text, size, 0)) == list(slow(text, size, 0, len(text), level)), (text, size)
     assert all(a[3] == "\n\n" for a in cuts)
+
+
+@pytest.mark.parametrize("shape", ["even", "wide", "square corners", "copies", "two"])
+def test_coherence_counts_every_pair_exactly(spark, shape):
+    """Entries are placed in single precision, also where many lie on one value or next to the ends."""
+    rng = np.random.default_rng(3)
+    rows = {
+        "even": rng.normal(size=(1300, 6)), "wide": rng.normal(size=(150, 300)), "square corners": np.tile(np.eye(5), (60, 1)),
+        "copies": np.concatenate([np.zeros((20, 3)), np.tile([[1.0, 2, 3]], (200, 1)), rng.normal(size=(300, 3))]), "two": rng.normal(size=(2, 3)),
+    }[shape]
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, vec array<double>")
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    units = rows / np.where(size > 0, size, 1)
+    full = units @ units.T
+    np.fill_diagonal(full, 0)
+    flat = full.reshape(-1)
+    want = {"count": flat.size, "mean": flat.mean(), "std": flat.std(ddof=1), "min": flat.min(), "max": flat.max()}
+    want |= {f"q{p:.2f}": np.quantile(flat, p) for p in (0.25, 0.5, 0.75, 0.95)}
+    got = {r["statistic"]: r["value"] for r in similarity.coherence(docs, "id", "vec").collect()}
+    assert all(abs(got[k] - v) < 1e-8 for k, v in want.items()), (got, want)

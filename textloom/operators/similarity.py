@@ -23,6 +23,8 @@ from textloom.scale import kept, running, settle, top_per_group
 BLOCK_ROWS = 2048
 MATRIX_ENTRIES = 4_000_000
 LEAF_ROWS = 128
+TILE_ROWS, TILE_COLS = 256, 1024  # a tile whose entries are placed stays in a core's cache
+LOWEST, HIGHEST = -1.00137, 1.00091  # of a histogram of cosines; no usual value lies on a border of its bins
 AXES = 10  # main axes of the boxes
 CELL_VALUES = 2_000_000  # numbers of the rows of a cell
 ASK_VALUES = 8_000_000  # numbers of the queries that a cell meets at once
@@ -38,6 +40,11 @@ def _matrix(column) -> np.ndarray:
     return _units_of(np.stack(list(column)).astype(np.float64))
 
 
+def _finite(matrix: np.ndarray) -> np.ndarray:
+    """Without rows that have no cosine."""
+    return matrix[np.isfinite(matrix).all(axis=1)]
+
+
 def _units_of(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(size > 0, size, 1.0)
@@ -77,7 +84,7 @@ def _units(df: DataFrame, row_id: str, vector: str) -> DataFrame:
 SELF_ROWS = 100_000  # most rows of a block in a task
 
 
-def self_blocks(df: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
+def self_blocks(df: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, per_core: int = 2) -> DataFrame:
     """``fn`` over every unordered pair of blocks of one table (id, vec), and each block with itself.
 
     The grid follows the cores, not the rows, while a block stays under ``SELF_ROWS``: a row is copied
@@ -85,7 +92,7 @@ def self_blocks(df: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, bool],
     """
     spark = df.sparkSession
     rows = df.count()
-    tasks = 2 * int(spark.sparkContext.defaultParallelism)
+    tasks = per_core * int(spark.sparkContext.defaultParallelism)
     grid = max(1, math.ceil(rows / SELF_ROWS), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(rows / 256)))
     own, other = F.pmod(F.xxhash64("id"), F.lit(grid)), F.col("_k")
     dealt = df.withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<bigint>")))
@@ -178,8 +185,9 @@ def coherence(
     """Summary of the cosine matrix with a zero diagonal: (statistic, value) rows.
 
     Mean and deviation follow from the sums and products of the vectors themselves. The entries next to each
-    quantile are found by a histogram over all pairs and a second one inside the bins that hold
-    them, to within ``4 / bins ** 2``, and interpolated; a task returns its histogram, never entries.
+    quantile are found by a histogram over all pairs and a second one around the bins that hold
+    them, to within ``4 / bins ** 2``, and interpolated; a task returns its histogram, never entries. All pairs are placed in
+    bins in single precision; those the second one counts, and the ends, are computed in double.
     """
     units = settle(_units(df, row_id, vector))
     rows = units.count()
@@ -199,52 +207,102 @@ def coherence(
     s = float((summed["t"].toArray() ** 2).sum()) - summed["ones"]
     q = float((summed["g"].toArray() ** 2).sum()) - summed["fourth"]
 
-    def histogram(ranges):
-        def count(x, y, same):
-            held = [np.zeros(bins + 2, np.int64) for _ in ranges]
-            low, high = np.inf, -np.inf
-            for i, j, tile in _tiles(x, y, same):
-                v = np.round(tile[~np.isnan(tile)], 12)
-                times = 1 if same and i == j else 2
-                if len(v):
-                    low, high = min(low, v.min()), max(high, v.max())
-                for k, (a, b) in enumerate(ranges):
-                    at = np.clip(np.floor((v - a) / (b - a) * bins).astype(np.int64), -1, bins) + 1
-                    held[k] += times * np.bincount(at, minlength=bins + 2)
-            found = [(k, np.flatnonzero(h)) for k, h in enumerate(held)]
-            frames = [pd.DataFrame({"range": k, "bin": at - 1, "n": held[k][at], "lo": low, "hi": high}) for k, at in found]
-            return pd.concat(frames)
-
-        counted = self_blocks(units, count, "range long, bin long, n long, lo double, hi double")
-        table = counted.groupBy("range", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # ranges x bins
-        counts = {(r["range"], r["bin"]): r["n"] for r in table}
-        for k, (a, b) in enumerate(ranges):  # the zeros of the diagonal
-            at = min(max(math.floor((0.0 - a) / (b - a) * bins), -1), bins)
-            counts[k, at] = counts.get((k, at), 0) + rows
-        return counts, min([0.0, *[r["lo"] for r in table]]), max([0.0, *[r["hi"] for r in table]])
-
-    ranks = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
-    spans = {r: (-1.001, 1.001) for r in ranks}
-    low = high = 0.0
-    for step in range(2):
-        ranges = sorted(set(spans.values()))
-        counts, lo, hi = histogram(ranges)
-        if not step:
-            low, high = lo, hi
-        for rank, (a, b) in spans.items():
-            i = ranges.index((a, b))
-            width, below = (b - a) / bins, counts.get((i, -1), 0)
-            for k in range(bins):
-                inside = counts.get((i, k), 0)
-                if below + inside > rank:
-                    spans[rank] = (a + k * width, a + (k + 1) * width)
-                    break
-                below += inside
+    width = len(summed["t"])
+    low, scale = LOWEST, bins / (HIGHEST - LOWEST)
+    # single precision places an entry within a fraction of a bin; what lies next to a quantile is computed again in double
+    kind = np.float32 if (width + 4) * 2.0**-23 * scale < 0.25 else np.float64
+    error = (width + 4) * 2.0**-23 + 4e-7  # the second for the place in the bins
+
+    def placed(x, y, same):
+        """Places of the tiles' entries in bins, with the double rows and columns of the tile; a pair of rows once."""
+        a = _finite(_matrix(x["vec"]))
+        b = a if same else _finite(_matrix(y["vec"]))
+        left, right = a.astype(kind), b.astype(kind)
+        for i in range(0, len(a), TILE_ROWS):
+            for j in range(i - i % TILE_COLS if same else 0, len(b), TILE_COLS):
+                tile = left[i : i + TILE_ROWS] @ right[j : j + TILE_COLS].T
+                shape, kept = tile.shape, None
+                if same and j < i + shape[0]:  # on the diagonal, or left of it
+                    kept = np.flatnonzero(np.arange(j, j + shape[1]) > np.arange(i, i + shape[0])[:, None])
+                    tile = tile.reshape(-1)[kept]
+                if tile.size:
+                    tile *= kind(scale)
+                    tile -= kind(low * scale)
+                    yield tile.reshape(-1), kept, a[i : i + TILE_ROWS], b[j : j + TILE_COLS]
+
+    def coarse(x, y, same):
+        held, least, most = np.zeros(bins, np.int64), np.inf, -np.inf
+        for tile, kept, a, b in placed(x, y, same):
+            held += np.bincount(tile.astype(np.intp), minlength=bins)
+            first, last = tile.min() / scale + low, tile.max() / scale + low
+            if (least > -1 + 1e-9 and first < least + error) or (most < 1 - 1e-9 and last > most - error):
+                exact = (a @ b.T).reshape(-1)
+                exact = exact if kept is None else exact[kept]
+                least, most = min(least, exact.min()), max(most, exact.max())
+        at = np.flatnonzero(held)
+        return pd.DataFrame({"bin": at, "n": 2 * held[at], "lo": least, "hi": most})
+
+    table = self_blocks(units, coarse, "bin long, n long, lo double, hi double", 4).groupBy("bin").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    ).collect()  # a row a bin
+    least = min([0.0, *[round(r["lo"], 12) for r in table]])
+    most = max([0.0, *[round(r["hi"], 12) for r in table]])
+    counts = np.zeros(bins, np.int64)
+    counts[[r["bin"] for r in table]] = [r["n"] for r in table]
+    zero = int((0.0 - low) * scale)
+    counts[zero] += rows  # the zeros of the diagonal
+    ranks = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}) if rows else []
+    middle = dict(zip(ranks, np.searchsorted(np.cumsum(counts), ranks, side="right").clip(0, bins - 1).tolist()))
+    # the bin of a rank and the ones beside it, for entries that single precision puts there
+    firsts = sorted({k - 1 for k in middle.values()})
+    cut = 3 * bins  # finer bins in them
+    near = np.zeros(bins, bool)
+    for k in firsts:
+        near[max(k, 0) : k + 3] = True
+
+    def fine(x, y, same):
+        below, held = np.zeros(len(firsts), np.int64), [[] for _ in firsts]
+        counted = [np.zeros(cut, np.int64) for _ in firsts]
+
+        def count(k):
+            if held[k]:
+                counted[k] += np.bincount(np.concatenate(held[k]), minlength=cut)
+                held[k].clear()
+
+        for tile, kept, a, b in placed(x, y, same):
+            found = np.flatnonzero(near[tile.astype(np.intp)])
+            bin_of, place = tile[found], found if kept is None else kept[found]
+            value = np.einsum("ij,ij->i", a[place // len(b)], b[place % len(b)])
+            for k, first in enumerate(firsts):
+                below[k] += np.count_nonzero(tile < first)
+                mine = value[(bin_of >= first) & (bin_of < first + 3)]
+                held[k].append(np.clip((mine - low - first / scale) * scale * (cut / 3), 0, cut - 1).astype(np.int64))
+                if len(held[k]) >= 64:
+                    count(k)
+        frames = []
+        for k in range(len(firsts)):
+            count(k)
+            at = np.flatnonzero(counted[k])
+            frames.append(pd.DataFrame({"range": k, "bin": np.append(at, -1), "n": 2 * np.append(counted[k][at], below[k])}))
+        return pd.concat(frames)
+
+    value = {}
+    if ranks:
+        table = self_blocks(units, fine, "range long, bin long, n long", 4).groupBy("range", "bin").agg(F.sum("n").alias("n")).collect()  # ranges x bins
+        finer = [np.zeros(cut + 1, np.int64) for _ in firsts]
+        for r in table:
+            finer[r["range"]][r["bin"] + 1] += r["n"]
+        for k, first in enumerate(firsts):
+            at = min(max((0.0 - low - first / scale) * scale * (cut / 3), 0), cut - 1)
+            finer[k][0 if zero < first else int(at) + 1] += rows if zero < first + 3 else 0
+        for rank, k in middle.items():
+            first = k - 1
+            at = int(np.searchsorted(np.cumsum(finer[firsts.index(first)]), rank, side="right"))
+            value[rank] = low + (first + (min(max(at, 1), cut) - 0.5) * 3 / cut) / scale
     out = [
         ("count", n), ("mean", s / n), ("std", math.sqrt(max(0.0, (q - s * s / n) / max(n - 1, 1)))),
-        ("min", float(low)), ("max", float(high)),
+        ("min", float(least)), ("max", float(most)),
     ]
-    value = {r: (a + b) / 2 for r, (a, b) in spans.items()}
     for p in probs:
         at = p * (n - 1)
         a, b = value[math.floor(at)], value[math.ceil(at)]
