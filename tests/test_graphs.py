@@ -332,3 +332,59 @@ def test_crawl_rules(spark):
     assert ("http://b/", 2) in got(include_external=True)
     assert ("http://a/p.png", 2) in got(include_images=True)
     assert got(pattern="x$") == {("http://a/", 0), ("http://a/x", 1)}
+
+
+def drawn_plainly(pairs, n_positive, n_negative, seed=42):
+    """The samples by sorted lists, a rank counting the vertices that may be drawn."""
+    from hashlib import md5
+
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    names, rows = sorted(near), set()
+    rank = lambda *name: int(md5(":".join(map(str, (seed, *name))).encode()).hexdigest()[:12], 16)
+    for a in names:
+        some = sorted(near[a])
+        free = [b for b in names if b not in near[a] and b != a]
+        rows |= {(a, some[rank(a, "positive", d) % len(some)], d, 1) for d in range(1, n_positive + 1)}
+        rows |= {(a, free[rank(a, "negative", d) % len(free)], d, 0) for d in range(1, n_negative + 1) if free}
+    return rows
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 7])
+def test_samples_of_vertices_on_the_borders_of_parts(spark, monkeypatch, rows):
+    """Parts far smaller than a vertex's neighbours give the same draws, also from edges in both directions."""
+    monkeypatch.setattr(graphs, "SORTED_ROWS", rows)
+    pairs = [("hub", f"n{i}") for i in range(60)] + [(f"n{i}", f"n{(i * 7 + 3) % 60}") for i in range(60) if i != (i * 7 + 3) % 60] + [("far", "n1"), ("n1", "far")]
+    want = drawn_plainly(pairs, 4, 9)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    got = graphs.sample_neighbours(edges, 4, 9).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    names = sorted({v for p in pairs for v in p})
+    placed = graphs.sample_neighbours(edges, 4, 9, places=True).collect()
+    assert {(r["anchor"], names[r["place"]], r["draw"], r["positive"]) for r in placed} == want and all(names[r["at"]] == r["anchor"] for r in placed)
+
+
+def test_loss_in_blocks_of_points(spark, monkeypatch):
+    """The same losses with points sent to pairs of blocks as with points joined to every sample, also with points of no numbers."""
+    import random
+
+    draw = random.Random(2)
+    vector = lambda: [draw.gauss(0, 1) for _ in range(3)]
+    lifted = [(i, [math.sqrt(1 + sum(x * x for x in v)), *v]) for i, v in enumerate(vector() for _ in range(30))]
+    lifted += [(3, lifted[5][1]), (30, None), (31, [1.0, None, 0.0, 0.0]), (None, lifted[0][1])]  # a key of two points, points without numbers
+    points = spark.createDataFrame(lifted, "id long, point array<double>")
+    rows = [(f"a{i % 40}", i % 33, draw.randrange(34), int(i % 3 == 0)) for i in range(400)]
+    rows += [("lone", 1, 2, 0), ("void", 30, 31, 1), (None, 1, 2, 1), ("gone", 99, 1, 1), ("part", 1, 30, 1), ("part", 1, 2, 0), ("part", 1, 4, 1)]
+    samples = spark.createDataFrame(rows, "anchor string, at long, other long, positive int")
+    order = lambda out: sorted((r["anchor"], r["loss"]) for r in out.collect())
+    blocks = order(graphs.embedding_loss(samples, points, at="at"))
+    monkeypatch.setattr(graphs, "CELL_SAMPLES", 10)
+    layers = order(graphs.embedding_loss(samples, points, at="at"))
+    monkeypatch.setattr(graphs, "POINT_VALUES", 0)
+    joined = order(graphs.embedding_loss(samples, points, at="at"))
+    assert [a for a, _ in blocks] == [a for a, _ in layers] == [a for a, _ in joined]
+    assert "void" in dict(joined) and "lone" not in dict(joined) and len(joined) == 42
+    for out in (blocks, layers):
+        assert all(abs(x - y) < 1e-6 for (_, x), (_, y) in zip(out, joined))
